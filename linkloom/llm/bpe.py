@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, tune
+from .common import Memo, text_blocks, tune
 
 #: Words of more bytes than this take the heap.
 SHORT = 96
@@ -216,18 +216,6 @@ class TextCodec:
 _CODECS = Memo(TextCodec, 4)
 
 
-def _blocks(texts: list, size: int = 2_000_000):
-    """Runs of rows whose texts have at most about ``size`` characters together."""
-    start = held = 0
-    for i, t in enumerate(texts):
-        held += len(t or "")
-        if held >= size:
-            yield start, i + 1
-            start, held = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = True) -> DataFrame:
     """Adds ``bpe_ids`` (binary: little-endian unsigned 32-bit ids), ``bpe_n_tokens`` and, if asked, ``bpe_decoded``.
 
@@ -247,7 +235,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode:
         codec = _CODECS[vocabulary]
         for batch in batches:
             texts = batch.column(place).to_pylist()
-            for a, b in _blocks(texts):
+            for a, b in text_blocks(texts):
                 found = list(codec.run(texts[a:b]))
                 ids = [x for x, _ in found]
                 columns = [*batch.slice(a, b - a).columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]

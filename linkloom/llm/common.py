@@ -83,3 +83,15 @@ class Memo(dict):
             self.clear()
         value = self[key] = self.make(key)
         return value
+
+
+def text_blocks(texts: list, size: int = 2_000_000):
+    """Runs of rows whose texts have at most about ``size`` characters together."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        held += len(t or "")
+        if held >= size:
+            yield start, i + 1
+            start, held = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
