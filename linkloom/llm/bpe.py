@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, text_blocks, tune
+from .common import Memo, steady, text_blocks, tune
 
 #: Words of more bytes than this take the heap.
 SHORT = 96
@@ -58,6 +58,7 @@ class RankArrayBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = [self.token.get(i, "") for i in range(max(self.token) + 1)]
         letters = byte_letters()
         self.inner = np.array([self.vocab[c] for c in letters], np.int32)
         self.last = np.array([self.vocab[c + self.suffix] for c in letters], np.int32)
@@ -79,13 +80,20 @@ class RankArrayBPE:
         at = np.searchsorted(self.keys, key)
         return np.where(self.keys[at] == key, at, len(self.keys) - 1).astype(np.int32)
 
-    def _short(self, words: list[bytes]) -> list[np.ndarray]:
+    def _told(self, parts: np.ndarray, rows, out: list) -> None:
+        """Packed ids and decoded text of finished words, all with as many parts."""
+        packed, step = parts.astype("<u4").tobytes(), 4 * parts.shape[1]
+        names = self.names
+        for i, (r, ids) in enumerate(zip(rows, parts.tolist(), strict=True)):
+            out[r] = (packed[i * step : (i + 1) * step], names[ids[0]] if step == 4 else " ".join([names[x] for x in ids]))
+
+    def _short(self, words: list[bytes]) -> list[tuple[bytes, str]]:
         """Words of one length, 1 to SHORT bytes."""
         n, size = len(words), len(words[0])
         raw = np.frombuffer(b"".join(words), np.uint8).reshape(n, size)
         parts = self.inner[raw]
         parts[:, -1] = self.last[raw[:, -1]]
-        out: list[np.ndarray] = [None] * n  # type: ignore[list-item]
+        out: list[tuple[bytes, str]] = [(b"", "")] * n
         rows = np.arange(n)
         if size > 1:
             place = self._look(parts[:, :-1], parts[:, 1:])
@@ -95,8 +103,7 @@ class RankArrayBPE:
                 here = np.arange(len(rows))
                 live = ranks[here, at] < _NONE
                 if not live.all():
-                    for i in np.flatnonzero(~live):
-                        out[rows[i]] = parts[i]
+                    self._told(parts[~live], rows[~live].tolist(), out)
                     if not live.any():
                         return out
                     rows, parts, place, at = rows[live], parts[live], place[live], at[live]
@@ -104,8 +111,7 @@ class RankArrayBPE:
                 made = self.made[place[here, at]]
                 size = parts.shape[1]
                 if size == 2:
-                    for i, r in enumerate(rows):
-                        out[r] = made[i : i + 1]
+                    self._told(made[:, None], rows.tolist(), out)
                     return out
                 parts[here, at] = made
                 cols = np.arange(size - 1)[None, :]
@@ -116,11 +122,10 @@ class RankArrayBPE:
                 place[before, at[before] - 1] = self._look(parts[before, at[before] - 1], parts[before, at[before]])
                 after = np.flatnonzero(at < size - 2)
                 place[after, at[after]] = self._look(parts[after, at[after]], parts[after, at[after] + 1])
-        for i, r in enumerate(rows):
-            out[r] = parts[i]
+        self._told(parts, rows.tolist(), out)
         return out
 
-    def _long(self, word: bytes) -> np.ndarray:
+    def _long(self, word: bytes) -> tuple[bytes, str]:
         """The same merges from a heap of (rank, place), for words beyond SHORT bytes."""
         part = [int(x) for x in self.inner[np.frombuffer(word, np.uint8)]]
         part[-1] = int(self.last[word[-1]])
@@ -147,11 +152,13 @@ class RankArrayBPE:
             if before[i] >= 0:
                 push(before[i])
             push(i)
-        return np.array([p for p in part if p >= 0], np.int32)
+        found: list[tuple[bytes, str]] = [(b"", "")]
+        self._told(np.array([[p for p in part if p >= 0]], np.int32), [0], found)
+        return found[0]
 
-    def words(self, words: list[bytes]) -> list[np.ndarray]:
-        """Ids of many words, each the UTF-8 bytes of one match of the pattern."""
-        out: list[np.ndarray] = [None] * len(words)  # type: ignore[list-item]
+    def words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+        """Packed ids and decoded text of many words, each the UTF-8 bytes of one match of the pattern."""
+        out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_size.setdefault(len(w), []).append(i)
@@ -178,39 +185,57 @@ class RankArrayBPE:
                 found += [w.encode() for w in self.pattern.findall(plain.lower())]
         return found
 
-    def decode(self, ids) -> str:
-        """Without a decoder in the vocabulary file, tokens are joined by blanks."""
-        return " ".join(self.token[int(i)] for i in ids)
-
 
 class TextCodec:
-    """Whole texts through the word cache: packed ids, number of tokens and decoded text."""
+    """Whole texts through two bounded caches: of words, and of what stands between blanks."""
 
     def __init__(self, path: str):
         self.bpe = RankArrayBPE(path)
         self.known: dict[bytes, tuple[bytes, str]] = {}
-        self.word_ids: dict[bytes, np.ndarray] = {}
+        self.told: dict[bytes, tuple[bytes, str]] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) + len(chunks) > CACHE_WORDS:
             self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        split = [self.bpe.split(c.decode()) for c in new]
-        words = list({w for parts in split for w in parts if not isinstance(w, int)})
-        ids = dict(zip(words, self.bpe.words(words), strict=True))
-        told = {w: (x.astype("<u4").tobytes(), self.bpe.decode(x)) for w, x in ids.items()}
-        for chunk, parts in zip(new, split, strict=True):
+        if len(self.told) > CACHE_WORDS:
+            self.told.clear()
+        known, told, split = self.known, self.told, self.bpe.split
+        new = list(chunks - known.keys())
+        one, many, words = [], [], set()
+        for chunk in new:
+            # Mostly a chunk is one word of letters, or that with one ASCII mark behind it.
+            text = chunk.decode()
+            low = text.lower()
+            if text.isascii() and low.isalpha():
+                one.append((chunk, word := low.encode()))
+                words.add(word)
+            elif text.isascii() and low[:-1].isalpha() and low[-1] in ".,:;!?":
+                both = [low[:-1].encode(), low[-1:].encode()]
+                many.append((chunk, both))
+                words.update(both)
+            else:
+                both = split(text)
+                many.append((chunk, both))
+                words.update([w for w in both if not isinstance(w, int)])
+        fresh = list(words - told.keys())
+        told.update(zip(fresh, self.bpe.words(fresh), strict=True))
+        for chunk, word in one:
+            known[chunk] = told[word]
+        for chunk, parts in many:
             both = [told[p] if not isinstance(p, int) else (p.to_bytes(4, "little"), self.bpe.token[p]) for p in parts]
-            self.known[chunk] = (b"".join(b for b, _ in both), " ".join(s for _, s in both))
+            known[chunk] = both[0] if len(both) == 1 else (b"".join([b for b, _ in both]), " ".join([s for _, s in both]))
 
     def run(self, texts: list[str | None]):
         """(packed ids, decoded) of each text; words new to the cache are encoded together."""
         split = [(t or "").encode("utf-8").split() for t in texts]
-        self.learn({c for s in split for c in s})
+        self.learn(set().union(*split))
         get = self.known.__getitem__
         for chunks in split:
-            both = [get(c) for c in chunks]
-            yield b"".join([b for b, _ in both]), " ".join([s for _, s in both if s])
+            if not chunks:
+                yield b"", ""
+                continue
+            ids, names = zip(*map(get, chunks), strict=True)
+            yield b"".join(ids), " ".join(names if "" not in names else [n for n in names if n])
 
 
 _CODECS = Memo(TextCodec, 4)
@@ -236,7 +261,8 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode:
         for batch in batches:
             texts = batch.column(place).to_pylist()
             for a, b in text_blocks(texts):
-                found = list(codec.run(texts[a:b]))
+                with steady():
+                    found = list(codec.run(texts[a:b]))
                 ids = [x for x, _ in found]
                 columns = [*batch.slice(a, b - a).columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
                 names = [*batch.schema.names, *own[:2]]

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import Memo, text_blocks, tune
+from .common import Memo, steady, text_blocks, tune
 
 SYMBOLS = "#*$%&|<>"
 #: Entries of the word cache of one Python worker.
@@ -203,8 +203,9 @@ def quality_rules(docs: DataFrame, rules: QualityRules, text_col: str = "text",
             texts, langs = [t or "" for t in batch.column(at_text).to_pylist()], batch.column(at_lang).to_pylist()
             rows = []
             for a, b in text_blocks(texts):
-                counted = [base_counts(t) for t in texts[a:b]]
-                meter.learn({w for words, *_ in counted for w in words})
+                with steady():
+                    counted = [base_counts(t) for t in texts[a:b]]
+                    meter.learn(set().union(*[words for words, *_ in counted]))
                 for text, lang, (words, *counts) in zip(texts[a:b], langs[a:b], counted, strict=True):
                     n = len(words)
                     failed = n < rules.min_words or 100 * counts[3] > rules.max_repeat_percent * n
