@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, quality
+from . import bpe, chat, minhash, mixing, quality, secrets
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_mixing": mixing.op1_query,
+    "op2_chat": chat.op2_query,
     "op4_quality": quality.op4_query,
+    "op5_minhash": minhash.op5_query,
+    "op6_secrets": secrets.op6_query,
     "op10_bpe": bpe.op10_query,
 }
 
 #: DuckDB SQL of those that SQL can express over whole tables.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_mixing": mixing.OP1_SQL,
+    "op2_chat": chat.OP2_SQL,
+    "op6_secrets": secrets.OP6_SQL,
+}
