@@ -75,7 +75,8 @@ def unescaped(text: Column, template: Template = DEFAULT) -> Column:
 
 
 def _label(role: Column, template: Template) -> Column:
-    shown = F.concat(F.lit(template.other), F.replace(escaped(role, template), F.lit(":"), F.lit(template.escape + ":")))
+    mid = template.mid
+    shown = F.concat(F.lit(template.other), F.replace(escaped(role, template), F.lit(mid), F.lit(mid[0] + template.escape + mid[1:])))
     for name, label in template.labels:
         shown = F.when(role == name, F.lit(label)).otherwise(shown)
     return shown
@@ -94,14 +95,13 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT, conv_col: str =
     gathered = rows.groupBy(conv_col).agg(F.sort_array(F.collect_list("t")).alias("turns"))
     steps = F.create_map(*[F.lit(x) for state, moves in template.transitions for r, to in moves for x in (f"{state}\x00{r}", to)])
     begin = F.struct(F.lit("start").alias("state"), F.lit(0).alias("at"))
-    walked = F.aggregate(
-        "turns",
-        begin,
-        lambda s, t: F.when(
-            s["state"].isNotNull() & F.element_at(steps, F.concat(s["state"], F.lit("\x00"), t["role"])).isNotNull(),
-            F.struct(F.element_at(steps, F.concat(s["state"], F.lit("\x00"), t["role"])).alias("state"), (s["at"] + 1).alias("at")),
-        ).otherwise(F.struct(F.lit(None).cast("string").alias("state"), s["at"].alias("at"))),
-    )
+
+    def step(s: Column, t: Column) -> Column:
+        # The state '' is that of a refused turn: no transition leaves it, and the place stands still.
+        to = F.coalesce(F.element_at(steps, F.concat(s["state"], F.lit("\x00"), t["role"])), F.lit(""))
+        return F.struct(to.alias("state"), (s["at"] + F.when(to == "", 0).otherwise(1)).alias("at"))
+
+    walked = F.aggregate("turns", begin, step)
     no = F.lit(False)
     parts = F.flatten(
         F.transform(
@@ -113,7 +113,7 @@ def format_chats(turns: DataFrame, template: Template = DEFAULT, conv_col: str =
             ),
         )
     )
-    valid = F.coalesce(F.col("walk.state").isin(*template.final), F.lit(False))
+    valid = F.col("walk.state").isin(*template.final)
     made = gathered.select(conv_col, F.size("turns").cast("long").alias("n_turns"), parts.alias("segments"), walked.alias("walk"))
     return made.select(
         conv_col,
@@ -134,7 +134,7 @@ def read_back(formatted: Column, template: Template = DEFAULT) -> Column:
     def turn(piece: Column) -> Column:
         body = F.substring(piece, F.lit(len(template.open) + 1), F.length(piece))
         at = F.instr(body, F.lit(template.mid))
-        # An unknown role's colons are escaped, so the first unescaped mid ends it.
+        # No role holds the mid string whole, so the first one ends it.
         label = F.substring(body, F.lit(1), at - 1)
         role = unescaped(F.substring(label, F.lit(len(template.other) + 1), F.length(label)), template)
         for name, shown in template.labels:
@@ -172,7 +172,7 @@ WITH t AS (
 n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS place, lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS prior FROM t),
 e AS (SELECT *, replace(replace(replace(text, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>') AS escaped,
   CASE role WHEN 'system' THEN 'System' WHEN 'user' THEN 'User' WHEN 'assistant' THEN 'Assistant'
-    ELSE '?' || replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ':', '\:') END AS label,
+    ELSE '?' || replace(replace(replace(replace(role, '\', '\\'), '### ', '#\## '), '</turn>', '<\/turn>'), ': ', ':\ ') END AS label,
   CASE WHEN place = 0 THEN role IN ('system', 'user') WHEN prior = 'user' THEN role = 'assistant' WHEN prior IN ('system', 'assistant') THEN role = 'user' ELSE false END AS ok FROM n),
 g AS (SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, quality, secrets
+from . import bpe, chat, minhash, mixing, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_query,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_query,
     "op5_minhash": minhash.op5_query,
     "op6_secrets": secrets.op6_query,
+    "op9_toxicity": toxicity.op9_query,
     "op10_bpe": bpe.op10_query,
 }
 
