@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, quality, secrets, toxicity
+from . import bpe, chat, minhash, mixing, ngram_lm, quality, secrets, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_query,
     "op2_chat": chat.op2_query,
+    "op3_ngram_lm": ngram_lm.op3_query,
     "op4_quality": quality.op4_query,
     "op5_minhash": minhash.op5_query,
     "op6_secrets": secrets.op6_query,
