@@ -13,7 +13,9 @@ import uuid
 from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The separators of words in every contract here: blank and the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -108,3 +110,49 @@ def steady():
     finally:
         if on:
             gc.enable()
+
+
+class Bloom:
+    """A set of 64-bit keys with false positives, used to ship fewer rows before an exact join.
+
+    It has at most ``most_bits`` bits however many keys there are: with more it lets more through, never less.
+    """
+
+    def __init__(self, words: np.ndarray, values: np.ndarray, n_bits: int, probes: int):
+        self.n_bits, self.probes = n_bits, probes
+        bits = np.zeros(n_bits // 64, np.uint64)
+        bits[words] = values
+        self.bits = bits
+
+    @staticmethod
+    def places(keys: np.ndarray, n_bits: int, i: int) -> np.ndarray:
+        y = mix64(keys.astype(np.uint64))
+        return (y + np.uint64(i) * ((y >> np.uint64(32)) | np.uint64(1))) & np.uint64(n_bits - 1)
+
+    def has(self, keys: np.ndarray) -> np.ndarray:
+        found = np.ones(len(keys), bool)
+        for i in range(self.probes):
+            at = self.places(keys, self.n_bits, i)
+            found &= (self.bits[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+        return found
+
+
+def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 28, probes: int = 5) -> Bloom:
+    """A Bloom filter over a column of longs. Tasks set bits, words of bits are combined, and at most ``most_bits`` bits move."""
+    n_bits = 1 << 16
+    wanted = 12 * keys.count()
+    while n_bits < min(wanted, most_bits):
+        n_bits *= 2
+
+    def run(batches):
+        bits = np.zeros(n_bits // 64, np.uint64)
+        for batch in batches:
+            some = np.asarray(batch.column(0)).view(np.uint64)
+            for i in range(probes):
+                at = Bloom.places(some, n_bits, i)
+                np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        words = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(bits[words].view(np.int64))], names=["word", "value"])
+
+    found = keys.select(F.col(column).cast("long")).mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    return Bloom(np.asarray(found.column("word").combine_chunks()), np.asarray(found.column("value").combine_chunks()).view(np.uint64), n_bits, probes)

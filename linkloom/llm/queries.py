@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, ngram_lm, quality, secrets, toxicity
+from . import bpe, chat, minhash, mixing, ngram_lm, quality, secrets, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_query,
@@ -15,6 +15,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_quality": quality.op4_query,
     "op5_minhash": minhash.op5_query,
     "op6_secrets": secrets.op6_query,
+    "op8_suffix_dedup": suffix_dedup.op8_query,
     "op9_toxicity": toxicity.op9_query,
     "op10_bpe": bpe.op10_query,
 }
