@@ -10,12 +10,13 @@
 3. Bands. Representatives that share a band are candidates. They are not paired: each is tied to the
    smallest of its band (a star), and the connected components of these ties are candidate clusters.
 4. Verification. All pairs within a cluster of up to ``chunk`` members are settled in one task
-   on the full shingle sets: a sparse product gives every intersection, and only the edges of a
-   spanning forest leave the task. A larger cluster is dealt into chunks, and rounds compare a
+   on the full shingle sets: a sparse product gives every intersection, and union-find the
+   components; no pair leaves the task. A larger cluster is dealt into chunks, and rounds compare a
    chunk of pivots with every chunk (tasks of two chunks each); members of one verified component
    need no further comparison, so a clump of near copies is done after the first round. Pivots are
    taken until no cluster has members left that neither were pivots nor joined the rest.
-5. Union-find over the verified edges: alternating star contractions on (id, parent) rows.
+5. Across tasks, union-find is by alternating stars on rows (id, parent): over the ties of step 3, and
+   over the spanning forests that the rounds of step 4 return.
 
 No pair list, group or component is ever held by the driver, and no task holds more than two chunks.
 """
@@ -25,7 +26,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Memo, cut, drop_scratch, mix64, text_blocks, tune
@@ -195,33 +196,33 @@ def _edge_table(edges) -> pa.Table:
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node: the smallest id that edges (a, b) reach from it.
 
-    Alternating large and small stars (Kiveris et al., 2014). Rows are two numbers; a hub's rows are
-    pre-aggregated before they are shuffled and joined through a written table, so that a skewed
-    join can be split.
+    Alternating large and small stars (Kiveris et al., 2014): a large star ties a node's greater
+    neighbours to its smallest one, a small star ties the smaller ones and the node to the smallest. A
+    round is one job over rows of two numbers, and rounds grow with the logarithm of the longest
+    path. Its end is seen from the count and hash sum of the rows it wrote.
     """
-    now = cut(edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct(), "edges")
+    now = edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
+    now, told = _written(now)
     while True:
-        # Large star: greater neighbours of a node go to its smallest neighbour.
         both = now.union(now.select("b", "a").toDF("a", "b"))
-        least = cut(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b").distinct()
-        large = cut(large, "large")
-        # Small star: smaller neighbours and the node itself go to the smallest of them.
-        low = cut(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        small = large.join(low, "a").selectExpr("b AS a", "m AS b").union(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = cut(small, "edges")
-        same = _same_rows(now, after)
-        drop_scratch(now, least, large, low)
+        least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b")
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").selectExpr("b AS a", "m AS b").union(low.selectExpr("a", "m AS b")).where("a <> b").distinct()
+        after, seen = _written(small)
+        drop_scratch(now)
         now = after
-        if same:
+        if seen == told:
             break
+        told = seen
     return nodes.join(now.toDF("id", "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def _same_rows(a: DataFrame, b: DataFrame) -> bool:
-    """Whether two tables of distinct pairs are equal, by count and sum of hashes."""
-    told = [d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first() for d in (a, b)]
-    return told[0] == told[1]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a scratch table, with their count and hash sum, in one job."""
+    watch = Observation()
+    table = cut(edges.observe(watch, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("hash")), "edges")
+    return table, (watch.get["n"], watch.get["hash"])
 
 
 def near_duplicates(
@@ -260,33 +261,42 @@ def near_duplicates(
     ties = cut(ties, "ties")
     active = ties.selectExpr("explode(array(a, b)) AS id").distinct()
     clusters = cut(components(active, ties).withColumnRenamed("component", "cluster"), "clusters")
-    links = _verified(spark, narrow, clusters, shingle_words, percent, chunk)
-    member = components(classes.select(F.col("rep").alias("id")).distinct(), links)
-    found = classes.join(member, classes.rep == member.id).select("digest", "component")
+    member = _verified(spark, narrow, clusters, shingle_words, percent, chunk)
+    found = classes.join(member, classes.rep == member.id, "left").select("digest", F.coalesce("component", "rep").alias("component"))
     result = signed.join(cut(found, "members"), "digest", "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
     return result.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
 
 
 def _verified(spark: SparkSession, narrow: DataFrame, clusters: DataFrame, k: int, percent: int, chunk: int) -> DataFrame:
-    """Edges of a spanning forest of the links inside candidate clusters."""
+    """(id, component) of the members of candidate clusters, by the links among them."""
     sizes = clusters.groupBy("cluster").agg(F.count("*").alias("members"))
     texts = narrow.join(clusters, "id").groupBy("id", "cluster").agg(F.min("text").alias("text"))
     sets = cut(texts.select("cluster", "id", "text").mapInArrow(_set_rows(k), "cluster long, id long, elements binary"), "sets")
     large = cut(sizes.where(F.col("members") > chunk), "large")
 
     def settle(table: pa.Table) -> pa.Table:
-        return _edge_table(_edges(table.column("id").to_pylist(), table.column("elements").to_pylist(), percent))
-
-    edges = sets.join(large, "cluster", "left_anti").groupBy("cluster").applyInArrow(settle, _EDGE_DDL)
+        """A whole cluster: its members with the smallest id of their component."""
+        table = table.sort_by("id")
+        ids, forest = table.column("id").to_pylist(), Forest(table.num_rows)
+        for i, j in linked_pairs([np.frombuffer(s, np.uint64) for s in table.column("elements").to_pylist()], percent):
+            forest.join(int(i), int(j))
+        return pa.table({"id": table.column("id"), "component": pa.array([ids[forest.root(i)] for i in range(len(ids))], pa.int64())})
+
+    settled = sets.join(large, "cluster", "left_anti").groupBy("cluster").applyInArrow(settle, "id long, component long")
     if large.isEmpty():
-        return edges
-    edges = cut(edges, "verified")
+        return settled
     # A stable place in the cluster: chunks by hash, as many as the members ask for.
     big = sets.join(large, "cluster").withColumn("chunk", F.pmod(F.xxhash64("id"), F.ceil(F.col("members") / chunk).cast("long")))
     big = cut(big, "big")
-    left = big.select("cluster", "id", "chunk")
-    joined = None
+    return settled.union(_rounds(big, percent))
+
+
+def _rounds(big: DataFrame, percent: int) -> DataFrame:
+    """(id, component) of the members of clusters that are dealt into chunks, by rounds of pivots."""
+    spark = big.sparkSession
+    edges = spark.createDataFrame([], _EDGE_DDL)
+    left, pivoted = big.select("cluster", "id", "chunk"), None
 
     def meet(table: pa.Table) -> pa.Table:
         return _edge_table(_edges(table.column("id").to_pylist(), table.column("elements").to_pylist(), percent, table.column("pivot").to_pylist()))
@@ -296,7 +306,7 @@ def _verified(spark: SparkSession, narrow: DataFrame, clusters: DataFrame, k: in
         turn = left.groupBy("cluster").agg(F.min("chunk").alias("turn"))
         pivots = cut(left.join(turn, "cluster").where("chunk = turn").select("cluster", "id"), "pivots")
         if pivots.isEmpty():
-            return edges
+            return components(big.select("id").distinct(), edges)
         chunks = big.select("cluster", "chunk").distinct()
         dealt = pivots.join(big.drop("chunk"), ["cluster", "id"]).join(chunks, "cluster").select("cluster", "chunk", "id", "elements", F.lit(True).alias("pivot"))
         rest = big.join(pivots, ["cluster", "id"], "left_anti").select("cluster", "chunk", "id", "elements", F.lit(False).alias("pivot"))
@@ -306,10 +316,8 @@ def _verified(spark: SparkSession, narrow: DataFrame, clusters: DataFrame, k: in
         grouped = big.select("cluster", "id", "chunk").join(member, "id")
         counts = grouped.groupBy("cluster", "component").count()
         top = counts.groupBy("cluster").agg(F.max(F.struct("count", "component")).alias("top")).select("cluster", "top.component")
-        gone = pivots if joined is None else joined.union(pivots)
-        joined = cut(gone, "pivoted")
-        left = grouped.join(top, ["cluster", "component"], "left_anti").join(joined, ["cluster", "id"], "left_anti").select("cluster", "id", "chunk")
-        left = cut(left, "left")
+        pivoted = cut(pivots if pivoted is None else pivoted.union(pivots), "pivoted")
+        left = cut(grouped.join(top, ["cluster", "component"], "left_anti").join(pivoted, ["cluster", "id"], "left_anti").select("cluster", "id", "chunk"), "left")
 
 
 def op5_query(spark, sf_dir: str) -> DataFrame:
