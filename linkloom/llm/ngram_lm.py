@@ -21,16 +21,14 @@ in which no word is frequent.
 
 from __future__ import annotations
 
-from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, mix64, steady, text_blocks, tune
+from .common import cut, mix64, steady, text_blocks, tune
 
 _TAG = np.uint64(2**40 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -38,15 +36,15 @@ _START, _END = np.uint64(0x51A27), np.uint64(0xE4D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams that a segment is meant to hold.
 SEGMENT = 1 << 20
-#: Entries that a task counts before it ships them.
-HELD = 400_000
+#: Words, with repeats from block to block, that a task holds before it ships them.
+HELD = 2_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     base: float = 1.5
     bits_per_entry: int = 12
-    probes: int = 6
+    probes: int = 4
     mu: float = 20.0
     head_words: int = 1 << 18
     head_word_bytes: int = 64
@@ -64,27 +62,68 @@ def meant(base: float) -> np.ndarray:
     return np.concatenate([[0.0], (least[:-1] + np.maximum(least[:-1], least[1:] - 1)) / 2])
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8").lower().split()
-
-
-_HASHES = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 1_000_000)
-
-
-def sequences(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(history, token, owner) hashes of all tokens of some texts."""
-    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-    get = _HASHES.__getitem__
-    words = np.fromiter((get(w) for t in texts for w in t), np.uint64, int(sizes.sum()))
-    ends = np.cumsum(sizes + 1)
-    token = np.empty(int(ends[-1]) if len(ends) else 0, np.uint64)
-    last = np.zeros(len(token), bool)
-    last[ends - 1] = True
-    token[last], token[~last] = _END, words
-    history = np.empty_like(token)
-    history[1:] = token[:-1]
-    history[np.concatenate([[0], ends[:-1]])] = _START
-    return history, token, np.repeat(np.arange(len(texts)), sizes + 1)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_LETTER = mix64(np.arange(1, 257, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [32, *range(9, 14)])
+_powers: list[np.ndarray] = [np.ones(1, np.uint64)] * 2
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, kept for the longest block so far."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, _INVERSE)):
+            row = np.full(n, x)
+            row[0] = 1
+            _powers[i] = np.cumprod(row)
+    return [x[:n] for x in _powers]
+
+
+class Block:
+    """Some texts as places in the list of their distinct words; the end and the start stand behind the words.
+
+    Words are found and hashed (64-bit polynomials over random letters) on the bytes of all texts at once.
+    A word is known by its hash; its bytes are cut out only where they are asked for.
+    """
+
+    def __init__(self, texts: list[str | None]):
+        parts = [(t or "").encode("utf-8") for t in texts]
+        self.raw = b"\n".join([*parts, b""]).lower()
+        letters = np.frombuffer(self.raw, np.uint8)
+        up, down = _power(len(letters) + 1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_LETTER[letters] * up[: len(letters)])])
+        gap = np.concatenate([[True], _SPACE[letters], [True]])
+        edge = np.flatnonzero(gap[1:] != gap[:-1])
+        starts, stops = edge[::2], edge[1::2]
+        hashes = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+        order = hashes.argsort()
+        ranked = hashes[order]
+        new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(ranked) else np.zeros(0, bool)
+        place = np.empty(len(hashes), np.int64)
+        place[order] = np.cumsum(new) - 1
+        self._starts, self._stops = starts[order[new]], stops[order[new]]
+        self.end, self.begin = int(new.sum()), int(new.sum()) + 1
+        self.hashes = np.append(ranked[new], [_END, _START])
+        text_ends = np.cumsum([len(p) + 1 for p in parts])
+        self.sizes = np.diff(np.searchsorted(starts, text_ends), prepend=0)
+        ends = np.cumsum(self.sizes + 1)
+        self.token = np.full(int(ends[-1]) if len(ends) else 0, self.end, np.int64)
+        inner = np.ones(len(self.token), bool)
+        inner[ends - 1] = False
+        self.token[inner] = place
+        self.history = np.empty_like(self.token)
+        self.history[1:] = self.token[:-1]
+        self.history[ends - self.sizes - 1] = self.begin
+        self.owner = np.repeat(np.arange(len(texts)), self.sizes + 1)
+
+    def words(self, places: np.ndarray) -> list[bytes]:
+        raw = self.raw
+        return [raw[a:b] for a, b in zip(self._starts[places].tolist(), self._stops[places].tolist(), strict=True)]
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the distinct bigrams, and which of them stands at each token."""
+        found, at = np.unique(self.history * (self.begin + 1) + self.token, return_inverse=True)
+        return bigram(self.hashes[found // (self.begin + 1)], self.hashes[found % (self.begin + 1)]), at
 
 
 def unigram(token: np.ndarray) -> np.ndarray:
@@ -97,18 +136,29 @@ def bigram(history: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _count_words(batches):
     """Words and their counts, combined within a task up to HELD words at a time."""
-    seen: Counter = Counter()
+    blocks: list[Block] = []
 
     def rows():
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+        hashes = np.concatenate([b.hashes[: b.end] for b in blocks])
+        n = np.concatenate([np.bincount(b.token, minlength=b.begin)[: b.end] for b in blocks])
+        whose = np.repeat(np.arange(len(blocks)), [b.end for b in blocks])
+        first = np.cumsum([0, *[b.end for b in blocks]])
+        order = hashes.argsort()
+        new = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])) if len(order) else order
+        total = np.add.reduceat(n[order], new) if len(order) else n
+        one = np.sort(order[new])  # an occurrence of each word, in order of blocks
+        back = np.argsort(order[new], kind="stable")
+        words = [w for i, b in enumerate(blocks) for w in b.words(one[whose[one] == i] - first[i])]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total[back], pa.int64())], names=["word", "n"])
 
     for batch in batches:
-        for text in batch.column(0).to_pylist():
-            seen.update(tokens(text))
-            if len(seen) >= HELD:
+        texts = batch.column(0).to_pylist()
+        for a, b in text_blocks(texts):
+            blocks.append(Block(texts[a:b]))
+            if sum(b.end for b in blocks) >= HELD:
                 yield rows()
-                seen.clear()
-    if seen:
+                blocks = []
+    if blocks:
         yield rows()
 
 
@@ -131,10 +181,9 @@ def _by_segment(keys: np.ndarray, shift: int):
 
 
 def _count_ngrams(shift: int):
-    """N-grams of a task's texts as (segment, tags, counts), combined over about four million at a time."""
+    """N-grams of a task's texts as (segment, tags, counts); bigrams are combined over about four million at a time."""
 
-    def rows(held):
-        keys, n = np.unique(np.concatenate(held), return_counts=True)
+    def rows(keys: np.ndarray, n: np.ndarray):
         found = [(s, _packed(keys[a:b] & _TAG), n[a:b].astype("<u4").tobytes()) for s, a, b in _by_segment(keys, shift)]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "tags", "counts"])
 
@@ -143,22 +192,36 @@ def _count_ngrams(shift: int):
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in text_blocks(texts):
-                history, token, _ = sequences([tokens(t) for t in texts[a:b]])
-                held += [unigram(token), bigram(history, token), unigram(history[history == _START])]
-                size += 2 * len(token)
+                with steady():
+                    block = Block(texts[a:b])
+                keys = unigram(block.hashes)
+                n = np.bincount(block.token, minlength=len(keys))
+                n[block.begin] = b - a
+                order = np.flatnonzero(n)
+                order = order[np.argsort(keys[order])]
+                yield rows(keys[order], n[order])
+                held.append(bigram(block.hashes[block.history], block.hashes[block.token]))
+                size += len(block.token)
                 if size >= 4_000_000:
-                    yield rows(held)
+                    yield rows(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if size:
-            yield rows(held)
+            yield rows(*np.unique(np.concatenate(held), return_counts=True))
 
     return run
 
 
-def _places(tags: np.ndarray, level: int, n_bits: np.ndarray | int, i: int) -> np.ndarray:
-    """The bit of probe i of (n-gram, level) in a segment."""
+def _places(tags: np.ndarray, level: int, n_bits: np.ndarray | int, probes: int):
+    """The bits of (n-gram, level) in a segment, probe by probe; a caller may narrow what is left by sending a mask."""
     y = mix64(tags + np.uint64(level * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
-    return ((((y & _LOW) + np.uint64(i) * ((y >> np.uint64(32)) | np.uint64(1))) & _LOW) * np.asarray(n_bits, np.uint64)) >> np.uint64(32)
+    low, step, n_bits = y & _LOW, (y >> np.uint64(32)) | np.uint64(1), np.asarray(n_bits, np.uint64)
+    for _ in range(probes):
+        hit = yield ((low * n_bits) >> np.uint64(32)).astype(np.int64)
+        if hit is not None:
+            low, step = low[hit], step[hit]
+            n_bits = n_bits[hit] if n_bits.ndim else n_bits
+            yield None
+        low = (low + step) & _LOW
 
 
 def _build(how: Settings):
@@ -171,8 +234,8 @@ def _build(how: Settings):
         bits = np.zeros(n_bits, bool)
         for level in range(1, int(levels.max()) + 1):
             here = tags[levels >= level]
-            for i in range(how.probes):
-                bits[_places(here, level, n_bits, i).astype(np.int64)] = True
+            for at in _places(here, level, n_bits, how.probes):
+                bits[at] = True
         return pa.table({"segment": table.column("segment").slice(0, 1), "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
     return run
@@ -200,11 +263,13 @@ class Filter:
         tags, start, n_bits = keys[live] & _TAG, self.start[segment[live]], self.n_bits[segment[live]]
         level = 1
         while len(live):
-            for i in range(self.probes):
-                at = _places(tags, level, n_bits, i).astype(np.int64) + start
+            places = _places(tags, level, n_bits, self.probes)
+            for at in places:
+                at += start
                 hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
                 if not hit.all():
                     live, tags, start, n_bits = live[hit], tags[hit], start[hit], n_bits[hit]
+                    places.send(hit)
             out[live] = level
             level += 1
         return out
@@ -216,29 +281,42 @@ def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int
     return np.log10((np.minimum(q_hw, q_h) + mu * p_w) / (q_h + mu))
 
 
-def _scores(words: list[list[bytes]], level_of, counts: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
-    """log10 probability of each text; ``level_of`` maps distinct n-gram keys to levels."""
-    history, token, owner = sequences(words)
-    singles, at = np.unique(np.concatenate([unigram(token), unigram(history)]), return_inverse=True)
-    q = counts[level_of(singles)][at]
-    pairs, at = np.unique(bigram(history, token), return_inverse=True)
-    logs = log_probabilities(q[len(token) :], q[: len(token)], counts[level_of(pairs)][at], n, v, mu)
-    return np.bincount(owner, logs, len(words))
+def score_block(texts: list[str | None], level_of, counts: np.ndarray, exact: Exact, n: int, v: int, mu: float) -> list[pa.Array]:
+    """The columns ADDED of some texts; ``level_of`` maps n-gram keys to levels."""
+    block = Block(texts)
+    q = counts[level_of(unigram(block.hashes))]
+    keys, at = block.pairs()
+    logs = log_probabilities(q[block.history], q[block.token], counts[level_of(keys)][at], n, v, mu)
+    score = np.bincount(block.owner, logs, len(texts))
+    # Exact: what the head knows is summed here, the other words of a text go along with their counts.
+    known = np.append(exact.of(block.hashes[: block.end]), exact.end)
+    in_head = known >= 0
+    here = in_head[block.token]
+    base = np.bincount(block.owner[here], known[block.token[here]], len(texts))
+    n_known = np.bincount(block.owner[here], minlength=len(texts)) - (exact.ends == 0)
+    rest, times = np.unique(block.owner[~here] * (block.end + 1) + block.token[~here], return_counts=True)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(rest // (block.end + 1), minlength=len(texts)))])
+    asked, which = np.unique(rest % (block.end + 1), return_inverse=True)
+    tail = pa.StructArray.from_arrays([pa.array(block.words(asked), pa.binary()).take(pa.array(which)), pa.array(times, pa.int64())], names=["word", "n"])
+    return [pa.array(block.sizes + 1), pa.array(n_known, pa.int64()), pa.array(base), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), tail), pa.array(score)]
 
 
 class Exact:
-    """Unigram sums of a text from the head's counts and the number of ends."""
+    """log10(count + 1) of the head's words, by their hashes, and of the end."""
 
-    def __init__(self, head: dict[bytes, int], ends: int):
+    def __init__(self, head: list[tuple[bytes, int]], ends: int):
         self.ends, self.end = ends, float(np.log10(ends + 1))
-        self.logs = {w: float(np.log10(n + 1)) for w, n in head.items()}
+        words = Block([w.decode("utf-8") for w, _ in head])
+        count = dict(head)
+        self.hashes = words.hashes[: words.end]
+        self.logs = np.log10(np.array([count[w] for w in words.words(np.arange(words.end))], np.float64) + 1)
 
-    def __call__(self, words: list[bytes]) -> tuple[int, int, float, list[dict]]:
-        """Tokens, known ones, their sum of log10(count + 1), and the words that the head does not hold."""
-        logs, seen = self.logs, Counter(words)
-        tail = [{"word": w, "n": n} for w, n in seen.items() if w not in logs]
-        total = sum(logs[w] * n for w, n in seen.items() if w in logs) + self.end
-        return len(words) + 1, len(words) - sum(x["n"] for x in tail) + (self.ends > 0), total, tail
+    def of(self, hashes: np.ndarray) -> np.ndarray:
+        """-1 for words that the head does not hold."""
+        if not len(self.hashes):
+            return np.full(len(hashes), -1.0)
+        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == hashes, self.logs[at], -1.0)
 
 
 class NgramModel:
@@ -281,9 +359,9 @@ class NgramModel:
         return whole.withColumn("lm_base", base).withColumn("lm_n_known", known).drop("lm_row", "more", "known")
 
     def _exact(self) -> Exact:
-        return Exact({bytes(r.word): r.n for r in self.head().toLocalIterator()}, self.ends)
+        return Exact([(bytes(r.word), r.n) for r in self.head().toLocalIterator()], self.ends)
 
-    _ADDED = (("lm_n_tokens", pa.int64()), ("lm_n_known", pa.int64()), ("lm_base", pa.float64()), ("lm_tail", pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int64())]))), ("lm_score", pa.float64()))
+    _ADDED = ("lm_n_tokens", "lm_n_known", "lm_base", "lm_tail", "lm_score")
     _DDL = "lm_n_tokens long, lm_n_known long, lm_base double, lm_tail array<struct<word: binary, n: long>>, lm_score double"
 
     def _broadcast(self, rows: DataFrame, text_col: str) -> DataFrame:
@@ -301,11 +379,8 @@ class NgramModel:
                 texts = batch.column(place).to_pylist()
                 for a, b in text_blocks(texts):
                     with steady():
-                        words = [tokens(t) for t in texts[a:b]]
-                        told = [exactly(w) for w in words]
-                        score = _scores(words, held.levels, counts, n, v, how.mu)
-                    columns = [pa.array(c, t) for c, (_, t) in zip([*zip(*told, strict=True), score], added, strict=True)]
-                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *[c for c, _ in added]])
+                        columns = score_block(texts[a:b], held.levels, counts, exactly, n, v, how.mu)
+                    yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *added])
 
         kept = rows.drop(text_col)
         schema = kept.schema
@@ -324,8 +399,8 @@ class NgramModel:
         texts = rows.select(block, "lm_row", F.col(text_col).alias("text"))
 
         def ask(table: pa.Table) -> pa.Table:
-            history, token, _ = sequences([tokens(t) for t in table.column("text").to_pylist()])
-            keys = np.unique(np.concatenate([unigram(token), unigram(history), bigram(history, token)]))
+            block = Block(table.column("text").to_pylist())
+            keys = np.unique(np.concatenate([unigram(block.hashes), block.pairs()[0]]))
             found = [(table.column("block")[0].as_py(), s, keys[a:b].tobytes()) for s, a, b in _by_segment(keys, shift)]
             return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "segment", "keys"])
 
@@ -339,11 +414,8 @@ class NgramModel:
             levels = np.concatenate([np.frombuffer(x, np.int16) for x in answers.column("levels").to_pylist()])
             order = np.argsort(keys)
             keys, levels = keys[order], levels[order]
-            words = [tokens(t) for t in told.column("text").to_pylist()]
-            exactly = [exact_sent.value(w) for w in words]
-            score = _scores(words, lambda k: levels[np.searchsorted(keys, k)], counts, n, v, how.mu)
-            columns = [pa.array(c, t) for c, (_, t) in zip([*zip(*exactly, strict=True), score], NgramModel._ADDED, strict=True)]
-            return pa.table([told.column("lm_row"), *columns], names=["lm_row", *[c for c, _ in NgramModel._ADDED]])
+            columns = score_block(told.column("text").to_pylist(), lambda k: levels[np.searchsorted(keys, k)], counts, exact_sent.value, n, v, how.mu)
+            return pa.table([told.column("lm_row"), *columns], names=["lm_row", *NgramModel._ADDED])
 
         asked = texts.groupBy("block").applyInArrow(ask, "block long, segment long, keys binary")
         answered = asked.groupBy("segment").cogroup(self.segments.groupBy("segment")).applyInArrow(answer, "block long, keys binary, levels binary")
