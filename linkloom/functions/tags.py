@@ -91,12 +91,14 @@ def from_url(url: Column) -> Column:
 def from_text(c: Column) -> Column:
     """Fields and content types whose words the text holds (as substrings), and its words; sorted."""
     low = F.lower(F.coalesce(c, F.lit("")))
-    held = [F.when(low.contains(w), F.array(F.lit(name), F.lit(w))).otherwise(F.array().cast("array<string>")) for name, ws in D.TECH_KEYWORDS.items() for w in ws]
-    types = [F.when(text.any_of(low, ws), F.array(F.lit(name))).otherwise(F.array().cast("array<string>")) for name, ws in D.CONTENT_TYPE_INDICATORS.items()]
+    fields = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(name).alias("field")) for name, ws in D.TECH_KEYWORDS.items() for w in ws])
+    held = F.flatten(F.transform(F.filter(fields, lambda f: F.contains(low, f["word"])), lambda f: F.array(f["field"], f["word"])))
+    kinds = F.array(*[F.struct(F.lit(name).alias("name"), _array(ws).alias("words")) for name, ws in D.CONTENT_TYPE_INDICATORS.items()])
+    types = F.transform(F.filter(kinds, lambda k: F.exists(k["words"], lambda w: F.contains(low, w))), lambda k: k["name"])
     words = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)")), lambda w: (F.length(w) >= 2) & ~w.isin(*D.STOP_WORDS) & ~w.rlike("^[0-9]+$"))
     keep = ("ai", "programming", "machine", "learning", "github")
     names = F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z][a-zA-Z]+)\b")), F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*D.STOP_WORDS))
-    return F.array_sort(F.array_distinct(F.concat(*held, *types, F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(full_form(w))), names)))
+    return F.array_sort(F.array_distinct(F.concat(held, types, F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(full_form(w))), names)))
 
 
 def final(tags: Column, optimized: Column, most: int = 5) -> Column:

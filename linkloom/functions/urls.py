@@ -188,7 +188,5 @@ def security(url: Column) -> Column:
         (hits > 2, "high", "patterns"),
     ]
     level = F.when(hits >= 1, "medium").when(F.coalesce(~port.isin(*D.ORDINARY_PORTS), F.lit(False)), "low").otherwise("safe")
-    verdict = F.struct(F.lit(True).alias("is_safe"), level.alias("risk_level"), F.lit("").alias("reason"))
-    for condition, risk, reason in reversed(rules):
-        verdict = F.when(condition, F.struct(F.lit(False).alias("is_safe"), F.lit(risk).alias("risk_level"), F.lit(reason).alias("reason"))).otherwise(verdict)
-    return verdict
+    blocked = [F.when(c, F.struct(F.lit(False).alias("is_safe"), F.lit(risk).alias("risk_level"), F.lit(reason).alias("reason"))) for c, risk, reason in rules]
+    return F.coalesce(*blocked, F.struct(F.lit(True).alias("is_safe"), level.alias("risk_level"), F.lit("").alias("reason")))

@@ -39,7 +39,7 @@ def hourly_projection(costs: DataFrame, now: Column, minutes: int = 30, least: i
 def rolling(samples: DataFrame, by: str, value: str, last: int = 60, order: tuple[str, ...] = ("ts",)) -> DataFrame:
     """Adds the mean of the last samples of a group, its own included."""
     frame = W.partitionBy(by).orderBy(*order).rowsBetween(1 - last, W.currentRow)
-    return samples.withColumn("rolling", F.round(F.avg(value).over(frame), 6))
+    return samples.withColumn("rolling", F.avg(value).over(frame))
 
 
 def sliding_count(events: DataFrame, by: str, seconds: int = 60, ts: str = "ts") -> DataFrame:

@@ -66,7 +66,7 @@ def created_between(start: datetime | None = None, end: datetime | None = None,
         inside = inside & (F.col(c) >= F.lit(start))
     if end is not None:
         inside = inside & (F.col(c) <= F.lit(end))
-    return Predicate(_sure(inside), f"created {start}..{end}")
+    return Predicate(inside, f"created {start}..{end}")
 
 
 def created_range(text: str, c: str = "created") -> Predicate:

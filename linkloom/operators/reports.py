@@ -74,7 +74,7 @@ def folder_metrics(rows: DataFrame) -> DataFrame:
     number = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - 0.5 * F.abs(1 - f / (2 * F.sqrt("rows")))))
     even = F.greatest(F.lit(0.0), 1 - 0.3 * F.col("cv"))
     deep = F.when(d < 2, d / 2).when(d <= 3, 1.0).otherwise(F.greatest(F.lit(0.0), 1 - (d - 3) / 3))
-    return told.select("rows", "folders", F.round("cv", 6).alias("cv"), F.round("avg_depth", 6).alias("avg_depth"), F.round(F.coalesce(number * 0.4 + even * 0.3 + deep * 0.3, F.lit(0.0)), 6).alias("score"))
+    return told.select("rows", "folders", F.round("cv", 6).alias("cv"), F.round("avg_depth", 6).alias("avg_depth"), F.round(F.when(f > 0, number * 0.4 + even * 0.3 + deep * 0.3).otherwise(0.0), 6).alias("score"))
 
 
 def description_confidence(enhanced: Column, given: Column, excerpt: Column, note: Column, title: Column) -> Column:

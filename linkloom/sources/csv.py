@@ -12,7 +12,7 @@ from .. import schemas
 from ..functions import text, urls
 from ..operators import bookmarks
 
-ENCODINGS = ("UTF-8", "UTF-16", "windows-1252", "ISO-8859-1")
+ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t")
 
 
@@ -41,7 +41,7 @@ def detect_encoding(head: bytes) -> str:
             return "UTF-8"
         except UnicodeDecodeError:
             continue
-    return "windows-1252"
+    return "ISO-8859-1"
 
 
 def detect_separator(head: str) -> str:

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.text import anchor, escape_html, escape_yaml, file_name
 from ..operators import bookmarks, reports
 
-_NONE = F.lit("")
 
 
 def _text(c: str) -> Column:
