@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from linkloom.llm import minhash
 from linkloom.llm.minhash import Forest, band_keys, linked_pairs, mix64, near_duplicates, shingle_set, super_minhash
 
 
@@ -101,3 +102,16 @@ def test_repeated_rows_null_ids_extra_columns_and_empty_table(spark):
 def test_shingles_of_short_texts():
     assert len(shingle_set(None, 3)) == 0 and len(shingle_set("a b", 3)) == 1
     assert shingle_set("a b", 3) != shingle_set("ab", 3)
+
+
+@pytest.mark.parametrize("edges", [1_000_000, 3])
+def test_components_across_tasks(spark, monkeypatch, edges):
+    """A long path, a star and a clique, in one task and in many."""
+    monkeypatch.setattr(minhash, "EDGES", edges)
+    rng = random.Random(6)
+    path = [(i, i + 1) for i in range(100, 130)]
+    pairs = path + [(200, 200 + i) for i in range(1, 12)] + [(i, j) for i in range(300, 306) for j in range(300, i)] + [(7, 7)]
+    rng.shuffle(pairs)
+    nodes = spark.createDataFrame([(i,) for i in [7, 9, *range(100, 131), *range(200, 212), *range(300, 306)]], "id long")
+    got = {r.id: r.component for r in minhash.components(nodes, spark.createDataFrame(pairs, "a long, b long").repartition(4)).collect()}
+    assert got == {i: i if i < 100 else i // 100 * 100 for i in got}

@@ -16,7 +16,8 @@ def test_levels_come_back_by_probing():
     tags, counts = np.unique(rng.integers(0, 2**40, 5000, dtype=np.uint64)), None
     counts = rng.integers(1, 3000, len(tags)).astype("<u4")
     built = _build(how)(pa.table({"segment": [0], "tags": [_packed(tags)], "counts": [counts.tobytes()]}))
-    held = Filter({0: built.column("bits")[0].as_py()}, 64, how.probes)
+    bits = built.column("bits")[0].as_py()
+    held = Filter([(0, bits)], len(bits), 64, how.probes)
     want = np.searchsorted(thresholds(how.base), counts, side="right")
     got = held.levels(tags)
     assert (got >= want).all() and (got == want).mean() > 0.98
