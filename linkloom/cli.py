@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import argparse
 import json
+from dataclasses import asdict
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from . import config
 from .functions import urls
-from .operators import predicates, reports
+from .operators import predicates, reports, state
 from .plans import process
-from .sources import csv, detect, export, netscape
+from .plugins import Registry
+from .sources import csv, datasource, detect, export, netscape
 
 
 def parser() -> argparse.ArgumentParser:
@@ -32,6 +35,12 @@ def parser() -> argparse.ArgumentParser:
     command("monitor")
     command("convert", ("output", {}))
     command("detect")
+    command("enhance", ("output", {}), ("--state", {"required": True}), *filters)
+    command("rollback", ("output", {}))
+    command("backup", ("output", {}))
+    command("create-config")
+    command("config")
+    command("plugins")
     return p
 
 
@@ -49,6 +58,16 @@ def stages(args: argparse.Namespace) -> tuple[str, ...]:
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     args = parser().parse_args(argv)
+    if args.command == "create-config":
+        with open(args.input, "w", encoding="utf-8") as f:
+            f.write(config.template())
+        return 0
+    if args.command == "config":
+        print(json.dumps(asdict(config.load(args.input))))
+        return 0
+    if args.command == "plugins":
+        print(json.dumps(Registry().load(args.input)))
+        return 0
     spark = spark or SparkSession.builder.appName("linkloom").getOrCreate()
     if args.command == "detect":
         print(detect.detect_format(spark, args.input))
@@ -56,6 +75,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     if args.command == "convert":
         csv.write_import(csv.import_bookmarks(spark, args.input).rows, args.output)
         return 0
+    if args.command == "rollback":
+        csv.write_import(datasource.read_backup(spark, args.input), args.output)
+        return 0
     rows = detect.read_bookmarks(spark, args.input)
     if hasattr(args, "filter_folder"):
         rows = predicates.from_options(vars(args)).apply(rows)
@@ -65,6 +87,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(json.dumps(process.results(done).first().asDict()))
         else:
             process.output(done).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(args.output)
+    elif args.command == "backup":
+        datasource.write_backup(rows, args.output)
+    elif args.command == "enhance":
+        # Only what is new, changed or failed since the state was written.
+        store = state.StateStore(spark, args.state)
+        rows = rows.withColumn("content_hash", state.content_hash(rows))
+        run = store.start_run("enhance")
+        done = process.run(state.unprocessed(rows, store.read("processed_bookmarks")), process.Options())
+        process.output(done).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(args.output)
+        n = done.count()
+        if n:
+            store.mark(done, run)
+        store.complete_run(run, n, n, 0)
     elif args.command == "export":
         make = {
             "json": lambda: export.write_json_document(rows, args.output, args.exported_at), "jsonl": lambda: export.write_json_rows(rows, args.output),

@@ -190,3 +190,12 @@ def security(url: Column) -> Column:
     level = F.when(hits >= 1, "medium").when(F.coalesce(~port.isin(*D.ORDINARY_PORTS), F.lit(False)), "low").otherwise("safe")
     blocked = [F.when(c, F.struct(F.lit(False).alias("is_safe"), F.lit(risk).alias("risk_level"), F.lit(reason).alias("reason"))) for c, risk, reason in rules]
     return F.coalesce(*blocked, F.struct(F.lit(True).alias("is_safe"), level.alias("risk_level"), F.lit("").alias("reason")))
+
+
+def sanitized(url: Column) -> Column:
+    """https, host in lower case without a user, path without traversal; the query stays, the fragment goes."""
+    raw = text.strip(F.coalesce(url, F.lit("")))
+    net = F.regexp_replace(F.lower(authority(raw)), r"^[^@]*@", "")
+    q = query(raw)
+    clean_path = F.replace(F.replace(path(raw), F.lit("../"), F.lit("")), F.lit("..\\"), F.lit(""))
+    return F.when(raw == "", "").otherwise(F.concat(F.lit("https://"), net, clean_path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise("")))

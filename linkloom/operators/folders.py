@@ -101,3 +101,22 @@ def suggested(rows: DataFrame) -> DataFrame:
     path = F.coalesce("known", F.when(F.col("subcategory") == "General", F.col("category")).otherwise(F.concat_ws("/", "category", "subcategory")))
     out = out.withColumn("suggested", path)
     return out.withColumn("confidence", F.round(confidence(F.col("suggested"), F.coalesce("folder", F.lit("")), F.col("known").isNotNull(), F.col("category")), 6)).drop("known")
+
+
+def reasoning(category: Column, subcategory: Column, domain: Column, original: Column) -> Column:
+    """Why a row was filed as it was, in words."""
+    known = F.lit(False)
+    for name, spec in D.FOLDER_CATEGORIES.items():
+        known = known | ((category == name) & domain.isin(*spec["domains"]))
+    return F.concat_ws(
+        "; ",
+        F.concat(F.lit("category: "), category),
+        F.when(subcategory != "General", F.concat(F.lit("subcategory: "), subcategory)),
+        F.when(known, F.concat(F.lit("known host: "), domain)),
+        F.when(F.coalesce(original, F.lit("")) != "", F.concat(F.lit("was in: "), original)),
+    )
+
+
+def preserved(rows: DataFrame, depth: int = 3) -> DataFrame:
+    """Paths from the existing folders, cut to a depth; rows without one are Uncategorized."""
+    return rows.withColumn("path", F.coalesce(F.nullif(cut_depth(F.coalesce("folder", F.lit("")), depth), F.lit("")), F.lit("Uncategorized")))

@@ -111,3 +111,37 @@ def overall_progress(weights: list[float], done: list[Column]) -> Column:
     for w, d in zip(weights, done, strict=True):
         total = total + F.lit(w) * F.least(F.lit(1.0), F.greatest(F.lit(0.0), d))
     return total
+
+
+def numbered(rows: DataFrame, size: int, by: str, order: str) -> DataFrame:
+    """Adds ``batch``, from 0, in batches of fixed size within a group."""
+    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+
+
+def drift(samples: DataFrame, by: str, value: str, last: int = 10, order: tuple[str, ...] = ("ts",)) -> DataFrame:
+    """(by, change): the last value less the first of the last samples."""
+    ranked = samples.withColumn("_n", F.row_number().over(W.partitionBy(by).orderBy(*[F.desc(c) for c in order]))).where(F.col("_n") <= last)
+    return ranked.groupBy(by).agg(F.round(F.min_by(value, "_n") - F.max_by(value, "_n"), 6).alias("change"))
+
+
+def health_of(processed: Column, failed: Column, rate: Column, samples: Column, memory_growth: Column) -> Column:
+    """critical, degraded, slow, memory_concern or healthy, in this order. ``rate`` and growth count with over ten samples."""
+    errors = failed / F.greatest(processed, F.lit(1))
+    return (
+        F.when(errors > 0.2, "critical").when(errors > 0.1, "degraded").when((samples > 10) & (rate < 0.1), "slow")
+        .when((samples > 10) & (memory_growth > 500), "memory_concern").otherwise("healthy")
+    )
+
+
+def shares(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n, percent): how often each value occurs, of all rows."""
+    counts = rows.groupBy(by).agg(F.count("*").alias("n"))
+    total = rows.count()
+    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / max(1, total), 2))
+
+
+def batch_statistics(batches: DataFrame) -> DataFrame:
+    """One row over (items, succeeded, failed, seconds, cost) per batch: totals, success rate, items a second, cost an item."""
+    told = batches.agg(*[F.sum(c).alias(c) for c in ("items", "succeeded", "failed", "seconds", "cost")], F.count("*").alias("batches"))
+    rate = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 6)
+    return told.select("batches", "items", "succeeded", "failed", rate("succeeded", "items").alias("success_rate"), rate("items", "seconds").alias("items_per_second"), rate("cost", "items").alias("cost_per_item"))

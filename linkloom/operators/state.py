@@ -167,3 +167,20 @@ class StateStore:
         table.where("status = 'failed'").createOrReplaceTempView("failed_bookmarks")
         table.orderBy(F.desc("processed_at"), "url").limit(100).createOrReplaceTempView("recent_bookmarks")
         run_summary(self.read("processing_runs")).createOrReplaceTempView("run_summary")
+
+    def export_state(self, path: str) -> None:
+        """The three tables as JSON lines below a folder."""
+        for table in self.TABLES:
+            self.read(table).write.mode("overwrite").json(f"{path}/{table}")
+
+    def import_state(self, path: str) -> None:
+        """Bookmarks are upserted, runs and history appended where they are not there yet."""
+        for table, ddl in self.TABLES.items():
+            rows, now = self.spark.read.schema(ddl).json(f"{path}/{table}"), self.read(table)
+            self.write(table, upserted(now, rows) if table == "processed_bookmarks" else now.unionByName(rows.join(now.select("id"), "id", "left_anti").select(*now.columns)))
+
+
+def stale(rows: DataFrame, table: DataFrame, before: Column, key: str = "url") -> DataFrame:
+    """Rows that were never processed, or last before a moment."""
+    seen = table.select(key, F.col("processed_at").alias("_at"))
+    return rows.join(seen, key, "left").where(F.col("_at").isNull() | (F.col("_at") < before)).drop("_at")

@@ -133,3 +133,25 @@ def similar(tag_list: DataFrame, tag: str, most: int = 10) -> DataFrame:
 def with_max_confidence(rows: DataFrame) -> DataFrame:
     """(tag, confidence) after synonyms: the greatest confidence of each form."""
     return rows.select(tags.synonym(F.col("tag")).alias("tag"), "confidence").groupBy("tag").agg(F.max("confidence").alias("confidence"))
+
+
+def from_content(categories: Column, keywords: Column, headings: Column) -> Column:
+    """Tags of a page: its categories, its keywords and those of its first five headings; sorted."""
+    heads = F.flatten(F.transform(F.slice(headings, 1, 5), tags.from_text))
+    return F.array_sort(F.array_distinct(F.concat(categories, tags.parse_existing(keywords), heads)))
+
+
+def with_confidence(rows: DataFrame, corpus: DataFrame, most: int = 5) -> DataFrame:
+    """(url, tag, confidence): the surest corpus tags of each row among its candidates; ties by tag."""
+    found = candidates(rows).join(F.broadcast(corpus.select("tag")), "tag", "left_semi")
+    joined = found.join(frequencies(found), "tag").join(rows.select("url", "title", "tags"), "url")
+    own = F.coalesce("tags", F.array().cast("array<string>"))
+    sure = F.round(confidence(F.col("tag"), F.col("title"), F.col("url"), own, F.col("frequency"), F.lit(False)), 6)
+    ranked = joined.withColumn("confidence", sure).withColumn("_n", F.row_number().over(W.partitionBy("url").orderBy(F.desc("confidence"), "tag")))
+    return ranked.where(F.col("_n") <= most).select("url", "tag", "confidence")
+
+
+def branch(tag: Column) -> Column:
+    """The top of the hierarchy that a tag is under; null for others."""
+    path = tags.in_hierarchy(tag)
+    return F.when(path.contains("/"), F.element_at(F.split(path, "/"), 1))

@@ -1,11 +1,13 @@
 """The enrichment of a collection: duplicates, checks, content, descriptions, tags, folders, output.
 
 Fetching and text generation are functions of the caller; without them the offline rules apply. A stage's result
-can be kept as Parquet under a work folder, and a later run of the same input starts behind the last one kept.
+can be kept as Parquet under a work folder, and a later run of the same input (``input_id``) starts behind the last one
+kept, unless that is older than ``max_age_days``.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
@@ -35,6 +37,8 @@ class Options:
     preview: int | None = None
     now: str = "2024-06-01 00:00:00"
     work: str | None = None
+    input_id: str = ""
+    max_age_days: int = 7
     plugins: Registry = field(default_factory=Registry)
 
     def only(self, *stages: str) -> Options:
@@ -105,9 +109,10 @@ def _kept(spark: SparkSession, options: Options, stage: str, rows: DataFrame) ->
     """The stage's rows from the work folder if a run before kept them whole, else kept there now."""
     if options.work is None:
         return rows
-    path = f"{options.work}/{stage}"
+    path = f"{options.work}/{options.input_id}/{stage}" if options.input_id else f"{options.work}/{stage}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(at) or time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > options.max_age_days * 86400:
         rows.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 

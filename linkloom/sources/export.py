@@ -166,3 +166,19 @@ def warnings(rows: DataFrame) -> list[str]:
 def write_health(report: DataFrame, path: str, kind: str = "json") -> None:
     writer = report.write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
+
+
+def write_review(rows: DataFrame, path: str, reasons: bool = True) -> None:
+    """Rows to look at (url, title, reasons array) as CSV."""
+    listed = [F.array_join("reasons", "; ").alias("reasons")] if reasons else []
+    rows.select("url", "title", *listed).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
+
+
+def render(title: str, facts: dict, style: str = "plain") -> str:
+    """A small table of facts as plain text, Markdown or JSON."""
+    if style == "json":
+        return json.dumps({"title": title, **facts}, default=str)
+    if style == "markdown":
+        return "\n".join([f"# {title}", "", "| | |", "|---|---|", *[f"| {k} | {v} |" for k, v in facts.items()]])
+    width = max(map(len, facts), default=0)
+    return "\n".join([title, "=" * len(title), *[f"{k.ljust(width)}  {v}" for k, v in facts.items()]])

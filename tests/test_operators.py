@@ -1,13 +1,15 @@
 import json
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom import cli
-from linkloom.operators import bookmarks, dedup, folders, metrics, predicates, reports, search, state, tagging, validation
+from linkloom import cli, config
+from linkloom.functions import dates, generated, urls
+from linkloom.operators import bookmarks, dedup, folders, metrics, pages, predicates, reports, search, state, tagging, validation
 from linkloom.plans import process
 from linkloom.plugins import Plugin, Registry, paywall_plugin
-from linkloom.sources import csv
+from linkloom.sources import csv, export
 from linkloom.streaming import incremental
 
 DDL = "pos long, url string, title string, note string, excerpt string, folder string, tags array<string>, created timestamp"
@@ -225,3 +227,83 @@ def test_command_line(spark, tmp_path, capsys):
         assert (tmp_path / f"e.{kind}").exists()
     cli.main(["analyze", str(src)], spark), cli.main(["monitor", str(src)], spark), cli.main(["convert", str(src), str(tmp_path / "conv")], spark)
     assert '"healthy"' in capsys.readouterr().out
+
+
+def test_configuration(tmp_path, spark, capsys):
+    path = str(tmp_path / "c.toml")
+    cli.main(["create-config", path])
+    assert config.load(path) == config.Settings() and len(config.Settings().digest()) == 16
+    cli.main(["config", path])
+    assert json.loads(capsys.readouterr().out)["batch_size"] == 100
+    assert config.from_dict({"network": {"timeout": 5}}).timeout == 5
+    for bad in ({"batch_size": 1}, {"nothing": 1}, {"engine": "x"}):
+        with pytest.raises(ValueError):
+            config.from_dict(bad)
+
+
+def test_enhance_backup_and_rollback(spark, tmp_path):
+    src = tmp_path / "a.csv"
+    src.write_text("id,title,note,excerpt,url,folder,tags,created,cover,highlights,favorite\n1,Python,,,https://a.com/x,Tech,ai,2024-01-01,,,\n2,News,,,https://b.com/y,,news,2024-02-01,,,\n")
+    where = str(tmp_path / "state")
+    cli.main(["enhance", str(src), str(tmp_path / "one"), "--state", where], spark)
+    cli.main(["enhance", str(src), str(tmp_path / "two"), "--state", where], spark)
+    read = lambda n: spark.read.option("header", True).csv(str(tmp_path / n)).count()
+    assert read("one") == 2 and read("two") == 0
+    store = state.StateStore(spark, where)
+    store.export_state(str(tmp_path / "dump"))
+    other = state.StateStore(spark, str(tmp_path / "other"))
+    other.import_state(str(tmp_path / "dump"))
+    other.import_state(str(tmp_path / "dump"))
+    assert other.read("processed_bookmarks").count() == 2 and other.read("processing_runs").count() == 2
+    assert state.stale(store.read("processed_bookmarks").select("url"), store.read("processed_bookmarks"), F.lit("2000-01-01").cast("timestamp")).count() == 0
+    cli.main(["backup", str(src), str(tmp_path / "b")], spark), cli.main(["rollback", str(tmp_path / "b"), str(tmp_path / "back")], spark)
+    assert read("back") == 2
+
+
+def test_generated_texts(spark):
+    said = ['```json\n{"description": "This is a fine long page", "tags": ["AI!", "x", "ai"], "category": "c"}\n```', "short", "plain words that are long enough", '{"description": "This is a fine", "confidence": 7}', None]
+    got = [r[0] for r in spark.createDataFrame([(s,) for s in said], "v string").select(generated.parsed(F.col("v"))).collect()]
+    assert (got[0].description, got[0].tags, got[0].confidence) == ("Fine long page", ["ai"], 0.8)
+    assert got[1].description == "No description available" and got[2].tags == ["uncategorized"] and got[3].category == "other" and got[4].confidence == 0.5
+    row = spark.range(1).select(generated.cleaned(F.lit('Summary:  "A  page"')).alias("c"), generated.content_type(F.array().cast("array<string>"), F.lit(""), F.lit("A study"), F.lit("")).alias("t"), generated.simple_categories(F.lit("Breaking: web")).alias("s"), generated.merged(F.lit("T"), F.lit(""), F.lit("body"), F.lit("Title"), F.lit("n"), F.lit("ex")).alias("m"), urls.sanitized(F.lit("HTTP://u@Ex.com:80/a/../b?q#f")).alias("u")).first()
+    assert (row.c, row.t, row.s, tuple(row.m), row.u) == ("A page.", "research", ["news", "technology"], ("Title", "ex", "User Note: n | body"), "https://ex.com:80/a/b?q")
+
+
+def test_main_text(spark):
+    long = "word " * 30
+    page = f"<body><nav>{long}</nav><div class='content'><p>{long}<p>more<div class='ad'>{long}</div></div><p>{long}</p></body>"
+    assert pages.main_text(page) == (long.strip() + " more") and pages.main_text(f"<p>{long}<p>tiny") == long.strip() and pages.main_text(None) == ""
+    assert spark.range(1).select(pages.main_content(F.lit(page)).alias("t")).first().t.startswith("word")
+
+
+def test_since():
+    now = datetime(2024, 6, 8)
+    assert [str(dates.since(s, now))[:10] for s in ("7d", "1w", "24h", "2024-01-02", "31/12/2023")] == ["2024-06-01", "2024-06-01", "2024-06-07", "2024-01-02", "2023-12-31"]
+    with pytest.raises(ValueError):
+        dates.since("soon", now)
+
+
+def test_more_metrics(spark):
+    rows = spark.createDataFrame([(i, "a", float(i)) for i in range(12)], "ts long, k string, v double")
+    assert metrics.drift(rows, "k", "v").first().change == 9.0 and metrics.numbered(rows, 5, "k", "ts").agg(F.max("batch")).first()[0] == 2
+    assert metrics.shares(rows.withColumn("r", F.col("ts") % 3 == 0), "r").where("r").first().percent == 33.33
+    batches = spark.createDataFrame([(10, 9, 1, 5.0, 0.1), (10, 10, 0, 5.0, 0.3)], "items long, succeeded long, failed long, seconds double, cost double")
+    assert metrics.batch_statistics(batches).first()[4:] == (0.95, 2.0, 0.02)
+    status = lambda *a: spark.range(1).select(metrics.health_of(*map(F.lit, a))).first()[0]
+    assert [status(100, 30, 1.0, 20, 0), status(100, 15, 1.0, 20, 0), status(100, 0, 0.05, 20, 0), status(100, 0, 1.0, 20, 600), status(100, 0, 0.0, 5, 900)] == ["critical", "degraded", "slow", "memory_concern", "healthy"]
+
+
+def test_more_tags_and_folders(spark):
+    rows = make(spark, [{"url": "https://github.com/x", "title": "Python", "tags": ["python", "to-read"], "folder": "a/b/c/d"}, {"title": "x"}])
+    sure = {r.tag: r.confidence for r in tagging.with_confidence(rows, spark.createDataFrame([("python",), ("to-read",)], "tag string")).collect()}
+    assert sure["to-read"] == 0.95 and sure["python"] == 0.85
+    assert [r.path for r in folders.preserved(rows).orderBy("pos").collect()] == ["a/b/c", "Uncategorized"]
+    row = spark.range(1).select(tagging.branch(F.lit("ml")).alias("b"), tagging.from_content(F.array(F.lit("tool")), F.lit("js, x"), F.array(F.lit("Docker"))).alias("t"), folders.reasoning(F.lit("Design"), F.lit("General"), F.lit("figma.com"), F.lit("Old")).alias("r")).first()
+    assert row.b == "technology" and {"tool", "javascript", "docker"} <= set(row.t) and row.r == "category: Design; known host: figma.com; was in: Old"
+
+
+def test_review_and_render(spark, tmp_path):
+    rows = make(spark, [{}]).withColumn("reasons", F.array(F.lit("untagged")))
+    export.write_review(rows, str(tmp_path / "r"))
+    assert spark.read.option("header", True).csv(str(tmp_path / "r")).first().reasons == "untagged"
+    assert export.render("T", {"a": 1}, "markdown").endswith("| a | 1 |") and json.loads(export.render("T", {"a": 1}, "json"))["a"] == 1 and "a  1" in export.render("T", {"a": 1})
