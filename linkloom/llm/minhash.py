@@ -193,17 +193,51 @@ def _edge_table(edges) -> pa.Table:
     return pa.table([pa.array([x[i] for x in edges], pa.int64()) for i in (0, 1)], schema=_EDGE)
 
 
+#: Edges that one task may hold.
+EDGES = 1_000_000
+
+
+def _local_stars(batches):
+    """Edges (node, smallest node of its component) from the edges of one task."""
+    up: dict[int, int] = {}
+
+    def root(i: int) -> int:
+        path = []
+        while (above := up.setdefault(i, i)) != i:
+            path.append(i)
+            i = above
+        for x in path:
+            up[x] = i
+        return i
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    stars = [(i, r) for i in up if (r := root(i)) != i]
+    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in stars], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) of every node: the smallest id that edges (a, b) reach from it.
 
     Alternating large and small stars (Kiveris et al., 2014): a large star ties a node's greater
     neighbours to its smallest one, a small star ties the smaller ones and the node to the smallest. A
     round is one job over rows of two numbers, and rounds grow with the logarithm of the longest
-    path. Its end is seen from the count and hash sum of the rows it wrote.
+    path. Its end is seen from the count and hash sum of the rows it wrote. Before a round, tasks of up
+    to ``EDGES`` edges each replace theirs by a star per local component; edges that fit in one task are
+    done with that.
     """
     now = edges.where("a <> b").selectExpr("greatest(a, b) AS a", "least(a, b) AS b").distinct()
     now, told = _written(now)
     while True:
+        blocks = -(-told[0] // EDGES)
+        local, _ = _written(now.coalesce(max(1, blocks)).mapInArrow(_local_stars, _EDGE_DDL))
+        drop_scratch(now)
+        now = local
+        if blocks <= 1:
+            break
         both = now.union(now.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").selectExpr("b AS a", "m AS b").where("a <> b")
