@@ -96,9 +96,10 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(parent.select(*levels, "quota"), list(levels))
 
 
-def _with_leaf(rows: DataFrame, leaf_table: DataFrame, leaves: int, mix: Mix) -> DataFrame:
+def _with_leaf(rows: DataFrame, leaf_table: DataFrame, leaves: int, mix: Mix, prefix: str = "") -> DataFrame:
     """Rows joined with their leaf's row: by broadcast while leaves are few, else by leaf and salt."""
-    on = list(mix.levels)
+    on = [prefix + c for c in mix.levels]
+    leaf_table = leaf_table.withColumnsRenamed({c: prefix + c for c in mix.levels})
     if leaves <= mix.broadcast_leaves:
         return rows.join(F.broadcast(leaf_table), on)
     salted = leaf_table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -109,17 +110,16 @@ def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     """The rows selected, once per epoch, with ``epoch`` (0, 1, ..) and ``take_tokens``; sums of the latter are the quotas.
 
     ``take_tokens`` is less than a row's tokens for the row in which a prefix ends. Null levels count as
-    the level '' ; null ids are one id. Rows with one id stand at one place of the order and are
+    the level '' (and come out as null again); null ids are one id. Rows with one id stand at one place of the order and are
     taken together (the last place of a prefix may then overshoot by them). Rows without tokens
     are kept in whole epochs only. Columns epoch, take_tokens and mix_* are replaced; others pass through.
     """
     spark = docs.sparkSession
     levels = mix.levels
-    own = ["epoch", "take_tokens", "mix_id", "mix_tokens"]
-    docs = docs.drop(*own)
-    counted = docs.withColumns({c: F.coalesce(F.col(c), F.lit("")) for c in levels})
+    docs = docs.drop("epoch", "take_tokens", "mix_id", "mix_tokens", *[f"mix_{c}" for c in levels])
+    counted = docs.withColumns({f"mix_{c}": F.coalesce(F.col(c), F.lit("")) for c in levels})
     counted = counted.withColumn("mix_id", F.col(id_col)).withColumn("mix_tokens", tokens if tokens is not None else n_words(F.col(text_col)))
-    rows = cut(counted.select(*levels, "mix_id", "mix_tokens"), "mix-rows")
+    rows = cut(counted.select(*[F.col(f"mix_{c}").alias(c) for c in levels], "mix_id", "mix_tokens"), "mix-rows")
     leaves = rows.groupBy(*levels).agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0")
     plan = cut(budgets(cut(leaves, "mix-leaves"), mix).select(*levels, F.col("quota"), F.expr("CAST(quota div tokens AS INT)").alias("whole"), F.expr("quota % tokens").alias("rest")), "mix-plan")
     n = plan.count()
@@ -134,7 +134,7 @@ def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     to = F.col("before") + F.sum("tokens").over(W.partitionBy(*levels).orderBy("key"))
     last = places.withColumn("to", to).where("to >= rest AND to - tokens < rest").select(*levels, F.col("key").alias("last_key"), (F.col("rest") - (F.col("to") - F.col("tokens"))).alias("last_take"))
     plan = cut(plan.join(last, list(levels), "left").select(*levels, "whole", "last_key", "last_take"), "mix-ends")
-    chosen = _with_leaf(counted, plan, n, mix).withColumn("key", order_key(mix, F.col("whole"), F.col("mix_id")))
+    chosen = _with_leaf(counted, plan, n, mix, "mix_").withColumn("key", order_key(mix, F.col("whole"), F.col("mix_id")))
     partial = F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)) & (F.col("mix_tokens") > 0)
     epochs = F.when(partial, F.sequence(F.lit(0), F.col("whole"))).otherwise(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)))
     take = F.when((F.col("epoch") == F.col("whole")) & (F.col("key") == F.col("last_key")), F.least("last_take", "mix_tokens")).otherwise(F.col("mix_tokens"))
@@ -162,7 +162,7 @@ def domain_of(source: Column) -> Column:
 def op1_query(spark, sf_dir: str) -> DataFrame:
     """Which documents the production mix takes, in which epochs and with how many tokens."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
-    docs = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words(F.col("text")).alias("n_tokens"))
+    docs = docs.select("doc_id", domain_of(F.col("source")).alias("domain"), *[F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source")], n_words(F.col("text")).alias("n_tokens"))
     mixed = mix_sources(cut(docs, "mix-docs"), PRODUCTION, tokens=F.col("n_tokens"))
     return mixed.select("doc_id", "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
