@@ -7,6 +7,7 @@ A reread scratch table has no lineage, so a lost executor costs a reread, not a
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -156,3 +157,13 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 28, probes: int =
 
     found = keys.select(F.col(column).cast("long")).mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     return Bloom(np.asarray(found.column("word").combine_chunks()), np.asarray(found.column("value").combine_chunks()).view(np.uint64), n_bits, probes)
+
+
+def let_go(*broadcasts) -> None:
+    """At a task's end: the worker, which waits for its next task, keeps neither broadcast values nor freed pages."""
+    for b in broadcasts:
+        vars(b).pop("_value", None)
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -21,6 +21,7 @@ in which no word is frequent.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, mix64, steady, text_blocks, tune
+from .common import cut, let_go, mix64, steady, text_blocks, tune
 
 _TAG = np.uint64(2**40 - 1)
 _LOW = np.uint64(0xFFFFFFFF)
@@ -36,14 +37,16 @@ _START, _END = np.uint64(0x51A27), np.uint64(0xE4D)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 #: N-grams that a segment is meant to hold.
 SEGMENT = 1 << 20
+#: Characters of text that are worked on at once.
+PIECE = 1_000_000
 #: Words, with repeats from block to block, that a task holds before it ships them.
-HELD = 2_000_000
+HELD = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     base: float = 1.5
-    bits_per_entry: int = 12
+    bits_per_entry: int = 10
     probes: int = 4
     mu: float = 20.0
     head_words: int = 1 << 18
@@ -136,30 +139,36 @@ def bigram(history: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _count_words(batches):
     """Words and their counts, combined within a task up to HELD words at a time."""
-    blocks: list[Block] = []
+    held: list[tuple] = []
 
     def rows():
-        hashes = np.concatenate([b.hashes[: b.end] for b in blocks])
-        n = np.concatenate([np.bincount(b.token, minlength=b.begin)[: b.end] for b in blocks])
-        whose = np.repeat(np.arange(len(blocks)), [b.end for b in blocks])
-        first = np.cumsum([0, *[b.end for b in blocks]])
+        hashes = np.concatenate([h for h, *_ in held])
+        sizes = [len(h) for h, *_ in held]
+        whose, first = np.repeat(np.arange(len(held)), sizes), np.cumsum([0, *sizes])
         order = hashes.argsort()
         new = np.flatnonzero(np.concatenate([[True], hashes[order][1:] != hashes[order][:-1]])) if len(order) else order
-        total = np.add.reduceat(n[order], new) if len(order) else n
-        one = np.sort(order[new])  # an occurrence of each word, in order of blocks
-        back = np.argsort(order[new], kind="stable")
-        words = [w for i, b in enumerate(blocks) for w in b.words(one[whose[one] == i] - first[i])]
-        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total[back], pa.int64())], names=["word", "n"])
+        total = np.add.reduceat(np.concatenate([n for _, n, *_ in held])[order], new) if len(order) else order
+        one = order[new]  # an occurrence of each word
+        back = np.argsort(one)
+        one, total = one[back], total[back]
+        words = []
+        for i, (_, _, raw, starts, stops) in enumerate(held):
+            at = one[whose[one] == i] - first[i]
+            words += [raw[a:b] for a, b in zip(starts[at].tolist(), stops[at].tolist(), strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(total, pa.int64())], names=["word", "n"])
 
     for batch in batches:
         texts = batch.column(0).to_pylist()
-        for a, b in text_blocks(texts):
-            blocks.append(Block(texts[a:b]))
-            if sum(b.end for b in blocks) >= HELD:
+        for a, b in text_blocks(texts, PIECE):
+            block = Block(texts[a:b])
+            held.append((block.hashes[: block.end], np.bincount(block.token, minlength=block.begin)[: block.end], block.raw, block._starts, block._stops))
+            if sum(len(h) for h, *_ in held) >= HELD:
                 yield rows()
-                blocks = []
-    if blocks:
+                held.clear()
+    if held:
         yield rows()
+    held.clear()
+    let_go()
 
 
 def _packed(tags: np.ndarray) -> bytes:
@@ -181,7 +190,7 @@ def _by_segment(keys: np.ndarray, shift: int):
 
 
 def _count_ngrams(shift: int):
-    """N-grams of a task's texts as (segment, tags, counts); bigrams are combined over about four million at a time."""
+    """N-grams of a task's texts as (segment, tags, counts); bigrams are combined over about three million at a time."""
 
     def rows(keys: np.ndarray, n: np.ndarray):
         found = [(s, _packed(keys[a:b] & _TAG), n[a:b].astype("<u4").tobytes()) for s, a, b in _by_segment(keys, shift)]
@@ -191,7 +200,7 @@ def _count_ngrams(shift: int):
         held, size = [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in text_blocks(texts):
+            for a, b in text_blocks(texts, PIECE):
                 with steady():
                     block = Block(texts[a:b])
                 keys = unigram(block.hashes)
@@ -202,11 +211,13 @@ def _count_ngrams(shift: int):
                 yield rows(keys[order], n[order])
                 held.append(bigram(block.hashes[block.history], block.hashes[block.token]))
                 size += len(block.token)
-                if size >= 4_000_000:
+                if size >= 3_000_000:
                     yield rows(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if size:
             yield rows(*np.unique(np.concatenate(held), return_counts=True))
+        held = []
+        let_go()
 
     return run
 
@@ -242,17 +253,20 @@ def _build(how: Settings):
 
 
 class Filter:
-    """Segments of the filter held in one array of bytes."""
+    """Segments of the filter held in one array of ``size`` bytes."""
 
-    def __init__(self, segments: dict[int, bytes], shift: int, probes: int):
+    def __init__(self, segments: Iterable[tuple[int, bytes]], size: int, shift: int, probes: int):
         self.shift, self.probes = shift, probes
-        top = max(segments, default=0) + 1
+        self.bits = np.empty(size, np.uint8)
+        places, at = {}, 0
+        for s, raw in segments:
+            self.bits[at : at + len(raw)] = np.frombuffer(raw, np.uint8)
+            places[s] = (len(raw) * 8, at * 8)
+            at += len(raw)
+        top = max(places, default=0) + 1
         self.n_bits, self.start = np.zeros(top, np.uint64), np.zeros(top, np.int64)
-        at = 0
-        for s, raw in segments.items():
-            self.n_bits[s], self.start[s] = len(raw) * 8, at
-            at += len(raw) * 8
-        self.bits = np.frombuffer(b"".join(segments.values()), np.uint8)
+        for s, (n, first) in places.items():
+            self.n_bits[s], self.start[s] = n, first
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated membership probes; 0 for one not held."""
@@ -359,16 +373,16 @@ class NgramModel:
         return whole.withColumn("lm_base", base).withColumn("lm_n_known", known).drop("lm_row", "more", "known")
 
     def _exact(self) -> Exact:
-        return Exact([(bytes(r.word), r.n) for r in self.head().toLocalIterator()], self.ends)
+        head = self.head().toArrow()
+        return Exact(list(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True)), self.ends)
 
     _ADDED = ("lm_n_tokens", "lm_n_known", "lm_base", "lm_tail", "lm_score")
     _DDL = "lm_n_tokens long, lm_n_known long, lm_base double, lm_tail array<struct<word: binary, n: long>>, lm_score double"
 
     def _broadcast(self, rows: DataFrame, text_col: str) -> DataFrame:
         how, n, v, shift, counts = self.how, self.n, self.v, self.shift, meant(self.how.base)
-        segments = {r.segment: bytes(r.bits) for r in self.segments.toLocalIterator()}
-        sent = self.spark.sparkContext.broadcast(Filter(segments, shift, how.probes))
         exact_sent = self.spark.sparkContext.broadcast(self._exact())
+        sent = self.spark.sparkContext.broadcast(Filter(((r.segment, r.bits) for r in self.segments.toLocalIterator()), self.bytes, shift, how.probes))
         place = rows.columns.index(text_col)
         others = [i for i in range(len(rows.columns)) if i != place]
         added = self._ADDED
@@ -377,10 +391,12 @@ class NgramModel:
             held, exactly = sent.value, exact_sent.value
             for batch in batches:
                 texts = batch.column(place).to_pylist()
-                for a, b in text_blocks(texts):
+                for a, b in text_blocks(texts, PIECE):
                     with steady():
                         columns = score_block(texts[a:b], held.levels, counts, exactly, n, v, how.mu)
                     yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *added])
+            del held, exactly
+            let_go(sent, exact_sent)
 
         kept = rows.drop(text_col)
         schema = kept.schema
@@ -405,7 +421,8 @@ class NgramModel:
             return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "segment", "keys"])
 
         def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
-            part = Filter({s: bytes(x) for s, x in zip(held.column("segment").to_pylist(), held.column("bits").to_pylist(), strict=True)}, shift, how.probes)
+            bits = held.column("bits").to_pylist()
+            part = Filter(zip(held.column("segment").to_pylist(), bits, strict=True), sum(map(len, bits)), shift, how.probes)
             raw = asked.column("keys").to_pylist()
             return pa.table({"block": asked.column("block"), "keys": asked.column("keys"), "levels": pa.array([part.levels(np.frombuffer(x, np.uint64)).tobytes() for x in raw], pa.binary())})
 
