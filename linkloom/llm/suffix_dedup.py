@@ -19,6 +19,9 @@ common prefixes of neighbours say which windows at which offsets are equal. A ne
 two arrays of one level merge into one of the next, so n batches make log n levels and an entry is
 rewritten log n times. Levels are Parquet tables, sorted within buckets of grams.
 
+Grams that too many classes share (what stands around a very common passage) are lengthened on one side or the
+other, so that no task holds an unbounded group.
+
 Bytes move once per class; before exact joins, Bloom filters of bounded size keep anchors of no
 interest from being shipped.
 """
@@ -176,9 +179,9 @@ def suffix_array(grams: list[int], strings: list[bytes]) -> tuple[np.ndarray, np
 
 
 def merge_scan(new: list[tuple], old: list[tuple], half: int) -> list[tuple[int, int, int, int]]:
-    """Windows that a new entry shares with another entry: (gram, context, first offset, last offset), for both.
+    """Windows that a new entry shares with another entry: (owner, context, first offset, last offset), for both.
 
-    Entries are (gram, context, before, after, lo, hi). A window at offset o is equal in two entries if
+    Entries are (gram, context, before, after, lo, hi, owner). A window at offset o is equal in two entries if
     the last o bytes before and the first half - o bytes after agree: if in both arrays no
     smaller common prefix stands between them.
     """
@@ -205,11 +208,12 @@ def merge_scan(new: list[tuple], old: list[tuple], half: int) -> list[tuple[int,
     rows = []
     for i in np.flatnonzero(marked.any(axis=1)):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], marked[i].view(np.int8), [0]])))
-        rows += [(every[i][0], every[i][1], int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        rows += [(every[i][6], every[i][1], int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
     return rows
 
 
-_ENTRY = "gram long, context long, before binary, after binary, lo long, hi long"
+_SUFFIX = "gram long, context long, before binary, after binary, lo long, hi long"
+_ENTRY = f"{_SUFFIX}, owner long"
 _MATCH = "gram long, context long, first long, last long"
 _MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "context", "first", "last")])
 
@@ -232,7 +236,7 @@ class SuffixFamily:
         half = self.length // 2
 
         def scan(new: pa.Table, old: pa.Table) -> pa.Table:
-            columns = ("gram", "context", "before", "after", "lo", "hi")
+            columns = ("gram", "context", "before", "after", "lo", "hi", "owner")
             rows = merge_scan(*[list(zip(*[t.column(c).to_pylist() for c in columns], strict=True)) for t in (new, old)], half)
             return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=_MATCH_ARROW)
 
@@ -294,17 +298,50 @@ def _family_matches(spark: SparkSession, long: DataFrame, mixed: DataFrame, leng
     if not n:
         return spark.createDataFrame([], _MATCH)
     sent = spark.sparkContext.broadcast(bloom(mixed, "context"))
-    shipped = long.mapInArrow(_suffix_rows(length, sent), _ENTRY)
+    shipped = long.mapInArrow(_suffix_rows(length, sent), _SUFFIX)
     entries = shipped.groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "lo", "hi")]).join(mixed, ["gram", "context"], "left_semi")
-    entries = cut(entries, "entries")
+    entries, found = _lengthened(cut(entries, "entries"), length)
+    n = entries.count()
     family = SuffixFamily(spark, scratch_path(spark, "family"), length, max(8, n // BUCKET_ENTRIES * batches))
-    found = None
     for b in range(batches):
-        matches = family.add(entries.where(F.pmod(F.xxhash64("context"), F.lit(batches)) == b))
-        found = matches if found is None else found.union(matches)
+        found = found.union(family.add(entries.where(F.pmod(F.xxhash64("context"), F.lit(batches)) == b)))
     return cut(found.distinct(), "found")
 
 
+def _lengthened(entries: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
+    """Entries for the index, none of them in a gram of more than BUCKET_ENTRIES, and matches found on the way.
+
+    Windows at offsets a to b of equal text share the last a bytes before the gram and the first half - b
+    after it. So a gram with too many contexts is halved by offsets, each half under a longer gram with those bytes,
+    until few share one; entries alone in theirs go. At a single offset the longer gram is the window itself: all match.
+    """
+    half = length // 2
+    sizes = entries.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ENTRIES)
+    hot = cut(sizes.select("gram"), "hot")
+    owned = entries.withColumn("owner", F.col("gram"))
+    found = entries.sparkSession.createDataFrame([], _MATCH)
+    if hot.isEmpty():
+        return owned, found
+    settled = owned.join(hot, "gram", "left_anti")
+    now = owned.join(hot, "gram").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(half).cast("long")})
+    names = settled.columns
+    while True:
+        middle = F.floor((F.col("a") + F.col("b")) / 2)
+        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
+        rows = now.withColumn("r", F.explode(halves)).drop("a", "b").select("*", "r.a", "r.b").drop("r")
+        rows = rows.where("hi >= a AND lo <= b").withColumn("gram", F.expr(f"xxhash64(owner, a, b, substring(before, CAST(hi - a + 1 AS INT), CAST(a AS INT)), substring(after, 1, CAST({half} - b AS INT)))"))
+        rows = cut(rows, "longer")
+        shared = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
+        kept = cut(rows.join(cut(shared, "shared"), "gram"), "kept")
+        few = kept.where(F.col("n") <= BUCKET_ENTRIES).withColumns({"lo": F.greatest("lo", "a"), "hi": F.least("hi", "b"), "before": F.expr("substring(before, CAST(greatest(hi - b, 0) + 1 AS INT), CAST(least(hi, b) AS INT))")})
+        settled = settled.unionByName(few.select(*names))
+        found = found.union(kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("a") == F.col("b"))).select(F.col("owner").alias("gram"), "context", F.col("a").alias("first"), F.col("b").alias("last")))
+        now = kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("a") < F.col("b"))).drop("n")
+        drop_scratch(rows)
+        if now.isEmpty():
+            return cut(settled, "settled"), found
+
+
 def merged(spans) -> list[dict]:
     """Maximal runs of sorted spans; touching ones join."""
     out: list[dict] = []

@@ -41,9 +41,10 @@ def corpus(length, seed):
     return [*texts, texts[-1], texts[-2], "".join(edited), texts[-3] + texts[-4]]
 
 
-@pytest.mark.parametrize(("length", "seed", "piece"), [(20, 1, 2_000_000), (50, 2, 2_000_000), (20, 3, 64), (400, 4, 2_000_000)])
-def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, seed, piece):
+@pytest.mark.parametrize(("length", "seed", "piece", "bucket"), [(20, 1, 2_000_000, 20_000), (50, 2, 2_000_000, 20_000), (20, 3, 64, 2), (400, 4, 2_000_000, 20_000), (50, 5, 2_000_000, 2)])
+def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, seed, piece, bucket):
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
+    monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", bucket)
     texts = corpus(length, seed)
     rows = remove_repeats(make_docs(texts), length, batches=3).orderBy("doc_id").collect()
     for r, want in zip(rows, brute(texts, length), strict=True):
@@ -54,7 +55,7 @@ def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, seed
 def test_suffix_array_and_merge_scan():
     order, common = suffix_array([1, 1, 1, 2], [b"abd", b"ab", b"abc", b"abc"])
     assert order.tolist() == [1, 2, 0, 3] and common.tolist() == [-1, 2, 2, -1]
-    new, old = [(1, 10, b"xy", b"ab", 0, 2)], [(1, 11, b"zy", b"abcd", 0, 2), (1, 12, b"xy", b"cd", 0, 2), (2, 13, b"xy", b"ab", 0, 2)]
+    new, old = [(1, 10, b"xy", b"ab", 0, 2, 1)], [(1, 11, b"zy", b"abcd", 0, 2, 1), (1, 12, b"xy", b"cd", 0, 2, 1), (2, 13, b"xy", b"ab", 0, 2, 2)]
     # half = 2: offset 0 needs two bytes after, offset 1 one on each side, offset 2 two before.
     assert sorted(merge_scan(new, old, 2)) == [(1, 10, 0, 2), (1, 11, 0, 1), (1, 12, 2, 2)]
 
@@ -63,7 +64,7 @@ def test_levels_merge_geometrically(spark):
     family = suffix_dedup.SuffixFamily(spark, "unused", 4, 2)
     sizes = []
     for i in range(5):
-        family.add(spark.createDataFrame([(i, i, bytearray(b"a"), bytearray(b"b"), 0, 1)], suffix_dedup._ENTRY))
+        family.add(spark.createDataFrame([(i, i, bytearray(b"a"), bytearray(b"b"), 0, 1, i)], suffix_dedup._ENTRY))
         sizes.append({k: v.count() for k, v in sorted(family.levels.items())})
     assert sizes == [{0: 1}, {1: 2}, {0: 1, 1: 2}, {2: 4}, {0: 1, 2: 4}]
 
