@@ -149,24 +149,26 @@ def delay(url: Column) -> Column:
 
 def _private(h: Column) -> Column:
     """IPv4 addresses of private, loopback, link-local, multicast and reserved ranges, and such IPv6 addresses."""
-    octet = lambda n: F.regexp_extract(h, r"^(\d{1,3})\.(\d{1,3})\.(\d{1,3})\.(\d{1,3})$", n).try_cast("int")
-    value = ((octet(1) * 256 + octet(2)) * 256).cast("long") * 256 + octet(3) * 256 + octet(4)
-    inside = F.lit(False)
-    for block in D.PRIVATE_RANGES:
-        base, bits = block.split("/")
-        low = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
-        inside = inside | value.between(low, low + 2 ** (32 - int(bits)) - 1)
+    octets = F.split(F.regexp_extract(h, r"^(\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3})$", 1), r"\.")
+    value = F.aggregate(octets, F.lit(0).cast("long"), lambda n, o: n * 256 + F.coalesce(o.try_cast("long"), F.lit(0)))
+
+    def listed(v: Column) -> Column:
+        inside = F.lit(False)
+        for block in D.PRIVATE_RANGES:
+            base, bits = block.split("/")
+            low = sum(int(x) << s for x, s in zip(base.split("."), (24, 16, 8, 0), strict=True))
+            inside = inside | v.between(low, low + 2 ** (32 - int(bits)) - 1)
+        return inside
+
     six = F.regexp_extract(h, r"^\[?([0-9a-f:]*:[0-9a-f:]*)\]?$", 1)
-    return F.coalesce(inside, F.lit(False)) | (six == "::1") | six.rlike("^f[cd]") | six.rlike("^fe[89ab]")
+    return F.exists(F.array(value), listed) | (six == "::1") | six.rlike("^f[cd]") | six.rlike("^fe[89ab]")
 
 
-def security(url: Column) -> Column:
-    """struct(is_safe, risk_level, reason) of a URL; the first rule that blocks decides. Names are not resolved."""
-    raw = F.coalesce(url, F.lit(""))
-    net = F.regexp_replace(F.lower(authority(raw)), r"^[^@]*@", "")
+def _verdict(u: Column) -> Column:
+    """The security of a URL taken apart: struct(raw, scheme, net, path, query)."""
+    raw, s, net, p, q = (u[c] for c in ("raw", "scheme", "net", "path", "query"))
     h = F.regexp_replace(net, r":\d*$", "")
     port = F.regexp_extract(net, r":(\d+)$", 1).try_cast("int")
-    s, p, q = scheme(raw), path(raw), query(raw)
     hits = F.lit(0)
     for pattern in D.SUSPICIOUS_PATTERNS:
         hits = hits + raw.rlike(f"(?i){pattern}").cast("int")
@@ -192,6 +194,17 @@ def security(url: Column) -> Column:
     return F.coalesce(*blocked, F.struct(F.lit(True).alias("is_safe"), level.alias("risk_level"), F.lit("").alias("reason")))
 
 
+def security(url: Column) -> Column:
+    """struct(is_safe, risk_level, reason) of a URL; the first rule that blocks decides. Names are not resolved.
+
+    The parts are bound once by a one-element array; spelled out in every rule they would outgrow generated code.
+    """
+    raw = F.coalesce(url, F.lit(""))
+    net = F.regexp_replace(F.lower(authority(raw)), r"^[^@]*@", "")
+    parts = F.struct(raw.alias("raw"), scheme(raw).alias("scheme"), net.alias("net"), path(raw).alias("path"), query(raw).alias("query"))
+    return F.element_at(F.transform(F.array(parts), _verdict), 1)
+
+
 def sanitized(url: Column) -> Column:
     """https, host in lower case without a user, path without traversal; the query stays, the fragment goes."""
     raw = text.strip(F.coalesce(url, F.lit("")))

@@ -13,14 +13,22 @@ from ..functions import text, urls
 def category_scores(full_text: Column, domain: Column, folder: Column) -> Column:
     """Array of (name, score, subcategory) in the dictionary's order. Words count as substrings."""
     low, held = F.lower(full_text), F.lower(F.coalesce(folder, F.lit("")))
-    out = []
-    for name, spec in D.FOLDER_CATEGORIES.items():
-        subs = [F.struct(text.count_of(low, words).alias("hits"), F.lit(-i).alias("at"), F.lit(sub).alias("name")) for i, (sub, words) in enumerate(spec["subcategories"].items())]
-        best = F.array_max(F.array(*subs))
-        hits = sum((text.count_of(low, words) for words in spec["subcategories"].values()), F.lit(0))
-        score = text.count_of(low, spec["keywords"]) * 2 + F.when(domain.isin(*spec["domains"]), 5).otherwise(0) + hits + F.when((held != "") & held.contains(name.lower()), 3).otherwise(0)
-        out.append(F.struct(F.lit(name).alias("name"), score.alias("score"), F.when(best["hits"] > 0, best["name"]).otherwise("General").alias("subcategory")))
-    return F.array(*out)
+    words = lambda ws: F.array(*[F.lit(w) for w in ws])
+    subs = lambda spec: F.array(*[F.struct(F.lit(-i).alias("at"), F.lit(sub).alias("name"), words(ws).alias("words")) for i, (sub, ws) in enumerate(spec["subcategories"].items())])
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), words(spec["keywords"]).alias("keywords"), words(spec["domains"]).alias("domains"), subs(spec).alias("subs")) for name, spec in D.FOLDER_CATEGORIES.items()])
+    hits = lambda ws: F.size(F.filter(ws, lambda w: F.contains(low, w)))
+
+    def scored(c: Column) -> Column:
+        counted = F.transform(c["subs"], lambda s: F.struct(hits(s["words"]).alias("hits"), s["at"].alias("at"), s["name"].alias("name")))
+        named = F.when((held != "") & F.contains(held, F.lower(c["name"])), 3).otherwise(0)
+        return F.struct(c["name"].alias("name"), (hits(c["keywords"]) * 2 + F.when(F.array_contains(c["domains"], domain), 5).otherwise(0) + named).alias("score"), counted.alias("counted"))
+
+    def told(c: Column) -> Column:
+        best = F.array_max(c["counted"])
+        total = F.aggregate(c["counted"], F.lit(0), lambda n, s: n + s["hits"])
+        return F.struct(c["name"].alias("name"), (c["score"] + total).alias("score"), F.when(best["hits"] > 0, best["name"]).otherwise("General").alias("subcategory"))
+
+    return F.transform(F.transform(listed, scored), told)
 
 
 def fallback(folder: Column) -> Column:

@@ -49,12 +49,16 @@ def checked(rows: DataFrame, fetched: DataFrame | None) -> DataFrame:
     """Adds is_valid, error_type and what was fetched. Each URL is fetched once, however many rows have it."""
     safe = urls.security(F.col("url"))["is_safe"] & urls.well_formed(F.col("url")) & ~urls.skipped(F.col("url"))
     if fetched is None:
-        ok = safe & urls.mock_valid(F.col("url"))
-        return rows.withColumns({"is_valid": ok, "error_type": F.when(~safe, "unsafe").when(~ok, "mock_error"), "html": F.lit(None).cast("string")})
-    got = fetched.select("url", "html", "status_code")
-    out = rows.join(got, "url", "left")
-    good = F.coalesce(F.col("status_code").between(200, 399), F.lit(False))
-    return out.withColumns({"is_valid": safe & good, "error_type": F.when(~safe, "unsafe").when(~good, errors.http_error(F.coalesce("status_code", F.lit(0))))}).drop("status_code")
+        told = F.struct(safe.alias("safe"), urls.mock_valid(F.col("url")).alias("good"), F.lit("mock_error").alias("error"))
+        out = rows.withColumn("html", F.lit(None).cast("string"))
+    else:
+        code = F.coalesce("status_code", F.lit(0))
+        told = F.struct(safe.alias("safe"), code.between(200, 399).alias("good"), errors.http_error(code).alias("error"))
+        out = rows.join(fetched.select("url", "html", "status_code"), "url", "left")
+    # One value per row that later filters and columns read, not three copies of the rules.
+    out = out.withColumn("_told", F.explode(F.array(told)))
+    c = lambda name: F.col(f"_told.{name}")
+    return out.withColumns({"is_valid": c("safe") & c("good"), "error_type": F.when(~c("safe"), "unsafe").when(~c("good"), c("error"))}).drop("_told", "status_code")
 
 
 def described(rows: DataFrame) -> DataFrame:
@@ -95,7 +99,9 @@ def run(rows: DataFrame, options: Options = Options()) -> DataFrame:
         rows = plugins.chain("post_ai", (options.describe or described)(rows))
         rows = _kept(spark, options, "ai", rows)
     if "tags" in options.stages:
-        found = tagging.candidates(rows)
+        # Used several times below; kept in memory or on executors' disks, and made again if an executor is lost.
+        rows = rows.persist()
+        found = tagging.candidates(rows).persist()
         scores = tagging.scored(found, rows)
         chosen = spark.createDataFrame([(t,) for t in tagging.selected(scores, options.target_tags)], "tag string")
         best = tagging.assigned(rows, chosen, options.tags_per_row).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda t: t["tag"]).alias("optimized_tags"))
