@@ -28,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Memo, steady, text_blocks, tune
+from .common import Memo, kept, serve, steady, text_blocks, tune
 
 #: Words of more bytes than this take the heap.
 SHORT = 96
 #: Entries of the word cache of one Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 _NONE = np.int32(2**30)
 
 
@@ -238,7 +238,7 @@ class TextCodec:
             yield b"".join(ids), " ".join(names if "" not in names else [n for n in names if n])
 
 
-_CODECS = Memo(TextCodec, 4)
+_CODECS = kept("bpe", Memo(TextCodec, 4))
 
 
 def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = True) -> DataFrame:
@@ -257,6 +257,7 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode:
     place = docs.columns.index(text_col)
 
     def run(batches):
+        serve("bpe")
         codec = _CODECS[vocabulary]
         for batch in batches:
             texts = batch.column(place).to_pylist()

@@ -159,6 +159,25 @@ def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 28, probes: int =
     return Bloom(np.asarray(found.column("word").combine_chunks()), np.asarray(found.column("value").combine_chunks()).view(np.uint64), n_bits, probes)
 
 
+#: Caches that outlive a task in a Python worker, by the operator they serve.
+_CACHES: dict[str, dict] = {}
+
+
+def kept(owner: str, cache: dict) -> dict:
+    """Registers a cache that a worker may keep from task to task."""
+    _CACHES[owner] = cache
+    return cache
+
+
+def serve(owner: str) -> None:
+    """At a task's start: a worker that served another operator before drops that one's cache, so that they don't add up."""
+    others = [c for name, c in _CACHES.items() if name != owner and c]
+    for c in others:
+        c.clear()
+    if others:
+        let_go()
+
+
 def let_go(*broadcasts) -> None:
     """At a task's end: the worker, which waits for its next task, keeps neither broadcast values nor freed pages."""
     for b in broadcasts:

@@ -29,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Memo, cut, drop_scratch, mix64, text_blocks, tune
+from .common import Memo, cut, drop_scratch, kept, mix64, serve, text_blocks, tune
 
-_WORD_HASHES = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 1_000_000)
+_WORD_HASHES = kept("minhash", Memo(lambda w: xxhash.xxh3_64_intdigest(w), 500_000))
 _U32 = np.uint64(0xFFFFFFFF)
 
 
@@ -91,6 +91,7 @@ def band_keys(signature: np.ndarray, bands: int) -> np.ndarray:
 
 def _signature_rows(k: int, bands: int, rows: int, at_id: int, at_text: int):
     def run(batches):
+        serve("minhash")
         for batch in batches:
             ids, texts = batch.column(at_id), batch.column(at_text).to_pylist()
             for a, b in text_blocks(texts):
@@ -109,6 +110,7 @@ def _set_rows(k: int):
     """(cluster, id, chunk, text) rows to (cluster, id, chunk, sorted set as bytes)."""
 
     def run(batches):
+        serve("minhash")
         for batch in batches:
             sets = [shingle_set(t, k).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("cluster"), batch.column("id"), pa.array(sets, pa.binary())], names=["cluster", "id", "elements"])

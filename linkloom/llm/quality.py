@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from .common import Memo, steady, text_blocks, tune
+from .common import Memo, kept, serve, steady, text_blocks, tune
 
 SYMBOLS = "#*$%&|<>"
 #: Entries of the word cache of one Python worker.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,7 @@ def verdict(band: Band, rules: QualityRules, n: int, fallback: float, even: floa
     return None
 
 
-_METERS = Memo(Meter, 4)
+_METERS = kept("quality", Memo(Meter, 4))
 #: Columns that quality_rules adds.
 _ARROW = pa.schema(
     [(c, pa.int64()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
@@ -198,6 +198,7 @@ def quality_rules(docs: DataFrame, rules: QualityRules, text_col: str = "text",
     at_text, at_lang = docs.columns.index(text_col), docs.columns.index(lang_col)
 
     def run(batches):
+        serve("quality")
         meter = _METERS[rules]
         for batch in batches:
             texts, langs = [t or "" for t in batch.column(at_text).to_pylist()], batch.column(at_lang).to_pylist()
