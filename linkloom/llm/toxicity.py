@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -71,23 +72,27 @@ def sentences(text: str) -> list[tuple[int, int]]:
 def train(rows: list[tuple[str | None, int]], how: Training = Training()) -> Model:
     """A model from (text, label) rows. Without rows of both labels every sentence scores low."""
     known = Memo(features, 200_000)
-    bags = [([sorted({f for t in text[a:b].split() for f in known[t]}) for a, b in sentences(text)], label) for text, label in ((t or "", y) for t, y in rows)]
-    bags = [(b, y) for b, y in bags if b]
-    n_toxic = sum(y for _, y in bags)
-    n_clean = len(bags) - n_toxic
+    rows = [(t, y) for t, y in ((t or "", y) for t, y in rows) if sentences(t)]
+    n_toxic = sum(y for _, y in rows)
+    n_clean = len(rows) - n_toxic
+    # Two passes over the texts, so that no more than the chosen features' places are held.
     in_toxic, in_clean = Counter(), Counter()
-    for bag, y in bags:
-        (in_toxic if y else in_clean).update({f for s in bag for f in s})
+    for text, y in rows:
+        tokens = {t for a, b in sentences(text) for t in text[a:b].split()}
+        (in_toxic if y else in_clean).update({f for t in tokens for f in known[t]})
     lift = {f: (n / max(1, n_toxic)) / ((in_clean[f] + 0.5) / (n_clean + 1)) for f, n in in_toxic.items() if n >= how.min_docs}
     chosen = sorted((f for f, x in lift.items() if x >= how.min_lift), key=lambda f: (-in_toxic[f], f))[: how.max_features]
+    del in_toxic, in_clean, lift
     place = {f: i for i, f in enumerate(chosen)}
-    owner, row_of, col = [], [], []
-    label = np.array([y for _, y in bags], float)
-    for d, (bag, _) in enumerate(bags):
-        for s in bag:
-            if here := [place[f] for f in s if f in place]:
-                row_of += [len(owner)] * len(here)
-                col += here
+    placed = Memo(lambda t: tuple(place[f] for f in features(t) if f in place), 200_000)
+    known.clear()
+    owner, row_of, col = array("q"), array("q"), array("q")
+    label = np.array([y for _, y in rows], float)
+    for d, (text, _) in enumerate(rows):
+        for a, b in sentences(text):
+            if here := {i for t in text[a:b].split() for i in placed[t]}:
+                row_of.extend([len(owner)] * len(here))
+                col.extend(sorted(here))
                 owner.append(d)
     if not chosen:
         return Model(-8.0, {})
@@ -99,7 +104,7 @@ def train(rows: list[tuple[str | None, int]], how: Training = Training()) -> Mod
     for _ in range(how.rounds):
         z = bias + np.bincount(row_of, weight[col], n)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
-        none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(bags)))
+        none = np.exp(np.bincount(owner, np.log1p(-np.minimum(p, 1 - 1e-9)), len(rows)))
         pull = np.where(label[owner] == 1, p * (none / np.maximum(1 - none, 1e-9))[owner], -p)
         gradient = np.bincount(col, pull[row_of], width)
         weight += scale * gradient
