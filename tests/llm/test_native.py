@@ -85,7 +85,7 @@ def test_mix_takes_its_quota_from_seeded_epochs(spark):
     again = mixing.mix_sources(docs.repartition(3), mixing.Mix(weights=mix.weights, budget_percent=150, max_epochs=3, broadcast_leaves=0))
     key = lambda d: sorted((r.doc_id, r.epoch, r.take_tokens) for r in d.collect())
     assert key(taken) == key(again)
-    empty = mixing.mix_sources(docs.fillna("w", ["text"]), mixing.Mix(levels=("domain", "lang"), budget_percent=100, max_epochs=1)).where("doc_id IN (900, 901)").orderBy("doc_id").collect()
+    empty = mixing.mix_sources(docs.withColumn("text", F.coalesce(F.nullif("text", F.lit("")), F.lit("w"))), mixing.Mix(levels=("domain", "lang"), budget_percent=100, max_epochs=1)).where("doc_id IN (900, 901)").orderBy("doc_id").collect()
     assert [(r.doc_id, r.lang, r.source) for r in empty] == [(900, "en", "src0"), (901, None, None)]
     assert mixing.mix_sources(docs.limit(0), mix).count() == 0
 
