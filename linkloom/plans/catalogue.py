@@ -570,9 +570,11 @@ def cost_trend(spark, d):
     return metrics.trend(table(spark, d, "events"), "event_type", "value", order=("ts", "event_id"))
 
 
-@query("rolling_rate", "SELECT event_id, round(avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 4) AS rolling FROM events")
+@query("rolling_rate", "SELECT event_id, avg(round(value * 100)::BIGINT) OVER (PARTITION BY event_type ORDER BY ts, event_id ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS rolling FROM events")
 def rolling_rate(spark, d):
-    return metrics.rolling(table(spark, d, "events"), "event_type", "value", order=("ts", "event_id")).select("event_id", F.round("rolling", 4).alias("rolling"))
+    # Cents, so that sums are exact in any order.
+    rows = table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long"))
+    return metrics.rolling(rows, "event_type", "cents", order=("ts", "event_id")).select("event_id", "rolling")
 
 
 @query("sliding_minute", "SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 60 SECONDS PRECEDING AND CURRENT ROW) AS in_window FROM events")
