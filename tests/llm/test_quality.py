@@ -66,3 +66,20 @@ def test_unknown_language_takes_the_band_of_its_script(spark, make_docs, rules):
     text = " ".join(["съешь ещё этих мягких французских булок да выпей чаю"] + [f"слово{chr(1072 + i % 30)}{chr(1073 + i % 29)}" for i in range(60)])
     row = quality_rules(make_docs([text], lang=None), rules).first()
     assert row.kept and row.fallback_share <= 0.5
+
+
+def test_labelled_junk_is_told_from_good_text(rules):
+    import pyarrow.parquet as pq
+
+    from linkloom.llm.quality import LANGUAGE_BANDS, verdict
+
+    labels = dict(zip(*pq.read_table("/root/testdata/sf0.1/labels.parquet", columns=["doc_id", "quality"]).to_pydict().values(), strict=True))
+    meter, seen, rejected = Meter(rules), [0, 0], [0, 0]
+    for r in pq.read_table("/root/testdata/sf0.1/documents.parquet", columns=["doc_id", "text", "lang"]).to_pylist():
+        words, *counts = base_counts(r["text"] or "")
+        if r["doc_id"] in labels and len(words) >= rules.min_words and 100 * counts[3] <= rules.max_repeat_percent * len(words):
+            meter.learn(set(words))
+            good = labels[r["doc_id"]]
+            seen[good] += 1
+            rejected[good] += verdict(LANGUAGE_BANDS[r["lang"]], rules, *meter.measure(words, counts[0])) is not None
+    assert rejected[0] >= 0.9 * seen[0] and rejected[1] <= 0.005 * seen[1], (seen, rejected)
