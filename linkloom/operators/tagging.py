@@ -16,12 +16,20 @@ from ..functions import tags
 
 #: Tags that one broadcast of a substring join holds, about.
 TAG_BLOCK = 5000
+#: A character that no run of the texts and no cleaned tag has.
+NOT_IN_RUN = r"[^\p{L}\p{N}_\-]"
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(url, tag): distinct candidate tags of each row from its tags, URL, title and note."""
+    """(url, tag): distinct candidate tags of each row from its tags, URL, title and note, and its page and description if rows have them."""
+    has, none = set(rows.columns), F.array().cast("array<string>")
     joined = F.concat_ws(" ", "title", "note")
-    found = F.concat(F.coalesce("tags", F.array().cast("array<string>")), tags.from_url(F.col("url")), tags.from_text(joined))
+    found = [F.coalesce("tags", none), tags.from_url(F.col("url")), tags.from_text(joined)]
+    if {"categories", "page_keywords", "headings"} <= has:
+        found.append(from_content(F.coalesce("categories", none), F.col("page_keywords"), F.coalesce("headings", none)))
+    if "enhanced_description" in has:
+        found.append(tags.from_text(F.col("enhanced_description")))
+    found = F.concat(*found)
     return rows.select("url", F.explode(tags.cleaned(found)).alias("tag")).distinct()
 
 
@@ -52,23 +60,39 @@ def scored(found: DataFrame, rows: DataFrame, content: DataFrame | None = None,
     if content is None:
         out = out.withColumn("content_score", F.lit(0.0))
     else:
-        pages = content.count()
-        words = content.select("url", "categories", F.lower(F.array_join("headings", "\n")).alias("heads"), F.lower("body").alias("body"))
-        # Substring matches have no key: the tags are broadcast in blocks of bounded size, as many as it takes.
-        blocks = -(-often.count() // TAG_BLOCK)
-        held = None
-        for b in range(max(1, blocks)):
-            some = F.broadcast(often.select("tag").where(F.pmod(F.xxhash64("tag"), F.lit(max(1, blocks))) == b))
-            met = words.join(some, F.expr("array_contains(categories, tag) OR contains(heads, tag) OR contains(body, tag)"))
-            held = met if held is None else held.union(met)
-        points = F.when(F.array_contains("categories", F.col("tag")), 1.0).when(F.expr("contains(heads, tag)"), 0.5).otherwise(0.3)
-        by_tag = held.groupBy("tag").agg((F.sum(points) / max(1, pages)).alias("content_score"))
+        pages = content.select("url").distinct().count()
+        texts = content.select("url", "categories", F.lower(F.array_join("headings", "\n")).alias("heads"), F.lower("body").alias("body"))
+        by_tag = met(texts, often).groupBy("tag").agg((F.sum("points") / max(1, pages)).alias("content_score"))
         out = out.join(by_tag, "tag", "left").withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
     out = out.withColumn("quality_score", tag_quality(F.col("tag"), F.col("frequency"), F.lit(total)))
     score = F.col("frequency") * 0.3 + F.col("content_score") * 0.4 + F.col("url_score") * 0.2 + F.col("quality_score") * 0.1
     return out.withColumn("total_score", score).drop("hits")
 
 
+def met(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """(url, tag, points): 1 where the tag is a category of the page, else 0.5 in a heading, else 0.3 in the text, as substrings.
+
+    A tag of letters, digits, _ and - lies within one run of such characters: each distinct run of the corpus is cut into
+    substrings of tag length, and all joins are by equality. Other tags have no key and are broadcast in blocks of bounded size.
+    """
+    plain, odd = often.where(~F.col("tag").rlike(NOT_IN_RUN)).select("tag"), often.where(F.col("tag").rlike(NOT_IN_RUN)).select("tag")
+    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}_\-]+)")))
+    held = texts.select("url", F.explode(runs(F.col("heads"))).alias("run"), F.lit(0.5).alias("points"))
+    held = held.union(texts.select("url", F.explode(runs(F.col("body"))).alias("run"), F.lit(0.3).alias("points")))
+    lengths = [r[0] for r in plain.select(F.length("tag")).distinct().collect()]
+    sized = held.select("run").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths or [1]]))).where(F.col("n") <= F.length("run"))
+    cut = sized.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring("run", i, F.col("n"))))).alias("tag"))
+    within = held.join(cut.join(plain, "tag", "left_semi"), "run").select("url", "tag", "points")
+    listed = texts.select("url", F.explode(F.array_distinct("categories")).alias("tag"), F.lit(1.0).alias("points")).join(often.select("tag"), "tag", "left_semi").select("url", "tag", "points")
+    found = within.union(listed)
+    blocks = -(-odd.count() // TAG_BLOCK)
+    for b in range(blocks):
+        some = F.broadcast(odd.where(F.pmod(F.xxhash64("tag"), F.lit(blocks)) == b))
+        points = F.when(F.expr("contains(heads, tag)"), 0.5).otherwise(0.3)
+        found = found.union(texts.join(some, F.expr("contains(heads, tag) OR contains(body, tag)")).select("url", "tag", points.alias("points")))
+    return found.groupBy("url", "tag").agg(F.max("points").alias("points"))
+
+
 def selected(scores: DataFrame, target: int = 150, threshold: float = 0.3) -> list[str]:
     """The corpus tags in order: best first; beyond four fifths of the target only first of a category or high scores.
 
@@ -94,9 +118,10 @@ def relevance(tag: Column, title: Column, url: Column, own: Column, categories:
 def assigned(rows: DataFrame, corpus: DataFrame, most: int = 5) -> DataFrame:
     """(url, tag, relevance, place): the best corpus tags of each row among its candidates; ties by tag."""
     wanted = F.broadcast(corpus.select("tag"))
-    found = candidates(rows).join(wanted, "tag", "left_semi").join(rows.select("url", "title", "tags"), "url")
     none = F.array().cast("array<string>")
-    score = relevance(F.col("tag"), F.col("title"), F.col("url"), F.coalesce("tags", none), none, F.lit(""))
+    page = [F.coalesce(F.col(c), none).alias(c) if c in rows.columns else none.alias(c) for c in ("categories", "headings")]
+    found = candidates(rows).join(wanted, "tag", "left_semi").join(rows.select("url", "title", "tags", *page), "url")
+    score = relevance(F.col("tag"), F.col("title"), F.col("url"), F.coalesce("tags", none), F.col("categories"), F.array_join("headings", "\n"))
     ranked = found.withColumn("relevance", F.round(score, 6)).withColumn("place", F.row_number().over(W.partitionBy("url").orderBy(F.desc("relevance"), "tag")))
     return ranked.where(F.col("place") <= most).select("url", "tag", "relevance", "place")
 

@@ -11,7 +11,7 @@ import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import errors, html, tags, urls
@@ -68,16 +68,27 @@ def described(rows: DataFrame) -> DataFrame:
 
 def analysed(rows: DataFrame) -> DataFrame:
     page = F.coalesce("html", F.lit(""))
-    out = rows.withColumns({"page_title": html.title(page), "page_description": html.description(page), "body": html.plain(page), "headings": html.headings(page), "language": html.language(page)})
+    out = rows.withColumns({"page_title": html.title(page), "page_description": html.description(page), "body": html.plain(page), "headings": html.headings(page), "page_keywords": html.meta(page, "keywords"), "language": html.language(page)})
     words = html.word_count(F.col("body"))
+    # A row without a page has no content, so nothing of it counts as a category.
+    found = F.when(F.col("html").isNotNull(), html.categories(F.col("url"), F.col("page_title"), F.col("body"))).otherwise(F.array().cast("array<string>"))
     return out.withColumns(
         {
-            "word_count": words, "reading_minutes": html.reading_minutes(words), "categories": html.categories(F.col("url"), F.col("page_title"), F.col("body")),
+            "word_count": words, "reading_minutes": html.reading_minutes(words), "categories": found,
             "page_quality": html.quality(F.col("page_title"), F.col("page_description"), words, F.size("headings"), F.col("language")),
         }
     )
 
 
+def said(rows: DataFrame) -> Column:
+    """What folders are told by beside title, note and URL: tags, the page's title and description (else the excerpt), the new description."""
+    has = set(rows.columns)
+    parts = [F.array_join("tags", " ")] + [F.col(c) for c in ("page_title", "enhanced_description") if c in has]
+    if "page_description" in has:
+        parts.append(F.coalesce(F.nullif("page_description", F.lit("")), "excerpt"))
+    return F.concat_ws(" ", *parts)
+
+
 def run(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """The rows of valid URLs with what the stages add; stages that are not asked for leave rows as they are."""
     spark, plugins = rows.sparkSession, options.plugins
@@ -102,12 +113,13 @@ def run(rows: DataFrame, options: Options = Options()) -> DataFrame:
         # Used several times below; kept in memory or on executors' disks, and made again if an executor is lost.
         rows = rows.persist()
         found = tagging.candidates(rows).persist()
-        scores = tagging.scored(found, rows)
+        pages = rows.where("html IS NOT NULL") if {"html", "body", "categories", "headings"} <= set(rows.columns) else None
+        scores = tagging.scored(found, rows, pages)
         chosen = spark.createDataFrame([(t,) for t in tagging.selected(scores, options.target_tags)], "tag string")
         best = tagging.assigned(rows, chosen, options.tags_per_row).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda t: t["tag"]).alias("optimized_tags"))
         rows = plugins.chain("post_tags", rows.join(best, "url", "left"))
     if "folders" in options.stages:
-        rows = plugins.chain("post_folders", folders.filed(folders.categorised(rows), options.folder_limit))
+        rows = plugins.chain("post_folders", folders.filed(folders.categorised(rows.withColumn("_said", said(rows)), "_said").drop("_said"), options.folder_limit))
     return rows
 
 

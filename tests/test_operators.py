@@ -214,6 +214,25 @@ def test_process_and_resume(spark, tmp_path):
     assert process.results(process.run(rows, process.Options(now=NOW).only("tags"))).first().rows == 4
 
 
+def test_process_uses_pages_and_descriptions(spark):
+    rows = make(spark, [{"url": f"https://a.com/{i}", "title": f"t{i}", "note": "", "tags": []} for i in range(4)])
+    page = "<title>Design</title><meta name='keywords' content='quasar, x1'><h1>Zebra crossing</h1><p>typography and graphic layout, subzebras</p>"
+    fetched = lambda asked: asked.withColumns({"html": F.when(F.col("url").endswith("0"), F.lit(None)).otherwise(F.lit(page)), "status_code": F.lit(200)})
+    told = lambda df: df.withColumn("enhanced_description", F.lit("A walrus"))
+    got = {r.url[-1]: r for r in process.run(rows, process.Options(fetch=fetched, describe=told, now=NOW, tags_per_row=50)).collect()}
+    assert {"quasar", "zebra", "walrus"} <= set(got["1"].optimized_tags) and {"quasar", "zebra"}.isdisjoint(got["0"].optimized_tags) and "walrus" in got["0"].optimized_tags
+    assert got["1"].category == "Design" != got["0"].category
+    # The heading counts in the row's relevance, so its word comes before one of the text or the keywords alone.
+    assert got["1"].optimized_tags.index("zebra") < got["1"].optimized_tags.index("quasar")
+
+
+def test_content_score_of_any_tag(spark):
+    pages = spark.createDataFrame([("u", ["c++"], ["Zebras"], "text"), ("v", [], ["On C++"], "zebra"), ("w", [], [], "subzebras c++ machine-learning"), ("x", [], [], "")], "url string, categories array<string>, headings array<string>, body string")
+    found = spark.createDataFrame([(u, t) for u in "ab" for t in ("zebra", "c++", "learning", "none")], "url string, tag string")
+    got = {r.tag: round(r.content_score, 6) for r in tagging.scored(found, make(spark, [{}, {"url": "https://b.com"}]), pages).collect()}
+    assert got == {"zebra": 0.275, "c++": 0.45, "learning": 0.075, "none": 0.0}
+
+
 def test_command_line(spark, tmp_path, capsys):
     src = tmp_path / "a.csv"
     src.write_text("id,title,note,excerpt,url,folder,tags,created,cover,highlights,favorite\n1,Python,,,https://a.com/x,Tech,ai,2024-01-01,,,\n2,News,,,https://b.com/y,,news,2024-02-01,,,\n")
