@@ -9,6 +9,10 @@ from .. import dictionaries as D
 from . import text, urls
 
 
+#: Words that come first among the tags of one text or bookmark.
+PRIORITY = ("python", "programming", "ai", "machine", "learning", "github")
+
+
 def _map(table: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
 
@@ -101,6 +105,25 @@ def from_text(c: Column) -> Column:
     return F.array_sort(F.array_distinct(F.concat(held, types, F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(full_form(w))), names)))
 
 
+def _first(found: Column, wanted: Column, most: int) -> Column:
+    """The wanted ones of the tags before the others, at most so many; each part in the order given."""
+    is_wanted = lambda t: F.array_contains(wanted, t)
+    return F.slice(F.concat(F.filter(found, is_wanted), F.filter(found, lambda t: ~is_wanted(t))), 1, most)
+
+
+def of_text(c: Column, most: int = 5) -> Column:
+    """Tags of a content text, priority words first."""
+    return _first(cleaned(from_text(c)), _array(PRIORITY), most)
+
+
+def of_bookmark(own: Column, url: Column, title: Column, note: Column, excerpt: Column, most: int = 5) -> Column:
+    """Tags of one bookmark from all its fields: existing ones and priority words first."""
+    raw = F.transform(F.coalesce(own, F.array().cast("array<string>")), lambda t: F.lower(text.strip(t)))
+    given = F.transform(F.filter(raw, lambda t: t != ""), lambda t: F.when(t.isin("ai", "ml", "ui", "ux"), t).otherwise(full_form(t)))
+    found = cleaned(F.concat(given, from_url(url), from_text(title), from_text(note), from_text(excerpt)))
+    return _first(found, F.concat(raw, _array((*PRIORITY, "tutorial"))), most)
+
+
 def final(tags: Column, optimized: Column, most: int = 5) -> Column:
     """The optimised tags, else the original ones: the first few, trimmed, without empty ones."""
     chosen = F.when(F.size(F.coalesce(optimized, F.array().cast("array<string>"))) > 0, optimized).otherwise(F.coalesce(tags, F.array().cast("array<string>")))

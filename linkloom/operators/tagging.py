@@ -169,9 +169,11 @@ def from_content(categories: Column, keywords: Column, headings: Column) -> Colu
 def with_confidence(rows: DataFrame, corpus: DataFrame, most: int = 5) -> DataFrame:
     """(url, tag, confidence): the surest corpus tags of each row among its candidates; ties by tag."""
     found = candidates(rows).join(F.broadcast(corpus.select("tag")), "tag", "left_semi")
-    joined = found.join(frequencies(found), "tag").join(rows.select("url", "title", "tags"), "url")
-    own = F.coalesce("tags", F.array().cast("array<string>"))
-    sure = F.round(confidence(F.col("tag"), F.col("title"), F.col("url"), own, F.col("frequency"), F.lit(False)), 6)
+    none = F.array().cast("array<string>")
+    page = F.coalesce("categories", none) if "categories" in rows.columns else none
+    joined = found.join(frequencies(found), "tag").join(rows.select("url", "title", "tags", page.alias("categories")), "url")
+    own = F.coalesce("tags", none)
+    sure = F.round(confidence(F.col("tag"), F.col("title"), F.col("url"), own, F.col("frequency"), F.array_contains("categories", F.col("tag"))), 6)
     ranked = joined.withColumn("confidence", sure).withColumn("_n", F.row_number().over(W.partitionBy("url").orderBy(F.desc("confidence"), "tag")))
     return ranked.where(F.col("_n") <= most).select("url", "tag", "confidence")
 

@@ -118,3 +118,13 @@ def test_error_classes(spark):
     assert run(spark, ["Connection timed out", "SSL: bad", "what"], errors.retry_class) == ["timeout", "ssl_error", "unknown"]
     assert run(spark, [0, 3, 10], errors.backoff, "v int") == [1.0, 8.0, 60.0]
     assert run(spark, [5, 50, 200], lambda n: F.round(errors.batch_cost(n, F.lit(0.01)), 6), "v int") == [0.0675, 0.575, 2.0]
+
+
+def test_tags_of_one_text_or_bookmark(spark):
+    first = lambda *a: spark.range(1).select(*a).first()
+    text_tags = first(tags.of_text(F.lit("apple basil python github zzz"), 4).alias("t")).t
+    assert text_tags[:2] == ["github", "python"] and len(text_tags) == 4
+    made = lambda most: tags.of_bookmark(F.array(F.lit("Zoo")), F.lit("https://a.com/x"), F.lit("Apple"), F.lit("basil"), F.lit("walrus tutorial"), most).alias("t")
+    few, all_of = first(made(2)).t, first(made(50)).t
+    assert few == ["tutorial", "zoo"] and {"walrus", "apple", "basil"} <= set(all_of)
+    assert first(tags.of_bookmark(F.lit(None).cast("array<string>"), F.lit(""), F.lit(None), F.lit(None), F.lit(None)).alias("t")).t == []

@@ -321,6 +321,13 @@ def test_more_tags_and_folders(spark):
     assert row.b == "technology" and {"tool", "javascript", "docker"} <= set(row.t) and row.r == "category: Design; known host: figma.com; was in: Old"
 
 
+def test_confidence_counts_content_categories(spark):
+    rows = make(spark, [{"url": "https://a.com/x", "title": "Python"}, {"url": "https://b.com/y", "title": "Python"}])
+    rows = rows.withColumn("categories", F.when(F.col("pos") == 0, F.array(F.lit("python"))).otherwise(F.array().cast("array<string>")))
+    sure = {r.url: r.confidence for r in tagging.with_confidence(rows, spark.createDataFrame([("python",)], "tag string")).collect()}
+    assert sure == {"https://a.com/x": 0.9, "https://b.com/y": 0.65}
+
+
 def test_review_and_render(spark, tmp_path):
     rows = make(spark, [{}]).withColumn("reasons", F.array(F.lit("untagged")))
     export.write_review(rows, str(tmp_path / "r"))
