@@ -96,16 +96,19 @@ def met(texts: DataFrame, often: DataFrame) -> DataFrame:
 def selected(scores: DataFrame, target: int = 150, threshold: float = 0.3) -> list[str]:
     """The corpus tags in order: best first; beyond four fifths of the target only first of a category or high scores.
 
-    The greedy pass runs on the driver over at most ``20 * target`` candidates, as its result has at most ``target``.
+    What the greedy pass can choose is among the best ``target`` tags and the best tag of each category, so the driver sees only these.
     """
-    best = scores.where(F.col("total_score") >= threshold).orderBy(F.desc("total_score"), "tag").select("tag", "total_score", tags.category(F.col("tag")).alias("category"))
+    best = scores.where(F.col("total_score") >= threshold).select("tag", "total_score", tags.category(F.col("tag")).alias("category")).persist()
+    top = best.orderBy(F.desc("total_score"), "tag").limit(target).collect()
+    firsts = best.groupBy("category").agg(F.min(F.struct((-F.col("total_score")).alias("s"), "tag")).alias("m")).select("m.tag", (-F.col("m.s")).alias("total_score"), "category").collect()
+    best.unpersist()
     chosen, seen = [], set()
-    for row in best.limit(20 * target).toLocalIterator():
+    for tag, score, category in sorted({tuple(r) for r in top + firsts}, key=lambda r: (-r[1], r[0])):
         if len(chosen) >= target:
             break
-        if row.category not in seen or row.total_score > 0.7 or len(chosen) < 0.8 * target:
-            chosen.append(row.tag)
-            seen.add(row.category)
+        if category not in seen or score > 0.7 or len(chosen) < 0.8 * target:
+            chosen.append(tag)
+            seen.add(category)
     return chosen
 
 

@@ -92,6 +92,11 @@ def test_corpus_tags(spark):
     assert {r.tag: round(r.content_score, 6) for r in tagging.scored(tagging.candidates(rows), rows, pages).collect()}["python"] == 0.45
 
 
+def test_first_of_a_category_is_found_at_any_rank(spark):
+    scores = spark.createDataFrame([(f"word{i:03d}", 0.6) for i in range(300)] + [("python", 0.4), ("docker", 0.35)], "tag string, total_score double")
+    assert tagging.selected(scores, 5) == ["word000", "word001", "word002", "word003", "python"]
+
+
 def test_folder_limits(spark):
     rows = make(spark, [{"url": f"https://{'ab'[i % 2]}site{i % 2}.com/{i}", "title": "python api"} for i in range(50)])
     filed = folders.filed(folders.categorised(rows), most=20)
