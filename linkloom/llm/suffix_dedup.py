@@ -1,33 +1,35 @@
 """Exact removal of long repeated passages with a logarithmic family of sparse suffix arrays.
 
 A byte goes if a string of ``length`` bytes that covers it also starts anywhere else. Texts are bytes;
-matches stay inside documents.
+matches stay inside documents. In the same pass words that stand in a run of ``passage`` words which another
+document has too are counted: the same index over hashes of words instead of bytes.
 
-Sparse suffixes. In every window of ``length`` bytes one gram of half the length is chosen by the least
+Sparse suffixes. In every window of ``length`` units one gram (half the length of bytes, a quarter of words) is chosen by the least
 hash, the leftmost on ties (winnowing). Equal windows choose the same place, so windows need to be
 compared only where their chosen grams (anchors) are equal. The windows that choose one anchor are neighbours:
-their offsets to it run from lo to hi, and the bytes they cover are the anchor's context.
+their offsets to it run from lo to hi, and the units they cover are the anchor's context. Texts are read once for
+this; anchors are a table from then on.
 
-Pre-aggregation. Anchors of one gram and one context are a class. All windows of a class with two members or
-more are repeated; of a gram with one class and one member none is. Only classes of grams with several
-classes need their bytes, and each class once, however many copies there are. Whole texts that
-occur more than once are settled by their digests before all this.
+Pre-aggregation. Anchors of one gram and one context, 128 bits together, are a class. All windows of a class with
+two members or more are repeated; of a gram with one class and one member none is. Only classes of grams with several
+classes need their bytes, and each class once, from one document, however many copies there are. Whole texts that
+occur more than once are settled by their digests.
 
-The index. Classes come in batches. A batch is sorted into a suffix array of right contexts (and one of
-reversed left contexts); it is merge-scanned with the levels of the family: in merged order the
-common prefixes of neighbours say which windows at which offsets are equal. A new batch enters at level 0;
-two arrays of one level merge into one of the next, so n batches make log n levels and an entry is
-rewritten log n times. Levels are Parquet tables, sorted within buckets of grams.
+The index (``SuffixIndex``) lives below a path and is added to in batches of documents, in one run or in many. A batch
+gets its classes and, for grams that need it, suffix arrays of right contexts and of reversed left contexts. It is
+merge-scanned with the levels that exist: a Bloom filter of its grams picks their classes of interest, and in merged order the
+common prefixes of neighbours say which windows at which offsets are equal. A batch enters at level 0; two levels of one
+size merge into the next, so n batches make log n levels and an entry is rewritten log n times.
 
 Grams that too many classes share (what stands around a very common passage) are lengthened on one side or the
 other, so that no task holds an unbounded group.
-
-Bytes move once per class; before exact joins, Bloom filters of bounded size keep anchors of no
-interest from being shipped.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -41,24 +43,33 @@ _POS = np.uint64(2**28 - 1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
+_BREAK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 #: Bytes of text that are worked on at once. Longer texts are cut into pieces that overlap by a window.
 PIECE = 2_000_000
-#: Entries of the index that one task holds.
-BUCKET_ENTRIES = 20_000
+#: Entries of one gram that one task holds.
+BUCKET_ENTRIES = 8_000
+#: Words of a passage: over fifty.
+PASSAGE = 51
+#: End of a span that reaches to the end of its text.
+_ALL = 2**62
+
+
+def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums before every place and a factor by which the hash of a stretch no longer depends on where it is."""
+    up, down = np.full(len(symbols), _BASE), np.full(len(symbols) + 1, _INVERSE)
+    up[:1] = down[:1] = 1
+    with np.errstate(over="ignore"):
+        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * np.cumprod(up))]), np.cumprod(down)
 
 
-def anchors(raws: list[bytes], length: int):
-    """(piece, place, lo, hi, gram hash) of the anchors of some pieces of at least ``length`` bytes each, and the joined bytes with the pieces' starts."""
-    gram = length // 2
+def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int):
+    """(piece, place, lo, hi, gram hash) of the anchors of pieces of symbols that end at ``ends``."""
     windows = length - gram + 1
-    text = np.frombuffer(b"".join(raws), np.uint8)
-    ends = np.cumsum([len(r) for r in raws])
-    n = len(text)
+    if len(symbols) < length:
+        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
+    sums, down = _sums(symbols)
     with np.errstate(over="ignore"):
-        up, down = np.full(n, _BASE), np.full(n, _INVERSE)
-        up[:1] = down[:1] = 1
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_TABLE[text] * np.cumprod(up))])
-        grams = (sums[gram:] - sums[:-gram]) * np.cumprod(down)[: n - gram + 1]
+        grams = (sums[gram:] - sums[:-gram]) * down[: len(symbols) - gram + 1]
     least = (mix64(grams) & ~_POS) | np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= windows:
@@ -71,85 +82,134 @@ def anchors(raws: list[bytes], length: int):
     inside = start + length <= ends[piece]
     start, piece, place = start[inside], piece[inside], (least[inside] & _POS).astype(np.int64)
     if not len(start):
-        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64)), text, ends
+        return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
     first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])]))
     last = np.concatenate([first[1:], [len(start)]]) - 1
     at = place[first]
-    return (piece[first], at, at - start[last], at - start[first], grams[at]), text, ends
+    return piece[first], at, at - start[last], at - start[first], grams[at]
+
+
+def word_symbols(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of some texts, and the number of words of each text."""
+    text = np.frombuffer(b" ".join(raws) + b" ", np.uint8)
+    gap = _BREAK[text]
+    before = np.concatenate([[True], gap[:-1]])
+    starts, stops = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
+    sums, down = _sums(_TABLE[text])
+    with np.errstate(over="ignore"):
+        symbols = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    ends = np.cumsum([len(r) + 1 for r in raws])
+    return symbols, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(raws))
 
 
-def _blocks(batches, length: int):
-    """Per block of pieces: (digest of each piece's text, offset of each piece in it, anchors, bytes, starts). A digest counts once per task."""
+def _words(raw: bytes) -> np.ndarray:
+    """The word hashes of a long text, cut between words."""
+    parts, a = [], 0
+    while a < len(raw):
+        b = min(a + PIECE, len(raw))
+        while b < len(raw) and not _BREAK[raw[b]]:
+            b += 1
+        parts.append(word_symbols([raw[a:b]])[0])
+        a = b
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
+
+
+def _blocks(batches, length: int, passage: int):
+    """Per block of texts: (unit, digests, offset of each piece in its text, anchors, content, starts of pieces in it).
+
+    Unit 1 is bytes, unit 8 words as 64-bit hashes. The low bit of a gram tells the unit. A digest counts once per task.
+    """
     seen: set[bytes] = set()
-    raws, whose, offset, held = [], [], [], 0
+    raws, whose, held = [], [], 0
+
+    def found(unit, symbols, ends, content, names, offsets):
+        piece, at, lo, hi, gram = anchors(symbols, ends, *((length, length // 2) if unit == 1 else (passage, passage // 4)))
+        gram = (gram & ~np.uint64(1)) | np.uint64(unit == 8)
+        return unit, names, np.array(offsets, np.int64), (piece, at, lo, hi, gram), content, np.concatenate([[0], ends[:-1]])
+
+    def in_bytes(pieces, names, offsets):
+        content = b"".join(pieces)
+        return found(1, _TABLE[np.frombuffer(content, np.uint8)], np.cumsum([len(p) for p in pieces]), content, names, offsets)
 
     def done():
-        found, text, ends = anchors(raws, length)
-        return whose, np.array(offset), found, text, np.concatenate([[0], ends[:-1]])
+        pieces, names, offsets, size = [], [], [], 0
+        for digest, raw in zip(whose, raws, strict=True):
+            for a in range(0, len(raw) - length + 1, PIECE):
+                pieces.append(raw[a : a + PIECE + length - 1])
+                names.append(digest)
+                offsets.append(a)
+                size += len(pieces[-1])
+                if size >= PIECE:
+                    yield in_bytes(pieces, names, offsets)
+                    pieces, names, offsets, size = [], [], [], 0
+        if pieces:
+            yield in_bytes(pieces, names, offsets)
+        if passage:
+            if len(raws) == 1:
+                symbols = _words(raws[0])
+                counts = np.array([len(symbols)])
+            else:
+                symbols, counts = word_symbols(raws)
+            yield found(8, symbols, np.cumsum(counts), symbols.tobytes(), whose, [0] * len(raws))
 
     for batch in batches:
         for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if text is None or digest in seen or len(raw := text.encode("utf-8")) < length:
+            if digest in seen:
                 continue
             seen.add(digest)
-            for a in range(0, len(raw) - length + 1, PIECE):
-                raws.append(raw[a : a + PIECE + length - 1])
-                whose.append(digest)
-                offset.append(a)
-                held += len(raws[-1])
-                if held >= PIECE:
-                    yield done()
-                    raws, whose, offset, held = [], [], [], 0
+            raw = text.encode("utf-8")
+            if raws and held + len(raw) > PIECE:
+                yield from done()
+                raws, whose, held = [], [], 0
+            raws.append(raw)
+            whose.append(digest)
+            held += len(raw)
     if raws:
-        yield done()
+        yield from done()
 
 
-def _contexts(found, text: np.ndarray, length: int) -> np.ndarray:
+def _contexts(unit: int, found, content: bytes, length: int) -> np.ndarray:
     """A hash of each anchor's context and of where the anchor is in it."""
-    raw = text.tobytes()
     _, at, lo, hi, _ = found
     digest = xxhash.xxh3_64_intdigest
-    return np.fromiter((digest(raw[p - h : p - l + length], h * 1_000_003 + l) for p, l, h in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
-
-
-def _class_rows(length: int):
-    def run(batches):
-        for _, _, found, text, _ in _blocks(batches, length):
-            yield pa.RecordBatch.from_arrays([pa.array(found[4].view(np.int64)), pa.array(_contexts(found, text, length).view(np.int64))], names=["gram", "context"])
+    return np.fromiter((digest(content[(p - h) * unit : (p - l + length) * unit], h * 1_000_003 + l) for p, l, h in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
 
-    return run
 
+_ANCHOR = "digest binary, place long, gram long, context long, lo int, hi int"
+_SUFFIX = "gram long, context long, before binary, after binary, lo long, hi long"
+_ENTRY = f"{_SUFFIX}, a long, z long, fresh boolean, owner long"
+_MATCH = "gram long, context long, first long, last long"
+_MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "context", "first", "last")])
 
-def _place_rows(length: int, wanted):
-    """(digest, place, gram, context, lo, hi) of the anchors whose context may be wanted."""
 
+def _anchor_rows(length: int, passage: int):
     def run(batches):
-        for whose, offset, found, text, starts in _blocks(batches, length):
-            context = _contexts(found, text, length)
-            some = np.flatnonzero(wanted.value.has(context))
-            piece, at, lo, hi, gram = (x[some] for x in found)
+        for unit, names, offset, found, content, starts in _blocks(batches, length, passage):
+            piece, at, lo, hi, gram = found
+            context = _contexts(unit, found, content, passage if unit == 8 else length)
+            whose = pa.array(names, pa.binary()).take(pa.array(piece))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([whose[p] for p in piece], pa.binary()), pa.array(at - starts[piece] + offset[piece]), pa.array(gram.view(np.int64)), pa.array(context[some].view(np.int64)), pa.array(lo), pa.array(hi)],
+                [whose, pa.array(at - starts[piece] + offset[piece]), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
                 names=["digest", "place", "gram", "context", "lo", "hi"],
             )
 
     return run
 
 
-def _suffix_rows(length: int, wanted):
-    """(gram, context, before, after, lo, hi): the bytes left of an anchor, and those right of its gram, of classes that may be wanted; once per task."""
+def _suffix_rows(length: int, passage: int, wanted):
+    """(gram, context, before, after, lo, hi): the units left of an anchor, and those from it on, of classes that may be wanted; once per task."""
 
     def run(batches):
         sent: set[tuple[int, int]] = set()
-        for _, _, found, text, _ in _blocks(batches, length):
-            context = _contexts(found, text, length)
-            raw, rows = text.tobytes(), []
+        for unit, _, _, found, content, _ in _blocks(batches, length, passage):
+            size, rows = passage if unit == 8 else length, []
+            context = _contexts(unit, found, content, size)
             for i in np.flatnonzero(wanted.value.has(context)).tolist():
                 key = (int(found[4][i].view(np.int64)), int(context[i].view(np.int64)))
                 if key not in sent:
                     sent.add(key)
                     p, lo, hi = int(found[1][i]), int(found[2][i]), int(found[3][i])
-                    rows.append((*key, raw[p - hi : p], raw[p + length // 2 : p - lo + length], lo, hi))
+                    rows.append((*key, content[(p - hi) * unit : p * unit], content[p * unit : (p - lo + size) * unit], lo, hi))
             if rows:
                 types = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["gram", "context", "before", "after", "lo", "hi"])
@@ -157,8 +217,18 @@ def _suffix_rows(length: int, wanted):
     return run
 
 
+def _picked(column: str, wanted):
+    """Rows whose column may be in a Bloom filter."""
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(wanted.value.has(np.asarray(batch.column(column)).view(np.uint64))))
+
+    return run
+
+
 def suffix_array(grams: list[int], strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """The order by (gram, string), and the common prefix of each with the one before it (-1 where the gram changes).
+    """The order by (gram, string), and the common prefix in bytes of each with the one before it (-1 where the gram changes).
 
     Runs that are sorted already, as levels are, merge in linear time.
     """
@@ -178,202 +248,311 @@ def suffix_array(grams: list[int], strings: list[bytes]) -> tuple[np.ndarray, np
     return np.array(order, np.int64), common
 
 
-def merge_scan(new: list[tuple], old: list[tuple], half: int) -> list[tuple[int, int, int, int]]:
-    """Windows that a new entry shares with another entry: (owner, context, first offset, last offset), for both.
+def merge_scan(new: list[tuple], old: list[tuple], length: int, unit: int = 1) -> list[tuple[int, int, int, int]]:
+    """Windows that a new entry shares with an entry of another document: (owner, context, first offset, last offset), for both.
 
-    Entries are (gram, context, before, after, lo, hi, owner). A window at offset o is equal in two entries if
-    the last o bytes before and the first half - o bytes after agree: if in both arrays no
-    smaller common prefix stands between them.
+    Entries are (gram, context, before, after, lo, hi, a, z, owner): a and z the least and the largest document of the class (for bytes, which
+    may repeat within a document, both the class itself). A window at offset o is equal in two entries if the last o units before
+    and the first length - o units from the anchor on agree: if in both arrays no smaller common prefix stands between them.
     """
     every = old + new
     if len(every) < 2:
         return []
     grams = [e[0] for e in every]
     after, after_common = suffix_array(grams, [e[3] for e in every])
-    before, before_common = suffix_array(grams, [e[2][::-1] for e in every])
-    lo, hi = (np.array([e[i] for e in every], np.int64) for i in (4, 5))
+    reverse = (lambda b: b[::-1]) if unit == 1 else (lambda b: np.frombuffer(b, np.uint64)[::-1].tobytes())
+    before, before_common = suffix_array(grams, [reverse(e[2]) for e in every])
+    after_common, before_common = after_common // unit, before_common // unit  # -1 stays -1
+    lo, hi, a, z = (np.array([e[i] for e in every], np.int64) for i in (4, 5, 6, 7))
     is_new = np.arange(len(every)) >= len(old)
-    marked = np.zeros((len(every), half + 1), bool)
+    marked = np.zeros((len(every), length + 1), bool)
     right, left = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
     for o in range(int(lo.min()), int(hi.max()) + 1):
         live = np.flatnonzero((lo <= o) & (o <= hi))
-        if len(live) < 2:
+        if not len(live):
             continue
-        right[after] = np.cumsum(after_common < half - o)
+        right[after] = np.cumsum(after_common < length - o)
         left[before] = np.cumsum(before_common < o)
-        _, group, size = np.unique(right[live] * (len(every) + 1) + left[live], return_inverse=True, return_counts=True)
-        fresh = np.zeros(len(size), bool)
-        fresh[group[is_new[live]]] = True
-        marked[live, o] = ((size > 1) & fresh)[group]
+        key = right[live] * (len(every) + 1) + left[live]
+        by = np.argsort(key, kind="stable")
+        ranked = live[by]
+        heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
+        other = np.minimum.reduceat(a[ranked], heads) != np.maximum.reduceat(z[ranked], heads)
+        good = other & np.maximum.reduceat(is_new[ranked], heads)
+        marked[ranked, o] = np.repeat(good, np.diff(np.concatenate([heads, [len(ranked)]])))
     rows = []
     for i in np.flatnonzero(marked.any(axis=1)):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], marked[i].view(np.int8), [0]])))
-        rows += [(every[i][6], every[i][1], int(a), int(b) - 1) for a, b in zip(edges[::2], edges[1::2], strict=True)]
+        rows += [(every[i][8], every[i][1], int(x), int(y) - 1) for x, y in zip(edges[::2], edges[1::2], strict=True)]
     return rows
 
 
-_SUFFIX = "gram long, context long, before binary, after binary, lo long, hi long"
-_ENTRY = f"{_SUFFIX}, owner long"
-_MATCH = "gram long, context long, first long, last long"
-_MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "context", "first", "last")])
+class SuffixIndex:
+    """A family of levels below ``path``, added to in batches of documents; opening the path again goes on where the last run ended.
 
+    Tables of a batch: texts (distinct digests may repeat), anchors, spans. Tables of a level: classes (gram, context, n, a, z: members and the
+    least and largest document) and arrays (entries with their bytes, sorted by gram and right context). What counts is named by the newest
+    manifest, which is written last and never over another one: a run that fails leaves the index as it was, and of two runs that add at once one fails.
+    """
 
-class SuffixFamily:
-    """The levels of the index: sorted Parquet tables below ``path``, level i made of 2^i batches."""
-
-    def __init__(self, spark: SparkSession, path: str, length: int, buckets: int):
-        self.spark, self.path, self.length, self.buckets = spark, path, length, buckets
-        self.levels: dict[int, DataFrame] = {}
-
-    def _sorted(self, entries: DataFrame, label: str) -> DataFrame:
-        """A suffix array: entries dealt by gram and sorted by gram and right context."""
-        by = F.pmod(F.xxhash64("gram"), F.lit(self.buckets)).cast("int")
-        return cut(entries.withColumn("bucket", by).repartition("bucket").sortWithinPartitions("bucket", "gram", "after"), label)
-
-    def add(self, entries: DataFrame) -> DataFrame:
-        """Matches of a new batch with itself and with all levels; then the batch joins the family."""
-        batch = self._sorted(entries, "level")
-        half = self.length // 2
-
-        def scan(new: pa.Table, old: pa.Table) -> pa.Table:
-            columns = ("gram", "context", "before", "after", "lo", "hi", "owner")
-            rows = merge_scan(*[list(zip(*[t.column(c).to_pylist() for c in columns], strict=True)) for t in (new, old)], half)
-            return pa.table([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], schema=_MATCH_ARROW)
-
-        held = self.spark.createDataFrame([], batch.schema)
-        for level in self.levels.values():
-            held = held.unionByName(level)
-        matches = cut(batch.groupBy("bucket").cogroup(held.groupBy("bucket")).applyInArrow(scan, _MATCH), "matches")
-        at, carry = 0, batch
-        while at in self.levels:
-            merged = self._sorted(self.levels[at].unionByName(carry).drop("bucket"), "level")
-            drop_scratch(self.levels.pop(at), carry)
+    def __init__(self, spark: SparkSession, path: str, length: int = 400, passage: int = PASSAGE):
+        self.spark, self.path, self.length, self.passage = spark, path.rstrip("/"), length, passage
+        self.state = self._read() or {"version": 0, "length": length, "passage": passage, "batches": [], "levels": {}}
+        if (self.state["length"], self.state["passage"]) != (length, passage):
+            raise ValueError("the index was made with other lengths")
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm, at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), at
+
+    def _read(self) -> dict | None:
+        _, fs, at = self._fs()
+        if not fs.exists(at):
+            return None
+        names = sorted(f.getPath().getName() for f in fs.listStatus(at) if f.getPath().getName().startswith("manifest-"))
+        if not names:
+            return None
+        return json.loads("".join(r.value for r in self.spark.read.text(f"{self.path}/{names[-1]}").collect()))
+
+    def _commit(self, state: dict) -> None:
+        jvm, fs, _ = self._fs()
+        out = fs.create(jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{state['version']:09d}.json"), False)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        self.state = state
+
+    def _put(self, df: DataFrame, name: str) -> DataFrame:
+        """Written once and read back."""
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{self.path}/{name}")
+        return self._get(name)
+
+    def _get(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{name}")
+
+    def _drop(self, *names: str) -> None:
+        jvm, fs, _ = self._fs()
+        for name in names:
+            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
+
+    def _every(self, kind: str, *more: str) -> DataFrame | None:
+        names = [f"{kind}-{b}" for b in (self.state["batches"] if kind in ("texts", "anchors", "spans") else self.state["levels"].values())]
+        return self.spark.read.parquet(*[f"{self.path}/{n}" for n in (*names, *more)]) if names or more else None
+
+    def add(self, docs: DataFrame, text_col: str = "text") -> None:
+        """A batch of documents: matched with itself and with all levels, then part of the family."""
+        version = self.state["version"] + 1
+        tag = f"{version:06d}-{uuid.uuid4().hex[:8]}"
+        texts = self._put(docs.select(digest_of(text_col).alias("digest"), F.col(text_col).alias("text")).where(F.octet_length("text") >= self._shortest()), f"texts-{tag}")
+        placed = self._put(texts.mapInArrow(_anchor_rows(self.length, self.passage), _ANCHOR), f"anchors-{tag}")
+        doc = F.xxhash64("digest")
+        classes = placed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("z"))
+        classes = self._put(classes, f"classes-{tag}")
+        now = classes.withColumn("fresh", F.lit(True))
+        if (old := self._every("classes")) is not None:
+            grams = self.spark.sparkContext.broadcast(bloom(classes, "gram"))
+            now = now.unionByName(old.mapInArrow(_picked("gram", grams), old.schema).withColumn("fresh", F.lit(False)))
+            now = now.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("fresh").alias("fresh"))
+        grams = now.groupBy("gram").agg(F.sum("n").alias("members"), F.count("*").alias("contexts"), F.max("fresh").alias("new")).where("members > 1 AND new").select("gram", "contexts")
+        touched = cut(now.join(cut(grams, "grams"), "gram"), "touched")
+        found = self._matches(touched, tag)
+        # All windows of a class with a second member: for words, one in another document.
+        whole = touched.where("fresh AND CASE WHEN gram & 1 = 0 THEN n > 1 ELSE a <> z END").select("gram", "context")
+        self._spans(whole, found, tag)
+        levels, at, carry = dict(self.state["levels"]), 0, tag
+        while str(at) in levels:
+            other = levels.pop(str(at))
+            merged = f"{other.split('.')[0]}.{tag}"
+            both = self.spark.read.parquet(*[f"{self.path}/classes-{t}" for t in (other, carry)])
+            self._put(both.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")), f"classes-{merged}")
+            arrays = self.spark.read.parquet(*[f"{self.path}/arrays-{t}" for t in (other, carry)])
+            self._put(arrays.repartition("gram").sortWithinPartitions("gram", "after"), f"arrays-{merged}")
             at, carry = at + 1, merged
-        self.levels[at] = carry
-        return matches
+        gone = [t for t in (*self.state["levels"].values(), tag) if t not in (*levels.values(), carry)]
+        self._commit({**self.state, "version": version, "batches": [*self.state["batches"], tag], "levels": {**levels, str(at): carry}})
+        self._drop(*[f"{kind}-{t}" for kind in ("classes", "arrays") for t in gone])
+
+    def _shortest(self) -> int:
+        return min(self.length, 2 * self.passage - 1) if self.passage else self.length
+
+    def _matches(self, touched: DataFrame, tag: str) -> DataFrame:
+        """(gram, context, first, last): repeated windows of classes whose gram has several classes."""
+        mixed = touched.where("contexts > 1").select("gram", "context", "a", "z", "fresh")
+        n = mixed.count()
+        held = self._every("arrays")
+        known = None
+        if held is not None and n:
+            picked = self.spark.sparkContext.broadcast(bloom(mixed, "context"))
+            known = held.mapInArrow(_picked("context", picked), held.schema).dropDuplicates(["gram", "context"])
+            known = cut(known.join(mixed.select("gram", "context"), ["gram", "context"], "left_semi"), "known")
+        missing = mixed if known is None else cut(mixed.join(known, ["gram", "context"], "left_anti"), "missing")
+        # A class is read from its least document: only texts that are one for some class are worked on.
+        contexts = self.spark.sparkContext.broadcast(bloom(missing, "context"))
+        docs = self.spark.sparkContext.broadcast(bloom(missing, "a"))
+        texts = self._every("texts", f"texts-{tag}").withColumn("doc", F.xxhash64("digest"))
+        some = texts.mapInArrow(_picked("doc", docs), texts.schema).select("digest", "text")
+        shipped = some.mapInArrow(_suffix_rows(self.length, self.passage, contexts), _SUFFIX)
+        shipped = shipped.groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "lo", "hi")]).join(missing.select("gram", "context"), ["gram", "context"], "left_semi")
+        shipped = self._put(shipped.repartition("gram").sortWithinPartitions("gram", "after"), f"arrays-{tag}")
+        entries = shipped if known is None else shipped.unionByName(known)
+        if not n:
+            return self.spark.createDataFrame([], _MATCH)
+        one = F.col("gram").bitwiseAND(F.lit(1)) == 0
+        entries = entries.join(mixed, ["gram", "context"]).withColumns({"a": F.when(one, F.col("context")).otherwise(F.col("a")), "z": F.when(one, F.col("context")).otherwise(F.col("z")), "owner": F.col("gram")})
+        entries, found = self._lengthened(cut(entries, "entries"))
+        length, passage = self.length, self.passage
+        buckets = max(8, n // BUCKET_ENTRIES * 4)
+        fields = ("gram", "context", "before", "after", "lo", "hi", "a", "z", "owner")
+
+        def scan(table: pa.Table) -> pa.Table:
+            rows = list(zip(*[table.column(c).to_pylist() for c in (*fields, "fresh")], strict=True))
+            out = []
+            for unit, size in ((1, length), (8, passage)):
+                some = [r for r in rows if r[8] & 1 == (unit == 8)]
+                out += merge_scan([r[:9] for r in some if r[9]], [r[:9] for r in some if not r[9]], size, unit)
+            return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=_MATCH_ARROW)
+
+        dealt = entries.select(*fields, "fresh", F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"))
+        return cut(found.union(dealt.groupBy("bucket").applyInArrow(scan, _MATCH)).distinct(), "found")
+
+    def _lengthened(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Entries for the scan, none of them in a gram of more than BUCKET_ENTRIES, and matches found on the way.
+
+        Windows at offsets a to b of equal text share the last a units before the gram and the first length - b
+        from it on. So a gram with too many contexts is halved by offsets, each half under a longer gram with those units,
+        until few share one; entries alone in theirs go. At a single offset the longer gram is the window itself.
+        """
+        sizes = entries.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ENTRIES)
+        hot = cut(sizes.select("gram"), "hot")
+        found = entries.sparkSession.createDataFrame([], _MATCH)
+        if hot.isEmpty():
+            return entries, found
+        settled = entries.join(hot, "gram", "left_anti")
+        names = settled.columns
+        words = F.col("owner").bitwiseAND(F.lit(1)) == 1
+        now = entries.join(hot, "gram").withColumns({"from": F.lit(0).cast("long"), "to": F.when(words, self.passage).otherwise(self.length).cast("long"), "unit": F.when(words, 8).otherwise(1), "size": F.when(words, self.passage).otherwise(self.length)})
+        while True:
+            middle = F.floor((F.col("from") + F.col("to")) / 2)
+            halves = F.array(F.struct(F.col("from").alias("from"), middle.alias("to")), F.struct((middle + 1).alias("from"), F.col("to").alias("to")))
+            rows = now.withColumn("r", F.explode(halves)).drop("from", "to").select("*", "r.from", "r.to").drop("r")
+            longer = "substring(before, CAST((hi - from) * unit + 1 AS INT), CAST(from * unit AS INT)), substring(after, 1, CAST((size - to) * unit AS INT))"
+            rows = rows.where("hi >= from AND lo <= to").withColumn("gram", F.expr(f"shiftleft(shiftright(xxhash64(owner, from, to, {longer}), 1), 1) | (owner & 1)"))
+            rows = cut(rows, "longer")
+            shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.max("fresh").alias("new"), F.min("a").alias("least"), F.max("z").alias("most")).where("least <> most AND new")
+            kept = cut(rows.join(cut(shared, "shared"), "gram"), "kept")
+            few = kept.where(F.col("n") <= BUCKET_ENTRIES).withColumns(
+                {"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to"), "before": F.expr("substring(before, CAST(greatest(hi - to, 0) * unit + 1 AS INT), CAST(least(hi, to) * unit AS INT))")}
+            )
+            settled = settled.unionByName(few.select(*names))
+            found = found.union(kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("from") == F.col("to"))).select(F.col("owner").alias("gram"), "context", F.col("from").alias("first"), F.col("to").alias("last")))
+            now = kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("from") < F.col("to"))).drop("n", "new", "least", "most")
+            drop_scratch(rows)
+            if now.isEmpty():
+                return cut(settled, "settled"), found
+
+    def _spans(self, whole: DataFrame, found: DataFrame, tag: str) -> None:
+        """(digest, words, start, end) of repeated windows, of all documents that have them, old ones included."""
+        wanted = whole.union(found.select("gram", "context").distinct())
+        sent = self.spark.sparkContext.broadcast(bloom(wanted, "context"))
+        every = self._every("anchors", f"anchors-{tag}")
+        placed = cut(every.mapInArrow(_picked("context", sent), every.schema), "placed")
+        words = F.col("gram").bitwiseAND(F.lit(1)) == 1
+        long = F.when(words, self.passage).otherwise(self.length)
+        full = placed.join(whole, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("hi")).alias("start"), (F.col("place") - F.col("lo") + long).alias("end"))
+        part = placed.join(found, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + long).alias("end"))
+        self._put(full.union(part).distinct(), f"spans-{tag}")
+        drop_scratch(placed)
+
+    def spans(self) -> DataFrame:
+        """(digest, spans) of every text with a repeated window: arrays of (words, start, end), words false for bytes; sorted, may overlap."""
+        texts = self._every("texts")
+        if texts is None:
+            return self.spark.createDataFrame([], "digest binary, spans array<struct<words: boolean, start: long, end: long>>")
+        copies = texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
+        both = copies.select("digest", F.explode(F.array(F.lit(False), F.lit(True))).alias("words"), F.lit(0).cast("long").alias("start"), F.lit(_ALL).cast("long").alias("end"))
+        return self._every("spans").distinct().unionByName(both).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("words", "start", "end"))).alias("spans"))
+
+
+def digest_of(text_col: str):
+    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+
 
+#: Working columns; documents' own columns of these names are safe, as working columns are told by place or renamed.
+_DIGEST, _SPANS = "__linkloom_digest", "__linkloom_spans"
 
-def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", batches: int = 4) -> DataFrame:
-    """Adds ``n_bytes``, ``removed`` (array of start, end in bytes; maximal runs) and ``kept_bytes`` (binary) to every row.
+
+def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", batches: int = 2, passage: int = PASSAGE, index: SuffixIndex | None = None) -> DataFrame:
+    """Adds ``n_bytes``, ``removed`` (array of start, end in bytes; maximal runs), ``kept_bytes`` (binary) and ``passages`` (array of start, end in words) to every row.
 
     Null and texts shorter than ``length``: nothing removed. Repeated rows are different documents with one text, so
-    their texts go if they have ``length`` bytes. What is left need not be valid UTF-8. Columns of the
-    added names, and named digest, are replaced; an empty table gives none.
+    their texts go if they have ``length`` bytes, and are passages if they have ``passage`` words. What is left need not be valid UTF-8.
+    Columns of the added names are replaced, all others kept; an empty table gives none. Without an ``index`` the documents enter an
+    index of this run in batches; with one they are added to it as a batch and are judged against all that it holds.
     """
     spark = docs.sparkSession
     tune(spark)
-    docs = docs.drop("n_bytes", "removed", "kept_bytes", "digest")
-    texts = docs.select(F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).alias("digest"), F.col(text_col).alias("text"))
-    long = texts.where(F.octet_length("text") >= length)
-    copies = long.groupBy("digest").agg(F.count("*").alias("n"), F.first(F.octet_length("text")).alias("size")).where("n > 1").select("digest", F.lit(0).cast("long").alias("start"), F.col("size").cast("long").alias("end"))
-    # Classes of anchors: all members of one gram meet, after members of one context were counted in the map tasks.
-    classes = long.mapInArrow(_class_rows(length), "gram long, context long").groupBy("gram", "context").agg(F.count("*").alias("n"))
-    classes = cut(classes, "classes")
-    grams = classes.groupBy("gram").agg(F.sum("n").alias("members"), F.count("*").alias("contexts")).where("members > 1")
-    repeated = cut(classes.join(cut(grams, "grams"), "gram"), "repeated")
-    drop_scratch(classes)
-    mixed = repeated.where("contexts > 1").select("gram", "context")
-    found = _family_matches(spark, long, mixed, length, batches)
-    whole = repeated.where("n > 1").select("gram", "context")
-    wanted = whole.union(found.select("gram", "context").distinct())
-    sent = spark.sparkContext.broadcast(bloom(wanted, "context"))
-    placed = cut(long.mapInArrow(_place_rows(length, sent), "digest binary, place long, gram long, context long, lo long, hi long"), "placed")
-    full = placed.join(whole, ["gram", "context"]).select("digest", (F.col("place") - F.col("hi")).alias("start"), (F.col("place") - F.col("lo") + length).alias("end"))
-    part = placed.join(found, ["gram", "context"]).select("digest", (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + length).alias("end"))
-    spans = full.union(part).distinct().union(copies).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    spans = cut(spans, "spans")
-    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], "n_bytes long, removed array<struct<start: long, end: long>>, kept_bytes binary").schema.fields])
-    at_text = docs.columns.index(text_col)
-    joined = docs.withColumn("digest", texts_digest(text_col)).join(spans, "digest", "left").select(*docs.columns, "spans")
-    return joined.mapInArrow(_removal(at_text, len(docs.columns), schema.names), schema)
-
-
-def texts_digest(text_col: str):
-    return F.unhex(F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
-
-
-def _family_matches(spark: SparkSession, long: DataFrame, mixed: DataFrame, length: int, batches: int) -> DataFrame:
-    """(gram, context, first, last): repeated windows of classes whose gram has several classes."""
-    n = mixed.count()
-    if not n:
-        return spark.createDataFrame([], _MATCH)
-    sent = spark.sparkContext.broadcast(bloom(mixed, "context"))
-    shipped = long.mapInArrow(_suffix_rows(length, sent), _SUFFIX)
-    entries = shipped.groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "lo", "hi")]).join(mixed, ["gram", "context"], "left_semi")
-    entries, found = _lengthened(cut(entries, "entries"), length)
-    n = entries.count()
-    family = SuffixFamily(spark, scratch_path(spark, "family"), length, max(8, n // BUCKET_ENTRIES * batches))
-    for b in range(batches):
-        found = found.union(family.add(entries.where(F.pmod(F.xxhash64("context"), F.lit(batches)) == b)))
-    return cut(found.distinct(), "found")
-
-
-def _lengthened(entries: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """Entries for the index, none of them in a gram of more than BUCKET_ENTRIES, and matches found on the way.
-
-    Windows at offsets a to b of equal text share the last a bytes before the gram and the first half - b
-    after it. So a gram with too many contexts is halved by offsets, each half under a longer gram with those bytes,
-    until few share one; entries alone in theirs go. At a single offset the longer gram is the window itself: all match.
-    """
-    half = length // 2
-    sizes = entries.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET_ENTRIES)
-    hot = cut(sizes.select("gram"), "hot")
-    owned = entries.withColumn("owner", F.col("gram"))
-    found = entries.sparkSession.createDataFrame([], _MATCH)
-    if hot.isEmpty():
-        return owned, found
-    settled = owned.join(hot, "gram", "left_anti")
-    now = owned.join(hot, "gram").withColumns({"a": F.lit(0).cast("long"), "b": F.lit(half).cast("long")})
-    names = settled.columns
-    while True:
-        middle = F.floor((F.col("a") + F.col("b")) / 2)
-        halves = F.array(F.struct(F.col("a").alias("a"), middle.alias("b")), F.struct((middle + 1).alias("a"), F.col("b").alias("b")))
-        rows = now.withColumn("r", F.explode(halves)).drop("a", "b").select("*", "r.a", "r.b").drop("r")
-        rows = rows.where("hi >= a AND lo <= b").withColumn("gram", F.expr(f"xxhash64(owner, a, b, substring(before, CAST(hi - a + 1 AS INT), CAST(a AS INT)), substring(after, 1, CAST({half} - b AS INT)))"))
-        rows = cut(rows, "longer")
-        shared = rows.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-        kept = cut(rows.join(cut(shared, "shared"), "gram"), "kept")
-        few = kept.where(F.col("n") <= BUCKET_ENTRIES).withColumns({"lo": F.greatest("lo", "a"), "hi": F.least("hi", "b"), "before": F.expr("substring(before, CAST(greatest(hi - b, 0) + 1 AS INT), CAST(least(hi, b) AS INT))")})
-        settled = settled.unionByName(few.select(*names))
-        found = found.union(kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("a") == F.col("b"))).select(F.col("owner").alias("gram"), "context", F.col("a").alias("first"), F.col("b").alias("last")))
-        now = kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("a") < F.col("b"))).drop("n")
-        drop_scratch(rows)
-        if now.isEmpty():
-            return cut(settled, "settled"), found
-
-
-def merged(spans) -> list[dict]:
-    """Maximal runs of sorted spans; touching ones join."""
+    docs = docs.drop("n_bytes", "removed", "kept_bytes", "passages")
+    own = index is None
+    if own:
+        index = SuffixIndex(spark, scratch_path(spark, "suffixes"), length, passage)
+        part = F.pmod(F.xxhash64(digest_of(text_col)), F.lit(batches))
+        for b in range(batches):
+            index.add(docs.where(part == b), text_col)
+    else:
+        index.add(docs, text_col)
+    spans = cut(index.spans(), "spans")
+    if own:
+        index._drop("")
+    added = "n_bytes long, removed array<struct<start: long, end: long>>, kept_bytes binary, passages array<struct<start: long, end: long>>"
+    schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], added).schema.fields])
+    joined = docs.withColumn(_DIGEST, digest_of(text_col)).join(spans.select(F.col("digest").alias(_DIGEST), F.col("spans").alias(_SPANS)), _DIGEST, "left").select(*docs.columns, _SPANS)
+    return joined.mapInArrow(_removal(docs.columns.index(text_col), len(docs.columns), schema.names, index.length, index.passage), schema)
+
+
+def merged(spans, size: int) -> list[dict]:
+    """Maximal runs of sorted spans, within ``size``; touching ones join."""
     out: list[dict] = []
-    for s in spans or ():
-        if out and s["start"] <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], s["end"])
+    for start, end in spans:
+        end = min(end, size)
+        if out and start <= out[-1]["end"]:
+            out[-1]["end"] = max(out[-1]["end"], end)
         else:
-            out.append({"start": s["start"], "end": s["end"]})
+            out.append({"start": start, "end": end})
     return out
 
 
-def _removal(at_text: int, n_columns: int, names: list[str]):
+def _removal(at_text: int, n_columns: int, names: list[str], length: int, passage: int):
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches):
         for batch in batches:
-            sizes, removed, kept = [], [], []
+            sizes, removed, kept, passages = [], [], [], []
             for text, spans in zip(batch.column(at_text).to_pylist(), batch.column(n_columns).to_pylist(), strict=True):
-                raw, runs = (text or "").encode("utf-8"), merged(spans)
+                raw = (text or "").encode("utf-8")
+                byte_spans = [(s["start"], s["end"]) for s in spans or () if not s["words"]]
+                word_spans = [(s["start"], s["end"]) for s in spans or () if s["words"]]
+                runs = merged(byte_spans, len(raw)) if len(raw) >= length else []
+                n_words = len(_words(raw)) if any(end == _ALL for _, end in word_spans) else _ALL
                 sizes.append(len(raw))
                 removed.append(runs)
+                passages.append(merged(word_spans, n_words) if passage and n_words >= passage else [])
                 edges = [0, *[x for r in runs for x in (r["start"], r["end"])], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            columns = [*batch.columns[:n_columns], pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary())]
+            columns = [*batch.columns[:n_columns], pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()), pa.array(passages, span)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
 
+def _total(runs: str):
+    return F.aggregate(runs, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+
+
 def op8_query(spark, sf_dir: str) -> DataFrame:
-    """What is left of every document without 400-byte strings that start anywhere else."""
+    """What is left of every document without 400-byte strings that start anywhere else; and its words in passages of over 50 words that another document has too."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cleaned = remove_repeats(docs)
-    lost = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return cleaned.select("doc_id", "n_bytes", lost.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    return cleaned.select(
+        "doc_id", "n_bytes", _total("removed").alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"),
+        _total("passages").alias("n_passage_words"), (F.size("passages") > 0).alias("has_passage"),
+    )
