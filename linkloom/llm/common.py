@@ -1,7 +1,7 @@
 """What the operators of this subpackage share: scratch tables, word splitting and 64-bit mixing.
 
 Scratch tables cut lineage. They are Parquet folders below the directory the cluster names in
-``spark.checkpoint.dir``; only where that is unset (tests, local mode) is a temporary folder made.
+``spark.checkpoint.dir``; only in local mode, where that may be unset, is a temporary folder made.
 A reread scratch table has no lineage, so a lost executor costs a reread, not a recomputation.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -29,6 +30,9 @@ def scratch_root(spark: SparkSession) -> str:
     """The folder for scratch tables: the session's checkpoint directory."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir is not set: executors of {master} share no other folder")
         root = tempfile.mkdtemp(prefix="linkloom-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -139,23 +143,24 @@ class Bloom:
 
 
 def bloom(keys: DataFrame, column: str, most_bits: int = 1 << 28, probes: int = 5) -> Bloom:
-    """A Bloom filter over a column of longs. Tasks set bits, words of bits are combined, and at most ``most_bits`` bits move."""
+    """A Bloom filter over a column of longs, or of binaries that hold packed ones. Tasks set bits, words of bits are combined, and at most ``most_bits`` bits move."""
     n_bits = 1 << 16
-    wanted = 12 * keys.count()
+    packed = keys.schema[column].dataType.typeName() == "binary"
+    wanted = 12 * ((keys.agg(F.sum(F.octet_length(column))).first()[0] or 0) // 8 if packed else keys.count())
     while n_bits < min(wanted, most_bits):
         n_bits *= 2
 
     def run(batches):
         bits = np.zeros(n_bits // 64, np.uint64)
         for batch in batches:
-            some = np.asarray(batch.column(0)).view(np.uint64)
+            some = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64) if packed else np.asarray(batch.column(0)).view(np.uint64)
             for i in range(probes):
                 at = Bloom.places(some, n_bits, i)
                 np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
         words = np.flatnonzero(bits)
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.int64()), pa.array(bits[words].view(np.int64))], names=["word", "value"])
 
-    found = keys.select(F.col(column).cast("long")).mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
+    found = keys.select(column if packed else F.col(column).cast("long")).mapInArrow(run, "word long, value long").groupBy("word").agg(F.bit_or("value").alias("value")).toArrow()
     return Bloom(np.asarray(found.column("word").combine_chunks()), np.asarray(found.column("value").combine_chunks()).view(np.uint64), n_bits, probes)
 
 

@@ -7,20 +7,21 @@ document has too are counted: the same index over hashes of words instead of byt
 Sparse suffixes. In every window of ``length`` units one gram (half the length of bytes, a quarter of words) is chosen by the least
 hash, the leftmost on ties (winnowing). Equal windows choose the same place, so windows need to be
 compared only where their chosen grams (anchors) are equal. The windows that choose one anchor are neighbours:
-their offsets to it run from lo to hi, and the units they cover are the anchor's context. Texts are read once for
-this; anchors are a table from then on.
-
-Pre-aggregation. Anchors of one gram and one context, 128 bits together, are a class. All windows of a class with
-two members or more are repeated; of a gram with one class and one member none is. Only classes of grams with several
-classes need their bytes, and each class once, from one document, however many copies there are. Whole texts that
+their offsets to it run from lo to hi, and the units they cover are the anchor's context.
+
+The index (``SuffixIndex``) lives below a path and is added to in batches of documents, in one run or in many. A level is the sorted
+array of its anchors' grams, in segments of bounded size, each gram once with a mark if it has several members, so a passage in
+a third of all texts is one entry. A batch is sorted into such an array and merge-scanned with the levels that exist: what it shares with them, or
+has twice itself, are the grams of interest. It enters at level 0; two levels of one size merge into the next, so n batches make log n
+levels and an entry is rewritten log n times.
+
+Only anchors of these grams are looked at further, in whichever batch they are: a Bloom filter of bounded size picks texts by the grams that are stored
+with them. Anchors of one gram and one context, 128 bits together, are a class. All windows of a class with
+two members or more are repeated; of a gram with one class and one member none is. Classes of grams with several
+classes send their bytes, each class once, from one document, however many copies there are; from these come suffix arrays of right contexts and of
+reversed left contexts, and in sorted order the common prefixes of neighbours say which windows at which offsets are equal. Whole texts that
 occur more than once are settled by their digests.
 
-The index (``SuffixIndex``) lives below a path and is added to in batches of documents, in one run or in many. A batch
-gets its classes and, for grams that need it, suffix arrays of right contexts and of reversed left contexts. It is
-merge-scanned with the levels that exist: a Bloom filter of its grams picks their classes of interest, and in merged order the
-common prefixes of neighbours say which windows at which offsets are equal. A batch enters at level 0; two levels of one
-size merge into the next, so n batches make log n levels and an entry is rewritten log n times.
-
 Grams that too many classes share (what stands around a very common passage) are lengthened on one side or the
 other, so that no task holds an unbounded group.
 """
@@ -48,6 +49,8 @@ _BREAK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 PIECE = 2_000_000
 #: Entries of one gram that one task holds.
 BUCKET_ENTRIES = 8_000
+#: Grams of a segment of an array.
+SEGMENT = 1 << 20
 #: Words of a passage: over fifty.
 PASSAGE = 51
 #: End of a span that reaches to the end of its text.
@@ -114,55 +117,67 @@ def _words(raw: bytes) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
 
-def _blocks(batches, length: int, passage: int):
-    """Per block of texts: (unit, digests, offset of each piece in its text, anchors, content, starts of pieces in it).
+def _blocks(batches, length: int, passage: int, wanted=None):
+    """Per block of texts: (unit, number of each piece's text, offset of each piece in it, anchors, content, starts of pieces), and the texts' digests.
 
-    Unit 1 is bytes, unit 8 words as 64-bit hashes. The low bit of a gram tells the unit. A digest counts once per task.
+    Unit 1 is bytes, unit 8 words as 64-bit hashes. The low bit of a gram tells the unit. A digest counts once per task; texts without
+    a gram that may be in the filter ``wanted`` are left out, as are the anchors of other grams.
     """
     seen: set[bytes] = set()
     raws, whose, held = [], [], 0
 
-    def found(unit, symbols, ends, content, names, offsets):
+    def found(unit, symbols, ends, content, numbers, offsets):
         piece, at, lo, hi, gram = anchors(symbols, ends, *((length, length // 2) if unit == 1 else (passage, passage // 4)))
         gram = (gram & ~np.uint64(1)) | np.uint64(unit == 8)
-        return unit, names, np.array(offsets, np.int64), (piece, at, lo, hi, gram), content, np.concatenate([[0], ends[:-1]])
+        if wanted is not None:
+            some = np.flatnonzero(wanted.has(gram))
+            piece, at, lo, hi, gram = (x[some] for x in (piece, at, lo, hi, gram))
+        return unit, whose, np.array(numbers, np.int64), np.array(offsets, np.int64), (piece, at, lo, hi, gram), content, np.concatenate([[0], ends[:-1]])
 
-    def in_bytes(pieces, names, offsets):
+    def in_bytes(pieces, numbers, offsets):
         content = b"".join(pieces)
-        return found(1, _TABLE[np.frombuffer(content, np.uint8)], np.cumsum([len(p) for p in pieces]), content, names, offsets)
+        return found(1, _TABLE[np.frombuffer(content, np.uint8)], np.cumsum([len(p) for p in pieces]), content, numbers, offsets)
 
     def done():
-        pieces, names, offsets, size = [], [], [], 0
-        for digest, raw in zip(whose, raws, strict=True):
+        pieces, numbers, offsets, size = [], [], [], 0
+        for i, raw in enumerate(raws):
             for a in range(0, len(raw) - length + 1, PIECE):
                 pieces.append(raw[a : a + PIECE + length - 1])
-                names.append(digest)
+                numbers.append(i)
                 offsets.append(a)
                 size += len(pieces[-1])
                 if size >= PIECE:
-                    yield in_bytes(pieces, names, offsets)
-                    pieces, names, offsets, size = [], [], [], 0
+                    yield in_bytes(pieces, numbers, offsets)
+                    pieces, numbers, offsets, size = [], [], [], 0
         if pieces:
-            yield in_bytes(pieces, names, offsets)
+            yield in_bytes(pieces, numbers, offsets)
         if passage:
             if len(raws) == 1:
                 symbols = _words(raws[0])
                 counts = np.array([len(symbols)])
             else:
                 symbols, counts = word_symbols(raws)
-            yield found(8, symbols, np.cumsum(counts), symbols.tobytes(), whose, [0] * len(raws))
+            yield found(8, symbols, np.cumsum(counts), symbols.tobytes(), np.arange(len(raws)), [0] * len(raws))
 
     for batch in batches:
-        for digest, text in zip(batch.column("digest").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            if digest in seen:
+        digests = batch.column("digest").to_pylist()
+        live = range(len(digests))
+        if wanted is not None:
+            packed = batch.column("grams").to_pylist()
+            ends = np.cumsum([len(p) // 8 for p in packed])
+            hits = np.concatenate([[0], np.cumsum(wanted.has(np.frombuffer(b"".join(packed), np.uint64)))])
+            live = np.flatnonzero(hits[ends] > hits[np.concatenate([[0], ends[:-1]])]).tolist()
+        texts = batch.column("text")
+        for i in live:
+            if digests[i] in seen:
                 continue
-            seen.add(digest)
-            raw = text.encode("utf-8")
+            seen.add(digests[i])
+            raw = texts[i].as_py().encode("utf-8")
             if raws and held + len(raw) > PIECE:
                 yield from done()
                 raws, whose, held = [], [], 0
             raws.append(raw)
-            whose.append(digest)
+            whose.append(digests[i])
             held += len(raw)
     if raws:
         yield from done()
@@ -177,34 +192,132 @@ def _contexts(unit: int, found, content: bytes, length: int) -> np.ndarray:
 
 _ANCHOR = "digest binary, place long, gram long, context long, lo int, hi int"
 _SUFFIX = "gram long, context long, before binary, after binary, lo long, hi long"
-_ENTRY = f"{_SUFFIX}, a long, z long, fresh boolean, owner long"
 _MATCH = "gram long, context long, first long, last long"
 _MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "context", "first", "last")])
+_ARRAY = "segment long, grams binary, many binary"
+_ARRAY_ARROW = pa.schema([("segment", pa.int64()), ("grams", pa.binary()), ("many", pa.binary())])
+
+
+def _gram_rows(length: int, passage: int):
+    """(digest, text, grams): every text with the grams of its anchors, sorted, none more than twice. Empty for repeats of a text within a task."""
+
+    def run(batches):
+        for batch in batches:
+            digests = batch.column("digest").to_pylist()
+            packed = dict.fromkeys(digests, b"")
+            told: dict[bytes, list] = {}
+            for _, whose, numbers, _, (piece, _, _, _, gram), _, _ in _blocks([batch], length, passage):
+                text = numbers[piece]
+                order = np.lexsort((gram, text))
+                text, gram = text[order], gram[order]
+                third = np.zeros(len(gram), bool)
+                third[2:] = (gram[2:] == gram[:-2]) & (text[2:] == text[:-2])
+                text, gram = text[~third], gram[~third]
+                edges = np.searchsorted(text, np.arange(len(whose) + 1)) * 8
+                raw = gram.tobytes()
+                for i, digest in enumerate(whose):
+                    told.setdefault(digest, []).append(raw[edges[i] : edges[i + 1]])
+            packed.update((d, b"".join(p)) for d, p in told.items())
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), batch.column("text"), pa.array([packed[d] for d in digests], pa.binary())], names=["digest", "text", "grams"])
+
+    return run
+
+
+def _merged(grams: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct grams in order, and which of them have several members."""
+    order = np.argsort(grams, kind="stable")
+    grams, many = grams[order], many[order]
+    if not len(grams):
+        return grams, many
+    heads = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]]))
+    sizes = np.diff(np.concatenate([heads, [len(grams)]]))
+    return grams[heads], (sizes > 1) | np.maximum.reduceat(many, heads)
+
+
+def _dealt(grams: np.ndarray, many: np.ndarray, shift: int):
+    """Rows (segment, grams, many) of sorted distinct grams, by their top bits."""
+    segment = (grams >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(grams), np.int64)
+    cuts = np.concatenate([[0], np.flatnonzero(np.diff(segment)) + 1, [len(grams)]]) if len(grams) else np.zeros(1, np.int64)
+    rows = [(int(segment[a]), grams[a:b].tobytes(), many[a:b].tobytes()) for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else ([], [], []), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["segment", "grams", "many"])
+
+
+def _array_rows(shift: int):
+    """Sorted runs of the grams of some texts, each text's digest once per task."""
+
+    def run(batches):
+        seen, held, size = set(), [], 0
+        for batch in batches:
+            for digest, raw in zip(batch.column("digest").to_pylist(), batch.column("grams").to_pylist(), strict=True):
+                if raw and digest not in seen:
+                    seen.add(digest)
+                    held.append(np.frombuffer(raw, np.uint64))
+                    size += len(raw) // 8
+            if size >= 2_000_000:
+                grams = np.concatenate(held)
+                yield _dealt(*_merged(grams, np.zeros(len(grams), bool)), shift)
+                held, size = [], 0
+        if held:
+            grams = np.concatenate(held)
+            yield _dealt(*_merged(grams, np.zeros(len(grams), bool)), shift)
+
+    return run
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(table.column("grams").to_pylist()), np.uint64), np.frombuffer(b"".join(table.column("many").to_pylist()), bool)
+
 
+def _redealt(shift: int):
+    """A level's rows by other segments."""
 
-def _anchor_rows(length: int, passage: int):
     def run(batches):
-        for unit, names, offset, found, content, starts in _blocks(batches, length, passage):
+        for batch in batches:
+            for grams, many in zip(batch.column("grams").to_pylist(), batch.column("many").to_pylist(), strict=True):
+                yield _dealt(np.frombuffer(grams, np.uint64), np.frombuffer(many, bool), shift)
+
+    return run
+
+
+def _one_array(table: pa.Table) -> pa.Table:
+    grams, many = _merged(*_unpacked(table))
+    return pa.table([table.column("segment").slice(0, 1), pa.array([grams.tobytes()], pa.binary()), pa.array([many.tobytes()], pa.binary())], schema=_ARRAY_ARROW)
+
+
+def _scanned(new: pa.Table, old: pa.Table) -> pa.Table:
+    """The grams that a new array has twice, or shares with an old one."""
+    grams, many = _unpacked(new)
+    before = np.unique(_unpacked(old)[0])
+    at = np.minimum(np.searchsorted(before, grams), max(0, len(before) - 1))
+    shared = before[at] == grams if len(before) else np.zeros(len(grams), bool)
+    return pa.table([pa.array([grams[many | shared].tobytes()], pa.binary())], names=["grams"])
+
+
+def _anchor_rows(length: int, passage: int, wanted):
+    """Anchors of grams that may be wanted."""
+
+    def run(batches):
+        for unit, whose, numbers, offset, found, content, starts in _blocks(batches, length, passage, wanted.value):
             piece, at, lo, hi, gram = found
             context = _contexts(unit, found, content, passage if unit == 8 else length)
-            whose = pa.array(names, pa.binary()).take(pa.array(piece))
+            digests = pa.array(whose, pa.binary()).take(pa.array(numbers[piece]))
             yield pa.RecordBatch.from_arrays(
-                [whose, pa.array(at - starts[piece] + offset[piece]), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
+                [digests, pa.array(at - starts[piece] + offset[piece]), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
                 names=["digest", "place", "gram", "context", "lo", "hi"],
             )
 
     return run
 
 
-def _suffix_rows(length: int, passage: int, wanted):
+def _suffix_rows(length: int, passage: int, grams, contexts):
     """(gram, context, before, after, lo, hi): the units left of an anchor, and those from it on, of classes that may be wanted; once per task."""
 
     def run(batches):
         sent: set[tuple[int, int]] = set()
-        for unit, _, _, found, content, _ in _blocks(batches, length, passage):
+        for unit, _, _, _, found, content, _ in _blocks(batches, length, passage, grams.value):
             size, rows = passage if unit == 8 else length, []
             context = _contexts(unit, found, content, size)
-            for i in np.flatnonzero(wanted.value.has(context)).tolist():
+            for i in np.flatnonzero(contexts.value.has(context)).tolist():
                 key = (int(found[4][i].view(np.int64)), int(context[i].view(np.int64)))
                 if key not in sent:
                     sent.add(key)
@@ -248,14 +361,13 @@ def suffix_array(grams: list[int], strings: list[bytes]) -> tuple[np.ndarray, np
     return np.array(order, np.int64), common
 
 
-def merge_scan(new: list[tuple], old: list[tuple], length: int, unit: int = 1) -> list[tuple[int, int, int, int]]:
-    """Windows that a new entry shares with an entry of another document: (owner, context, first offset, last offset), for both.
+def merge_scan(every: list[tuple], length: int, unit: int = 1) -> list[tuple[int, int, int, int]]:
+    """Windows that an entry shares with an entry of another document: (owner, context, first offset, last offset).
 
     Entries are (gram, context, before, after, lo, hi, a, z, owner): a and z the least and the largest document of the class (for bytes, which
     may repeat within a document, both the class itself). A window at offset o is equal in two entries if the last o units before
     and the first length - o units from the anchor on agree: if in both arrays no smaller common prefix stands between them.
     """
-    every = old + new
     if len(every) < 2:
         return []
     grams = [e[0] for e in every]
@@ -264,7 +376,6 @@ def merge_scan(new: list[tuple], old: list[tuple], length: int, unit: int = 1) -
     before, before_common = suffix_array(grams, [reverse(e[2]) for e in every])
     after_common, before_common = after_common // unit, before_common // unit  # -1 stays -1
     lo, hi, a, z = (np.array([e[i] for e in every], np.int64) for i in (4, 5, 6, 7))
-    is_new = np.arange(len(every)) >= len(old)
     marked = np.zeros((len(every), length + 1), bool)
     right, left = np.empty(len(every), np.int64), np.empty(len(every), np.int64)
     for o in range(int(lo.min()), int(hi.max()) + 1):
@@ -278,8 +389,7 @@ def merge_scan(new: list[tuple], old: list[tuple], length: int, unit: int = 1) -
         ranked = live[by]
         heads = np.flatnonzero(np.concatenate([[True], key[by][1:] != key[by][:-1]]))
         other = np.minimum.reduceat(a[ranked], heads) != np.maximum.reduceat(z[ranked], heads)
-        good = other & np.maximum.reduceat(is_new[ranked], heads)
-        marked[ranked, o] = np.repeat(good, np.diff(np.concatenate([heads, [len(ranked)]])))
+        marked[ranked, o] = np.repeat(other, np.diff(np.concatenate([heads, [len(ranked)]])))
     rows = []
     for i in np.flatnonzero(marked.any(axis=1)):
         edges = np.flatnonzero(np.diff(np.concatenate([[0], marked[i].view(np.int8), [0]])))
@@ -290,9 +400,10 @@ def merge_scan(new: list[tuple], old: list[tuple], length: int, unit: int = 1) -
 class SuffixIndex:
     """A family of levels below ``path``, added to in batches of documents; opening the path again goes on where the last run ended.
 
-    Tables of a batch: texts (distinct digests may repeat), anchors, spans. Tables of a level: classes (gram, context, n, a, z: members and the
-    least and largest document) and arrays (entries with their bytes, sorted by gram and right context). What counts is named by the newest
-    manifest, which is written last and never over another one: a run that fails leaves the index as it was, and of two runs that add at once one fails.
+    Tables of a batch: texts (digest, text and the grams of its anchors; digests may repeat) and spans. Tables of a level: arrays, sorted
+    grams by segment. What counts is named by the newest manifest, which is written last and never over another one: a run that fails leaves the
+    index as it was, and of two runs that add at once one fails. Adding reads the grams of all texts and the texts with a gram of interest; it
+    shuffles the batch's grams, the levels' grams and what belongs to grams of interest.
     """
 
     def __init__(self, spark: SparkSession, path: str, length: int = 400, passage: int = PASSAGE):
@@ -336,83 +447,86 @@ class SuffixIndex:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}"), True)
 
     def _every(self, kind: str, *more: str) -> DataFrame | None:
-        names = [f"{kind}-{b}" for b in (self.state["batches"] if kind in ("texts", "anchors", "spans") else self.state["levels"].values())]
+        names = [f"{kind}-{b}" for b in (self.state["levels"].values() if kind == "arrays" else self.state["batches"])]
         return self.spark.read.parquet(*[f"{self.path}/{n}" for n in (*names, *more)]) if names or more else None
 
     def add(self, docs: DataFrame, text_col: str = "text") -> None:
         """A batch of documents: matched with itself and with all levels, then part of the family."""
         version = self.state["version"] + 1
         tag = f"{version:06d}-{uuid.uuid4().hex[:8]}"
-        texts = self._put(docs.select(digest_of(text_col).alias("digest"), F.col(text_col).alias("text")).where(F.octet_length("text") >= self._shortest()), f"texts-{tag}")
-        placed = self._put(texts.mapInArrow(_anchor_rows(self.length, self.passage), _ANCHOR), f"anchors-{tag}")
-        doc = F.xxhash64("digest")
-        classes = placed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("z"))
-        classes = self._put(classes, f"classes-{tag}")
-        now = classes.withColumn("fresh", F.lit(True))
-        if (old := self._every("classes")) is not None:
-            grams = self.spark.sparkContext.broadcast(bloom(classes, "gram"))
-            now = now.unionByName(old.mapInArrow(_picked("gram", grams), old.schema).withColumn("fresh", F.lit(False)))
-            now = now.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z"), F.max("fresh").alias("fresh"))
-        grams = now.groupBy("gram").agg(F.sum("n").alias("members"), F.count("*").alias("contexts"), F.max("fresh").alias("new")).where("members > 1 AND new").select("gram", "contexts")
-        touched = cut(now.join(cut(grams, "grams"), "gram"), "touched")
-        found = self._matches(touched, tag)
-        # All windows of a class with a second member: for words, one in another document.
-        whole = touched.where("fresh AND CASE WHEN gram & 1 = 0 THEN n > 1 ELSE a <> z END").select("gram", "context")
-        self._spans(whole, found, tag)
+        texts = docs.select(digest_of(text_col).alias("digest"), F.col(text_col).alias("text")).where(F.octet_length("text") >= self._shortest())
+        texts = self._put(texts.mapInArrow(_gram_rows(self.length, self.passage), "digest binary, text string, grams binary"), f"texts-{tag}")
+        size = (texts.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // 8
+        shift = 64 - max(0, (size // SEGMENT).bit_length())
+        array = texts.select("digest", "grams").mapInArrow(_array_rows(shift), _ARRAY).groupBy("segment").applyInArrow(_one_array, _ARRAY)
+        array = self._put(array, f"arrays-{tag}")
+        old = self._every("arrays")
+        old = array.limit(0) if old is None else old.mapInArrow(_redealt(shift), _ARRAY)
+        grams = cut(array.groupBy("segment").cogroup(old.groupBy("segment")).applyInArrow(_scanned, "grams binary").where("octet_length(grams) > 0"), "grams")
+        self._settle(grams, tag)
         levels, at, carry = dict(self.state["levels"]), 0, tag
         while str(at) in levels:
             other = levels.pop(str(at))
             merged = f"{other.split('.')[0]}.{tag}"
-            both = self.spark.read.parquet(*[f"{self.path}/classes-{t}" for t in (other, carry)])
-            self._put(both.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min("a").alias("a"), F.max("z").alias("z")), f"classes-{merged}")
-            arrays = self.spark.read.parquet(*[f"{self.path}/arrays-{t}" for t in (other, carry)])
-            self._put(arrays.repartition("gram").sortWithinPartitions("gram", "after"), f"arrays-{merged}")
+            both = self.spark.read.parquet(*[f"{self.path}/arrays-{t}" for t in (other, carry)])
+            total = (both.agg(F.sum(F.octet_length("grams"))).first()[0] or 0) // 8
+            both = both.mapInArrow(_redealt(64 - max(0, (total // SEGMENT).bit_length())), _ARRAY)
+            self._put(both.groupBy("segment").applyInArrow(_one_array, _ARRAY), f"arrays-{merged}")
             at, carry = at + 1, merged
         gone = [t for t in (*self.state["levels"].values(), tag) if t not in (*levels.values(), carry)]
         self._commit({**self.state, "version": version, "batches": [*self.state["batches"], tag], "levels": {**levels, str(at): carry}})
-        self._drop(*[f"{kind}-{t}" for kind in ("classes", "arrays") for t in gone])
+        self._drop(*[f"arrays-{t}" for t in gone])
 
     def _shortest(self) -> int:
         return min(self.length, 2 * self.passage - 1) if self.passage else self.length
 
-    def _matches(self, touched: DataFrame, tag: str) -> DataFrame:
+    def _settle(self, grams: DataFrame, tag: str) -> None:
+        """Spans of the windows that are repeated at anchors of these grams, of all documents that have them, old ones included."""
+        wanted = self.spark.sparkContext.broadcast(bloom(grams, "grams"))
+        texts = self._every("texts", f"texts-{tag}")
+        placed = cut(texts.mapInArrow(_anchor_rows(self.length, self.passage, wanted), _ANCHOR), "placed")
+        doc = F.xxhash64("digest")
+        classes = cut(placed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("z")), "classes")
+        sizes = classes.groupBy("gram").agg(F.sum("n").alias("members"), F.count("*").alias("contexts")).where("members > 1")
+        touched = cut(classes.join(sizes.select("gram", "contexts"), "gram"), "touched")
+        drop_scratch(classes)
+        found = self._matches(texts, touched.where("contexts > 1").select("gram", "context", "a", "z"), wanted)
+        # All windows of a class with a second member: for words, one in another document.
+        whole = touched.where("CASE WHEN gram & 1 = 0 THEN n > 1 ELSE a <> z END").select("gram", "context")
+        some = self.spark.sparkContext.broadcast(bloom(whole.union(found.select("gram", "context").distinct()), "context"))
+        near = placed.mapInArrow(_picked("context", some), placed.schema)
+        words = F.col("gram").bitwiseAND(F.lit(1)) == 1
+        long = F.when(words, self.passage).otherwise(self.length)
+        full = near.join(whole, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("hi")).alias("start"), (F.col("place") - F.col("lo") + long).alias("end"))
+        part = near.join(found, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + long).alias("end"))
+        self._put(full.union(part), f"spans-{tag}")
+        drop_scratch(placed, touched)
+
+    def _matches(self, texts: DataFrame, mixed: DataFrame, wanted) -> DataFrame:
         """(gram, context, first, last): repeated windows of classes whose gram has several classes."""
-        mixed = touched.where("contexts > 1").select("gram", "context", "a", "z", "fresh")
         n = mixed.count()
-        held = self._every("arrays")
-        known = None
-        if held is not None and n:
-            picked = self.spark.sparkContext.broadcast(bloom(mixed, "context"))
-            known = held.mapInArrow(_picked("context", picked), held.schema).dropDuplicates(["gram", "context"])
-            known = cut(known.join(mixed.select("gram", "context"), ["gram", "context"], "left_semi"), "known")
-        missing = mixed if known is None else cut(mixed.join(known, ["gram", "context"], "left_anti"), "missing")
-        # A class is read from its least document: only texts that are one for some class are worked on.
-        contexts = self.spark.sparkContext.broadcast(bloom(missing, "context"))
-        docs = self.spark.sparkContext.broadcast(bloom(missing, "a"))
-        texts = self._every("texts", f"texts-{tag}").withColumn("doc", F.xxhash64("digest"))
-        some = texts.mapInArrow(_picked("doc", docs), texts.schema).select("digest", "text")
-        shipped = some.mapInArrow(_suffix_rows(self.length, self.passage, contexts), _SUFFIX)
-        shipped = shipped.groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "lo", "hi")]).join(missing.select("gram", "context"), ["gram", "context"], "left_semi")
-        shipped = self._put(shipped.repartition("gram").sortWithinPartitions("gram", "after"), f"arrays-{tag}")
-        entries = shipped if known is None else shipped.unionByName(known)
         if not n:
             return self.spark.createDataFrame([], _MATCH)
-        one = F.col("gram").bitwiseAND(F.lit(1)) == 0
-        entries = entries.join(mixed, ["gram", "context"]).withColumns({"a": F.when(one, F.col("context")).otherwise(F.col("a")), "z": F.when(one, F.col("context")).otherwise(F.col("z")), "owner": F.col("gram")})
+        # A class is read from its least document: only texts that are one for some class are worked on.
+        docs = self.spark.sparkContext.broadcast(bloom(mixed, "a"))
+        contexts = self.spark.sparkContext.broadcast(bloom(mixed, "context"))
+        texts = texts.withColumn("doc", F.xxhash64("digest"))
+        some = texts.mapInArrow(_picked("doc", docs), texts.schema)
+        shipped = some.mapInArrow(_suffix_rows(self.length, self.passage, wanted, contexts), _SUFFIX)
+        entries = shipped.groupBy("gram", "context").agg(*[F.first(c).alias(c) for c in ("before", "after", "lo", "hi")]).join(mixed, ["gram", "context"])
+        # Bytes may repeat within a document, so each class is its own; words only count between documents.
+        own = F.col("gram").bitwiseAND(F.lit(1)) == 0
+        entries = entries.withColumns({"a": F.when(own, F.col("context")).otherwise(F.col("a")), "z": F.when(own, F.col("context")).otherwise(F.col("z")), "owner": F.col("gram")})
         entries, found = self._lengthened(cut(entries, "entries"))
         length, passage = self.length, self.passage
-        buckets = max(8, n // BUCKET_ENTRIES * 4)
         fields = ("gram", "context", "before", "after", "lo", "hi", "a", "z", "owner")
 
         def scan(table: pa.Table) -> pa.Table:
-            rows = list(zip(*[table.column(c).to_pylist() for c in (*fields, "fresh")], strict=True))
-            out = []
-            for unit, size in ((1, length), (8, passage)):
-                some = [r for r in rows if r[8] & 1 == (unit == 8)]
-                out += merge_scan([r[:9] for r in some if r[9]], [r[:9] for r in some if not r[9]], size, unit)
+            rows = list(zip(*[table.column(c).to_pylist() for c in fields], strict=True))
+            out = merge_scan([r for r in rows if not r[8] & 1], length) + merge_scan([r for r in rows if r[8] & 1], passage, 8)
             return pa.table([pa.array([r[i] for r in out], pa.int64()) for i in range(4)], schema=_MATCH_ARROW)
 
-        dealt = entries.select(*fields, "fresh", F.pmod(F.xxhash64("gram"), F.lit(buckets)).alias("bucket"))
+        dealt = entries.select(*fields, F.pmod(F.xxhash64("gram"), F.lit(max(8, n // BUCKET_ENTRIES * 4))).alias("bucket"))
         return cut(found.union(dealt.groupBy("bucket").applyInArrow(scan, _MATCH)).distinct(), "found")
 
     def _lengthened(self, entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -438,31 +552,18 @@ class SuffixIndex:
             longer = "substring(before, CAST((hi - from) * unit + 1 AS INT), CAST(from * unit AS INT)), substring(after, 1, CAST((size - to) * unit AS INT))"
             rows = rows.where("hi >= from AND lo <= to").withColumn("gram", F.expr(f"shiftleft(shiftright(xxhash64(owner, from, to, {longer}), 1), 1) | (owner & 1)"))
             rows = cut(rows, "longer")
-            shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.max("fresh").alias("new"), F.min("a").alias("least"), F.max("z").alias("most")).where("least <> most AND new")
+            shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("a").alias("least"), F.max("z").alias("most")).where("least <> most")
             kept = cut(rows.join(cut(shared, "shared"), "gram"), "kept")
             few = kept.where(F.col("n") <= BUCKET_ENTRIES).withColumns(
                 {"lo": F.greatest("lo", "from"), "hi": F.least("hi", "to"), "before": F.expr("substring(before, CAST(greatest(hi - to, 0) * unit + 1 AS INT), CAST(least(hi, to) * unit AS INT))")}
             )
             settled = settled.unionByName(few.select(*names))
             found = found.union(kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("from") == F.col("to"))).select(F.col("owner").alias("gram"), "context", F.col("from").alias("first"), F.col("to").alias("last")))
-            now = kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("from") < F.col("to"))).drop("n", "new", "least", "most")
+            now = kept.where((F.col("n") > BUCKET_ENTRIES) & (F.col("from") < F.col("to"))).drop("n", "least", "most")
             drop_scratch(rows)
             if now.isEmpty():
                 return cut(settled, "settled"), found
 
-    def _spans(self, whole: DataFrame, found: DataFrame, tag: str) -> None:
-        """(digest, words, start, end) of repeated windows, of all documents that have them, old ones included."""
-        wanted = whole.union(found.select("gram", "context").distinct())
-        sent = self.spark.sparkContext.broadcast(bloom(wanted, "context"))
-        every = self._every("anchors", f"anchors-{tag}")
-        placed = cut(every.mapInArrow(_picked("context", sent), every.schema), "placed")
-        words = F.col("gram").bitwiseAND(F.lit(1)) == 1
-        long = F.when(words, self.passage).otherwise(self.length)
-        full = placed.join(whole, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("hi")).alias("start"), (F.col("place") - F.col("lo") + long).alias("end"))
-        part = placed.join(found, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + long).alias("end"))
-        self._put(full.union(part).distinct(), f"spans-{tag}")
-        drop_scratch(placed)
-
     def spans(self) -> DataFrame:
         """(digest, spans) of every text with a repeated window: arrays of (words, start, end), words false for bytes; sorted, may overlap."""
         texts = self._every("texts")

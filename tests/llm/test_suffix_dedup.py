@@ -69,9 +69,10 @@ def held(rows, texts, length, passage):
 
 
 @pytest.mark.parametrize(
-    ("length", "passage", "seed", "piece", "bucket"), [(20, 5, 1, 2_000_000, 20_000), (50, 9, 2, 2_000_000, 20_000), (20, 8, 3, 64, 2), (400, 51, 4, 2_000_000, 20_000), (50, 6, 5, 2_000_000, 2)]
+    ("length", "passage", "seed", "piece", "bucket", "segment"), [(50, 9, 2, 2_000_000, 20_000, 1 << 20), (20, 8, 3, 64, 2, 100), (400, 51, 4, 2_000_000, 20_000, 1 << 20), (50, 6, 5, 2_000_000, 2, 50)]
 )
-def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, passage, seed, piece, bucket):
+def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, passage, seed, piece, bucket, segment):
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", bucket)
     texts = corpus(length, seed)
@@ -114,12 +115,10 @@ def test_suffix_array_and_merge_scan():
     order, common = suffix_array([1, 1, 1, 2], [b"abd", b"ab", b"abc", b"abc"])
     assert order.tolist() == [1, 2, 0, 3] and common.tolist() == [-1, 2, 2, -1]
     # Windows of 4 with a gram of 2, "gg": offset 0 needs two bytes after the gram, offset 1 one on each side, offset 2 two before.
-    new = [(1, 10, b"xy", b"ggab", 0, 2, 10, 10, 1)]
-    old = [(1, 11, b"zy", b"ggabcd", 0, 2, 11, 11, 1), (1, 12, b"xy", b"ggcd", 0, 2, 12, 12, 1), (2, 13, b"xy", b"ggab", 0, 2, 13, 13, 2)]
-    assert sorted(merge_scan(new, old, 4)) == [(1, 10, 0, 2), (1, 11, 0, 1), (1, 12, 2, 2)]
+    entries = [(1, 10, b"xy", b"ggab", 0, 2, 10, 10, 1), (1, 11, b"zy", b"ggabcd", 0, 2, 11, 11, 1), (1, 12, b"xy", b"ggcd", 0, 2, 12, 12, 1), (2, 13, b"xy", b"ggab", 0, 2, 13, 13, 2)]
+    assert sorted(merge_scan(entries, 4)) == [(1, 10, 0, 2), (1, 11, 0, 1), (1, 12, 2, 2)]
     # Entries of one document do not match in words.
-    same = [(*e[:6], 5, 5, e[8]) for e in new + old]
-    assert merge_scan(same[:1], same[1:], 4) == []
+    assert merge_scan([(*e[:6], 5, 5, e[8]) for e in entries], 4) == []
 
 
 def test_extra_columns_and_empty_table(spark, make_docs):
