@@ -45,24 +45,39 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _TABLE = mix64(np.arange(1, 257, dtype=np.uint64))
 _BREAK = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: Bytes of text that are worked on at once. Longer texts are cut into pieces that overlap by a window.
-PIECE = 2_000_000
+#: Bytes of text that are worked on at once, so that arrays stay in a core's cache. Longer texts are cut into pieces that overlap by a window.
+PIECE = 200_000
 #: Entries of one gram that one task holds.
 BUCKET_ENTRIES = 8_000
 #: Grams of a segment of an array.
 SEGMENT = 1 << 20
 #: Words of a passage: over fifty.
 PASSAGE = 51
+#: Texts with spans whose digests are broadcast, at most: some 50 MB.
+FEW_TEXTS = 500_000
 #: End of a span that reaches to the end of its text.
 _ALL = 2**62
 
 
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _power(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, kept for the longest block so far."""
+    if len(_powers[0]) < n:
+        for i, x in enumerate((_BASE, _INVERSE)):
+            row = np.full(2 * n, x)
+            row[0] = 1
+            _powers[i] = np.cumprod(row)
+    return [x[:n] for x in _powers]
+
+
 def _sums(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sums before every place and a factor by which the hash of a stretch no longer depends on where it is."""
-    up, down = np.full(len(symbols), _BASE), np.full(len(symbols) + 1, _INVERSE)
-    up[:1] = down[:1] = 1
-    with np.errstate(over="ignore"):
-        return np.concatenate([np.zeros(1, np.uint64), np.cumsum(symbols * np.cumprod(up))]), np.cumprod(down)
+    up, down = _power(len(symbols) + 1)
+    sums = np.zeros(len(symbols) + 1, np.uint64)
+    np.cumsum(symbols * up[:-1], out=sums[1:])
+    return sums, down
 
 
 def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int):
@@ -71,25 +86,29 @@ def anchors(symbols: np.ndarray, ends: np.ndarray, length: int, gram: int):
     if len(symbols) < length:
         return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
     sums, down = _sums(symbols)
-    with np.errstate(over="ignore"):
-        grams = (sums[gram:] - sums[:-gram]) * down[: len(symbols) - gram + 1]
-    least = (mix64(grams) & ~_POS) | np.arange(len(grams), dtype=np.uint64)
+    grams = (sums[gram:] - sums[:-gram]) * down[: len(symbols) - gram + 1]
+    least = mix64(grams)
+    least &= ~_POS
+    least |= np.arange(len(grams), dtype=np.uint64)
     size = 1
     while size * 2 <= windows:
         least = np.minimum(least[:-size], least[size:])
         size *= 2
     if rest := windows - size:
         least = np.minimum(least[:-rest], least[rest:])
-    start = np.arange(len(least))
-    piece = np.searchsorted(ends, start, side="right")
-    inside = start + length <= ends[piece]
-    start, piece, place = start[inside], piece[inside], (least[inside] & _POS).astype(np.int64)
+    # Windows that would reach beyond their piece don't count; those of different pieces never choose one place.
+    edges = np.zeros(len(least) + 1, np.int32)
+    starts = np.concatenate([[0], ends[:-1]])
+    np.add.at(edges, np.clip(np.maximum(ends - length + 1, starts), 0, len(least)), 1)
+    np.add.at(edges, np.clip(ends, 0, len(least)), -1)
+    start = np.flatnonzero(np.cumsum(edges[:-1]) == 0)
     if not len(start):
         return (*[np.zeros(0, np.int64)] * 4, np.zeros(0, np.uint64))
-    first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (piece[1:] != piece[:-1])]))
+    place = (least[start] & _POS).astype(np.int64)
+    first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
     last = np.concatenate([first[1:], [len(start)]]) - 1
     at = place[first]
-    return piece[first], at, at - start[last], at - start[first], grams[at]
+    return np.searchsorted(ends, start[first], side="right"), at, at - start[last], at - start[first], grams[at]
 
 
 def word_symbols(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -99,8 +118,7 @@ def word_symbols(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     before = np.concatenate([[True], gap[:-1]])
     starts, stops = np.flatnonzero(~gap & before), np.flatnonzero(gap & ~before)
     sums, down = _sums(_TABLE[text])
-    with np.errstate(over="ignore"):
-        symbols = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
+    symbols = mix64((sums[stops] - sums[starts]) * down[starts] + (stops - starts).astype(np.uint64))
     ends = np.cumsum([len(r) + 1 for r in raws])
     return symbols, np.bincount(np.searchsorted(ends, starts, side="right"), minlength=len(raws))
 
@@ -571,7 +589,7 @@ class SuffixIndex:
             return self.spark.createDataFrame([], "digest binary, spans array<struct<words: boolean, start: long, end: long>>")
         copies = texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
         both = copies.select("digest", F.explode(F.array(F.lit(False), F.lit(True))).alias("words"), F.lit(0).cast("long").alias("start"), F.lit(_ALL).cast("long").alias("end"))
-        return self._every("spans").distinct().unionByName(both).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("words", "start", "end"))).alias("spans"))
+        return self._every("spans").unionByName(both).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("words", "start", "end"))).alias("spans"))
 
 
 def digest_of(text_col: str):
@@ -601,13 +619,22 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
             index.add(docs.where(part == b), text_col)
     else:
         index.add(docs, text_col)
-    spans = cut(index.spans(), "spans")
+    spans = cut(index.spans().select(F.col("digest").alias(_DIGEST), F.col("spans").alias(_SPANS)), "spans")
     if own:
         index._drop("")
     added = "n_bytes long, removed array<struct<start: long, end: long>>, kept_bytes binary, passages array<struct<start: long, end: long>>"
     schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], added).schema.fields])
-    joined = docs.withColumn(_DIGEST, digest_of(text_col)).join(spans.select(F.col("digest").alias(_DIGEST), F.col("spans").alias(_SPANS)), _DIGEST, "left").select(*docs.columns, _SPANS)
-    return joined.mapInArrow(_removal(docs.columns.index(text_col), len(docs.columns), schema.names, index.length, index.passage), schema)
+    run = _removal(docs.columns.index(text_col), len(docs.columns), schema.names, index.length, index.passage)
+    marked = docs.withColumn(_DIGEST, digest_of(text_col))
+    if spans.count() > FEW_TEXTS:
+        return marked.join(spans, _DIGEST, "left").select(*docs.columns, _SPANS).mapInArrow(run, schema)
+    # Few enough texts have spans: which ones is broadcast, and only their rows are moved and cut.
+    has = marked.join(F.broadcast(spans.select(_DIGEST, F.lit(True).alias(_SPANS))), _DIGEST, "left")
+    cut_rows = has.where(F.col(_SPANS)).drop(_SPANS).join(spans, _DIGEST).select(*docs.columns, _SPANS).mapInArrow(run, schema)
+    none = F.array().cast("array<struct<start: long, end: long>>")
+    whole = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
+    rest = has.where(F.col(_SPANS).isNull()).select(*docs.columns, F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("removed"), whole.alias("kept_bytes"), none.alias("passages"))
+    return cut_rows.unionByName(rest)
 
 
 def merged(spans, size: int) -> list[dict]:
