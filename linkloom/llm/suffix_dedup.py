@@ -33,6 +33,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,8 +54,6 @@ BUCKET_ENTRIES = 8_000
 SEGMENT = 1 << 20
 #: Words of a passage: over fifty.
 PASSAGE = 51
-#: Texts with spans whose digests are broadcast, at most: some 50 MB.
-FEW_TEXTS = 500_000
 #: End of a span that reaches to the end of its text.
 _ALL = 2**62
 
@@ -625,16 +624,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
     added = "n_bytes long, removed array<struct<start: long, end: long>>, kept_bytes binary, passages array<struct<start: long, end: long>>"
     schema = T.StructType([*docs.schema.fields, *spark.createDataFrame([], added).schema.fields])
     run = _removal(docs.columns.index(text_col), len(docs.columns), schema.names, index.length, index.passage)
-    marked = docs.withColumn(_DIGEST, digest_of(text_col))
-    if spans.count() > FEW_TEXTS:
-        return marked.join(spans, _DIGEST, "left").select(*docs.columns, _SPANS).mapInArrow(run, schema)
-    # Few enough texts have spans: which ones is broadcast, and only their rows are moved and cut.
-    has = marked.join(F.broadcast(spans.select(_DIGEST, F.lit(True).alias(_SPANS))), _DIGEST, "left")
-    cut_rows = has.where(F.col(_SPANS)).drop(_SPANS).join(spans, _DIGEST).select(*docs.columns, _SPANS).mapInArrow(run, schema)
-    none = F.array().cast("array<struct<start: long, end: long>>")
-    whole = F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary")
-    rest = has.where(F.col(_SPANS).isNull()).select(*docs.columns, F.octet_length(whole).cast("long").alias("n_bytes"), none.alias("removed"), whole.alias("kept_bytes"), none.alias("passages"))
-    return cut_rows.unionByName(rest)
+    joined = docs.withColumn(_DIGEST, digest_of(text_col)).join(spans, _DIGEST, "left").select(*docs.columns, _SPANS)
+    return joined.mapInArrow(run, schema)
 
 
 def merged(spans, size: int) -> list[dict]:
@@ -654,19 +645,21 @@ def _removal(at_text: int, n_columns: int, names: list[str], length: int, passag
 
     def run(batches):
         for batch in batches:
-            sizes, removed, kept, passages = [], [], [], []
-            for text, spans in zip(batch.column(at_text).to_pylist(), batch.column(n_columns).to_pylist(), strict=True):
-                raw = (text or "").encode("utf-8")
-                byte_spans = [(s["start"], s["end"]) for s in spans or () if not s["words"]]
-                word_spans = [(s["start"], s["end"]) for s in spans or () if s["words"]]
-                runs = merged(byte_spans, len(raw)) if len(raw) >= length else []
+            raws = pc.fill_null(batch.column(at_text), "").cast(pa.binary())
+            # Texts without spans pass as they are, in whole columns.
+            has = batch.column(n_columns).is_valid()
+            removed, kept, passages = [[]] * len(batch), [], [[]] * len(batch)
+            for i in np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist():
+                raw, spans = raws[i].as_py(), batch.column(n_columns)[i].as_py()
+                word_spans = [(s["start"], s["end"]) for s in spans if s["words"]]
+                runs = merged([(s["start"], s["end"]) for s in spans if not s["words"]], len(raw)) if len(raw) >= length else []
                 n_words = len(_words(raw)) if any(end == _ALL for _, end in word_spans) else _ALL
-                sizes.append(len(raw))
-                removed.append(runs)
-                passages.append(merged(word_spans, n_words) if passage and n_words >= passage else [])
+                removed[i] = runs
+                passages[i] = merged(word_spans, n_words) if passage and n_words >= passage else []
                 edges = [0, *[x for r in runs for x in (r["start"], r["end"])], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
-            columns = [*batch.columns[:n_columns], pa.array(sizes, pa.int64()), pa.array(removed, span), pa.array(kept, pa.binary()), pa.array(passages, span)]
+            left = pc.replace_with_mask(raws, has, pa.array(kept, pa.binary()))
+            columns = [*batch.columns[:n_columns], pc.binary_length(raws).cast(pa.int64()), pa.array(removed, span), left, pa.array(passages, span)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

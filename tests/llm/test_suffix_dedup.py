@@ -75,7 +75,6 @@ def test_removal_matches_brute_force(spark, make_docs, monkeypatch, length, pass
     monkeypatch.setattr(suffix_dedup, "SEGMENT", segment)
     monkeypatch.setattr(suffix_dedup, "PIECE", piece)
     monkeypatch.setattr(suffix_dedup, "BUCKET_ENTRIES", bucket)
-    monkeypatch.setattr(suffix_dedup, "FEW_TEXTS", bucket)
     texts = corpus(length, seed)
     held(remove_repeats(make_docs(texts), length, batches=3, passage=passage).orderBy("doc_id").collect(), texts, length, passage)
 
