@@ -18,7 +18,7 @@ All of it is DataFrame work on integers; results are the same in any order of ro
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -72,21 +72,25 @@ def _shares(children: DataFrame, parent: tuple[str, ...], name: str) -> DataFram
     return some.withColumn("quota", quota).drop("fill", "all_w", "w_before", "cap_before", "full", "spent", "w_to", "w_open")
 
 
+def _weighted(nodes: DataFrame, path: tuple[str, ...], weights: dict[tuple[str, ...], int], mix: Mix) -> DataFrame:
+    """Adds ``w`` to the nodes of one depth: a join with the weights' table, which may be as long as the tree is wide."""
+    if not weights:
+        return nodes.withColumn("w", F.lit(1).cast("long"))
+    rows = [F.struct(*[F.lit(v).cast("string").alias(c) for c, v in zip(path, p, strict=True)], F.lit(w).cast("long").alias("w")) for p, w in weights.items()]
+    table = nodes.sparkSession.range(1).select(F.inline(F.array(*rows)))
+    if len(weights) <= mix.broadcast_leaves:
+        table = F.broadcast(table)
+    return nodes.join(table, list(path), "left").withColumn("w", F.coalesce("w", F.lit(1)).cast("long"))
+
+
 def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """(levels, tokens, quota) of every leaf, from rows (levels, tokens) with one row per leaf and tokens > 0."""
     levels = mix.levels
-    weight = F.lit(1)
-    for path, w in mix.weights.items():
-        here = F.lit(True)
-        for column, value in zip(levels, path, strict=False):
-            here &= F.col(column).eqNullSafe(value)
-        weight = F.when((F.col("depth") == len(path)) & here, w).otherwise(weight)
     parent = None
     for depth, name in enumerate(levels, 1):
         path = levels[:depth]
         nodes = leaves.groupBy(*path).agg(F.sum(F.col("tokens") * mix.max_epochs).alias("cap"))
-        absent = [F.lit(None).cast("string").alias(c) for c in levels[depth:]]
-        nodes = nodes.select(*path, "cap", *absent).withColumn("depth", F.lit(depth)).withColumn("w", weight.cast("long")).drop("depth", *levels[depth:])
+        nodes = _weighted(nodes, path, {p: w for p, w in mix.weights.items() if len(p) == depth}, mix)
         if parent is None:
             every = F.sum("cap").over(W.partitionBy(F.lit(0)))  # a row per top node
             nodes = nodes.withColumn("all_cap", every).withColumn("total", F.expr(f"(all_cap div {mix.max_epochs}) * {mix.budget_percent} div 100")).drop("all_cap")
@@ -96,10 +100,9 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return leaves.join(parent.select(*levels, "quota"), list(levels))
 
 
-def _with_leaf(rows: DataFrame, leaf_table: DataFrame, leaves: int, mix: Mix, prefix: str = "") -> DataFrame:
+def _with_leaf(rows: DataFrame, leaf_table: DataFrame, leaves: int, mix: Mix) -> DataFrame:
     """Rows joined with their leaf's row: by broadcast while leaves are few, else by leaf and salt."""
-    on = [prefix + c for c in mix.levels]
-    leaf_table = leaf_table.withColumnsRenamed({c: prefix + c for c in mix.levels})
+    on = list(mix.levels)
     if leaves <= mix.broadcast_leaves:
         return rows.join(F.broadcast(leaf_table), on)
     salted = leaf_table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
@@ -112,14 +115,18 @@ def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     ``take_tokens`` is less than a row's tokens for the row in which a prefix ends. Null levels count as
     the level '' (and come out as null again); null ids are one id. Rows with one id stand at one place of the order and are
     taken together (the last place of a prefix may then overshoot by them). Rows without tokens
-    are kept in whole epochs only. Columns epoch, take_tokens and mix_* are replaced; others pass through.
+    are kept in whole epochs only. Columns epoch and take_tokens are replaced; all others, whatever their names, pass through.
+    An empty table gives none.
     """
-    spark = docs.sparkSession
-    levels = mix.levels
-    docs = docs.drop("epoch", "take_tokens", "mix_id", "mix_tokens", *[f"mix_{c}" for c in levels])
-    counted = docs.withColumns({f"mix_{c}": F.coalesce(F.col(c), F.lit("")) for c in levels})
-    counted = counted.withColumn("mix_id", F.col(id_col)).withColumn("mix_tokens", tokens if tokens is not None else n_words(F.col(text_col)))
-    rows = cut(counted.select(*[F.col(f"mix_{c}").alias(c) for c in levels], "mix_id", "mix_tokens"), "mix-rows")
+    own, levels = mix.levels, tuple(f"mix_level_{i}" for i in range(len(mix.levels)))
+    mix = replace(mix, levels=levels)
+    docs = docs.drop("epoch", "take_tokens")
+    # The caller's columns travel as one struct, so that no name of theirs meets a working column.
+    counted = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("mix_row"), *[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(name) for c, name in zip(own, levels, strict=True)],
+        F.col(id_col).alias("mix_id"), (tokens if tokens is not None else n_words(F.col(text_col))).alias("mix_tokens"),
+    )
+    rows = cut(counted.select(*levels, "mix_id", "mix_tokens"), "mix-rows")
     leaves = rows.groupBy(*levels).agg(F.sum("mix_tokens").alias("tokens")).where("tokens > 0")
     plan = cut(budgets(cut(leaves, "mix-leaves"), mix).select(*levels, F.col("quota"), F.expr("CAST(quota div tokens AS INT)").alias("whole"), F.expr("quota % tokens").alias("rest")), "mix-plan")
     n = plan.count()
@@ -134,12 +141,12 @@ def mix_sources(docs: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str
     to = F.col("before") + F.sum("tokens").over(W.partitionBy(*levels).orderBy("key"))
     last = places.withColumn("to", to).where("to >= rest AND to - tokens < rest").select(*levels, F.col("key").alias("last_key"), (F.col("rest") - (F.col("to") - F.col("tokens"))).alias("last_take"))
     plan = cut(plan.join(last, list(levels), "left").select(*levels, "whole", "last_key", "last_take"), "mix-ends")
-    chosen = _with_leaf(counted, plan, n, mix, "mix_").withColumn("key", order_key(mix, F.col("whole"), F.col("mix_id")))
+    chosen = _with_leaf(counted, plan, n, mix).withColumn("key", order_key(mix, F.col("whole"), F.col("mix_id")))
     partial = F.coalesce(F.col("key") <= F.col("last_key"), F.lit(False)) & (F.col("mix_tokens") > 0)
     epochs = F.when(partial, F.sequence(F.lit(0), F.col("whole"))).otherwise(F.when(F.col("whole") > 0, F.sequence(F.lit(0), F.col("whole") - 1)))
     take = F.when((F.col("epoch") == F.col("whole")) & (F.col("key") == F.col("last_key")), F.least("last_take", "mix_tokens")).otherwise(F.col("mix_tokens"))
     taken = chosen.withColumn("epoch", F.explode(epochs)).withColumn("take_tokens", take)
-    return taken.select(*docs.columns, "epoch", "take_tokens")
+    return taken.select("mix_row.*", "epoch", "take_tokens")
 
 
 #: Sources by domain in the production mix; all others are 'other'.
