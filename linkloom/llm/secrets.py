@@ -9,7 +9,8 @@ All of it is DataFrame work. A rule's matches get their places from its own piec
 gives what stands between the matches, ``regexp_extract_all`` the matches, and a running sum of
 their lengths the places in code points. Only texts with a match are split.
 
-Copies of a blob are reduced before the shuffle (one text per task and blob). Findings are written to
+What is unseen is told from hashes alone; texts that were scanned before don't move while the unseen blobs are few enough to
+broadcast their hashes. Copies of a blob are reduced before the shuffle (one text per task and blob). Findings are written to
 the ledger first and read back for the join to paths, so that Spark can split a blob with many paths.
 """
 
@@ -51,6 +52,9 @@ RULES = (
 #: Rules that make the base counts and digest.
 BASE = ("assign", "access", "hex")
 
+#: Unseen blobs whose hashes are broadcast, at most: some 50 MB.
+FEW_BLOBS = 500_000
+
 
 def _matches(rule: Rule, text: Column) -> Column:
     """Per match: characters before it since the last match, its own, and whether it passes."""
@@ -118,20 +122,21 @@ class SecretLedger:
         Null text: the empty blob. A column named blob is replaced.
         """
         addressed = history.withColumn("blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-        blobs = addressed.groupBy("blob").agg(F.first(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+        texts = addressed.select("blob", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
         keys = F.array(*[F.lit(r.key) for r in rules])
         seen = self._read("scanned", self._SCANNED)
         if seen is None:
-            blobs = blobs.withColumn("pending", keys)
+            blobs = texts.groupBy("blob").agg(F.first("text").alias("text"))
+            newly = texts.select("blob").distinct()
         else:
             known = seen.groupBy("blob").agg(F.flatten(F.collect_set("rules")).alias("known"))
-            blobs = blobs.join(known, "blob", "left").withColumn("pending", F.array_except(keys, F.coalesce("known", F.array().cast("array<string>")))).where("size(pending) > 0").drop("known")
-        names = F.array(*[F.lit(r.key) for r in rules])
+            unseen = F.array_except(keys, F.coalesce("known", F.array().cast("array<string>")))
+            newly = cut(texts.select("blob").distinct().join(known, "blob", "left").select("blob", unseen.alias("pending")).where("size(pending) > 0"), "unseen")
+            few = newly.count() <= FEW_BLOBS
+            blobs = texts.join(F.broadcast(newly) if few else newly, "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("pending").alias("pending"))
+        names = keys
         found = find_spans(blobs, rules, pending=None if seen is None else "pending").select("blob", F.element_at(names, F.col("rule") + 1).alias("rule"), "start", "end")
         found.write.mode("append").parquet(f"{self.path}/findings")
-        newly = addressed.select("blob").distinct()
-        if seen is not None:
-            newly = newly.join(seen.where(F.size(F.array_except(keys, "rules")) == 0).select("blob"), "blob", "left_anti")
         newly.select("blob", keys.alias("rules")).write.mode("append").parquet(f"{self.path}/scanned")
         return addressed
 
@@ -179,13 +184,13 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def op6_query(spark, sf_dir: str) -> DataFrame:
-    """Counts, digest and spans of every document."""
+def op6_query(spark, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
+    """Counts, digest and spans of every document; with a ledger only blobs and rules that it has not are scanned."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     spans = F.col("spans")
     count = lambda kind: F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
     base = F.filter(spans, lambda s: s["kind"].isin(*BASE))
-    return scan_secrets(docs).select(
+    return scan_secrets(docs, ledger_path).select(
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in BASE],
         F.sha2(_joined(base), 256).alias("base_sha256"),
