@@ -8,7 +8,7 @@ for all of them. Words beyond ``SHORT`` bytes use a heap, so that a megabyte wit
 n log n and not n squared.
 
 The vocabulary is that of a ``tokenizers`` JSON file: NFC, lower case, words by pattern, bytes as
-printable characters, a suffix at the end of a word. Words are cached per Python worker up to a
+printable characters, a suffix at the end of a word. Decoding takes packed ids, from wherever, and joins their tokens. Words are cached per Python worker up to a
 fixed number of entries. A text is one row in and one row out: no shuffle.
 
 Null texts count as empty; an empty text has no tokens. Special tokens' strings inside a text are
@@ -57,8 +57,10 @@ class RankArrayBPE:
         self.pattern = regex.compile(pattern)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = [self.token.get(i, "") for i in range(max(self.token) + 1)]
+        token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
+        self.names = np.array([token.get(i, "") for i in range(max(token) + 1)], object)
+        if spec.get("decoder"):
+            raise ValueError("decoding by another rule than joined tokens is not known here")
         letters = byte_letters()
         self.inner = np.array([self.vocab[c] for c in letters], np.int32)
         self.last = np.array([self.vocab[c + self.suffix] for c in letters], np.int32)
@@ -81,19 +83,18 @@ class RankArrayBPE:
         return np.where(self.keys[at] == key, at, len(self.keys) - 1).astype(np.int32)
 
     def _told(self, parts: np.ndarray, rows, out: list) -> None:
-        """Packed ids and decoded text of finished words, all with as many parts."""
+        """Packed ids of finished words, all with as many parts."""
         packed, step = parts.astype("<u4").tobytes(), 4 * parts.shape[1]
-        names = self.names
-        for i, (r, ids) in enumerate(zip(rows, parts.tolist(), strict=True)):
-            out[r] = (packed[i * step : (i + 1) * step], names[ids[0]] if step == 4 else " ".join([names[x] for x in ids]))
+        for i, r in enumerate(rows):
+            out[r] = packed[i * step : (i + 1) * step]
 
-    def _short(self, words: list[bytes]) -> list[tuple[bytes, str]]:
+    def _short(self, words: list[bytes]) -> list[bytes]:
         """Words of one length, 1 to SHORT bytes."""
         n, size = len(words), len(words[0])
         raw = np.frombuffer(b"".join(words), np.uint8).reshape(n, size)
         parts = self.inner[raw]
         parts[:, -1] = self.last[raw[:, -1]]
-        out: list[tuple[bytes, str]] = [(b"", "")] * n
+        out: list[bytes] = [b""] * n
         rows = np.arange(n)
         if size > 1:
             place = self._look(parts[:, :-1], parts[:, 1:])
@@ -125,7 +126,7 @@ class RankArrayBPE:
         self._told(parts, rows.tolist(), out)
         return out
 
-    def _long(self, word: bytes) -> tuple[bytes, str]:
+    def _long(self, word: bytes) -> bytes:
         """The same merges from a heap of (rank, place), for words beyond SHORT bytes."""
         part = [int(x) for x in self.inner[np.frombuffer(word, np.uint8)]]
         part[-1] = int(self.last[word[-1]])
@@ -152,13 +153,18 @@ class RankArrayBPE:
             if before[i] >= 0:
                 push(before[i])
             push(i)
-        found: list[tuple[bytes, str]] = [(b"", "")]
+        found: list[bytes] = [b""]
         self._told(np.array([[p for p in part if p >= 0]], np.int32), [0], found)
         return found[0]
 
-    def words(self, words: list[bytes]) -> list[tuple[bytes, str]]:
-        """Packed ids and decoded text of many words, each the UTF-8 bytes of one match of the pattern."""
-        out: list[tuple[bytes, str]] = [(b"", "")] * len(words)
+    def decode(self, ids: np.ndarray) -> str:
+        """The text of some ids, special tokens included: without a decoder in the file, tokens with a blank between. Ids that the vocabulary lacks give nothing."""
+        ids = ids[ids < len(self.names)]
+        return " ".join(filter(None, self.names[ids].tolist()))
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """Packed ids of many words, each the UTF-8 bytes of one match of the pattern."""
+        out: list[bytes] = [b""] * len(words)
         by_size: dict[int, list[int]] = {}
         for i, w in enumerate(words):
             by_size.setdefault(len(w), []).append(i)
@@ -191,8 +197,8 @@ class TextCodec:
 
     def __init__(self, path: str):
         self.bpe = RankArrayBPE(path)
-        self.known: dict[bytes, tuple[bytes, str]] = {}
-        self.told: dict[bytes, tuple[bytes, str]] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.told: dict[bytes, bytes] = {}
 
     def learn(self, chunks: set[bytes]) -> None:
         if len(self.known) + len(chunks) > CACHE_WORDS:
@@ -222,38 +228,30 @@ class TextCodec:
         for chunk, word in one:
             known[chunk] = told[word]
         for chunk, parts in many:
-            both = [told[p] if not isinstance(p, int) else (p.to_bytes(4, "little"), self.bpe.token[p]) for p in parts]
-            known[chunk] = both[0] if len(both) == 1 else (b"".join([b for b, _ in both]), " ".join([s for _, s in both]))
+            known[chunk] = b"".join([told[p] if not isinstance(p, int) else p.to_bytes(4, "little") for p in parts])
 
     def run(self, texts: list[str | None]):
-        """(packed ids, decoded) of each text; words new to the cache are encoded together."""
+        """Packed ids of each text; words new to the cache are encoded together."""
         split = [(t or "").encode("utf-8").split() for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
         for chunks in split:
-            if not chunks:
-                yield b"", ""
-                continue
-            ids, names = zip(*map(get, chunks), strict=True)
-            yield b"".join(ids), " ".join(names if "" not in names else [n for n in names if n])
+            yield b"".join(map(get, chunks))
 
 
 _CODECS = kept("bpe", Memo(TextCodec, 4))
 
 
-def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = True) -> DataFrame:
-    """Adds ``bpe_ids`` (binary: little-endian unsigned 32-bit ids), ``bpe_n_tokens`` and, if asked, ``bpe_decoded``.
+def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
+    """Adds ``bpe_ids`` (binary: little-endian unsigned 32-bit ids) and ``bpe_n_tokens``.
 
-    Every input row gives one row and keeps all its columns; columns of these three names are replaced.
+    Every input row gives one row and keeps all its columns; columns of these two names are replaced.
     Null text: as empty. Repeated rows and ids need no care, as rows are independent.
     """
     tune(docs.sparkSession)
-    own = ["bpe_ids", "bpe_n_tokens", "bpe_decoded"]
+    own = ["bpe_ids", "bpe_n_tokens"]
     docs = docs.drop(*own)
-    fields = [T.StructField("bpe_ids", T.BinaryType()), T.StructField("bpe_n_tokens", T.LongType())]
-    if decode:
-        fields.append(T.StructField("bpe_decoded", T.StringType()))
-    schema = T.StructType(docs.schema.fields + fields)
+    schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.BinaryType()), T.StructField("bpe_n_tokens", T.LongType())])
     place = docs.columns.index(text_col)
 
     def run(batches):
@@ -263,25 +261,42 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode:
             texts = batch.column(place).to_pylist()
             for a, b in text_blocks(texts):
                 with steady():
-                    found = list(codec.run(texts[a:b]))
-                ids = [x for x, _ in found]
+                    ids = list(codec.run(texts[a:b]))
                 columns = [*batch.slice(a, b - a).columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                names = [*batch.schema.names, *own[:2]]
-                if decode:
-                    columns.append(pa.array([x for _, x in found], pa.string()))
-                    names.append(own[2])
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
+def decode_bpe(coded: DataFrame, vocabulary: str, ids_col: str = "bpe_ids") -> DataFrame:
+    """Adds ``bpe_decoded``: the text of packed ids, as ``encode_bpe`` makes them or from storage.
+
+    Null and empty: the empty text. Every row keeps its columns; one named bpe_decoded is replaced. Bytes beyond the last whole id don't count.
+    """
+    tune(coded.sparkSession)
+    coded = coded.drop("bpe_decoded")
+    schema = T.StructType([*coded.schema.fields, T.StructField("bpe_decoded", T.StringType())])
+    place = coded.columns.index(ids_col)
+
+    def run(batches):
+        serve("bpe")
+        bpe = _CODECS[vocabulary].bpe
+        for batch in batches:
+            packed = [x or b"" for x in batch.column(place).to_pylist()]
+            told = [bpe.decode(np.frombuffer(x[: len(x) // 4 * 4], "<u4")) for x in packed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], names=schema.names)
+
+    return coded.mapInArrow(run, schema)
+
+
 def op10_query(spark, sf_dir: str) -> DataFrame:
     """Encodes and decodes every text of ``documents`` and gives digests of both."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = encode_bpe(docs, public_tokenizers.path("word_bpe_49k.json"))
-    return coded.select(
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    coded = encode_bpe(docs, vocabulary).select("doc_id", "bpe_ids", "bpe_n_tokens")
+    return decode_bpe(coded, vocabulary).select(
         "doc_id",
         F.col("bpe_n_tokens").alias("n_tokens"),
         F.sha2("bpe_ids", 256).alias("ids_sha256"),

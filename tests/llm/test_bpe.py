@@ -1,11 +1,14 @@
 import hashlib
+import os
 import random
 
+import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from linkloom.llm.bpe import RankArrayBPE, TextCodec, encode_bpe
+from linkloom.llm.bpe import RankArrayBPE, TextCodec, decode_bpe, encode_bpe, op10_query
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -27,11 +30,11 @@ def texts():
 
 def test_ids_and_decoded_text_match_the_library(library):
     codec = TextCodec(PATH)
-    for text, (ids, decoded) in zip(texts(), codec.run(texts()), strict=True):
+    for text, ids in zip(texts(), codec.run(texts()), strict=True):
         want = library.encode(text, add_special_tokens=False).ids
         got = [int.from_bytes(ids[i : i + 4], "little") for i in range(0, len(ids), 4)]
         assert got == want, repr(text)
-        assert decoded == library.decode(want, skip_special_tokens=False), repr(text)
+        assert codec.bpe.decode(np.frombuffer(ids, "<u4")) == library.decode(want, skip_special_tokens=False), repr(text)
 
 
 def test_heap_and_matrix_agree():
@@ -44,9 +47,33 @@ def test_heap_and_matrix_agree():
 
 def test_rows_nulls_extra_columns_and_empty_table(spark, make_docs, library):
     docs = make_docs([None, "", "Same text", "Same text"]).selectExpr("*", "'old' AS bpe_ids", "1 AS extra")
-    rows = encode_bpe(docs, PATH).orderBy("doc_id").collect()
+    rows = decode_bpe(encode_bpe(docs, PATH).withColumn("bpe_decoded", F.lit(1)), PATH).orderBy("doc_id").collect()
     assert [r.bpe_n_tokens for r in rows] == [0, 0, 2, 2]
     assert rows[0].bpe_ids == b"" and rows[0].bpe_decoded == "" and rows[2].extra == 1
     want = b"".join(i.to_bytes(4, "little") for i in library.encode("Same text", add_special_tokens=False).ids)
     assert hashlib.sha256(bytes(rows[2].bpe_ids)).digest() == hashlib.sha256(want).digest()
-    assert encode_bpe(docs.limit(0), PATH).count() == 0
+    assert decode_bpe(encode_bpe(docs.limit(0), PATH), PATH).count() == 0
+
+
+def test_stored_ids_decode(spark, library):
+    """Ids from elsewhere: null, a cut id, ids beyond the vocabulary, a long text."""
+    long = library.encode("the thing " * 30_000, add_special_tokens=False).ids
+    packs = [None, b"", b"\x05", *[b"".join(i.to_bytes(4, "little") for i in ids) for ids in ([5, 4_000_000_000, 6], long)]]
+    rows = spark.createDataFrame([(i, bytearray(p) if p is not None else None) for i, p in enumerate(packs)], "n int, ids binary")
+    got = [r.bpe_decoded for r in decode_bpe(rows, PATH, "ids").orderBy("n").collect()]
+    assert got == ["", "", "", library.decode([5, 6], skip_special_tokens=False), library.decode(long, skip_special_tokens=False)]
+
+
+def test_query_matches_the_library(spark, library):
+    """Every row of the smallest tables."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = op10_query(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        ids = library.encode(texts[r.doc_id], add_special_tokens=False).ids
+        packed = b"".join(i.to_bytes(4, "little") for i in ids)
+        decoded = library.decode(ids, skip_special_tokens=False)
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(packed).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest())
