@@ -365,12 +365,12 @@ class NgramModel:
         scored = self._broadcast(rows, text_col) if self.bytes <= self.how.max_filter_bytes else self._dealt(rows, text_col)
         scored = cut(scored, "scored")
         tail = scored.select("lm_row", F.explode("lm_tail").alias("t")).select("lm_row", F.col("t.word").alias("word"), F.col("t.n").alias("times"))
-        met = tail.join(self.words, "word").groupBy("lm_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"), F.sum("times").alias("known"))
+        met = tail.join(self.words, "word").groupBy("lm_row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("lm_more"), F.sum("times").alias("lm_known"))
         whole = scored.drop("lm_tail").join(met, "lm_row", "left")
         floor = float(np.log10(self.n + self.v + 1))
-        base = F.col("lm_base") + F.coalesce("more", F.lit(0.0)) - F.col("lm_n_tokens") * F.lit(floor)
-        known = F.col("lm_n_known") + F.coalesce("known", F.lit(0))
-        return whole.withColumn("lm_base", base).withColumn("lm_n_known", known).drop("lm_row", "more", "known")
+        base = F.col("lm_base") + F.coalesce("lm_more", F.lit(0.0)) - F.col("lm_n_tokens") * F.lit(floor)
+        known = F.col("lm_n_known") + F.coalesce("lm_known", F.lit(0))
+        return whole.withColumn("lm_base", base).withColumn("lm_n_known", known).drop("lm_row", "lm_more", "lm_known")
 
     def _exact(self) -> Exact:
         head = self.head().toArrow()

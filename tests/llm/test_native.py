@@ -145,3 +145,57 @@ def test_ledger_scans_unseen_pairs_only(spark, tmp_path, make_docs):
 def test_redaction(spark, make_docs):
     rows = secrets.scan_secrets(make_docs(["é password=abcdefghijkl0123456789abcdef end", "clean", None])).withColumn("r", secrets.redacted(F.col("text"), F.col("spans"))).orderBy("doc_id").collect()
     assert [r.r for r in rows] == ["é [assign] end", "clean", None]
+
+
+def test_mix_keeps_columns_of_any_name(spark):
+    names = "key whole last_key last_take salt bucket rest before quota tokens w cap total fill full mix_id mix_tokens mix_row mix_level_0 level_0 end_bucket".split()
+    rows = [(i, words(i % 5 + 1, "w"), "en", f"src{i % 3}", "crawl") for i in range(60)] + [(5, "w " * 100_000, "en", "src1", "crawl"), (5, "again", "en", "src1", "crawl")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, domain string").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for leaves in (50_000, 0):
+        taken = mixing.mix_sources(docs, mixing.Mix(weights={("crawl", "en"): 3}, budget_percent=150, broadcast_leaves=leaves))
+        assert taken.columns == [*docs.columns, "epoch", "take_tokens"]
+        got = taken.collect()
+        assert got and all(r[n] == f"own {n}" for r in got for n in names)
+        assert {r.doc_id for r in got if r.text == "again"} == {5}
+
+
+def test_weights_of_many_sources(spark):
+    """A tree of thousands of sources: weights are a joined table."""
+    leaves = spark.range(3000).selectExpr("'d' AS domain", "CAST(id AS STRING) AS source", "CAST(100 AS LONG) AS tokens")
+    weights = {("d", str(i)): 1 + i % 3 for i in range(2900)}
+    got = {int(r.source): r.quota for r in mixing.budgets(leaves, mixing.Mix(levels=("domain", "source"), weights=weights, budget_percent=50, max_epochs=1)).collect()}
+    assert sum(got.values()) == 150_000 and got[0] < got[1] <= got[2] and abs(got[0] - got[2999]) <= 1
+
+
+def test_long_conversation_and_clashing_names(spark):
+    rows = [(1, i, ("user", "assistant")[i % 2], f"text {i} </turn>") for i in range(4000)] + [(2, 0, "user", "y" * 2_000_000)]
+    names = "walk segments formatted valid place prior escaped at out".split()
+    docs = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").select("*", *[F.lit(1).alias(n) for n in names])
+    found = {r.conv_id: r for r in chat.format_chats(docs).withColumn("back", chat.read_back(F.col("formatted"))).collect()}
+    assert [(b.role, b.text) for b in found[1].back] == [(r, t) for c, _, r, t in rows if c == 1] and found[1].valid
+    assert found[2].back[0].text == "y" * 2_000_000
+
+
+def test_secret_query_over_two_versions(spark, tmp_path, duck, make_docs):
+    """With a ledger the second version of the table costs its new blobs only, and the result is that of a scan from nothing."""
+    path = str(tmp_path / "ledger")
+    for n, texts in enumerate((SECRETS[:4], [*SECRETS[:3], *SECRETS[4:], SECRETS[4]])):
+        docs = make_docs(texts)
+        docs.write.mode("overwrite").parquet(str(tmp_path / f"v{n}" / "documents.parquet"))
+        got = sorted((r.asDict() for r in secrets.op6_query(spark, str(tmp_path / f"v{n}"), path).collect()), key=str)
+        assert got == duck(secrets.OP6_SQL, documents=docs)
+    scanned = spark.read.parquet(f"{path}/scanned")
+    assert scanned.count() == scanned.select("blob").distinct().count() == len({t or "" for t in SECRETS})
+
+
+def test_secrets_with_clashing_names_and_many_unseen(spark, tmp_path, make_docs, monkeypatch):
+    monkeypatch.setattr(secrets, "FEW_BLOBS", 0)
+    names = "pending known rules rule start end n all nth".split()
+    docs = make_docs([*SECRETS, "z " * 1_000_000 + SECRETS[0]]).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    path = str(tmp_path / "ledger")
+    secrets.scan_secrets(docs.limit(3), path)
+    rows = {r.doc_id: r for r in secrets.scan_secrets(docs, path).collect()}
+    assert all(r[n] == f"own {n}" for r in rows.values() for n in names)
+    for i, text in enumerate(SECRETS):
+        assert [f"{s.kind}:{s.start}:{s.end}" for s in rows[i].spans if s.kind in secrets.BASE] == spans_by_definition(text or "")
+    assert [s.start - 2_000_000 for s in rows[len(SECRETS)].spans] == [s.start for s in rows[0].spans]

@@ -6,6 +6,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from linkloom.llm.ngram_lm import Filter, NgramModel, Settings, _build, _packed, _unpacked, meant, op3_query, thresholds
 
@@ -69,6 +70,26 @@ def test_scores_match_brute_force(spark, tmp_path, make_docs, how):
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_production_settings_against_exact_scores(spark, tmp_path, make_docs):
+    """With ten bits an entry some unseen n-grams are found: most texts score as by exact counts, none less, and few more by much."""
+    docs = make_docs(texts(600))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    want = brute(list(enumerate(texts(600))), Settings())
+    rows = op3_query(spark, str(tmp_path)).collect()
+    off = np.array([(r.score - want[r.doc_id][4]) / want[r.doc_id][0] for r in rows])
+    assert all(r.base_score == pytest.approx(want[r.doc_id][3]) for r in rows)
+    assert (np.abs(off) < 1e-9).mean() > 0.5 and off.mean() < 0.02 and np.abs(off).max() < 0.5
+
+
+def test_long_text_and_clashing_names(spark, make_docs):
+    names = "known more word n times row segment block tags".split()
+    docs = make_docs(["a b c", "a b " * 400_000, None]).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    for how in (Settings(), Settings(max_filter_bytes=0), Settings(head_words=1)):
+        rows = {r.doc_id: r for r in NgramModel(docs, how=how).score(docs).collect()}
+        assert all(r[n] == f"own {n}" for r in rows.values() for n in names)
+        assert rows[1].lm_n_tokens == 800_001 and rows[1].lm_n_known == 800_001
+
+
 def test_empty_tables_repeated_rows_and_extra_columns(spark, make_docs):
     docs = make_docs(["a b", "a b", None]).selectExpr("1 AS doc_id", "text", "'x' AS lm_score", "2 AS other")
     model = NgramModel(docs)
