@@ -3,7 +3,7 @@ import random
 
 import pytest
 
-from linkloom.llm.toxicity import Memo, Model, features, fold, op9_query, score_text, score_toxicity, sentences, train
+from linkloom.llm.toxicity import Memo, Model, Training, features, fold, labelled_sample, op9_query, score_text, score_toxicity, sentences, train
 
 
 def corpus(n=400, seed=1):
@@ -18,8 +18,13 @@ def corpus(n=400, seed=1):
     return rows
 
 
-def test_held_out_accuracy_and_located_sentences():
-    model = train(corpus())
+def learnt(spark, rows):
+    return train(spark.createDataFrame(rows, "text string, toxic int"))
+
+
+def test_held_out_accuracy_and_located_sentences(spark):
+    model = learnt(spark, corpus())
+    assert learnt(spark, corpus()[::-1]) == model
     word = Memo(model.word, 1000).__getitem__
     fresh = corpus(200, 2)
     scored = [score_text(t, word, model.bias) for t, _ in fresh]
@@ -44,8 +49,23 @@ def test_features_and_sentences():
     assert sentences(" . \n") == []
 
 
-def test_without_labels_of_both_kinds_nothing_is_toxic():
-    assert train([]).weights == {} and train([("some text", 0), (None, 0)]).weights == {}
+def test_without_labels_of_both_kinds_nothing_is_toxic(spark):
+    assert learnt(spark, []).weights == {} and learnt(spark, [("some text", 0), (None, 0)]).weights == {}
+
+
+def test_sample_is_bounded_and_takes_whole_texts(spark):
+    docs = spark.createDataFrame([(i, "a bad day. " * (i + 1)) for i in range(20)] + [(3, "a"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(5, 0), (6, 9)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, Training(sample_toxic=4, sample_clean=100, sample_bytes=165)).collect()
+    assert sum(r.toxic for r in rows) <= 4 and all(len(r.text or "") <= 165 for r in rows) and len({(r.doc_id, r.toxic) for r in rows}) == len(rows)
+    assert {r.doc_id: r.text for r in rows if r.toxic == 0}[4] == "a bad day. " * 5 and (5, 0) in {(r.doc_id, r.toxic) for r in rows}
+
+
+def test_long_text_and_repeated_rows(spark, make_docs):
+    model = Model(-1.0, {"bad": 5.0})
+    texts = ["fine words here. " * 200_000 + "bad", "bad", "bad", "x" * 3_000_000]
+    rows = score_toxicity(make_docs(texts), model).orderBy("doc_id").collect()
+    assert [r.toxicity > 0.5 for r in rows] == [True, True, True, False] and rows[0].offending[0].start == len(texts[0]) - 4
 
 
 def test_nulls_extra_columns_and_empty_table(spark, make_docs):
