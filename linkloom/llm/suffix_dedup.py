@@ -207,7 +207,7 @@ def _contexts(unit: int, found, content: bytes, length: int) -> np.ndarray:
     return np.fromiter((digest(content[(p - h) * unit : (p - l + length) * unit], h * 1_000_003 + l) for p, l, h in zip(at.tolist(), lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(at))
 
 
-_ANCHOR = "digest binary, place long, gram long, context long, lo int, hi int"
+_ANCHOR = "digest binary, place long, until long, n long, gram long, context long, lo int, hi int"
 _SUFFIX = "gram long, context long, before binary, after binary, lo long, hi long"
 _MATCH = "gram long, context long, first long, last long"
 _MATCH_ARROW = pa.schema([(c, pa.int64()) for c in ("gram", "context", "first", "last")])
@@ -311,17 +311,22 @@ def _scanned(new: pa.Table, old: pa.Table) -> pa.Table:
 
 
 def _anchor_rows(length: int, passage: int, wanted):
-    """Anchors of grams that may be wanted."""
+    """Anchors of grams that may be wanted. Those of one class and document whose windows overlap from one to the next, as in texts that repeat themselves, are one row, from place to until."""
 
     def run(batches):
         for unit, whose, numbers, offset, found, content, starts in _blocks(batches, length, passage, wanted.value):
             piece, at, lo, hi, gram = found
-            context = _contexts(unit, found, content, passage if unit == 8 else length)
-            digests = pa.array(whose, pa.binary()).take(pa.array(numbers[piece]))
-            yield pa.RecordBatch.from_arrays(
-                [digests, pa.array(at - starts[piece] + offset[piece]), pa.array(gram.view(np.int64)), pa.array(context.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32))],
-                names=["digest", "place", "gram", "context", "lo", "hi"],
-            )
+            size = passage if unit == 8 else length
+            context = _contexts(unit, found, content, size)
+            text, place = numbers[piece], at - starts[piece] + offset[piece]
+            order = np.lexsort((place, context, gram, text))
+            text, place, gram, context, lo, hi = (x[order] for x in (text, place, gram, context, lo, hi))
+            same = (text[1:] == text[:-1]) & (gram[1:] == gram[:-1]) & (context[1:] == context[:-1]) & (place[1:] - place[:-1] <= size)
+            heads = np.flatnonzero(np.concatenate([[True], ~same])) if len(order) else order
+            ends = np.concatenate([heads[1:], [len(order)]]) - 1 if len(order) else order
+            digests = pa.array(whose, pa.binary()).take(pa.array(text[heads]))
+            columns = [place[heads], place[ends], ends - heads + 1, gram[heads].view(np.int64), context[heads].view(np.int64), lo[heads].astype(np.int32), hi[heads].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([digests, *map(pa.array, columns)], names=["digest", "place", "until", "n", "gram", "context", "lo", "hi"])
 
     return run
 
@@ -503,7 +508,7 @@ class SuffixIndex:
         texts = self._every("texts", f"texts-{tag}")
         placed = cut(texts.mapInArrow(_anchor_rows(self.length, self.passage, wanted), _ANCHOR), "placed")
         doc = F.xxhash64("digest")
-        classes = cut(placed.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("z")), "classes")
+        classes = cut(placed.groupBy("gram", "context").agg(F.sum("n").alias("n"), F.min(doc).alias("a"), F.max(doc).alias("z")), "classes")
         sizes = classes.groupBy("gram").agg(F.sum("n").alias("members"), F.count("*").alias("contexts")).where("members > 1")
         touched = cut(classes.join(sizes.select("gram", "contexts"), "gram"), "touched")
         drop_scratch(classes)
@@ -514,8 +519,8 @@ class SuffixIndex:
         near = placed.mapInArrow(_picked("context", some), placed.schema)
         words = F.col("gram").bitwiseAND(F.lit(1)) == 1
         long = F.when(words, self.passage).otherwise(self.length)
-        full = near.join(whole, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("hi")).alias("start"), (F.col("place") - F.col("lo") + long).alias("end"))
-        part = near.join(found, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + long).alias("end"))
+        full = near.join(whole, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("hi")).alias("start"), (F.col("until") - F.col("lo") + long).alias("end"))
+        part = near.join(found, ["gram", "context"]).select("digest", words.alias("words"), (F.col("place") - F.col("last")).alias("start"), (F.col("until") - F.col("first") + long).alias("end"))
         self._put(full.union(part), f"spans-{tag}")
         drop_scratch(placed, touched)
 
@@ -582,13 +587,13 @@ class SuffixIndex:
                 return cut(settled, "settled"), found
 
     def spans(self) -> DataFrame:
-        """(digest, spans) of every text with a repeated window: arrays of (words, start, end), words false for bytes; sorted, may overlap."""
+        """(digest, spans) of every text with a repeated window: arrays of (words, start, end), words false for bytes; in any order, may overlap."""
         texts = self._every("texts")
         if texts is None:
             return self.spark.createDataFrame([], "digest binary, spans array<struct<words: boolean, start: long, end: long>>")
         copies = texts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1")
         both = copies.select("digest", F.explode(F.array(F.lit(False), F.lit(True))).alias("words"), F.lit(0).cast("long").alias("start"), F.lit(_ALL).cast("long").alias("end"))
-        return self._every("spans").unionByName(both).groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("words", "start", "end"))).alias("spans"))
+        return self._every("spans").unionByName(both).groupBy("digest").agg(F.collect_list(F.struct("words", "start", "end")).alias("spans"))
 
 
 def digest_of(text_col: str):
@@ -628,38 +633,48 @@ def remove_repeats(docs: DataFrame, length: int = 400, text_col: str = "text", b
     return joined.mapInArrow(run, schema)
 
 
-def merged(spans, size: int) -> list[dict]:
-    """Maximal runs of sorted spans, within ``size``; touching ones join."""
-    out: list[dict] = []
-    for start, end in spans:
-        end = min(end, size)
-        if out and start <= out[-1]["end"]:
-            out[-1]["end"] = max(out[-1]["end"], end)
-        else:
-            out.append({"start": start, "end": end})
-    return out
+def merged(start: np.ndarray, end: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Maximal runs of spans, within ``size``; touching ones join."""
+    order = np.argsort(start, kind="stable")
+    start, end = start[order], np.minimum(np.maximum.accumulate(end[order]), size)
+    heads = np.flatnonzero(np.concatenate([[True], start[1:] > end[:-1]])) if len(start) else order
+    return start[heads], end[np.concatenate([heads[1:], [len(start)]]) - 1] if len(start) else end
 
 
-def _removal(at_text: int, n_columns: int, names: list[str], length: int, passage: int):
-    span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+def _runs_column(found: dict[int, tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    """Runs by row as a column of arrays of (start, end)."""
+    sizes = np.zeros(n, np.int64)
+    for i, (start, _) in found.items():
+        sizes[i] = len(start)
+    flat = [np.concatenate([np.zeros(0, np.int64), *[found[i][side] for i in sorted(found)]]) for side in (0, 1)]
+    values = pa.StructArray.from_arrays([pa.array(x, pa.int64()) for x in flat], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), values)
 
+
+def _removal(at_text: int, n_columns: int, names: list[str], length: int, passage: int):
     def run(batches):
         for batch in batches:
             raws = pc.fill_null(batch.column(at_text), "").cast(pa.binary())
             # Texts without spans pass as they are, in whole columns.
-            has = batch.column(n_columns).is_valid()
-            removed, kept, passages = [[]] * len(batch), [], [[]] * len(batch)
+            spans = batch.column(n_columns)
+            has = spans.is_valid()
+            offsets, values = spans.offsets.to_numpy(), spans.values
+            words, start, end = (values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+            removed, passages, kept = {}, {}, []
             for i in np.flatnonzero(has.to_numpy(zero_copy_only=False)).tolist():
-                raw, spans = raws[i].as_py(), batch.column(n_columns)[i].as_py()
-                word_spans = [(s["start"], s["end"]) for s in spans if s["words"]]
-                runs = merged([(s["start"], s["end"]) for s in spans if not s["words"]], len(raw)) if len(raw) >= length else []
-                n_words = len(_words(raw)) if any(end == _ALL for _, end in word_spans) else _ALL
-                removed[i] = runs
-                passages[i] = merged(word_spans, n_words) if passage and n_words >= passage else []
-                edges = [0, *[x for r in runs for x in (r["start"], r["end"])], len(raw)]
+                raw, here = raws[i].as_py(), slice(offsets[i], offsets[i + 1])
+                in_words = words[here].astype(bool)
+                if len(raw) >= length:
+                    removed[i] = merged(start[here][~in_words], end[here][~in_words], len(raw))
+                if passage and in_words.any():
+                    n_words = len(_words(raw)) if (end[here][in_words] == _ALL).any() else _ALL
+                    if n_words >= passage:
+                        passages[i] = merged(start[here][in_words], end[here][in_words], n_words)
+                runs = zip(*[x.tolist() for x in removed[i]], strict=True) if i in removed else ()
+                edges = [0, *[x for r in runs for x in r], len(raw)]
                 kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             left = pc.replace_with_mask(raws, has, pa.array(kept, pa.binary()))
-            columns = [*batch.columns[:n_columns], pc.binary_length(raws).cast(pa.int64()), pa.array(removed, span), left, pa.array(passages, span)]
+            columns = [*batch.columns[:n_columns], pc.binary_length(raws).cast(pa.int64()), _runs_column(removed, len(batch)), left, _runs_column(passages, len(batch))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run

@@ -3,6 +3,7 @@ import os
 import random
 import re
 
+import numpy as np
 import pytest
 
 from linkloom.llm import suffix_dedup
@@ -93,11 +94,11 @@ def test_batches_of_separate_runs_equal_one_run(spark, make_docs, tmp_path):
     for t, want, n_words in zip(texts, brute(texts, 20), brute_passages(texts, 5), strict=True):
         raw = (t or "").encode()
         found = spans.get(hashlib.md5(raw).digest(), [])
-        runs = suffix_dedup.merged([(s.start, s.end) for s in found if not s.words], len(raw)) if len(raw) >= 20 else []
-        gone = {i for r in runs for i in range(r["start"], r["end"])}
+        runs = lambda words, size: list(zip(*suffix_dedup.merged(*np.array([(s.start, s.end) for s in found if s.words == words], np.int64).reshape(-1, 2).T, size), strict=True))
+        gone = {i for a, b in runs(False, len(raw)) for i in range(a, b)} if len(raw) >= 20 else set()
         assert bytes(b for i, b in enumerate(raw) if i not in gone) == want
         count = len(suffix_dedup._words(raw))
-        assert sum(r["end"] - r["start"] for r in suffix_dedup.merged([(s.start, s.end) for s in found if s.words], count)) * (count >= 5) == n_words
+        assert sum(b - a for a, b in runs(True, count)) * (count >= 5) == n_words
     with pytest.raises(ValueError):
         SuffixIndex(spark, path, 30, 5)
 
