@@ -26,6 +26,35 @@ def retry_class(message: Column) -> Column:
     return kind
 
 
+#: Category, severity, whether trying again can help, and the words that tell it: fixed values, the first that fits counts.
+CATEGORIES = (
+    ("network", "medium", True, ("timeout",)),
+    ("api_limit", "high", True, ("rate limit", "quota", "429")),
+    ("api_auth", "critical", False, ("unauthorized", "403", "401", "api key", "authentication")),
+    ("network", "medium", True, ("network", "connection", "dns")),
+    ("api_error", "high", True, ("500", "502", "503")),
+    ("validation", "low", False, ("validation", "invalid")),
+    ("system", "high", True, ("memory", "resource")),
+)
+
+
+def categorized(message: Column) -> Column:
+    """struct(category, severity, recoverable) of an error message."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    told = lambda name, severity, again: F.struct(F.lit(name).alias("category"), F.lit(severity).alias("severity"), F.lit(again).alias("recoverable"))
+    out = told("processing", "medium", True)
+    for name, severity, again, words in reversed(CATEGORIES):
+        out = F.when(text.any_of(low, words), told(name, severity, again)).otherwise(out)
+    return out
+
+
+def processing_seconds(items: Column, mean_response: Column, concurrent: Column) -> Column:
+    """Estimated seconds for some items: two each without history; else the mean response by the share that runs at once, a tenth of a second each, and a fifth more."""
+    share = F.least(concurrent, items) / F.nullif(items, F.lit(0))
+    known = items * (mean_response * share + 0.1) * 1.2
+    return F.when(F.coalesce(mean_response, F.lit(0.0)) <= 0, items * 2.0).otherwise(F.coalesce(known, F.lit(0.0)))
+
+
 def backoff(attempt: Column, base: float = 1.0, most: float = 60.0, factor: float = 2.0) -> Column:
     """Exponential delay without jitter."""
     return F.least(F.lit(most), F.lit(base) * F.pow(F.lit(factor), attempt))

@@ -101,7 +101,9 @@ def from_text(c: Column) -> Column:
     types = F.transform(F.filter(kinds, lambda k: F.exists(k["words"], lambda w: F.contains(low, w))), lambda k: k["name"])
     words = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)")), lambda w: (F.length(w) >= 2) & ~w.isin(*D.STOP_WORDS) & ~w.rlike("^[0-9]+$"))
     keep = ("ai", "programming", "machine", "learning", "github")
-    names = F.filter(F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"\b([A-Z][a-zA-Z]+)\b")), F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*D.STOP_WORDS))
+    # Whole words of ASCII letters: a word of any letters first, as engines differ in where a word with others ends.
+    whole = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}_]+)")), lambda w: w.rlike("^[A-Z][a-zA-Z]+$"))
+    names = F.filter(F.transform(whole, F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*D.STOP_WORDS))
     return F.array_sort(F.array_distinct(F.concat(held, types, F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(full_form(w))), names)))
 
 

@@ -86,6 +86,13 @@ def applied(rows: DataFrame, action: Column) -> DataFrame:
     return rows.select(*others, put("new_note", "note", "description"), put("new_tags", "tags", "tags"), put("new_folder", "folder", "folder"))
 
 
+def undone(decided: DataFrame, steps: int = 1) -> DataFrame:
+    """(pos, action) as they stand when the last decisions (pos, action, step) are taken back."""
+    last = decided.agg(F.max("step").alias("_last"))
+    kept = decided.join(F.broadcast(last)).where(F.col("step") <= F.col("_last") - steps)  # one row
+    return kept.groupBy("pos").agg(F.max_by("action", "step").alias("action"))
+
+
 def auto_accepted(rows: DataFrame, threshold: float = 0.8) -> DataFrame:
     return applied(rows, F.when(F.col("confidence") >= threshold, "accept").otherwise("skip"))
 

@@ -1,13 +1,11 @@
 """Duplicate groups under a key and which row of a group stays.
 
-A group's rows are ranked by a window over the key. Rows without a key (no URL) are all kept. Where a key
-holds very many rows, ``keep_one`` reduces with max_by instead of sorting the group in one task.
+The row of a group that stays is an aggregate, so a key with very many rows is combined in the map tasks. Rows without a key (no URL) are all kept.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 STRATEGIES = ("newest", "oldest", "most_complete", "highest_quality")
@@ -40,30 +38,38 @@ def quality(now: Column) -> Column:
     return _points((_said("title"), 2), (_said("note"), 4), (_n_tags() > 0, 2), (F.length(F.coalesce("note", F.lit(""))) > 50, 2), (_n_tags() > 3, 1), (folder.contains("/") & (folder != "/"), 1)) + recent
 
 
-def rank_of(strategy: str, now: Column, key: str = "dedup_key", pos: str = "pos") -> Column:
+def rank_of(strategy: str, now: Column, pos: str = "pos") -> Column:
     """A struct whose greatest value in a group is the row that stays; an unknown strategy counts as newest.
 
-    By date, a first row without a date wins; other rows without one lose; the earlier row wins ties.
-    Of equally complete rows the first stays, of equally good ones the last.
+    By date a row without one loses and the earlier row wins ties; of equally complete rows the first stays, of equally good ones the last.
     """
-    first = F.col(pos) == F.min(pos).over(W.partitionBy(key))
     early = -F.col(pos)
     if strategy == "most_complete":
         return F.struct(completeness().alias("a"), early.alias("b"))
     if strategy == "highest_quality":
         return F.struct(quality(now).alias("a"), F.col(pos).alias("b"))
     seconds = F.unix_micros("created") * (-1 if strategy == "oldest" else 1)
-    return F.struct((first & F.col("created").isNull()).cast("int").alias("a"), F.col("created").isNotNull().cast("int").alias("b"), F.coalesce(seconds, F.lit(0)).alias("c"), early.alias("d"))
+    return F.struct(F.col("created").isNotNull().cast("int").alias("b"), F.coalesce(seconds, F.lit(0)).alias("c"), early.alias("d"))
+
+
+def winners(rows: DataFrame, strategy: str, now: Column, row: Column, key: str = "dedup_key", pos: str = "pos") -> DataFrame:
+    """(key, group_size, w) of every key that is not empty, w being ``row`` of the row that stays. Map tasks combine first; no group is sorted.
+
+    By date, a first row without a date wins over all.
+    """
+    keyed = rows.where(F.coalesce(F.col(key), F.lit("")) != "")
+    best = F.max_by(row, rank_of(strategy, now, pos))
+    if strategy not in ("most_complete", "highest_quality"):
+        first = F.min_by(F.struct(F.col("created").isNull().alias("dateless"), row.alias("row")), pos)
+        return keyed.groupBy(key).agg(F.count("*").alias("group_size"), best.alias("_best"), first.alias("_first")).select(key, "group_size", F.when(F.col("_first.dateless"), F.col("_first.row")).otherwise(F.col("_best")).alias("w"))
+    return keyed.groupBy(key).agg(F.count("*").alias("group_size"), best.alias("w"))
 
 
 def keep_one(rows: DataFrame, strategy: str = "highest_quality", now: Column | None = None, key: str = "dedup_key", pos: str = "pos") -> DataFrame:
-    """Rows with ``kept`` and ``group_size``; rows with an empty key are kept."""
+    """Rows with ``kept`` and ``group_size``; rows with an empty key are kept. Positions tell rows apart."""
     now = F.current_timestamp() if now is None else now
-    by = W.partitionBy(key)
-    ranked = rows.withColumn("_rank", rank_of(strategy, now, key, pos))
-    alone = F.coalesce(F.col(key), F.lit("")) == ""
-    kept = F.when(alone, True).otherwise(F.col("_rank") == F.max("_rank").over(by))
-    return ranked.withColumn("group_size", F.when(alone, F.lit(1)).otherwise(F.count("*").over(by))).withColumn("kept", kept).drop("_rank")
+    told = winners(rows, strategy, now, F.col(pos), key, pos)
+    return rows.join(told, key, "left").select(*rows.columns, F.coalesce("group_size", F.lit(1)).alias("group_size"), F.coalesce(F.col("w") == F.col(pos), F.lit(True)).alias("kept"))
 
 
 def groups(rows: DataFrame, key: str = "dedup_key", pos: str = "pos") -> DataFrame:
@@ -93,8 +99,11 @@ def first_of(rows: DataFrame, key: str, pos: str = "pos") -> DataFrame:
 
 def process(rows: DataFrame, strategy: str = "highest_quality", now: Column | None = None, dry_run: bool = False) -> DataFrame:
     """Rows that stay, in their columns; a dry run keeps all and says which would go."""
-    judged = keep_one(rows, strategy, now)
-    return judged if dry_run else judged.where("kept").select(*rows.columns)
+    now = F.current_timestamp() if now is None else now
+    if dry_run:
+        return keep_one(rows, strategy, now)
+    alone = rows.where(F.coalesce("dedup_key", F.lit("")) == "")
+    return winners(rows, strategy, now, F.struct(*rows.columns)).select("w.*").unionByName(alone)
 
 
 def report(stats: dict) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import text, urls
+from .tagging import occurring
 
 
 def category_scores(full_text: Column, domain: Column, folder: Column) -> Column:
@@ -51,25 +52,44 @@ def categorised(rows: DataFrame, body: str | None = None, hint: str = "folder")
     return out.withColumns({"category": F.when(sure, F.col("_best.name")).otherwise(fallback(F.col(hint))), "subcategory": F.when(sure, F.col("_best.sub")).otherwise("General")}).drop("_scores", "_best")
 
 
-def filed(rows: DataFrame, most: int = 20, rounds: int = 3, pos: str = "pos") -> DataFrame:
+#: Positions of a folder that one task ranks.
+SLICE = 50_000
+
+
+def filed(rows: DataFrame, most: int = 20, pos: str = "pos") -> DataFrame:
     """Adds ``path`` from category and subcategory under a limit of rows per folder.
 
     Subfolders appear where a category has several subcategories or more rows than the limit. A folder beyond
     the limit is split by the hosts' main labels (groups under three rows are Other); where that leaves no group within the
-    limit, into parts of ``most`` rows by position. Every round is one pass of windows over folders.
+    limit, or one group only, into parts of ``most`` rows by position. A group by label that is beyond the limit has one label, so it is split
+    into parts: two steps reach the end, whatever the sizes. Sizes are aggregates; only slices of a folder are ranked in one task.
     """
-    by = W.partitionBy("category")
-    out = rows.withColumns({"_n": F.count("*").over(by), "_subs": F.size(F.collect_set("subcategory").over(by))})
-    out = out.withColumn("path", F.when((F.col("_subs") > 1) | (F.col("_n") > most), F.concat_ws("/", "category", "subcategory")).otherwise(F.col("category")))
-    label = urls.main_label(F.col("url"))
-    for _ in range(rounds):
-        here, group = W.partitionBy("path"), W.partitionBy("path", "_label")
-        out = out.withColumn("_label", label).withColumn("_size", F.count("*").over(here)).withColumn("_g", F.count("*").over(group))
-        out = out.withColumn("_label", F.when(F.col("_g") < 3, "Other").otherwise(F.col("_label"))).withColumn("_g", F.count("*").over(group))
-        stuck = F.min("_g").over(here) > most
-        part = F.concat(F.lit("Part "), (F.floor((F.row_number().over(here.orderBy(pos)) - 1) / most) + 1).cast("string"))
-        out = out.withColumn("path", F.when(F.col("_size") <= most, F.col("path")).otherwise(F.concat_ws("/", "path", F.when(stuck | (F.col("_g") == F.col("_size")), part).otherwise(F.col("_label")))))
-    return out.drop("_n", "_subs", "_label", "_size", "_g")
+    own, by = rows.columns, ["category", "subcategory", "_label"]
+    labelled = rows.withColumn("_label", urls.main_label(F.col("url")))
+    # One row per category, subcategory and label decides where their rows go.
+    counts = labelled.groupBy(*by).agg(F.count("*").alias("_n"))
+    kinds = counts.groupBy("category").agg(F.sum("_n").alias("_all"), F.count_distinct("subcategory").alias("_subs"))
+    deep = (F.col("_subs") > 1) | (F.col("_all") > most)
+    labels = counts.join(kinds, "category").withColumn("path", F.when(deep, F.concat_ws("/", "category", "subcategory")).otherwise(F.col("category")))
+    labels = labels.withColumn("_group", F.when(F.col("_n") < 3, "Other").otherwise(F.col("_label")))
+    groups = labels.groupBy("path", "_group").agg(F.sum("_n").alias("_g"))
+    sizes = groups.groupBy("path").agg(F.sum("_g").alias("_size"), F.min("_g").alias("_least"), F.count("*").alias("_groups"))
+    fits, stuck = F.col("_size") <= most, (F.col("_least") > most) | (F.col("_groups") == 1)
+    told = labels.join(groups, ["path", "_group"]).join(sizes, "path").select(
+        *by, F.when(fits | stuck, F.col("path")).otherwise(F.concat_ws("/", "path", "_group")).alias("_folder"), (~fits & (stuck | (F.col("_g") > most))).alias("_parts")
+    )
+    placed = labelled.join(told, by)
+    ranked = _ranked(placed.where("_parts"), "_folder", pos)
+    part = F.concat(F.col("_folder"), F.lit("/Part "), (F.floor((F.col("_rank") - 1) / most) + 1).cast("string"))
+    return placed.where("NOT _parts").select(*own, F.col("_folder").alias("path")).unionByName(ranked.select(*own, part.alias("path")))
+
+
+def _ranked(rows: DataFrame, by: str, pos: str) -> DataFrame:
+    """Adds ``_rank``, from 1, by position within a folder. Positions are whole numbers, so a slice of them is bounded: counts place every slice, and slices are ranked by themselves."""
+    sliced = rows.withColumn("_slice", F.floor(F.col(pos) / SLICE))
+    counts = sliced.groupBy(by, "_slice").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return sliced.join(before, [by, "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy(by, "_slice").orderBy(pos)))
 
 
 def prefixes(path: Column) -> Column:
@@ -96,6 +116,23 @@ def learned(rows: DataFrame, least: int = 2) -> DataFrame:
     return best.select("domain", F.col("b.top").alias("folder"), (-F.col("b.n")).alias("hits"))
 
 
+def learned_words(rows: DataFrame, least: int = 2) -> DataFrame:
+    """(word, folder, hits): the top folder that most rows with a word have, ties by name, with enough rows. Words are title words over three letters, and tags."""
+    top = F.element_at(F.split("folder", "/"), 1)
+    words = F.array_distinct(F.concat(F.filter(F.split(F.lower(F.trim(F.coalesce("title", F.lit("")))), r"\s+"), lambda w: F.length(w) > 3), F.transform(F.coalesce("tags", F.array().cast("array<string>")), F.lower)))
+    seen = rows.where(F.coalesce("folder", F.lit("")) != "").select(top.alias("top"), F.explode(words).alias("word")).groupBy("word", "top").agg(F.count("*").alias("hits"))
+    best = seen.groupBy("word").agg(F.min(F.struct((-F.col("hits")).alias("n"), "top")).alias("b")).select("word", F.col("b.top").alias("folder"), (-F.col("b.n")).alias("hits"))
+    return best.where(F.col("hits") >= least)
+
+
+def learned_category(rows: DataFrame, words: DataFrame, least: int = 2, pos: str = "pos") -> DataFrame:
+    """(pos, folder): the learned folder of which a row's title and tags hold at least two words, as substrings; most hits first, ties by name."""
+    said = F.lower(F.concat_ws(" ", F.coalesce("title", F.lit("")), F.array_join(F.coalesce("tags", F.array().cast("array<string>")), " ")))
+    found = occurring(rows.select(F.col(pos).alias("url"), said.alias("said"), F.lit(1.0).alias("points")), words.select(F.col("word").alias("tag")))
+    hits = found.join(words.select(F.col("word").alias("tag"), "folder"), "tag").groupBy("url", "folder").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return hits.groupBy("url").agg(F.min(F.struct((-F.col("n")).alias("n"), "folder")).alias("b")).select(F.col("url").alias(pos), "b.folder")
+
+
 def confidence(suggested: Column, original: Column, knows_domain: Column, category: Column) -> Column:
     top = lambda c: F.element_at(F.split(c, "/"), 1)
     same = F.when(F.lower(top(suggested)) == F.lower(top(original)), 0.25).when(F.lower(suggested).contains(F.lower(original)) & (original != ""), 0.15).otherwise(0.0)

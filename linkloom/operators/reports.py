@@ -115,6 +115,34 @@ def health_counts(checks: DataFrame) -> DataFrame:
     return checks.groupBy(F.when(F.col("status") == "error", "dead").otherwise(F.col("status")).alias("status")).agg(F.count("*").alias("n"))
 
 
+def review_list(buckets: list[tuple[str, DataFrame]], key: str = "url") -> DataFrame:
+    """(key, bucket, reasons): every key of the buckets once, with the first bucket that has it and all of them in order."""
+    names = [name for name, _ in buckets]
+    every = None
+    for i, (_, rows) in enumerate(buckets):
+        part = rows.select(key, F.lit(i).alias("_i"))
+        every = part if every is None else every.unionByName(part)
+    listed = F.array(*[F.lit(n) for n in names])
+    told = every.groupBy(key).agg(F.array_sort(F.collect_set("_i")).alias("_all"))
+    reasons = F.transform("_all", lambda i: F.element_at(listed, i + 1))
+    return told.select(key, F.element_at(reasons, 1).alias("bucket"), reasons.alias("reasons"))
+
+
+def reorganised(rows: DataFrame, original: DataFrame, key: str = "url") -> DataFrame:
+    """One row: rows with a folder whose original has another one."""
+    was = original.select(key, F.col("folder").alias("_was"))
+    moved = (F.coalesce("folder", F.lit("")) != "") & (F.coalesce("_was", F.lit("")) != F.col("folder")) & F.col("_known")
+    return rows.join(was.withColumn("_known", F.lit(True)), key, "left").agg(F.count_if(F.coalesce(moved, F.lit(False))).alias("reorganised"))
+
+
+def health_text(checks: DataFrame, most: int = 20) -> DataFrame:
+    """(place, line): a report as lines, counts by status and then the first problem URLs (status, url) by URL."""
+    counts = health_counts(checks).select(F.lit(1).alias("part"), F.col("status").alias("by"), F.concat("status", F.lit(": "), F.col("n").cast("string")).alias("line"))
+    bad = checks.where(~F.col("status").isin("healthy", "redirected")).orderBy("url").limit(most)
+    listed = bad.select(F.lit(2), F.col("url").cast("string"), F.concat(F.lit("- "), F.col("url").cast("string"), F.lit(" ("), "status", F.lit(")")))
+    return counts.union(listed).orderBy("part", "by").select("part", "line")
+
+
 def health_transitions(previous: DataFrame, current: DataFrame, key: str = "url") -> DataFrame:
     """(key, change): newly_dead, recovered, changed content, new, same."""
     old = previous.select(key, F.col("status").alias("was"), F.col("content_hash").alias("hash_was"))

@@ -1,12 +1,15 @@
 """Processing state: content hashes, what is left to do, upserts, runs, history and comparisons.
 
-Tables are Parquet folders. A write goes to a new version folder and a pointer file is renamed over the old
-one, so readers see the old table or the new one, and a lost writer leaves the old one in place.
+Tables are Parquet folders that numbered markers add up; a lost writer leaves the table as it was.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +77,21 @@ def by_tag(table: DataFrame, tag: str, stored_lists: bool = False) -> DataFrame:
     return table.where(F.array_contains(F.transform(F.split("tags", ","), F.trim), tag))
 
 
+class Conflict(RuntimeError):
+    """Other writers were faster, several times over."""
+
+
 class StateStore:
-    """The three state tables below a folder."""
+    """The three state tables below a folder.
+
+    A table is what its markers add up to: numbered files, each made only if no other writer has that number, that name a folder of
+    Parquet to append, or folders to start again from. So readers see whole changes, and of two writers one takes the next number. Marking rows
+    writes those rows, not the table: of rows appended for one URL the last counts. Every ``APPENDS`` changes the appended ones become one.
+    """
 
     TABLES = {"processed_bookmarks": schemas.PROCESSED, "processing_runs": schemas.RUNS, "bookmark_history": schemas.HISTORY}
+    APPENDS = 16
+    ATTEMPTS = 20
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
@@ -86,62 +100,146 @@ class StateStore:
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _current(self, table: str) -> str | None:
+    def _live(self, table: str) -> tuple[int, list[dict]]:
+        """The number of the newest marker, and the markers that count, from the last one that starts again."""
         fs, at = self._fs(f"{self.path}/{table}/_versions")
         if not fs.exists(at):
-            return None
+            return 0, []
         names = sorted(f.getPath().getName() for f in fs.listStatus(at))
-        return names[-1].split("-", 1)[1] if names else None
+        live: list[dict] = []
+        for name in reversed(names):
+            stream = fs.open(self._fs(f"{self.path}/{table}/_versions/{name}")[1])
+            said = self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            if said:  # a writer that was lost left an empty one
+                live.append(json.loads(said))
+                if live[-1]["kind"] == "start":
+                    break
+        return (int(names[-1]) if names else 0), live[::-1]
+
+    def _folders(self, table: str, live: list[dict], run: int | None = None) -> list[str]:
+        parts = [p for m in live for p in m["folders"] if run is None or p["run"] == run]
+        return [f"{self.path}/{table}/{p['name']}" for p in parts]
+
+    def _commit(self, table: str, number: int, told: dict) -> bool:
+        """Takes the next number, unless another writer has."""
+        fs, at = self._fs(f"{self.path}/{table}/_versions/{number + 1:09d}")
+        try:
+            out = fs.create(at, False)
+        except Exception:
+            if fs.exists(at):
+                return False
+            raise
+        out.write(bytearray(json.dumps(told).encode()))
+        out.close()
+        return True
+
+    def _write(self, table: str, rows: DataFrame, run: int = 0) -> dict:
+        name = uuid.uuid4().hex
+        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[table]).schema]
+        rows.select(*columns).write.parquet(f"{self.path}/{table}/{name}")
+        top = self.spark.read.schema(self.TABLES[table]).parquet(f"{self.path}/{table}/{name}").agg(F.max("id")).first()[0] if "id" in columns else None
+        return {"name": name, "run": run, "top": top or 0}
+
+    def _restarted(self, table: str, make: Callable[[DataFrame], DataFrame]) -> None:
+        """The table anew from what it holds; made again if another writer came first."""
+        for _ in range(self.ATTEMPTS):
+            number, live = self._live(table)
+            if self._commit(table, number, {"kind": "start", "folders": [self._write(table, make(self._read(table, live)))]}):
+                return
+        raise Conflict(table)
+
+    def _appended(self, table: str, make: Callable[[int], DataFrame], run: int) -> None:
+        """Rows made for ids above the greatest one so far; made again if another writer came first."""
+        for _ in range(self.ATTEMPTS):
+            number, live = self._live(table)
+            part = self._write(table, make(max((p["top"] for m in live for p in m["folders"]), default=0)), run)
+            if self._commit(table, number, {"kind": "append", "folders": [part]}):
+                break
+        else:
+            raise Conflict(table)
+        if len(live) + 1 >= self.APPENDS:
+            if table == "bookmark_history":  # only appended to: the list of folders starts again, they stay
+                self._commit(table, number + 1, {"kind": "start", "folders": [p for m in live for p in m["folders"]] + [part]})
+            else:
+                self._restarted(table, lambda now: now)
+
+    def _read(self, table: str, live: list[dict]) -> DataFrame:
+        folders = self._folders(table, live)
+        if not folders:
+            return self.spark.createDataFrame([], self.TABLES[table])
+        read = self.spark.read.schema(self.TABLES[table])
+        if table != "processed_bookmarks" or len(folders) == 1:
+            return read.parquet(*folders)
+        parts = [read.parquet(f).withColumn("_at", F.lit(i)) for i, f in enumerate(folders)]
+        every = reduce(DataFrame.unionByName, parts)
+        return every.groupBy("url").agg(F.max_by(F.struct(*parts[0].columns[:-1]), "_at").alias("r")).select("r.*")
 
     def read(self, table: str) -> DataFrame:
-        version = self._current(table)
-        return self.spark.createDataFrame([], self.TABLES[table]) if version is None else self.spark.read.schema(self.TABLES[table]).parquet(f"{self.path}/{table}/{version}")
+        return self._read(table, self._live(table)[1])
 
     def write(self, table: str, rows: DataFrame) -> None:
-        """A new version, visible once its marker exists. Older versions stay until ``vacuum``."""
-        version = uuid.uuid4().hex
-        columns = [f.name for f in self.spark.createDataFrame([], self.TABLES[table]).schema]
-        rows.select(*columns).write.parquet(f"{self.path}/{table}/{version}")
-        fs, folder = self._fs(f"{self.path}/{table}/_versions")
-        count = len(fs.listStatus(folder)) if fs.exists(folder) else 0
-        fs.create(self._fs(f"{self.path}/{table}/_versions/{count:09d}-{version}")[1]).close()
+        """The table as these rows, whatever it held. Older folders stay until ``vacuum``."""
+        self._restarted(table, lambda now: rows)
 
-    def vacuum(self) -> None:
-        """Deletes all versions but the current one."""
+    def vacuum(self, hours: float = 24.0) -> None:
+        """Deletes markers before the last start, and folders older than some hours that no marker counts any more."""
         for table in self.TABLES:
-            version = self._current(table)
+            number, live = self._live(table)
             fs, at = self._fs(f"{self.path}/{table}")
-            if version and fs.exists(at):
-                for f in fs.listStatus(at):
-                    if f.getPath().getName() not in (version, "_versions"):
-                        fs.delete(f.getPath(), True)
+            if not live:
+                continue
+            kept = {p["name"] for m in live for p in m["folders"]} | {"_versions"}
+            before = (time.time() - hours * 3600) * 1000
+            for f in fs.listStatus(at):
+                if f.getPath().getName() not in kept and f.getModificationTime() <= before:
+                    fs.delete(f.getPath(), True)
+            for f in fs.listStatus(self._fs(f"{self.path}/{table}/_versions")[1]):
+                if int(f.getPath().getName()) <= number - len(live) and f.getModificationTime() <= before:
+                    fs.delete(f.getPath(), False)
 
     def start_run(self, source: str, config_hash: str = "") -> int:
-        runs = self.read("processing_runs")
-        run = (runs.agg(F.max("id")).first()[0] or 0) + 1
-        new = self.spark.range(1).select(F.lit(run).cast("long").alias("id"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(source).alias("source"), *[F.lit(0).cast("long").alias(c) for c in ("total_processed", "total_succeeded", "total_failed")], F.lit(config_hash).alias("config_hash"))
-        self.write("processing_runs", runs.unionByName(new))
+        run = 0
+
+        def started(runs: DataFrame) -> DataFrame:
+            nonlocal run
+            run = (runs.agg(F.max("id")).first()[0] or 0) + 1
+            new = self.spark.range(1).select(F.lit(run).cast("long").alias("id"), F.current_timestamp().alias("started_at"), F.lit(None).cast("timestamp").alias("completed_at"), F.lit(source).alias("source"), *[F.lit(0).cast("long").alias(c) for c in ("total_processed", "total_succeeded", "total_failed")], F.lit(config_hash).alias("config_hash"))
+            return runs.unionByName(new)
+
+        self._restarted("processing_runs", started)
         return run
 
     def complete_run(self, run: int, processed: int, succeeded: int, failed: int) -> None:
         done = F.col("id") == run
         told = {"total_processed": processed, "total_succeeded": succeeded, "total_failed": failed}
-        runs = self.read("processing_runs").withColumns({"completed_at": F.when(done, F.current_timestamp()).otherwise(F.col("completed_at")), **{c: F.when(done, F.lit(n).cast("long")).otherwise(F.col(c)) for c, n in told.items()}})
-        self.write("processing_runs", runs)
+        self._restarted("processing_runs", lambda runs: runs.withColumns({"completed_at": F.when(done, F.current_timestamp()).otherwise(F.col("completed_at")), **{c: F.when(done, F.lit(n).cast("long")).otherwise(F.col(c)) for c, n in told.items()}}))
+
+    def _history_of(self, run: int) -> DataFrame:
+        """A run's history: only folders that it wrote are read."""
+        folders = self._folders("bookmark_history", self._live("bookmark_history")[1], run)
+        empty = self.spark.createDataFrame([], schemas.HISTORY)
+        return self.spark.read.schema(schemas.HISTORY).parquet(*folders).where(F.col("run_id") == run) if folders else empty
+
+    def run_totals(self, run: int) -> tuple[int, int, int]:
+        """(processed, succeeded, failed) as the run's history tells."""
+        told = self._history_of(run).agg(F.count("*").alias("n"), F.count_if(F.col("change_type") == "failed").alias("failed")).first()
+        return told.n, told.n - told.failed, told.failed
 
     def mark(self, rows: DataFrame, run: int, status: str = "processed", engine: str = "local") -> None:
-        """Upserts rows (with content_hash) and appends to the history; marking the same rows again changes nothing but times."""
-        table, history = self.read("processed_bookmarks"), self.read("bookmark_history")
+        """Appends rows (with content_hash) to the processed ones and to the history; marking the same rows again changes nothing but times."""
+        table = self.read("processed_bookmarks")
         tags = F.array_join(F.coalesce("tags", F.array().cast("array<string>")), ",")
         text = lambda c: F.col(c) if c in rows.columns else F.lit(None).cast("string")
         new = rows.select("url", "content_hash", F.current_timestamp().alias("processed_at"), F.lit(engine).alias("ai_engine"), text("enhanced_description").alias("description"), tags.alias("tags"), text("folder").alias("folder"), text("title").alias("title"), F.lit(status).alias("status"))
+        new = new.groupBy("url").agg(F.max_by(F.struct(*new.columns), "content_hash").alias("r")).select("r.*")
         known = table.select("url", F.lit(True).alias("known"))
-        base = history.agg(F.max("id")).first()[0] or 0
         change = F.when(F.lit(status == "failed"), "failed").when(F.col("known"), "updated").otherwise("created")
-        added = new.join(known, "url", "left").select((F.monotonically_increasing_id() + base + 1).alias("id"), "url", F.lit(run).cast("long").alias("run_id"), "content_hash", "description", "tags", "folder", "title", F.col("processed_at").alias("changed_at"), change.alias("change_type"))
-        seen = history.where(F.col("run_id") == run).select("url", "content_hash")
-        self.write("bookmark_history", history.unionByName(added.join(seen, ["url", "content_hash"], "left_anti").select(*history.columns)))
-        self.write("processed_bookmarks", upserted(table, new))
+        added = new.join(known, "url", "left").select("url", F.lit(run).cast("long").alias("run_id"), "content_hash", "description", "tags", "folder", "title", F.col("processed_at").alias("changed_at"), change.alias("change_type"))
+        seen = self._history_of(run).select("url", "content_hash")
+        added = added.join(seen, ["url", "content_hash"], "left_anti")
+        self._appended("bookmark_history", lambda top: added.withColumn("id", F.monotonically_increasing_id() + top + 1), run)
+        self._appended("processed_bookmarks", lambda top: new, run)
 
     def history(self, url: str) -> DataFrame:
         runs = self.read("processing_runs").select(F.col("id").alias("run_id"), "source", "started_at")
@@ -152,9 +250,8 @@ class StateStore:
         return (runs.where(F.col("source") == source) if source else runs).orderBy(F.desc("started_at"), F.desc("id")).limit(most)
 
     def forget(self, older_than: Column | None = None, url: str | None = None) -> None:
-        table = self.read("processed_bookmarks")
         gone = F.col("url") == url if url is not None else (F.lit(True) if older_than is None else F.col("processed_at") < older_than)
-        self.write("processed_bookmarks", table.where(~F.coalesce(gone, F.lit(False))))
+        self._restarted("processed_bookmarks", lambda table: table.where(~F.coalesce(gone, F.lit(False))))
 
     def compare(self, first: int, second: int) -> DataFrame:
         runs = self.read("bookmark_history")
@@ -176,8 +273,11 @@ class StateStore:
     def import_state(self, path: str) -> None:
         """Bookmarks are upserted, runs and history appended where they are not there yet."""
         for table, ddl in self.TABLES.items():
-            rows, now = self.spark.read.schema(ddl).json(f"{path}/{table}"), self.read(table)
-            self.write(table, upserted(now, rows) if table == "processed_bookmarks" else now.unionByName(rows.join(now.select("id"), "id", "left_anti").select(*now.columns)))
+            rows = self.spark.read.schema(ddl).json(f"{path}/{table}")
+            if table == "processed_bookmarks":
+                self._restarted(table, lambda now, rows=rows: upserted(now, rows))
+            else:
+                self._restarted(table, lambda now, rows=rows: now.unionByName(rows.join(now.select("id"), "id", "left_anti").select(*now.columns)))
 
 
 def stale(rows: DataFrame, table: DataFrame, before: Column, key: str = "url") -> DataFrame:

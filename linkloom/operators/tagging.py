@@ -16,6 +16,8 @@ from ..functions import tags
 
 #: Tags that one broadcast of a substring join holds, about.
 TAG_BLOCK = 5000
+#: Tags that a broadcast may hold where texts are cut into substrings: some 30 MB.
+TAGS_HELD = 500_000
 #: A character that no run of the texts and no cleaned tag has.
 NOT_IN_RUN = r"[^\p{L}\p{N}_\-]"
 
@@ -46,16 +48,11 @@ def tag_quality(tag: Column, frequency: Column, total: Column) -> Column:
 
 
 def scored(found: DataFrame, rows: DataFrame, content: DataFrame | None = None, min_frequency: int = 2) -> DataFrame:
-    """(tag, frequency, content_score, url_score, quality_score, total_score) of tags seen often enough.
-
-    URL shares are counted by exploding each URL's substrings that are tags' lengths: no nested loop over the corpus.
-    """
+    """(tag, frequency, content_score, url_score, quality_score, total_score) of tags seen often enough."""
     often = frequencies(found).where(F.col("frequency") >= min_frequency)
     total = rows.count()
-    most = often.agg(F.max(F.length("tag"))).first()[0] or 0
-    parts = rows.select("url", F.lower("url").alias("u")).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(max(1, most))))).where(F.col("n") <= F.length("u"))
-    parts = parts.select("url", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("u") - F.col("n") + 1), lambda i: F.substring("u", i, F.col("n"))))).alias("tag"))
-    in_url = parts.join(often.select("tag"), "tag", "left_semi").groupBy("tag").agg(F.count_distinct("url").alias("hits"))
+    at = rows.select("url", F.lower("url").alias("said"), F.lit(1.0).alias("points"))
+    in_url = occurring(at, often.select("tag")).groupBy("tag").agg(F.count("*").alias("hits"))
     out = often.join(in_url, "tag", "left").withColumn("url_score", F.coalesce("hits", F.lit(0)) / F.lit(max(1, total)))
     if content is None:
         out = out.withColumn("content_score", F.lit(0.0))
@@ -66,33 +63,42 @@ def scored(found: DataFrame, rows: DataFrame, content: DataFrame | None = None,
         out = out.join(by_tag, "tag", "left").withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
     out = out.withColumn("quality_score", tag_quality(F.col("tag"), F.col("frequency"), F.lit(total)))
     score = F.col("frequency") * 0.3 + F.col("content_score") * 0.4 + F.col("url_score") * 0.2 + F.col("quality_score") * 0.1
-    return out.withColumn("total_score", score).drop("hits")
+    # Rounded, so that the order of equal scores is that of the tags and not of the sums' last bits.
+    return out.withColumn("total_score", F.round(score, 6)).drop("hits")
 
 
-def met(texts: DataFrame, often: DataFrame) -> DataFrame:
-    """(url, tag, points): 1 where the tag is a category of the page, else 0.5 in a heading, else 0.3 in the text, as substrings.
+def occurring(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(url, tag, points) from rows (url, said, points): the greatest points of the texts of a URL that hold the tag as a substring.
 
-    A tag of letters, digits, _ and - lies within one run of such characters: each distinct run of the corpus is cut into
-    substrings of tag length, and all joins are by equality. Other tags have no key and are broadcast in blocks of bounded size.
+    A tag of letters, digits, _ and - lies within one run of such characters. Each distinct run of all texts is cut into substrings of the tags'
+    lengths, which are looked up among the tags: where these are few enough by a broadcast, so that only hits move, else by a join of equals. Other
+    tags have no key and are broadcast in blocks of bounded size.
     """
-    plain, odd = often.where(~F.col("tag").rlike(NOT_IN_RUN)).select("tag"), often.where(F.col("tag").rlike(NOT_IN_RUN)).select("tag")
-    runs = lambda c: F.array_distinct(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}_\-]+)")))
-    held = texts.select("url", F.explode(runs(F.col("heads"))).alias("run"), F.lit(0.5).alias("points"))
-    held = held.union(texts.select("url", F.explode(runs(F.col("body"))).alias("run"), F.lit(0.3).alias("points")))
-    lengths = [r[0] for r in plain.select(F.length("tag")).distinct().collect()]
-    sized = held.select("run").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in lengths or [1]]))).where(F.col("n") <= F.length("run"))
-    cut = sized.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring("run", i, F.col("n"))))).alias("tag"))
-    within = held.join(cut.join(plain, "tag", "left_semi"), "run").select("url", "tag", "points")
-    listed = texts.select("url", F.explode(F.array_distinct("categories")).alias("tag"), F.lit(1.0).alias("points")).join(often.select("tag"), "tag", "left_semi").select("url", "tag", "points")
-    found = within.union(listed)
-    blocks = -(-odd.count() // TAG_BLOCK)
+    odd_tag = F.col("tag").rlike(NOT_IN_RUN)
+    plain, odd = wanted.where(~odd_tag), wanted.where(odd_tag)
+    told = wanted.agg(F.collect_set(F.when(~odd_tag, F.length("tag"))).alias("lengths"), F.count_if(~odd_tag).alias("plain"), F.count_if(odd_tag).alias("odd")).first()
+    found = texts.limit(0).select("url", F.lit("").alias("tag"), "points")
+    if told.plain:
+        runs = F.array_distinct(F.regexp_extract_all(F.coalesce("said", F.lit("")), F.lit(r"([\p{L}\p{N}_\-]+)")))
+        held = texts.select("url", F.explode(runs).alias("run"), "points").groupBy("url", "run").agg(F.max("points").alias("points"))
+        sized = held.select("run").distinct().withColumn("n", F.explode(F.array(*[F.lit(n) for n in sorted(told.lengths)]))).where(F.col("n") <= F.length("run"))
+        parts = sized.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - F.col("n") + 1), lambda i: F.substring("run", i, F.col("n"))))).alias("tag"))
+        held_tags = F.broadcast(plain) if told.plain <= TAGS_HELD else plain
+        found = found.union(held.join(parts.join(held_tags, "tag", "left_semi"), "run").select("url", "tag", "points"))
+    blocks = -(-told.odd // TAG_BLOCK)
     for b in range(blocks):
         some = F.broadcast(odd.where(F.pmod(F.xxhash64("tag"), F.lit(blocks)) == b))
-        points = F.when(F.expr("contains(heads, tag)"), 0.5).otherwise(0.3)
-        found = found.union(texts.join(some, F.expr("contains(heads, tag) OR contains(body, tag)")).select("url", "tag", points.alias("points")))
+        found = found.union(texts.join(some, F.expr("contains(said, tag)")).select("url", "tag", "points"))
     return found.groupBy("url", "tag").agg(F.max("points").alias("points"))
 
 
+def met(texts: DataFrame, often: DataFrame) -> DataFrame:
+    """(url, tag, points): 1 where the tag is a category of the page, else 0.5 in a heading, else 0.3 in the text, as substrings."""
+    both = texts.select("url", F.col("heads").alias("said"), F.lit(0.5).alias("points")).union(texts.select("url", "body", F.lit(0.3)))
+    listed = texts.select("url", F.explode(F.array_distinct("categories")).alias("tag"), F.lit(1.0).alias("points")).join(often.select("tag"), "tag", "left_semi").select("url", "tag", "points")
+    return occurring(both, often.select("tag")).union(listed).groupBy("url", "tag").agg(F.max("points").alias("points"))
+
+
 def selected(scores: DataFrame, target: int = 150, threshold: float = 0.3) -> list[str]:
     """The corpus tags in order: best first; beyond four fifths of the target only first of a category or high scores.
 

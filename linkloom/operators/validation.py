@@ -64,18 +64,46 @@ def checked(rows: DataFrame, now: Column) -> DataFrame:
     return out.withColumn("is_valid", ~F.exists("issues", lambda i: i["severity"].isin("error", "critical")))
 
 
+def derived_id(url: Column, title: Column, now: Column) -> Column:
+    """auto_ and eight digits of the URL's MD5, else twenty characters of the title, else the seconds of the clock."""
+    slug = F.left(F.regexp_replace(F.lower(title), "[^a-zA-Z0-9_-]", "_"), F.lit(20))
+    by_url = F.when(F.coalesce(url, F.lit("")) != "", F.left(F.md5(url.cast("binary")), F.lit(8)))
+    return F.concat(F.lit("auto_"), F.coalesce(by_url, F.when(F.coalesce(title, F.lit("")) != "", slug), F.unix_timestamp(now).cast("string")))
+
+
+def derived_title(url: Column, note: Column, excerpt: Column) -> Column:
+    """The domain in title case, else the note's first line (over three characters), else the excerpt's start, else a placeholder."""
+    line = F.left(text.strip(F.element_at(F.split(note, "\n"), 1)), F.lit(100))
+    return F.coalesce(
+        F.when(F.coalesce(urls.domain(url), F.lit("")) != "", text.title_case(urls.domain(url))), F.when((F.length(note) > 5) & (F.length(line) > 3), line),
+        F.when(F.length(excerpt) > 5, text.strip(F.left(excerpt, F.lit(100)))), F.lit("Untitled Bookmark"),
+    )
+
+
+def sanitised(c: Column, kind: str) -> Column:
+    """A malformed value as its type can have it: text without control characters, URL with a scheme, list without blanks, date, flag."""
+    if kind == "url":
+        return urls.clean_url(F.regexp_replace(c, r"[\x00-\x1F\x7F]", ""))
+    if kind == "tags":
+        return F.array_join(F.array_distinct(F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), "[,;|]"), text.strip), lambda t: t != "")), ", ")
+    if kind == "datetime":
+        return F.date_format(text.parse_time(c), "yyyy-MM-dd'T'HH:mm:ss")
+    if kind == "boolean":
+        return F.when(text.parse_bool(c), "true").otherwise("false")
+    return text.strip(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), r"[ \t]+", " "))
+
+
 def recovered(rows: DataFrame, now: Column) -> DataFrame:
-    """Fills what can be: id from the URL, title from host, note or excerpt, folder slashes, date; adds ``recovery`` messages."""
+    """Fills what can be: id from URL, title or clock, title from host, note or excerpt, folder slashes, date; adds ``recovery`` messages."""
     said = lambda c: text.blank_to_null(F.col(c))
     url = urls.clean_url(F.col("url"))
-    first_line = lambda c: F.left(F.element_at(F.split(said(c), "\n"), 1), F.lit(100))
-    title = F.coalesce(said("title"), F.initcap(text.blank_to_null(F.element_at(F.split(urls.domain(url), r"\."), 1))), first_line("note"), first_line("excerpt"), F.lit("Untitled"))
+    title = F.coalesce(said("title"), derived_title(url, F.col("note"), F.col("excerpt")))
     steps = {"id": said("id").isNull(), "title": said("title").isNull(), "url": F.col("url") != url, "created": (said("created").isNotNull()) & text.parse_time(F.col("created")).isNull()}
     messages = F.filter(F.array(*[F.when(c, F.lit(f"{f} recovered")) for f, c in steps.items()]), lambda m: m.isNotNull())
     out = rows.withColumn("recovery", messages)
     return out.withColumns(
         {
-            "id": F.coalesce(said("id"), F.concat(F.lit("auto_"), F.left(F.md5(url.cast("binary")), F.lit(8)))), "title": title, "url": url,
+            "id": F.coalesce(said("id"), derived_id(url, F.col("title"), now)), "title": title, "url": url,
             "folder": F.regexp_replace(F.regexp_replace(F.coalesce("folder", F.lit("")), r"\\", "/"), "/{2,}", "/"),
             "created": F.coalesce(text.parse_time(F.col("created")), now),
         }
@@ -88,9 +116,27 @@ def encoding_issues(c: Column) -> Column:
     return F.filter(F.array(*[F.when(cond, F.lit(kind)) for cond, kind in kinds]), lambda k: k.isNotNull())
 
 
+#: Marks of a cut text anywhere, and its ends: fixed values.
+CUT_MARKS = ("...", "\u2026", "[truncated]", "[cut off]", "(more)", ">>")
+CUT_ENDS = (",", ";", "and", "or", "but", "the", "a", "an")
+
+
 def truncated(c: Column) -> Column:
-    """Whether a text looks cut off: an ellipsis, an open bracket or quote, or a hanging comma at its end."""
-    return F.coalesce(text.strip(c).rlike(r"(\.\.\.|…|\[|\(|,|-)$"), F.lit(False))
+    """Whether a text looks cut off: a mark of it anywhere, or an end within a sentence."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    ends = F.exists(F.array(*[F.lit(w) for w in CUT_ENDS]), lambda w: F.endswith(c, w))
+    return F.coalesce((low != "") & (text.any_of(low, CUT_MARKS) | ends), F.lit(False))
+
+
+def corruption(rows: DataFrame, columns: tuple[str, ...]) -> Column:
+    """Kinds of damage of a record: a URL as title, a long text as URL, equal long texts in two fields, damaged encodings; sorted."""
+    url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
+    said = F.filter(F.array(*[F.struct(F.lit(c).alias("name"), F.lower(text.strip(F.coalesce(c, F.lit("")))).alias("said")) for c in columns]), lambda x: F.length(x["said"]) > 10)
+    pairs = F.flatten(F.transform(said, lambda x, i: F.transform(F.filter(F.slice(said, i + 2, F.size(said)), lambda y: y["said"] == x["said"]), lambda y: F.concat(F.lit("identical "), x["name"], F.lit(" and "), y["name"]))))
+    web = lambda c: c.startswith("http://") | c.startswith("https://")
+    flags = F.filter(F.array(F.when(web(title), "url in title"), F.when((url != "") & ~web(url) & (F.length(url) > 50), "text in url")), lambda x: x.isNotNull())
+    damaged = [F.transform(encoding_issues(F.coalesce(c, F.lit(""))), lambda k, c=c: F.concat(F.lit(f"{c}: "), k)) for c in ("title", "note", "excerpt", "folder")]
+    return F.array_sort(F.concat(flags, pairs, *damaged))
 
 
 def string_ok(c: Column, required: bool = False, least: int | None = None, most: int | None = None, pattern: str | None = None, allowed: list[str] | None = None) -> Column:
@@ -118,6 +164,31 @@ def number_ok(c: Column, least: float | None = None, most: float | None = None,
     return F.coalesce(ok & (value == F.floor(value)) if whole else ok, F.lit(False))
 
 
+def datetime_ok(c: Column, required: bool = False, least: str | None = None, most: str | None = None) -> Column:
+    """Whether a text is a date that an export may have, within bounds; null and blank pass unless required."""
+    value, ok = text.parse_time(c), text.parse_time(c).isNotNull()
+    if least is not None:
+        ok = ok & (value >= F.lit(least).cast("timestamp"))
+    if most is not None:
+        ok = ok & (value <= F.lit(most).cast("timestamp"))
+    return F.when(F.coalesce(text.strip(c), F.lit("")) == "", F.lit(not required)).otherwise(F.coalesce(ok, F.lit(False)))
+
+
+def url_ok(c: Column, required: bool = False, schemes: tuple[str, ...] = ("http", "https"), secure: bool = True) -> Column:
+    """Whether a text is a URL of an allowed scheme that is safe to ask for; null and blank pass unless required."""
+    bare = text.strip(c)
+    ok = urls.well_formed(bare) & urls.scheme(bare).isin(*schemes)
+    if secure:
+        ok = ok & urls.security(bare)["is_safe"]
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit(not required)).otherwise(F.coalesce(ok, F.lit(False)))
+
+
+def chained(*checks: tuple[str, Column], stop_on_error: bool = False) -> Column:
+    """Names of the checks (name, passes) that fail, in order; the first one only where the chain stops."""
+    failed = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in checks]), lambda x: x.isNotNull())
+    return F.slice(failed, 1, 1) if stop_on_error else failed
+
+
 def list_ok(c: Column, least: int = 0, most: int | None = None, unique: bool = False, each=None) -> Column:
     ok = F.size(c) >= least
     if most is not None:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -12,10 +10,10 @@ from .. import dictionaries as D
 from ..functions import errors, html, tags, text, urls
 from ..operators import bookmarks as B
 from ..operators import dedup, folders, metrics, predicates, reports, search, state, tagging, validation
+from .registry import ORACLES, QUERIES, query
+from .registry import sql_list as _list
 from .tables import SQL_BOOKMARKS, SQL_DOMAIN, SQL_KEY, SQL_PATH, SQL_TITLE, bookmarks, keyed, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 NOW = "2024-06-01 00:00:00"
 
 
@@ -23,24 +21,10 @@ def _now() -> Column:
     return F.lit(NOW).cast("timestamp")
 
 
-def query(name: str, sql: str | None = None):
-    def register(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return register
-
-
 def _joined(c: Column) -> Column:
     return F.array_join(F.array_sort(c), ",")
 
 
-def _list(words) -> str:
-    return ", ".join("'" + w.replace("'", "''") + "'" for w in words)
-
-
 def _contains(c: str, words, weight: str = "1") -> str:
     return " + ".join(f"(CASE WHEN contains({c}, '{w}') THEN {weight} ELSE 0 END)" for w in words)
 
@@ -105,25 +89,6 @@ def url_checks(spark, d):
     return table(spark, d, "pages").select("page_id", urls.well_formed(u).alias("well_formed"), urls.skipped(u).alias("skipped"), urls.mock_valid(u).alias("mock_valid"))
 
 
-_ODD = "CASE page_id % 8 WHEN 1 THEN 'ftp://a.example.com/x' WHEN 2 THEN 'http://10.1.2.3/p' WHEN 3 THEN 'http://localhost/' WHEN 4 THEN 'https://a.example.com:9999/' WHEN 5 THEN 'https://a.example.com/../etc' WHEN 6 THEN 'nothing' ELSE url END"
-
-
-@query(
-    "url_security",
-    f"""WITH u AS (SELECT page_id, {_ODD} AS url FROM pages)
-    SELECT page_id, page_id % 8 IN (0, 4, 7) AS is_safe, CASE page_id % 8 WHEN 1 THEN 'critical' WHEN 2 THEN 'critical' WHEN 3 THEN 'critical' WHEN 4 THEN 'low' WHEN 5 THEN 'high' WHEN 6 THEN 'high' ELSE 'safe' END AS risk_level FROM u""",
-)
-def url_security(spark, d):
-    odd = table(spark, d, "pages").select("page_id", F.expr(_ODD).alias("url"))
-    return odd.select("page_id", urls.security(F.col("url")).alias("s")).select("page_id", "s.is_safe", "s.risk_level")
-
-
-@query("domain_delay", f"SELECT page_id, CASE {' '.join(f'''WHEN h = '{k}' OR ends_with(h, '.{k}') THEN {v}''' for k, v in sorted(D.SITE_DELAYS.items(), key=lambda x: -len(x[0])))} ELSE {D.DEFAULT_DELAY} END::DOUBLE AS delay FROM (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'www.google.com' WHEN page_id % 3 = 1 THEN 'gist.github.com' ELSE 'a.example.com' END AS h FROM pages)")
-def domain_delay(spark, d):
-    u = F.expr("CASE WHEN page_id % 3 = 0 THEN 'https://www.google.com/x' WHEN page_id % 3 = 1 THEN 'https://gist.github.com/' ELSE 'http://a.example.com' END")
-    return table(spark, d, "pages").select("page_id", urls.delay(u).alias("delay"))
-
-
 # Pages.
 @query("html_title", f"SELECT page_id, {SQL_TITLE} AS title FROM pages")
 def html_title(spark, d):
@@ -135,18 +100,6 @@ def html_language(spark, d):
     return table(spark, d, "pages").select("page_id", html.language(F.col("html")).alias("language"))
 
 
-@query("html_headings", r"SELECT page_id, " + " + ".join(rf"len(regexp_extract_all(html, '(?is)<h{n}\b[^>]*>.*?</h{n}>'))" for n in range(1, 7)) + " AS n_headings FROM pages")
-def html_headings(spark, d):
-    levels = sum((F.regexp_count("html", F.lit(rf"(?is)<h{n}\b[^>]*>.*?</h{n}>")) for n in range(1, 7)), F.lit(0))
-    return table(spark, d, "pages").select("page_id", levels.cast("long").alias("n_headings"))
-
-
-@query("html_links", r"""SELECT page_id, len(regexp_extract_all(html, '(?is)<a\b[^>]*?\shref\s*=\s*["''][^"'']+["'']')) AS n_links, regexp_extract(html, '(?is)<a\b[^>]*?\shref\s*=\s*["'']([^"'']+)["'']', 1) AS first_link FROM pages""")
-def html_links(spark, d):
-    pattern = r"(?is)<a\b[^>]*?\shref\s*=\s*[\"']([^\"']+)[\"']"
-    return table(spark, d, "pages").select("page_id", F.regexp_count("html", F.lit(pattern)).cast("long").alias("n_links"), F.regexp_extract("html", pattern, 1).alias("first_link"))
-
-
 _PLAIN = r"regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script>|<style\b[^>]*>.*?</style>|<noscript\b[^>]*>.*?</noscript>|<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&#39;', ''''), '&amp;', '&'), '[\s\x{A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -166,15 +119,6 @@ def page_categories(spark, d):
     return table(spark, d, "pages").select("page_id", _joined(html.categories(F.col("url"), html.title(F.col("html")), F.lit(""))).alias("categories"))
 
 
-@query("page_content")
-def page_content(spark, d):
-    """Everything taken from a page; patterns with back references are beyond the other engine."""
-    from .process import analysed
-
-    out = analysed(table(spark, d, "pages").select("page_id", "url", "html"))
-    return out.select("page_id", "page_title", "page_description", "language", "word_count", "reading_minutes", _joined(F.col("categories")).alias("categories"), "page_quality", F.size("headings").alias("n_headings"), F.size(html.links(F.col("html"), F.col("url"))).alias("n_links"))
-
-
 # Predicates.
 def _kept(spark, d, p: predicates.Predicate) -> DataFrame:
     return p.apply(bookmarks(spark, d)).select("pos", "url")
@@ -259,12 +203,6 @@ def dedup_summary(spark, d):
     return dedup.summary(keyed(spark, d))
 
 
-@query("distinct_first", "SELECT min(doc_id) AS doc_id, count(*) AS members FROM documents GROUP BY text")
-def distinct_first(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.md5(F.col("text").cast("binary")).alias("key"))
-    return docs.groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("members")).drop("key")
-
-
 # Tags.
 _TERMS = "SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]*[a-z0-9]|[a-z]'), lambda t: len(t) BETWEEN 2 AND 30 AND t NOT IN (" + _list(D.STOP_WORDS) + ")))) AS tag FROM documents"
 
@@ -310,15 +248,6 @@ def tag_forms(spark, d):
     return spark.createDataFrame([(w,) for w in words], "tag string").select("tag", tags.synonym(F.col("tag")).alias("synonym"))
 
 
-@query("tag_assignments")
-def tag_assignments(spark, d):
-    """Corpus tags by score, and the best of each row: the greedy choice is not SQL."""
-    rows = bookmarks(spark, d)
-    scores = tagging.scored(tagging.candidates(rows), rows)
-    chosen = spark.createDataFrame([(t,) for t in tagging.selected(scores)], "tag string")
-    return tagging.assigned(rows, chosen)
-
-
 @query("tag_url_score", f"WITH {SQL_BOOKMARKS} SELECT t.tag, round(count(*) FILTER (contains(lower(b.url), t.tag)) / count(*), 6)::DOUBLE AS url_score FROM (SELECT DISTINCT unnest(tags) AS tag FROM b) t, b GROUP BY 1")
 def tag_url_score(spark, d):
     rows = bookmarks(spark, d)
@@ -354,28 +283,11 @@ def folder_learned(spark, d):
     return folders.learned(bookmarks(spark, d))
 
 
-@query("folder_parts", "SELECT p_partkey, p_brand || '/Part ' || (((row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1) // 20) + 1) AS path FROM part")
-def folder_parts(spark, d):
-    n = F.row_number().over(W.partitionBy("p_brand").orderBy("p_partkey"))
-    return table(spark, d, "part").select("p_partkey", F.concat("p_brand", F.lit("/Part "), (F.floor((n - 1) / 20) + 1).cast("string")).alias("path"))
-
-
-@query("folder_filing")
-def folder_filing(spark, d):
-    """Paths under a limit of rows per folder: rounds of windows."""
-    return folders.filed(folders.categorised(bookmarks(spark, d))).select("pos", "category", "subcategory", "path")
-
-
 @query("folder_cut", f"WITH {SQL_BOOKMARKS} SELECT array_to_string(string_split(folder, '/')[1:1], '/') AS folder, count(*) AS n FROM b GROUP BY 1")
 def folder_cut(spark, d):
     return bookmarks(spark, d).groupBy(folders.cut_depth(F.col("folder"), 1).alias("folder")).agg(F.count("*").alias("n"))
 
 
-@query("folder_suggestions")
-def folder_suggestions(spark, d):
-    return folders.suggested(bookmarks(spark, d)).select("pos", "suggested", "confidence")
-
-
 # Discovery and quality.
 _FOUND = f"""WITH {SQL_BOOKMARKS}, s AS (
     SELECT pos, 'title' AS source, unnest(list_filter(regexp_extract_all(lower(title), '[a-z][a-z0-9\\-]*[a-z0-9]|[a-z]'), lambda t: len(t) BETWEEN 2 AND 30 AND t NOT IN ({_list(D.STOP_WORDS)}))) AS term FROM b
@@ -508,16 +420,6 @@ def query_by_folder(spark, d):
     return state.by_folder(bookmarks(spark, d), "Development").select("pos")
 
 
-@query("history_join", "SELECT o_orderkey, o_custkey, c_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def history_join(spark, d):
-    return table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left").select("o_orderkey", "o_custkey", "c_name")
-
-
-@query("run_history", "SELECT o_orderkey, o_orderdate FROM orders ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 10")
-def run_history(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", "o_orderdate").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(10)
-
-
 # Search.
 _INDEX = f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{text.TERM}') AS ts FROM documents), x AS (SELECT doc_id, len(ts) AS length, unnest(ts) AS term FROM t), i AS (SELECT doc_id, length, term, count(*) AS tf FROM x GROUP BY ALL)"
 
@@ -631,21 +533,6 @@ def health_transitions(spark, d):
     return reports.health_transitions(_health(spark, d, False), _health(spark, d, True))
 
 
-# Unions.
-@query("multi_file_union", "SELECT source AS source_file, count(*) AS n FROM documents GROUP BY 1")
-def multi_file_union(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.col("source").alias("source_file"))
-    parts = [docs.where(F.pmod("doc_id", F.lit(2)) == i) for i in range(2)]
-    return parts[0].unionByName(parts[1]).groupBy("source_file").agg(F.count("*").alias("n"))
-
-
-@query("review_union", "WITH r AS (SELECT doc_id, 1 AS bucket FROM documents WHERE n_chars < 500 UNION ALL SELECT doc_id, 2 FROM labels WHERE quality = 0 UNION ALL SELECT doc_id, 3 FROM labels WHERE toxic = 1) SELECT doc_id, min(bucket) AS bucket FROM r GROUP BY 1")
-def review_union(spark, d):
-    docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
-    every = docs.where("n_chars < 500").select("doc_id", F.lit(1).alias("bucket")).union(labels.where("quality = 0").select("doc_id", F.lit(2))).union(labels.where("toxic = 1").select("doc_id", F.lit(3)))
-    return every.groupBy("doc_id").agg(F.min("bucket").alias("bucket"))
-
-
 # Validation and errors.
 @query("http_error_class", "WITH c AS (SELECT DISTINCT 395 + (page_id * 7) % 130 AS code FROM pages) SELECT code, CASE code " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in D.HTTP_ERRORS.items()) + " ELSE CASE WHEN code BETWEEN 400 AND 499 THEN 'client_error' WHEN code BETWEEN 500 AND 599 THEN 'server_error' ELSE 'http_error' END END AS kind FROM c")
 def http_error_class(spark, d):
@@ -698,11 +585,14 @@ def event_sessions(spark, d):
     return sessions(rows, "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@query("process_pipeline")
+from . import catalogue_rows, catalogue_sources, catalogue_state  # noqa: E402, F401  (they register theirs)
+
+
+@query("process_pipeline", catalogue_rows.pipeline_sql(_GOOD))
 def process_pipeline(spark, d):
     """The whole enrichment over pages as bookmarks, with their HTML as what was fetched."""
     from . import process
 
-    pages = table(spark, d, "pages").select("url", "html", F.lit(200).alias("status_code")).dropDuplicates(["url"])
+    pages = table(spark, d, "pages").groupBy("url").agg(F.min_by("html", "page_id").alias("html")).withColumn("status_code", F.lit(200))
     done = process.run(bookmarks(spark, d), process.Options(fetch=lambda asked: asked.join(pages, "url", "left"), now=NOW))
     return process.output(done)

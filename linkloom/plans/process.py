@@ -1,12 +1,15 @@
 """The enrichment of a collection: duplicates, checks, content, descriptions, tags, folders, output.
 
 Fetching and text generation are functions of the caller; without them the offline rules apply. A stage's result
-can be kept as Parquet under a work folder, and a later run of the same input (``input_id``) starts behind the last one
-kept, unless that is older than ``max_age_days``.
+can be kept as Parquet under a work folder, and a later run of the same input with the same settings starts behind the last one
+kept, unless that is older than ``max_age_days``. The input is told by ``input_id``, else by a count and hash sum of its rows; the settings by a digest of
+all that can change a stage's rows (functions by their names). Hooks of plugins stand before and after the stages.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
@@ -18,6 +21,7 @@ from ..functions import errors, html, tags, urls
 from ..operators import bookmarks, dedup, folders, tagging
 from ..operators.predicates import Predicate
 from ..plugins import Registry
+from .tables import scratch
 
 STAGES = ("dedup", "validation", "content", "ai", "tags", "folders")
 
@@ -31,6 +35,7 @@ class Options:
     wanted: Predicate | None = None
     fetch: Callable[[DataFrame], DataFrame] | None = None
     describe: Callable[[DataFrame], DataFrame] | None = None
+    attempts: int = 1
     target_tags: int = 150
     tags_per_row: int = 5
     folder_limit: int = 20
@@ -92,42 +97,86 @@ def said(rows: DataFrame) -> Column:
 def run(rows: DataFrame, options: Options = Options()) -> DataFrame:
     """The rows of valid URLs with what the stages add; stages that are not asked for leave rows as they are."""
     spark, plugins = rows.sparkSession, options.plugins
+    given = _input(rows, options)
+    rows = plugins.chain("on_load", rows)
     if options.wanted is not None:
         rows = options.wanted.apply(rows)
     if options.preview is not None:
         rows = rows.orderBy("pos").limit(options.preview)
     if "dedup" in options.stages:
         rows = dedup.process(rows.withColumn("dedup_key", urls.dedup_key(F.col("url"))), options.strategy, F.lit(options.now).cast("timestamp"))
-    rows = _kept(spark, options, "dedup", rows)
+        rows = _kept(spark, options, given, "dedup", rows)
     if "validation" in options.stages:
         rows = plugins.chain("pre_validation", rows)
-        fetched = options.fetch(rows.select("url").distinct()) if options.fetch else None
-        rows = plugins.chain("post_validation", checked(rows, fetched)).where("is_valid")
-        rows = _kept(spark, options, "validation", rows)
+        fetched = fetched_with_retries(options.fetch, rows.select("url").distinct(), options.attempts) if options.fetch else None
+        rows = plugins.chain("validation_filter", plugins.chain("post_validation", checked(rows, fetched))).where("is_valid")
+        rows = _kept(spark, options, given, "validation", rows)
     if "content" in options.stages and "html" in rows.columns:
-        rows = plugins.chain("post_content", analysed(rows))
+        rows = plugins.chain("post_content", plugins.chain("content_enhance", analysed(plugins.chain("pre_content", rows))))
     if "ai" in options.stages:
-        rows = plugins.chain("post_ai", (options.describe or described)(rows))
-        rows = _kept(spark, options, "ai", rows)
+        rows = plugins.chain("pre_ai", rows)
+        rows = plugins.chain("ai_process", rows) if plugins.at("ai_process") else (options.describe or described)(rows)
+        rows = _kept(spark, options, given, "ai", plugins.chain("post_ai", rows))
     if "tags" in options.stages:
-        # Used several times below; kept in memory or on executors' disks, and made again if an executor is lost.
-        rows = rows.persist()
-        found = tagging.candidates(rows).persist()
+        rows = plugins.chain("tag_generate", plugins.chain("pre_tags", rows))
+        # Used several times below: written once, so nothing is pinned in memory and a lost executor costs a reread.
+        rows = _held(spark, rows, "tagged")
+        found = _held(spark, tagging.candidates(rows), "candidates")
         pages = rows.where("html IS NOT NULL") if {"html", "body", "categories", "headings"} <= set(rows.columns) else None
         scores = tagging.scored(found, rows, pages)
-        chosen = spark.createDataFrame([(t,) for t in tagging.selected(scores, options.target_tags)], "tag string")
+        chosen = spark.createDataFrame([(t,) for t in tagging.selected(scores, options.target_tags)], "tag string")  # target_tags of them at most
         best = tagging.assigned(rows, chosen, options.tags_per_row).groupBy("url").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "tag"))), lambda t: t["tag"]).alias("optimized_tags"))
         rows = plugins.chain("post_tags", rows.join(best, "url", "left"))
     if "folders" in options.stages:
-        rows = plugins.chain("post_folders", folders.filed(folders.categorised(rows.withColumn("_said", said(rows)), "_said").drop("_said"), options.folder_limit))
+        rows = plugins.chain("pre_folders", rows)
+        named = _held(spark, folders.categorised(rows.withColumn("_said", said(rows)), "_said").drop("_said"), "categorised")
+        rows = plugins.chain("post_folders", folders.filed(named, options.folder_limit))
     return rows
 
 
-def _kept(spark: SparkSession, options: Options, stage: str, rows: DataFrame) -> DataFrame:
-    """The stage's rows from the work folder if a run before kept them whole, else kept there now."""
+def fetched_with_retries(fetch: Callable[[DataFrame], DataFrame], asked: DataFrame, attempts: int) -> DataFrame:
+    """(url, html, status_code): what ``fetch`` gives; URLs whose answer is a passing error are asked for again, up to so many times in all."""
+    done = fetch(asked).select("url", "html", "status_code")
+    for _ in range(attempts - 1):
+        passing = F.coalesce("status_code", F.lit(0)).isin(0, 408, 425, 429, 500, 502, 503, 504)
+        done = _held(asked.sparkSession, done, "fetched")
+        again = done.where(passing).select("url")
+        if again.isEmpty():
+            break
+        done = done.where(~passing).unionByName(fetch(again).select("url", "html", "status_code"))
+    return done
+
+
+def _held(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
+    path = scratch(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _input(rows: DataFrame, options: Options) -> str:
+    """What tells this input from others: its id, else a count and hash sum of its rows."""
+    if options.work is None or options.input_id:
+        return options.input_id
+    told = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*[F.col(f"`{c}`") for c in rows.columns]).cast("decimal(38,0)")).alias("sum")).first()
+    return f"{told.n}-{told['sum']}"
+
+
+def _digest(options: Options, stage: str) -> str:
+    """Changes with every setting that has a say in the rows of a stage."""
+    name = lambda f: None if f is None else f"{getattr(f, '__module__', '')}.{getattr(f, '__qualname__', repr(f))}"
+    told = {
+        "stages": [s for s in options.stages if STAGES.index(s) <= STAGES.index(stage)], "strategy": options.strategy, "preview": options.preview, "now": options.now, "attempts": options.attempts,
+        "wanted": None if options.wanted is None else [options.wanted.name, str(options.wanted.column)], "fetch": name(options.fetch), "describe": name(options.describe),
+        "plugins": sorted([p.name, p.version, p.priority, sorted(p.hooks)] for p in options.plugins.plugins.values()),
+    }
+    return hashlib.md5(json.dumps(told, sort_keys=True).encode()).hexdigest()[:16]
+
+
+def _kept(spark: SparkSession, options: Options, given: str, stage: str, rows: DataFrame) -> DataFrame:
+    """The stage's rows from the work folder if a run of this input with these settings kept them whole, else kept there now."""
     if options.work is None:
         return rows
-    path = f"{options.work}/{options.input_id}/{stage}" if options.input_id else f"{options.work}/{stage}"
+    path = f"{options.work}/{given}/{_digest(options, stage)}/{stage}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at) or time.time() - fs.getFileStatus(at).getModificationTime() / 1000 > options.max_age_days * 86400:
@@ -135,8 +184,10 @@ def _kept(spark: SparkSession, options: Options, stage: str, rows: DataFrame) ->
     return spark.read.parquet(path)
 
 
-def output(rows: DataFrame) -> DataFrame:
-    """Import rows with the generated description, the assigned tags and the new folder."""
+def output(rows: DataFrame, plugins: Registry | None = None) -> DataFrame:
+    """Import rows with the generated description, the assigned tags and the new folder; plugins may change rows before and after."""
+    plugins = plugins or Registry()
+    rows = plugins.chain("pre_export", rows)
     has = set(rows.columns)
     changed = rows.withColumns(
         {
@@ -145,7 +196,7 @@ def output(rows: DataFrame) -> DataFrame:
             "folder": F.col("path") if "path" in has else F.col("folder"),
         }
     )
-    return bookmarks.import_row(changed)
+    return plugins.chain("post_export", bookmarks.import_row(changed))
 
 
 def results(rows: DataFrame) -> DataFrame:
@@ -153,4 +204,6 @@ def results(rows: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     listed = F.coalesce("optimized_tags", none) if "optimized_tags" in rows.columns else F.coalesce("tags", none)
     place = "path" if "path" in rows.columns else "folder"
-    return rows.agg(F.count("*").alias("rows"), F.count_if(F.size(listed) > 0).alias("tagged"), F.size(F.array_distinct(F.flatten(F.collect_set(listed)))).alias("unique_tags"), F.count_distinct(place).alias("folders"))
+    used = rows.select(F.explode(listed).alias("tag")).agg(F.count_distinct("tag").alias("unique_tags"))
+    told = rows.agg(F.count("*").alias("rows"), F.count_if(F.size(listed) > 0).alias("tagged"), F.count_distinct(place).alias("folders"))
+    return told.join(F.broadcast(used)).select("rows", "tagged", F.col("unique_tags").cast("int").alias("unique_tags"), "folders")  # two single rows

@@ -5,6 +5,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +18,26 @@ FOLDERS = ("", "Development", "Development/Python", "News/World/Today", "Reading
 TAGS = ("python", "news", "ai", "design", "web", "video", "reference")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new folder that all executors share: below spark.checkpoint.dir, which only local sessions may leave out."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is not set")
+        root = tempfile.mkdtemp(prefix="linkloom-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def put_text(spark: SparkSession, path: str, said: str) -> str:
+    """A small text file, written by Spark's file systems."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at)
+    out.write(bytearray(said.encode("utf-8")))
+    out.close()
+    return path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -32,6 +32,7 @@ class Plugin:
 class Registry:
     def __init__(self):
         self.plugins: dict[str, Plugin] = {}
+        self.loaded: dict[str, list[str]] = {}
 
     def register(self, plugin: Plugin, config: dict | None = None) -> None:
         if unknown := set(plugin.hooks) - set(HOOKS):
@@ -56,7 +57,7 @@ class Registry:
         return reduce(lambda rows, p: rows.transform(p.hooks[hook]), self.at(hook), df)
 
     def load(self, directory: str) -> list[str]:
-        """Registers ``plugin`` of every Python file of a directory; returns the names."""
+        """Registers ``plugin`` of every Python file of a directory, and again as the files are now if called again; returns the names."""
         found = []
         for path in sorted(Path(directory).glob("*.py")):
             spec = importlib.util.spec_from_file_location(path.stem, path)
@@ -65,6 +66,9 @@ class Registry:
             if isinstance(plugin := getattr(module, "plugin", None), Plugin):
                 self.register(plugin)
                 found.append(plugin.name)
+        for name in set(self.loaded.get(directory, ())) - set(found):  # its file is gone
+            self.unregister(name)
+        self.loaded[directory] = found
         return found
 
 

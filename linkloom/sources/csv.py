@@ -139,10 +139,15 @@ class Imported:
     problems: list[str] = field(default_factory=list)
 
 
-def import_bookmarks(spark: SparkSession, path: str, mode: str = "best_effort") -> Imported:
-    """strict raises on any problem; best_effort leaves out rows without a well-formed URL; permissive keeps all rows with a URL."""
+def import_bookmarks(spark: SparkSession, path: str, mode: str = "best_effort", max_errors: int | None = None) -> Imported:
+    """strict raises on any problem; best_effort leaves out rows without a well-formed URL; permissive keeps all rows with a URL.
+
+    More rejected rows than ``max_errors`` are an error in any mode.
+    """
     raw = read_export(spark, path, strict=mode == "strict")
     good = urls.well_formed(urls.clean_url(F.col("url"))) if mode == "best_effort" else text.strip(F.col("url")) != ""
+    if max_errors is not None and (n := raw.where(~good).limit(max_errors + 1).count()) > max_errors:
+        raise ExportError(f"more than {max_errors} bad rows" if n else "no rows")
     return Imported(bookmarks.typed(raw.where(good)), raw.where(~good), mode, [] if mode == "strict" else diagnose(spark, path)["problems"])
 
 

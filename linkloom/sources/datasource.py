@@ -63,7 +63,10 @@ def sparse_update() -> Column:
 
 
 def paged(spark: SparkSession, fetch: Callable[[int, int], list[str]], per_page: int = 50, most_pages: int = 200, slices: int = 8) -> DataFrame:
-    """JSON items of a paged service: ``fetch(page, per_page)`` runs on the executors; a page without items ends its slice."""
+    """JSON items of a paged service: ``fetch(page, per_page)`` runs on the executors; a page without items ends its slice.
+
+    A service with more than ``most_pages`` full pages is an error, not a shorter result.
+    """
 
     def run(batches) -> Iterator:
         import pandas as pd
@@ -75,11 +78,21 @@ def paged(spark: SparkSession, fetch: Callable[[int, int], list[str]], per_page:
                     if not found:
                         break
                     yield pd.DataFrame({"item": found})
+                else:
+                    last = range(int(first), most_pages, slices)[-1:]
+                    if last and last[0] == most_pages - 1 and len(found) >= per_page:
+                        raise RuntimeError(f"more than {most_pages} pages; raise most_pages")
 
     starts = spark.range(slices).select(F.col("id").alias("first")).repartition(slices)
     return starts.mapInPandas(run, "item string")
 
 
+def since_last_run(rows: DataFrame, runs: DataFrame, source: str) -> DataFrame:
+    """Rows created after the start of the last completed run of a source; all of them if there is none."""
+    last = runs.where((F.col("source") == source) & F.col("completed_at").isNotNull()).agg(F.max("started_at").alias("_since"))
+    return rows.join(F.broadcast(last)).where(F.col("_since").isNull() | (F.col("created") > F.col("_since"))).drop("_since")  # one row
+
+
 def push(rows: DataFrame, send: Callable[[list[str]], list[bool]], batch: int = 50) -> DataFrame:
     """(url, ok): sparse updates sent in batches from the executors; a batch that fails is sent again one by one."""
     shaped = rows.select("url", sparse_update().alias("body"))

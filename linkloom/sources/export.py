@@ -164,6 +164,10 @@ def warnings(rows: DataFrame) -> list[str]:
 
 
 def write_health(report: DataFrame, path: str, kind: str = "json") -> None:
+    """Check rows as JSON or CSV; as text the short report, in one part file as it is a screenful."""
+    if kind == "text":
+        reports.health_text(report).orderBy("part", "line").select("line").coalesce(1).write.mode("overwrite").text(path)
+        return
     writer = report.write.mode("overwrite")
     writer.json(path) if kind == "json" else writer.option("header", True).csv(path)
 

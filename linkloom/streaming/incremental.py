@@ -1,11 +1,13 @@
 """Incremental processing as a stream: files in, unseen or changed rows through a transform, rows out, state kept.
 
-Every micro-batch is idempotent: its output folder is named by the batch, and state is an upsert by URL. So a
-batch that is replayed after a failure leaves the same output and state.
+Every micro-batch is idempotent: its output folder is named by the batch and marked once it is whole, and state is an upsert by URL. So a
+batch that is replayed after a failure is not transformed again and leaves the same output and state. A run's totals are those of
+its history, so they add up over batches.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +27,16 @@ def read_exports(spark: SparkSession, directory: str, files_per_batch: int = 1)
     return stream.fillna("", list(schemas.EXPORT_COLUMNS))
 
 
+def peek(rows: DataFrame, n: int = 10) -> DataFrame:
+    """The first rows by position."""
+    return rows.orderBy("pos").limit(n)
+
+
+def sample(rows: DataFrame, count: int = 10, skip: int = 0) -> DataFrame:
+    """Some rows by position, behind those skipped."""
+    return rows.orderBy("pos").offset(skip).limit(count)
+
+
 def process(
     stream: DataFrame, store: state.StateStore, output: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df, source: str = "stream"
 ) -> StreamingQuery:
@@ -33,23 +45,28 @@ def process(
     ``transform`` may add a column ``error``; rows with one are marked as failed.
     """
     run = store.start_run(source)
+    stream_id = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
 
     def each(batch: DataFrame, number: int) -> None:
         rows = bookmarks.typed(batch.withColumn("pos", F.monotonically_increasing_id()))
         rows = rows.withColumn("content_hash", state.content_hash(rows))
         rows = rows.groupBy("url").agg(F.max_by(F.struct(*rows.columns), "pos").alias("r")).select("r.*")
         out = f"{output}/batch={number}"
-        done = transform(state.unprocessed(rows, store.read("processed_bookmarks")))
-        if "error" not in done.columns:
-            done = done.withColumn("error", F.lit(None).cast("string"))
-        done.write.mode("overwrite").parquet(out)
+        fs, whole = store._fs(f"{output}/_whole-{stream_id}-{number}")
+        if not fs.exists(whole):
+            done = transform(state.unprocessed(rows, store.read("processed_bookmarks")))
+            if "error" not in done.columns:
+                done = done.withColumn("error", F.lit(None).cast("string"))
+            done.write.mode("overwrite").parquet(out)
+            fs.create(whole).close()
         written = batch.sparkSession.read.parquet(out)
-        told = written.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
-        if told.n:
-            store.mark(written.where("error IS NULL"), run)
-            if told.failed:
-                store.mark(written.where("error IS NOT NULL"), run, status="failed")
-        store.complete_run(run, told.n, told.n - told.failed, told.failed)
+        fresh = state.unprocessed(written, store.read("processed_bookmarks"))  # all of them but in a replay
+        told = fresh.agg(F.count("*").alias("n"), F.count_if(F.col("error").isNotNull()).alias("failed")).first()
+        if told.n > told.failed:
+            store.mark(fresh.where("error IS NULL"), run)
+        if told.failed:
+            store.mark(fresh.where("error IS NOT NULL"), run, status="failed")
+        store.complete_run(run, *store.run_totals(run))
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

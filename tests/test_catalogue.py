@@ -2,6 +2,9 @@
 
 import math
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import pytest
@@ -42,6 +45,16 @@ def test_query_matches_sql(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in places) for r in found.fetchall()), key=str)
 
 
+def test_without_the_training_subpackage(tmp_path):
+    """With its folders and the pipeline deleted the entry still imports, and has the other queries and their SQL."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for name in ("linkloom", "__spark_entry__.py"):
+        source, target = os.path.join(root, name), tmp_path / name
+        shutil.copytree(source, target, ignore=shutil.ignore_patterns("llm", "__pycache__")) if os.path.isdir(source) else shutil.copy(source, target)
+    code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 150 and not any(n.startswith('op') for n in q) and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-W", "error", "-c", code], cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, check=True)
+
+
 def test_entry(spark):
     import __spark_entry__
 

@@ -1,4 +1,5 @@
 import json
+from dataclasses import replace
 from datetime import datetime
 
 import pytest
@@ -9,7 +10,7 @@ from linkloom.functions import dates, generated, urls
 from linkloom.operators import bookmarks, dedup, folders, metrics, pages, predicates, reports, search, state, tagging, validation
 from linkloom.plans import process
 from linkloom.plugins import Plugin, Registry, paywall_plugin
-from linkloom.sources import csv, export
+from linkloom.sources import csv, datasource, export
 from linkloom.streaming import incremental
 
 DDL = "pos long, url string, title string, note string, excerpt string, folder string, tags array<string>, created timestamp"
@@ -126,7 +127,7 @@ def test_validation(spark):
     told = validation.checked(bad, F.lit(NOW).cast("timestamp")).first()
     assert not told.is_valid and {(i.field, i.message) for i in told.issues} >= {("url", "malformed"), ("created", "in the future"), ("title", "missing")}
     fixed = validation.recovered(bad.withColumn("url", F.lit("www.news.com/x")), F.lit(NOW).cast("timestamp")).first()
-    assert fixed.url == "https://www.news.com/x" and fixed.title == "News" and "title recovered" in fixed.recovery
+    assert fixed.url == "https://www.news.com/x" and fixed.title == "News.Com" and "title recovered" in fixed.recovery
     row = spark.range(1).select(validation.encoding_issues(F.lit("caf\u00c3\u00a9 \ufffd")).alias("e"), validation.truncated(F.lit("and so...")).alias("t"), validation.paywall(F.lit("https://www.ft.com/x"), F.lit("Subscribe to continue")).alias("p"), validation.string_ok(F.lit("ab"), least=3).alias("s"), validation.number_ok(F.lit("4"), most=5, whole=True).alias("n"), validation.list_ok(F.array(F.lit(1), F.lit(1)), unique=True).alias("l")).first()
     assert (row.e, row.t, row.p, row.s, row.n, row.l) == (["replacement", "mojibake"], True, 0.95, False, True, False)
 
@@ -165,6 +166,70 @@ def test_state_store(spark, tmp_path):
     assert store.read("processed_bookmarks").count() == 2 and state.statistics(store.read("processed_bookmarks"), F.current_timestamp()).first().recent == 2
 
 
+def test_store_with_two_writers_and_many_appends(spark, tmp_path, monkeypatch):
+    """Of two writers that see the same state one takes the next number; appended rows become one table every few changes, and ids stay distinct."""
+    monkeypatch.setattr(state.StateStore, "APPENDS", 3)
+    store, other = state.StateStore(spark, str(tmp_path / "s")), state.StateStore(spark, str(tmp_path / "s"))
+    rows = make(spark, [{"note": str(i)} for i in range(7)])
+    rows = rows.withColumn("content_hash", state.content_hash(rows))
+    run = store.start_run("a")
+    stale, seen = store._live("processed_bookmarks"), store._live
+    store.mark(rows.where("pos = 0"), run)
+    calls = []
+    monkeypatch.setattr(other, "_live", lambda table: (calls.append(table), stale)[1] if table == "processed_bookmarks" and len(calls) < 2 else seen(table))
+    other.mark(rows.where("pos = 1"), run)
+    for i in range(2, 7):
+        store.mark(rows.where(f"pos = {i}"), run)
+    assert store.read("processed_bookmarks").count() == 7 and len(calls) >= 1
+    history = store.read("bookmark_history")
+    assert history.count() == history.select("id").distinct().count() == 7 and store.run_totals(run) == (7, 7, 0)
+    assert len(store._live("processed_bookmarks")[1]) <= 3 and len(store._live("bookmark_history")[1]) <= 3
+    store.mark(rows.where("pos = 3").withColumn("title", F.lit("newer")).withColumn("content_hash", F.lit("x")), run)
+    assert store.read("processed_bookmarks").where("title = 'newer'").count() == 1 and store.read("processed_bookmarks").count() == 7
+    store.vacuum(hours=0)
+    assert store.read("processed_bookmarks").count() == 7 and store.read("bookmark_history").count() == 8
+    two = other.start_run("b")
+    assert two == run + 1 and {r.id for r in store.recent_runs().collect()} == {run, two}
+
+
+def test_replayed_batch_and_run_totals(spark, tmp_path):
+    src, out, c = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "c")
+    src.mkdir()
+    header = "id,title,note,excerpt,url,folder,tags,created,cover,highlights,favorite\n"
+    for i in range(3):
+        (src / f"{i}.csv").write_text(header + "".join(f"{i}{j},T,,,https://x.com/{i}{j},,,,,,\n" for j in range(3)))
+    store = state.StateStore(spark, str(tmp_path / "s"))
+    incremental.process(incremental.read_exports(spark, str(src)), store, out, c).awaitTermination()
+    assert store.recent_runs(1).first().total_processed == 9  # three batches add up
+    # The last batch is lost after its output was written: the replay neither empties the output nor counts again.
+    for f in (tmp_path / "c" / "commits").glob("*2*"):
+        f.unlink()
+    before = sorted(r.url for r in spark.read.parquet(out).collect())
+    incremental.process(incremental.read_exports(spark, str(src)), store, out, c).awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == before and store.read("bookmark_history").count() == 9
+    assert store.recent_runs(1).first().total_processed == 0 and store.read("processed_bookmarks").count() == 9
+
+
+def test_filing_of_large_folders(spark, monkeypatch):
+    """Any size ends within the limit, also where positions are uneven and ranked in slices."""
+    monkeypatch.setattr(folders, "SLICE", 7)
+    rows = spark.range(400).select((F.col("id") * F.col("id")).alias("pos"), F.concat(F.lit("https://"), F.when(F.col("id") < 300, "big").otherwise(F.concat(F.lit("h"), (F.col("id") % 40).cast("string"))), F.lit(".com/x")).alias("url"), F.lit("Science").alias("category"), F.lit("General").alias("subcategory"))
+    got = folders.filed(rows, 20)
+    assert got.count() == 400 and got.columns == [*rows.columns, "path"]
+    sizes = {r.path: r["count"] for r in got.groupBy("path").count().collect()}
+    assert max(sizes.values()) <= 20 and sizes["Science/General/Big/Part 1"] == 20 and "Science/General/Big/Part 15" in sizes
+    first = {r.pos for r in got.where("path = 'Science/General/Big/Part 1'").collect()}
+    assert first == {i * i for i in range(20)}
+
+
+def test_paging_says_when_it_ends_early(spark):
+    full = lambda page, size: ["{}"] * size
+    with pytest.raises(Exception, match="more than 4 pages"):
+        datasource.paged(spark, full, per_page=2, most_pages=4, slices=2).collect()
+    some = lambda page, size: ["{}"] * (size if page < 3 else 1)
+    assert datasource.paged(spark, some, per_page=2, most_pages=4, slices=2).count() == 7
+
+
 def test_stream_equals_batch_and_replays(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
@@ -210,9 +275,16 @@ def test_plugins(spark, tmp_path):
 
 def test_process_and_resume(spark, tmp_path):
     rows = make(spark, [{"url": "https://a.com/x", "title": "Python api"}, {"url": "http://www.a.com/x/", "note": "n"}, {"url": "http://10.0.0.1/"}, {"url": "https://b.com/404"}])
-    done = process.run(rows, process.Options(work=str(tmp_path / "w"), now=NOW))
+    kept = process.Options(work=str(tmp_path / "w"), now=NOW, input_id="x")
+    done = process.run(rows, kept)
     assert done.count() == 1 and process.output(done).first().folder != ""
-    assert process.run(rows.limit(0), process.Options(work=str(tmp_path / "w"), now=NOW)).count() == 1
+    assert process.run(rows.limit(0), kept).count() == 1
+    # Another strategy, another input by its rows, and other filters start from the beginning.
+    assert process.run(rows.limit(0), replace(kept, strategy="oldest")).count() == 0
+    assert process.run(rows.limit(0), replace(kept, input_id="")).count() == 0 and process.run(rows, replace(kept, input_id="")).count() == 1
+    assert process.run(rows.limit(0), replace(kept, wanted=predicates.valid_row())).count() == 0
+    assert not (tmp_path / "none").exists() and process.run(rows, replace(kept, work=str(tmp_path / "none"), stages=("tags",))).count() == 4
+    assert not list((tmp_path / "none").rglob("dedup"))
     fetched = lambda asked: asked.withColumns({"html": F.lit("<title>T</title><h1>Head line</h1>one two"), "status_code": F.when(F.col("url").contains("b.com"), 404).otherwise(200)})
     got = process.run(rows, process.Options(fetch=fetched, now=NOW, preview=4, wanted=predicates.valid_row())).collect()
     assert len(got) == 1 and got[0].page_title == "T" and got[0].word_count == 5
