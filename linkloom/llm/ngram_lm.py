@@ -7,8 +7,9 @@ as many as the text asks for). Per segment one task sums the counts, quantises e
 (Talbot and Osborne, 2007). A segment's bits follow the number of its entries.
 
 Scoring. An n-gram's level is read by probing (n-gram, 1), (n-gram, 2), .. until one is missing. With
-the counts q that the levels stand for, P(w | h) = (q(hw) + mu * P(w)) / (q(h) + mu) and
-P(w) = (q(w) + 1) / (N + V + 1). A text's tokens are its words and one end; the first follows a start.
+the counts q that the levels stand for, P(w | h) = (q(hw) + mu(h) * P(w)) / (q(h) + mu(h)) and
+P(w) = (q(w) + 1) / (N + V + 1). mu(h) = 1 + mu * q(h)^power stands for the number of different words that follow h, which grows
+as a power of its count (Heaps), as in Witten and Bell's smoothing; so frequent histories don't starve words not seen behind them. A text's tokens are its words and one end; the first follows a start.
 
 The filter's size is known before it moves. Up to ``max_filter_bytes`` it is broadcast. Beyond, nothing
 is: texts are dealt into blocks, a block's distinct n-grams go to their segments, and the levels come
@@ -47,8 +48,9 @@ HELD = 1_000_000
 class Settings:
     base: float = 1.5
     bits_per_entry: int = 10
-    probes: int = 4
-    mu: float = 20.0
+    probes: int = 6
+    mu: float = 2.0
+    mu_power: float = 0.85
     head_words: int = 1 << 18
     head_word_bytes: int = 64
     max_filter_bytes: int = 256 << 20
@@ -289,18 +291,19 @@ class Filter:
         return out
 
 
-def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int, v: int, mu: float) -> np.ndarray:
+def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int, v: int, how: Settings) -> np.ndarray:
     """log10 P(w | h) of each token from the three counts; a bigram can't be more frequent than its history."""
     p_w = (q_w + 1) / (n + v + 1)
+    mu = 1 + how.mu * q_h**how.mu_power
     return np.log10((np.minimum(q_hw, q_h) + mu * p_w) / (q_h + mu))
 
 
-def score_block(texts: list[str | None], level_of, counts: np.ndarray, exact: Exact, n: int, v: int, mu: float) -> list[pa.Array]:
+def score_block(texts: list[str | None], level_of, counts: np.ndarray, exact: Exact, n: int, v: int, how: Settings) -> list[pa.Array]:
     """The columns ADDED of some texts; ``level_of`` maps n-gram keys to levels."""
     block = Block(texts)
     q = counts[level_of(unigram(block.hashes))]
     keys, at = block.pairs()
-    logs = log_probabilities(q[block.history], q[block.token], counts[level_of(keys)][at], n, v, mu)
+    logs = log_probabilities(q[block.history], q[block.token], counts[level_of(keys)][at], n, v, how)
     score = np.bincount(block.owner, logs, len(texts))
     # Exact: what the head knows is summed here, the other words of a text go along with their counts.
     known = np.append(exact.of(block.hashes[: block.end]), exact.end)
@@ -393,7 +396,7 @@ class NgramModel:
                 texts = batch.column(place).to_pylist()
                 for a, b in text_blocks(texts, PIECE):
                     with steady():
-                        columns = score_block(texts[a:b], held.levels, counts, exactly, n, v, how.mu)
+                        columns = score_block(texts[a:b], held.levels, counts, exactly, n, v, how)
                     yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *added])
             del held, exactly
             let_go(sent, exact_sent)
@@ -431,7 +434,7 @@ class NgramModel:
             levels = np.concatenate([np.frombuffer(x, np.int16) for x in answers.column("levels").to_pylist()])
             order = np.argsort(keys)
             keys, levels = keys[order], levels[order]
-            columns = score_block(told.column("text").to_pylist(), lambda k: levels[np.searchsorted(keys, k)], counts, exact_sent.value, n, v, how.mu)
+            columns = score_block(told.column("text").to_pylist(), lambda k: levels[np.searchsorted(keys, k)], counts, exact_sent.value, n, v, how)
             return pa.table([told.column("lm_row"), *columns], names=["lm_row", *NgramModel._ADDED])
 
         asked = texts.groupBy("block").applyInArrow(ask, "block long, segment long, keys binary")

@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -52,7 +53,8 @@ def brute(rows, how):
         score = 0.0
         for h, w in zip(["<s>", *s], s):
             q_h = q(len(train)) if h == "<s>" else q(one[h])
-            score += math.log10((min(q(two[h, w]), q_h) + how.mu * (q(one[w]) + 1) / (n + v + 1)) / (q_h + how.mu))
+            mu = 1 + how.mu * q_h**how.mu_power
+            score += math.log10((min(q(two[h, w]), q_h) + mu * (q(one[w]) + 1) / (n + v + 1)) / (q_h + mu))
         out[i] = (len(s), sum(one[w] > 0 for w in s), n, base, score)
     return out
 
@@ -81,6 +83,14 @@ def test_production_settings_against_exact_scores(spark, tmp_path, make_docs):
     assert (np.abs(off) < 1e-9).mean() > 0.5 and off.mean() < 0.02 and np.abs(off).max() < 0.5
 
 
+def test_most_held_out_texts_beat_the_base(spark):
+    d = "/root/testdata/sf0.01"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    rows = [r for r in op3_query(spark, d).collect() if r.held_out]
+    assert sum(r.score > r.base_score for r in rows) > 0.85 * len(rows) and sum(r.score for r in rows) > sum(r.base_score for r in rows) * 0.95
+
+
 def test_long_text_and_clashing_names(spark, make_docs):
     names = "known more word n times row segment block tags".split()
     docs = make_docs(["a b c", "a b " * 400_000, None]).select("*", *[F.lit(f"own {n}").alias(n) for n in names])
