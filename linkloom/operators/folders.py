@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import text, urls
+from . import ranges
 from .tagging import occurring
 
 
@@ -79,19 +79,11 @@ def filed(rows: DataFrame, most: int = 20, pos: str = "pos") -> DataFrame:
         *by, F.when(fits | stuck, F.col("path")).otherwise(F.concat_ws("/", "path", "_group")).alias("_folder"), (~fits & (stuck | (F.col("_g") > most))).alias("_parts")
     )
     placed = labelled.join(told, by)
-    ranked = _ranked(placed.where("_parts"), "_folder", pos)
+    ranked = ranges.ranked(placed.where("_parts"), ["_folder"], F.floor(F.col(pos) / SLICE), [pos])
     part = F.concat(F.col("_folder"), F.lit("/Part "), (F.floor((F.col("_rank") - 1) / most) + 1).cast("string"))
     return placed.where("NOT _parts").select(*own, F.col("_folder").alias("path")).unionByName(ranked.select(*own, part.alias("path")))
 
 
-def _ranked(rows: DataFrame, by: str, pos: str) -> DataFrame:
-    """Adds ``_rank``, from 1, by position within a folder. Positions are whole numbers, so a slice of them is bounded: counts place every slice, and slices are ranked by themselves."""
-    sliced = rows.withColumn("_slice", F.floor(F.col(pos) / SLICE))
-    counts = sliced.groupBy(by, "_slice").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.coalesce(F.sum("_n").over(W.partitionBy(by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return sliced.join(before, [by, "_slice"]).withColumn("_rank", F.col("_before") + F.row_number().over(W.partitionBy(by, "_slice").orderBy(pos)))
-
-
 def prefixes(path: Column) -> Column:
     """a/b/c as [a, a/b, a/b/c]."""
     parts = F.split(path, "/")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import ranges
 
 def by_provider(costs: DataFrame, provider: str = "provider", cost: str = "cost_usd", ts: str = "timestamp") -> DataFrame:
     return costs.groupBy(provider).agg(F.count("*").alias("requests"), F.round(F.sum(cost), 6).alias("total_cost"), F.round(F.avg(cost), 6).alias("avg_cost"), F.min(ts).alias("first_used"), F.max(ts).alias("last_used"))
@@ -36,16 +37,28 @@ def hourly_projection(costs: DataFrame, now: Column, minutes: int = 30, least: i
     return seen.select(F.round(F.when((F.col("n") >= least) & (hours > 0), F.col("spent") / hours).otherwise(0.0), 6).alias("per_hour"))
 
 
+#: Ranks, positions and microseconds that one task holds of a group.
+RANKS, POSITIONS, MICROS = 100_000, 100_000, 3_600_000_000
+
+
 def rolling(samples: DataFrame, by: str, value: str, last: int = 60, order: tuple[str, ...] = ("ts",)) -> DataFrame:
-    """Adds the mean of the last samples of a group, its own included."""
-    frame = W.partitionBy(by).orderBy(*order).rowsBetween(1 - last, W.currentRow)
-    return samples.withColumn("rolling", F.avg(value).over(frame))
+    """Adds the mean of the last samples of a group, its own included. The first of ``order`` is a time.
+
+    A group is cut by time to rank its samples, then by rank, each cut with the samples before it that its first frames reach back to.
+    """
+    numbered = ranges.ranked(samples, [by], F.floor(F.unix_micros(F.col(order[0]).cast("timestamp")) / MICROS), list(order))
+    place, size = F.col("_rank") - 1, max(RANKS, last)
+    cut = ranges.with_carry(numbered, F.floor(place / size), place % size >= size - (last - 1))
+    frame = W.partitionBy(by, "_slice").orderBy("_rank").rowsBetween(1 - last, W.currentRow)
+    return cut.withColumn("rolling", F.avg(value).over(frame)).where("NOT _carried").select(*samples.columns, "rolling")
 
 
 def sliding_count(events: DataFrame, by: str, seconds: int = 60, ts: str = "ts") -> DataFrame:
-    """Adds how many events of a group fall into the window that ends with each."""
-    micros = W.partitionBy(by).orderBy(F.unix_micros(ts)).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("in_window", F.count("*").over(micros))
+    """Adds how many events of a group fall into the window that ends with each. A group is cut by time, each cut with the seconds before it."""
+    micros, width = F.unix_micros(ts), max(MICROS, seconds * 1_000_000)
+    cut = ranges.with_carry(events, F.floor(micros / width), F.pmod(micros, F.lit(width)) >= width - seconds * 1_000_000)
+    frame = W.partitionBy(by, "_slice").orderBy(micros).rangeBetween(-seconds * 1_000_000, 0)
+    return cut.withColumn("in_window", F.count("*").over(frame)).where("NOT _carried").select(*events.columns, "in_window")
 
 
 def gaps(events: DataFrame, by: str, ts: str = "ts", order: tuple[str, ...] = ()) -> DataFrame:
@@ -100,10 +113,15 @@ def cost_estimate(costs: DataFrame, bookmarks: int, provider: str, sample: int =
 
 
 def routed(rows: DataFrame, words: Column, confidence: Column, kind: Column, cost: Column, budget: float, order: str, by: str, cloud_kinds: tuple[str, ...] = ()) -> DataFrame:
-    """Adds the engine of each row: local once the budget's running sum in a group is spent, for short texts and by default; cloud for kinds that need it and unsure ones."""
-    spent = F.coalesce(F.sum(cost).over(W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    """Adds the engine of each row: local once the budget's running sum in a group is spent, for short texts and by default; cloud for kinds that need it and unsure ones.
+
+    ``order`` is a whole number; a group is cut by it, and sums of cuts place each.
+    """
+    own = rows.columns
+    rows = ranges.running_sum(rows.withColumns({"_words": words, "_sure": confidence, "_kind": kind, "_cost": cost}), [by], F.floor(F.col(order) / POSITIONS), [order], "_cost", "_spent")
+    spent, words, confidence, kind = (F.col(c) for c in ("_spent", "_words", "_sure", "_kind"))
     route = F.when(spent >= budget, "local").when(words < 200, "local").when(kind.isin(*cloud_kinds), "cloud").when(confidence < 0.7, "cloud").otherwise("local")
-    return rows.withColumn("route", route)
+    return rows.select(*own, route.alias("route"))
 
 
 def overall_progress(weights: list[float], done: list[Column]) -> Column:
@@ -114,8 +132,9 @@ def overall_progress(weights: list[float], done: list[Column]) -> Column:
 
 
 def numbered(rows: DataFrame, size: int, by: str, order: str) -> DataFrame:
-    """Adds ``batch``, from 0, in batches of fixed size within a group."""
-    return rows.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(by).orderBy(order)) - 1) / size).cast("long"))
+    """Adds ``batch``, from 0, in batches of fixed size within a group, by a whole number."""
+    numbered = ranges.ranked(rows, [by], F.floor(F.col(order) / POSITIONS), [order])
+    return numbered.withColumn("batch", F.floor((F.col("_rank") - 1) / size).cast("long")).drop("_rank")
 
 
 def drift(samples: DataFrame, by: str, value: str, last: int = 10, order: tuple[str, ...] = ("ts",)) -> DataFrame:

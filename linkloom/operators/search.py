@@ -33,6 +33,22 @@ def bm25(inverted: DataFrame, key: str, query: str, rows: int, mean_length: floa
     return scored.orderBy(F.desc("score"), key).limit(most)
 
 
+def matches(rows: DataFrame, key: str, query: str, *columns: str) -> DataFrame:
+    """(key, length, hits): each row's number of terms and those that the query has, for a search without an index. One pass over the texts; hold it before ranking."""
+    import re
+
+    terms = F.array(*[F.lit(t) for t in sorted(set(re.findall(TERM, query.lower())))]).cast("array<string>")
+    said = F.regexp_extract_all(F.lower(F.concat_ws(" ", *columns)), F.lit(f"({TERM})"))
+    return rows.select(key, said.alias("terms")).select(key, F.size("terms").alias("length"), F.filter("terms", lambda t: F.array_contains(terms, t)).alias("hits"))
+
+
+def ranked(matched: DataFrame, key: str, query: str, most: int = 100) -> DataFrame:
+    """BM25 over what ``matches`` gave."""
+    told = matched.agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    postings = matched.where(F.size("hits") > 0).select(key, "length", F.explode("hits").alias("term")).groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    return bm25(postings, key, query, told.n, told.mean or 1.0, most)
+
+
 def containing(rows: DataFrame, query: str, *columns: str, most: int = 100, order: str = "url") -> DataFrame:
     """Rows where any column holds the text, case ignored."""
     found = F.lit(False)

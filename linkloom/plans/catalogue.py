@@ -12,7 +12,7 @@ from ..operators import bookmarks as B
 from ..operators import dedup, folders, metrics, predicates, reports, search, state, tagging, validation
 from .registry import ORACLES, QUERIES, query
 from .registry import sql_list as _list
-from .tables import SQL_BOOKMARKS, SQL_DOMAIN, SQL_KEY, SQL_PATH, SQL_TITLE, bookmarks, keyed, table
+from .tables import SQL_BOOKMARKS, SQL_DOMAIN, SQL_KEY, SQL_PATH, SQL_TITLE, bookmarks, keyed, scratch, table
 
 NOW = "2024-06-01 00:00:00"
 
@@ -427,9 +427,18 @@ _INDEX = f"WITH t AS (SELECT doc_id, regexp_extract_all(lower(text), '{text.TERM
 @query("search_bm25", f"""{_INDEX}, h AS (SELECT * FROM i WHERE term IN ('the', 'thing', 'under')), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), g AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t)
     SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN df USING (term), g GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100""")
 def search_bm25(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "text")
-    told = docs.select(F.size(F.regexp_extract_all(F.lower("text"), F.lit(f"({text.TERM})"))).alias("n")).agg(F.count("*").alias("rows"), F.avg("n").alias("mean")).first()
-    return search.bm25(search.index(docs, "doc_id", "text"), "doc_id", "the thing under", told["rows"], told["mean"] or 1.0)
+    path = scratch(spark, "matches")
+    search.matches(table(spark, d, "documents"), "doc_id", "the thing under", "text").write.parquet(path)
+    return search.ranked(spark.read.parquet(path), "doc_id", "the thing under")
+
+
+@query("search_index", f"{_INDEX}, h AS (SELECT * FROM i WHERE term IN ('thing', 'under')), df AS (SELECT term, count(*) AS df FROM h GROUP BY 1), g AS (SELECT count(*) AS n, avg(len(ts)) AS mean FROM t) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM h JOIN df USING (term), g GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT 100")
+def search_index(spark, d):
+    """The same from an inverted index that is kept and read by term."""
+    docs, path = table(spark, d, "documents").select("doc_id", "text"), scratch(spark, "index")
+    search.index(docs, "doc_id", "text").repartition("term").sortWithinPartitions("term").write.parquet(path)
+    told = search.matches(docs, "doc_id", "", "text").agg(F.count("*").alias("n"), F.avg("length").alias("mean")).first()
+    return search.bm25(spark.read.parquet(path), "doc_id", "thing under", told.n, told.mean or 1.0)
 
 
 @query("search_containing", "SELECT doc_id FROM documents WHERE contains(lower(text), 'thing') ORDER BY doc_id LIMIT 100")
