@@ -340,3 +340,36 @@ def review_union(spark, d):
     docs, labels = table(spark, d, "documents"), table(spark, d, "labels")
     told = reports.review_list([("short", docs.where("n_chars < 500")), ("junk", labels.where("quality = 0")), ("toxic", labels.where("toxic = 1"))], "doc_id")
     return told.withColumn("reasons", F.array_join("reasons", ","))
+
+
+@query("directory_report", "SELECT 'csv' AS kind, 2 AS n, true AS usable UNION ALL SELECT 'netscape', 1, true UNION ALL SELECT 'none', 0, false")
+def directory_report(spark, d):
+    root, empty = scratch(spark, "directory"), scratch(spark, "empty")
+    put_text(spark, f"{empty}/a.txt", "x")
+    put_text(spark, f"{root}/b.html", netscape.generate(bookmarks(spark, d).limit(3)))
+    for name in ("a.csv", "c.csv"):
+        put_text(spark, f"{root}/{name}", "id,title,url,folder,tags,created\n1,a,https://a.com,,,\n")
+    put_text(spark, f"{root}/d.csv", "")
+    told, none = detect.directory_report(spark, root), detect.directory_report(spark, empty)
+    kinds = list(told["formats"].values())
+    rows = [(k, kinds.count(k), told["usable"]) for k in sorted(set(kinds))] + [("none", len(none["files"]), none["usable"])]
+    return spark.createDataFrame(rows, "kind string, n int, usable boolean")
+
+
+@query("report_rendered", f"""WITH {SQL_BOOKMARKS}, t AS (SELECT count(*) AS n FROM b) SELECT 'plain' AS style, 'Export' || chr(10) || '======' || chr(10) || 'rows   ' || n || chr(10) || 'names  x' AS said FROM t
+    UNION ALL SELECT 'markdown', '# Export' || chr(10) || chr(10) || '| | |' || chr(10) || '|---|---|' || chr(10) || '| rows | ' || n || ' |' || chr(10) || '| names | x |' FROM t UNION ALL SELECT 'json', '{{"title": "Export", "rows": ' || n || ', "names": "x"}}' FROM t""")
+def report_rendered(spark, d):
+    facts = {"rows": bookmarks(spark, d).count(), "names": "x"}
+    return spark.createDataFrame([(style, export.render("Export", facts, style)) for style in ("plain", "markdown", "json")], "style string, said string")
+
+
+@query("json_document", f"WITH {SQL_BOOKMARKS} SELECT count(*) AS total, count(DISTINCT CASE WHEN folder = '' THEN 'Unsorted' ELSE folder END)::INT AS folders, count(*)::INT AS items, count(created) AS with_dates FROM b")
+def json_document(spark, d):
+    """The one document, written on the driver's machine and read back there."""
+    import tempfile
+
+    with tempfile.TemporaryDirectory() as local:
+        export.write_json_document(bookmarks(spark, d), f"{local}/all.json", "2024-06-01")
+        with open(f"{local}/all.json", encoding="utf-8") as f:
+            told = json.load(f)
+    return spark.createDataFrame([(told["export_info"]["total"], len(told["by_folder"]), len(told["bookmarks"]), told["statistics"]["with_dates"])], "total long, folders int, items int, with_dates long")

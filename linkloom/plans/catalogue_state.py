@@ -313,3 +313,34 @@ def process_results(spark, d):
 def process_output(spark, d):
     rows = bookmarks(spark, d).withColumns({"enhanced_description": F.concat(F.lit("said "), F.col("pos").cast("string")), "optimized_tags": F.when(F.col("pos") % 2 == 0, F.array(F.lit("one"), F.lit("two")))})
     return process.output(rows)
+
+
+@query("dedup_report", f"WITH {SQL_BOOKMARKS}, s AS (SELECT dedup_key, count(*) AS n FROM k GROUP BY 1), t AS (SELECT sum(n)::BIGINT AS total, count(*) AS u, count(*) FILTER (n > 1) AS g FROM s) SELECT 'Duplicate report' || chr(10) || 'rows: ' || total || chr(10) || 'unique: ' || u || chr(10) || 'groups: ' || g || chr(10) || 'removed: ' || (total - u) || ' (' || printf('%.1f', 100.0 * (total - u) / total) || ' %)' AS said FROM t")
+def dedup_report(spark, d):
+    from .tables import keyed
+
+    return spark.createDataFrame([(dedup.report(dedup.summary(keyed(spark, d)).first().asDict()),)], "said string")
+
+
+@query("since_dates", "SELECT * FROM (VALUES ('7d', TIMESTAMP '2024-05-25'), ('2W', TIMESTAMP '2024-05-18'), (' 12h ', TIMESTAMP '2024-05-31 12:00:00'), ('2024-03-01', TIMESTAMP '2024-03-01'), ('01/02/2024', TIMESTAMP '2024-02-01'), ('2024-03-01T10:00:00', TIMESTAMP '2024-03-01 10:00:00'), ('next week', NULL)) t(said, since)")
+def since_dates(spark, d):
+    from datetime import datetime
+
+    from ..functions import dates
+
+    def at(said: str):
+        try:
+            return dates.since(said, datetime(2024, 6, 1))
+        except ValueError:
+            return None
+
+    return spark.createDataFrame([(s, at(s)) for s in ("7d", "2W", " 12h ", "2024-03-01", "01/02/2024", "2024-03-01T10:00:00", "next week")], "said string, since timestamp_ntz")
+
+
+@query("config_digests", """SELECT name, left(md5(said), 16) AS digest FROM (VALUES ('defaults', '{"batch_size": 100, "budget_usd": 10.0, "checkpoint_every": 50, "engine": "local", "folder_limit": 20, "max_concurrent": 20, "max_description": 150, "max_retries": 3, "strategy": "highest_quality", "tags_per_row": 5, "target_tags": 150, "timeout": 30.0}'),
+    ('changed', '{"batch_size": 50, "budget_usd": 10.0, "checkpoint_every": 50, "engine": "local", "folder_limit": 20, "max_concurrent": 20, "max_description": 150, "max_retries": 3, "strategy": "newest", "tags_per_row": 5, "target_tags": 150, "timeout": 30.0}')) t(name, said)""")
+def config_digests(spark, d):
+    from .. import config
+
+    made = {"defaults": config.Settings(), "changed": config.from_dict({"batch_size": 50, "output": {"strategy": "newest"}})}
+    return spark.createDataFrame([(n, s.digest()) for n, s in made.items()], "name string, digest string")

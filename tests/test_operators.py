@@ -1,8 +1,10 @@
 import json
+import random
 from dataclasses import replace
 from datetime import datetime
 
 import pytest
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from linkloom import cli, config
@@ -222,6 +224,31 @@ def test_filing_of_large_folders(spark, monkeypatch):
     assert first == {i * i for i in range(20)}
 
 
+def test_sliced_frames_equal_plain_windows(spark, monkeypatch):
+    """Groups cut into small slices give what windows over whole groups give, at every edge."""
+    rng = random.Random(8)
+    rows, at = [], 0
+    for i in range(600):
+        at += rng.choice([0, 0, 1, 3, 40, 400])
+        rows.append((i, "hot" if i % 5 else "cold", at, float(rng.randrange(100))))
+    events = spark.createDataFrame(rows, "event_id long, kind string, s long, value double").withColumn("ts", F.timestamp_seconds("s")).drop("s").cache()
+    whole = W.partitionBy("kind").orderBy("ts", "event_id")
+    by_time = W.partitionBy("kind").orderBy(F.unix_micros("ts")).rangeBetween(-60_000_000, 0)
+    want = events.select("event_id", F.avg("value").over(whole.rowsBetween(-8, 0)).alias("rolling"), F.count("*").over(by_time).alias("in_window"), (F.row_number().over(W.partitionBy("kind").orderBy("event_id")) - 1).alias("place"))
+    want = {r.event_id: r for r in want.collect()}
+    for name, n in (("RANKS", 9), ("POSITIONS", 7), ("MICROS", 70_000_000)):
+        monkeypatch.setattr(metrics, name, n)
+    got = metrics.rolling(events, "kind", "value", last=9, order=("ts", "event_id")).collect()
+    assert len(got) == 600 and all(r.rolling == pytest.approx(want[r.event_id].rolling) for r in got)
+    got = metrics.sliding_count(events, "kind").collect()
+    assert len(got) == 600 and all(r.in_window == want[r.event_id].in_window for r in got)
+    got = metrics.numbered(events, 4, "kind", "event_id").collect()
+    assert all(r.batch == want[r.event_id].place // 4 for r in got)
+    spent = {i: sum(v for j, other, _, v in rows if other == kind and j < i) for i, kind, _, _ in rows}
+    got = metrics.routed(events, F.lit(500), F.lit(0.9), F.col("kind"), F.col("value"), 2000.0, "event_id", "kind", ("hot", "cold")).collect()
+    assert all((r.route == "local") == (spent[r.event_id] >= 2000) for r in got) and len({r.route for r in got}) == 2
+
+
 def test_paging_says_when_it_ends_early(spark):
     full = lambda page, size: ["{}"] * size
     with pytest.raises(Exception, match="more than 4 pages"):
