@@ -289,11 +289,11 @@ def tag_places(spark, d):
     return _words(spark).select("tag", tags.full_form(t).alias("full_form"), tags.category(t).alias("category"), tags.in_hierarchy(t).alias("path"), tagging.branch(t).alias("branch"))
 
 
-def _confidence(extra: str = "") -> str:
-    return f"CASE WHEN tag IN ({sql_list(D.PROTECTED_TAGS)}) THEN 0.95 ELSE least(1.0, 0.5 + 0.2 + CASE WHEN contains(lower(title), tag) THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(url), tag) THEN 0.1 ELSE 0 END + CASE WHEN frequency >= 5 THEN 0.1 ELSE 0 END{extra}) END"
+def _confidence() -> str:
+    return f"CASE WHEN tag IN ({sql_list(D.PROTECTED_TAGS)}) THEN 0.95 ELSE least(1.0, 0.5 + CASE WHEN contains(lower(title), tag) THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(url), tag) THEN 0.15 ELSE 0 END + CASE WHEN contains(own, tag) THEN 0.25 ELSE 0 END + CASE WHEN frequency >= 5 THEN 0.1 ELSE 0 END) END"
 
 
-@query("tag_confidence", f"WITH {SQL_BOOKMARKS}, t AS (SELECT pos, url, title, unnest(tags) AS tag FROM b), f AS (SELECT tag, count(*) AS frequency FROM t GROUP BY 1) SELECT pos, tag, round({_confidence()}, 6)::DOUBLE AS confidence FROM t JOIN f USING (tag)")
+@query("tag_confidence", f"WITH {SQL_BOOKMARKS}, t AS (SELECT pos, url, title, array_to_string(tags, ' ') AS own, unnest(tags) AS tag FROM b), f AS (SELECT tag, count(*) AS frequency FROM t GROUP BY 1) SELECT pos, tag, round({_confidence()}, 6)::DOUBLE AS confidence FROM t JOIN f USING (tag)")
 def tag_confidence(spark, d):
     rows = bookmarks(spark, d).withColumn("own", F.col("tags")).withColumn("tag", F.explode("tags"))
     both = rows.join(rows.groupBy("tag").agg(F.count("*").alias("frequency")), "tag")
@@ -338,18 +338,18 @@ def tag_choice(spark, d):
     return spark.createDataFrame(list(enumerate(tagging.selected(scores), 1)), "place long, tag string")
 
 
-ASSIGNMENTS_SQL = f"""WITH {SQL_BOOKMARKS}, {_SCORED}, {_CHOSEN},
-    m AS (SELECT DISTINCT c.url, c.tag, b.title, b.tags FROM c JOIN chosen USING (tag) JOIN b USING (url)),
+_ASSIGNED = """m AS (SELECT DISTINCT c.url, c.tag, b.title, b.tags FROM c JOIN chosen USING (tag) JOIN b USING (url)),
     v AS (SELECT url, tag, round(least(1.0, CASE WHEN contains(lower(title), tag) THEN 0.3 ELSE 0 END + CASE WHEN contains(lower(url), tag) THEN 0.2 ELSE 0 END + CASE WHEN contains(array_to_string(tags, ' '), tag) THEN 0.1 ELSE 0 END), 6)::DOUBLE AS relevance FROM m),
-    z AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY relevance DESC, tag) AS place FROM v)
-    SELECT url, tag, relevance, place::INT AS place FROM z WHERE place <= 5"""
+    z AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY relevance DESC, tag) AS place FROM v)"""
+ASSIGNMENTS_SQL = f"WITH {SQL_BOOKMARKS}, {_SCORED}, {_CHOSEN}, {_ASSIGNED} SELECT url, tag, relevance, place::INT AS place FROM z WHERE place <= 5"
+_SURE_WORDS = ("ai", "python", "web", "news", "video", "blog", "page", "example")
 
 
-@query("tag_surest", f"""WITH {SQL_BOOKMARKS}, {_CANDIDATES}, w AS (SELECT unnest([{sql_list(('ai', 'python', 'web', 'news', 'video', 'blog', 'page', 'example'))}]) AS tag), m AS (SELECT c.url, c.tag FROM c JOIN w USING (tag)), f AS (SELECT tag, count(*) AS frequency FROM m GROUP BY 1),
-    j AS (SELECT m.url, m.tag, round(CASE WHEN tag IN ({sql_list(D.PROTECTED_TAGS)}) THEN 0.95 ELSE least(1.0, 0.5 + CASE WHEN list_contains(tags, tag) THEN 0.2 ELSE 0 END + CASE WHEN contains(lower(title), tag) THEN 0.15 ELSE 0 END + CASE WHEN contains(lower(m.url), tag) THEN 0.1 ELSE 0 END + CASE WHEN frequency >= 5 THEN 0.1 ELSE 0 END) END, 6)::DOUBLE AS confidence FROM m JOIN f USING (tag) JOIN b ON b.url = m.url),
-    z AS (SELECT *, row_number() OVER (PARTITION BY url ORDER BY confidence DESC, tag) AS n FROM j) SELECT url, tag, confidence FROM z WHERE n <= 5""")
+@query("tag_surest", f"""WITH {SQL_BOOKMARKS}, {_CANDIDATES}, chosen AS (SELECT unnest([{sql_list(_SURE_WORDS)}]) AS tag), {_ASSIGNED}, fr AS (SELECT tag, count(*) AS frequency FROM c GROUP BY 1),
+    j AS (SELECT z.url, z.tag, frequency, title, array_to_string(tags, ' ') AS own FROM z JOIN fr USING (tag) JOIN b ON b.url = z.url WHERE place <= 5)
+    SELECT url, CASE WHEN tag IN ({sql_list(D.PROTECTED_TAGS)}) THEN tag ELSE {_hierarchy('tag')} END AS tag, round({_confidence()}, 6)::DOUBLE AS confidence FROM j""")
 def tag_surest(spark, d):
-    corpus = spark.createDataFrame([(w,) for w in ("ai", "python", "web", "news", "video", "blog", "page", "example")], "tag string")
+    corpus = spark.createDataFrame([(w,) for w in _SURE_WORDS], "tag string")
     return tagging.with_confidence(bookmarks(spark, d), corpus)
 
 
