@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Memo, cut, drop_scratch, kept, mix64, serve, text_blocks, tune
 
@@ -276,12 +277,15 @@ def near_duplicates(
     Rows are linked whose shingle sets have 100 * intersection >= percent * union. Words are lower-cased
     in A-Z only. Null and empty texts have no shingles and no links. Rows with one id count as one
     document if their sets are equal, and are linked by the smallest text if they are not; each gives
-    its own row. Null ids: no links, component null.
+    its own row. Null ids: no links, component null. Ids are whole numbers, as components are named by the smallest; others are an error.
+    Only the two columns are read, so other columns' names can't clash. An empty table gives none.
     A pair at the threshold shares no band with probability (1 - s^rows)^bands: below 1e-4 for 0.8 and
     below 1e-6 for 0.85 with these defaults.
     """
     spark = docs.sparkSession
     tune(spark)
+    if not isinstance(docs.schema[id_col].dataType, T.IntegralType):
+        raise TypeError(f"{id_col} is not a column of whole numbers")
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     signed = cut(
         narrow.mapInArrow(_signature_rows(shingle_words, bands, rows, 0, 1), "id long, n_shingles long, digest binary, bands array<long>"),

@@ -1,10 +1,11 @@
+import os
 import random
 
 import numpy as np
 import pytest
 
 from linkloom.llm import minhash
-from linkloom.llm.minhash import Forest, band_keys, linked_pairs, mix64, near_duplicates, shingle_set, super_minhash
+from linkloom.llm.minhash import Forest, band_keys, linked_pairs, mix64, near_duplicates, op5_query, shingle_set, super_minhash
 
 
 def plain_super_minhash(elements, m):
@@ -99,6 +100,28 @@ def test_repeated_rows_null_ids_extra_columns_and_empty_table(spark):
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_query_against_brute_force(spark):
+    """Every row of the smallest tables."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    docs = spark.read.parquet(f"{d}/documents.parquet").orderBy("doc_id").collect()
+    want = brute([r.text for r in docs], 3, 85)
+    rows = op5_query(spark, d).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_shingles, r.component_id, r.kept) for r in rows] == [(doc.doc_id, n, docs[c].doc_id, i == c) for i, (doc, (n, c)) in enumerate(zip(docs, want, strict=True))]
+
+
+def test_long_texts_and_text_ids(spark, make_docs):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(5000)}" for _ in range(150_000)]
+    other = list(words)
+    other[70_000] = "changed"
+    rows = near_duplicates(make_docs([" ".join(words), " ".join(other), "short text"])).orderBy("doc_id").collect()
+    assert [r.component_id for r in rows] == [0, 0, 2]
+    with pytest.raises(TypeError, match="whole number"):
+        near_duplicates(spark.createDataFrame([("a", "text")], "doc_id string, text string"))
+
+
 def test_shingles_of_short_texts():
     assert len(shingle_set(None, 3)) == 0 and len(shingle_set("a b", 3)) == 1
     assert shingle_set("a b", 3) != shingle_set("ab", 3)

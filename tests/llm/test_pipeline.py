@@ -125,3 +125,21 @@ def test_encoding_stage_and_run(stages):
     want = sorted((r.doc_id, b"".join(i.to_bytes(4, "little") for i in library.encode(r.text, add_special_tokens=False).ids)) for r in before)
     assert sorted((r.doc_id, bytes(r.ids)) for r in after) == want and all(r.n_tokens * 4 == len(r.ids) for r in after)
     assert sorted(map(str, stages["run"])) == sorted(map(str, after))
+
+
+def test_stages_with_nulls_repeats_clashing_names_and_empty_tables(spark, tmp_path):
+    """Null ids, languages and sources, repeated rows, a long text and columns with the names that stages work with: every stage runs and returns its columns."""
+    prose = corpus()[2][1]
+    rows = [(None, prose, None, None, None), (1, None, "en", "src0", 0), (2, "", None, "src1", 0), (3, corpus()[3][1], "en", None, 5), (3, corpus()[3][1], "en", None, 5), (4, "the house " * 50_000 + corpus()[5][1], "de", "src2", 9), (5, corpus()[7][1] + " password=abcdefghij1234567", "xx", "src2", 9)]
+    names = "kept spans blob epoch take_tokens domain key component_id id bands digest bpe_ids n_words pending".split()
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").selectExpr("*", *[f"'own' AS {n}" for n in names])
+    for name, stage in corpus_pipeline.STAGES:
+        after = cut(stage(spark, docs, str(tmp_path)), name)
+        assert after.count() >= (1 if name != "quality_rules" else 2), name
+        if name != "bpe":
+            assert after.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0
+    kept = {(r.doc_id, r.text) for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()}
+    assert (None, prose) in kept and (1, None) in kept and (2, "") in kept and len(kept) == 6
+    redacted = {r.doc_id: r for r in corpus_pipeline.redact_secrets(spark, docs, "").collect()}
+    assert redacted[5].text.endswith("[assign]") and redacted[5].n_chars == len(redacted[5].text) and redacted[1].text is None

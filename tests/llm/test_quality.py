@@ -1,9 +1,11 @@
+import os
 import random
 import re
+from collections import Counter
 
 import pytest
 
-from linkloom.llm.quality import Meter, base_counts, production_rules, quality_rules
+from linkloom.llm.quality import Meter, base_counts, op4_query, production_rules, quality_rules
 
 
 @pytest.fixture(scope="module")
@@ -16,7 +18,8 @@ def brute(text):
     words = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", text)]
     w = [text[a:b] for a, b in words]
     windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
-    covered = {i + d for i, x in enumerate(windows) if windows.count(x) > 1 for d in range(3)}
+    times = Counter(windows)
+    covered = {i + d for i, x in enumerate(windows) if times[x] > 1 for d in range(3)}
     seen, dup = set(), 0
     for line in text.split("\n"):
         if re.search(r"[^\x20\x09-\x0D]", line):
@@ -62,6 +65,33 @@ def test_verdicts_nulls_and_extra_columns(spark, make_docs, rules):
     assert quality_rules(docs.limit(0), rules).count() == 0
 
 
+def test_long_text_ties_and_clashing_names(spark, make_docs, rules):
+    """Repeated rows are judged alike, whatever stands around them; a text of megabytes is read whole."""
+    rng = random.Random(5)
+    long = " ".join(f"{rng.choice(['the', 'house', 'river', 'garden'])}{rng.randrange(3000)}" for _ in range(200_000)) + "\nsame line\nsame line"
+    names = "why words counts band measured n rows".split()
+    docs = make_docs([long, "x", long, "x"]).selectExpr("*", *[f"'own {n}' AS {n}" for n in names])
+    rows = quality_rules(docs, rules).orderBy("doc_id").collect()
+    plain = lambda r: [r[c] for c in r.__fields__ if c != "doc_id" and c != "source"]
+    assert plain(rows[0]) == plain(rows[2]) and plain(rows[1]) == plain(rows[3])
+    assert rows[0].n_words == 200_004 and rows[0].n_dup_lines == 1 and all(r[n] == f"own {n}" for r in rows for n in names)
+
+
+def test_query_against_brute_force(spark):
+    """The contract's columns of every row on the smallest tables."""
+    d = "/root/testdata/sf0.001"
+    if not os.path.isdir(d):
+        pytest.skip("needs the driver's tables")
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    rows = op4_query(spark, d).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n, chars, symbols, dup, repeated = brute(texts[r.doc_id])
+        failed = n < 50 or 100 * repeated > 50 * n
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == (n, chars, symbols, dup, repeated, failed)
+        assert not (failed and r.kept) and r.kept == (not failed and r.rejected_by is None)
+
+
 def test_unknown_language_takes_the_band_of_its_script(spark, make_docs, rules):
     text = " ".join(["съешь ещё этих мягких французских булок да выпей чаю"] + [f"слово{chr(1072 + i % 30)}{chr(1073 + i % 29)}" for i in range(60)])
     row = quality_rules(make_docs([text], lang=None), rules).first()
