@@ -81,7 +81,7 @@ def images(page: Column, base: Column, most: int = 10) -> Column:
 
 
 def word_count(body: Column) -> Column:
-    return F.when(text.strip(body) == "", F.lit(0)).otherwise(F.size(F.split(text.strip(body), r"\s+")))
+    return text.bound(text.strip(body), lambda b: F.when(b == "", F.lit(0)).otherwise(F.size(F.split(b, r"\s+"))))
 
 
 def reading_minutes(words: Column) -> Column:
@@ -91,12 +91,15 @@ def reading_minutes(words: Column) -> Column:
 
 def categories(url: Column, head: Column, body: Column) -> Column:
     """Categories with a point or more: 2 per word in the URL, 1 in the title, half in the first 1000 characters of text."""
-    u, h, b = F.lower(url), F.lower(head), F.lower(F.left(body, F.lit(1000)))
-    scored = [
-        F.struct(F.lit(name).alias("name"), (text.count_of(u, words) * 2.0 + text.count_of(h, words) * 1.0 + text.count_of(b, words) * 0.5).alias("score"))
-        for name, words in D.CONTENT_CATEGORIES.items()
-    ]
-    return F.transform(F.filter(F.array(*scored), lambda s: s["score"] >= 1.0), lambda s: s["name"])
+    said = F.struct(F.lower(url).alias("url"), F.lower(head).alias("head"), F.lower(F.left(body, F.lit(1000))).alias("body"))
+    listed = F.array(*[F.struct(F.lit(name).alias("name"), F.array(*[F.lit(w) for w in words]).alias("words")) for name, words in D.CONTENT_CATEGORIES.items()])
+
+    def found(x: Column) -> Column:
+        hits = lambda part, ws: F.size(F.filter(ws, lambda w: F.contains(x[part], w)))
+        enough = lambda c: hits("url", c["words"]) * 2.0 + hits("head", c["words"]) * 1.0 + hits("body", c["words"]) * 0.5 >= 1.0
+        return F.transform(F.filter(listed, enough), lambda c: c["name"])
+
+    return text.bound(said, found)
 
 
 def quality(head: Column, about: Column, words: Column, n_headings: Column, lang: Column) -> Column:

@@ -77,11 +77,15 @@ def cleaned(tags: Column) -> Column:
 
 def from_url(url: Column) -> Column:
     """Tags of the platform, of the first three path parts and of the host's labels; sorted."""
-    host = urls.domain(url)
+    return text.bound(F.struct(urls.domain(url).alias("host"), F.lower(urls.path(url)).alias("path")), _from_parts)
+
+
+def _from_parts(u: Column) -> Column:
+    host = u["host"]
     platform = F.array().cast("array<string>")
     for name, words in reversed(D.PLATFORM_TAGS.items()):
         platform = F.when(host.contains(name), _array(words)).otherwise(platform)
-    parts = F.slice(F.filter(F.split(F.lower(urls.path(url)), "/"), lambda p: p != ""), 1, 3)
+    parts = F.slice(F.filter(F.split(u["path"], "/"), lambda p: p != ""), 1, 3)
     words = F.flatten(
         F.transform(
             F.filter(parts, lambda p: F.length(p) > 2),
@@ -94,7 +98,12 @@ def from_url(url: Column) -> Column:
 
 def from_text(c: Column) -> Column:
     """Fields and content types whose words the text holds (as substrings), and its words; sorted."""
-    low = F.lower(F.coalesce(c, F.lit("")))
+    raw = F.coalesce(c, F.lit(""))
+    return text.bound(F.struct(raw.alias("raw"), F.lower(raw).alias("low")), _from_words)
+
+
+def _from_words(said: Column) -> Column:
+    low = said["low"]
     fields = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(name).alias("field")) for name, ws in D.TECH_KEYWORDS.items() for w in ws])
     held = F.flatten(F.transform(F.filter(fields, lambda f: F.contains(low, f["word"])), lambda f: F.array(f["field"], f["word"])))
     kinds = F.array(*[F.struct(F.lit(name).alias("name"), _array(ws).alias("words")) for name, ws in D.CONTENT_TYPE_INDICATORS.items()])
@@ -102,7 +111,7 @@ def from_text(c: Column) -> Column:
     words = F.filter(F.regexp_extract_all(low, F.lit(r"([\p{L}\p{N}_]+)")), lambda w: (F.length(w) >= 2) & ~w.isin(*D.STOP_WORDS) & ~w.rlike("^[0-9]+$"))
     keep = ("ai", "programming", "machine", "learning", "github")
     # Whole words of ASCII letters: a word of any letters first, as engines differ in where a word with others ends.
-    whole = F.filter(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([\p{L}\p{N}_]+)")), lambda w: w.rlike("^[A-Z][a-zA-Z]+$"))
+    whole = F.filter(F.regexp_extract_all(said["raw"], F.lit(r"([\p{L}\p{N}_]+)")), lambda w: w.rlike("^[A-Z][a-zA-Z]+$"))
     names = F.filter(F.transform(whole, F.lower), lambda w: (F.length(w) > 3) & ~w.isin(*D.STOP_WORDS))
     return F.array_sort(F.array_distinct(F.concat(held, types, F.transform(words, lambda w: F.when(w.isin(*keep), w).otherwise(full_form(w))), names)))
 

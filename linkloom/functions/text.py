@@ -34,14 +34,19 @@ def clean(c: Column) -> Column:
     return strip(F.regexp_replace(F.translate(F.coalesce(c, F.lit("")), "\x00\r", ""), r"\s+", " "))
 
 
+def bound(value: Column, f) -> Column:
+    """``f`` of a value that is worked out once per row. A column that stands inside a lambda would be worked out again for every element."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def any_of(c: Column, words) -> Column:
     """Whether the text holds any of the words as a substring."""
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w))
+    return bound(c, lambda x: F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w)))
 
 
 def count_of(c: Column, words) -> Column:
     """How many of the words the text holds. A list of literals, as a sum of many terms outgrows generated code."""
-    return F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(c, w)))
+    return bound(c, lambda x: F.size(F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(x, w))))
 
 
 def parse_bool(c: Column, words: tuple[str, ...] = ("true", "1", "yes", "on", "enabled")) -> Column:

@@ -13,7 +13,11 @@ from .tagging import occurring
 
 def category_scores(full_text: Column, domain: Column, folder: Column) -> Column:
     """Array of (name, score, subcategory) in the dictionary's order. Words count as substrings."""
-    low, held = F.lower(full_text), F.lower(F.coalesce(folder, F.lit("")))
+    said = F.struct(F.lower(full_text).alias("low"), F.lower(F.coalesce(folder, F.lit(""))).alias("held"), domain.alias("domain"))
+    return text.bound(said, lambda x: _scored(x["low"], x["held"], x["domain"]))
+
+
+def _scored(low: Column, held: Column, domain: Column) -> Column:
     words = lambda ws: F.array(*[F.lit(w) for w in ws])
     subs = lambda spec: F.array(*[F.struct(F.lit(-i).alias("at"), F.lit(sub).alias("name"), words(ws).alias("words")) for i, (sub, ws) in enumerate(spec["subcategories"].items())])
     listed = F.array(*[F.struct(F.lit(name).alias("name"), words(spec["keywords"]).alias("keywords"), words(spec["domains"]).alias("domains"), subs(spec).alias("subs")) for name, spec in D.FOLDER_CATEGORIES.items()])
