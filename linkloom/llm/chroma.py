@@ -4,10 +4,9 @@ Fingerprint. Overlapping frames of a recording are folded onto the twelve pitch
 image of 12 rows, sixteen filters compare areas by sums from an integral image; each answer is cut at
 three thresholds into two Gray-coded bits, and the sixteen make one 32-bit integer per place.
 
-Alignment. Recordings with one and the same fingerprint are a class, and only classes are compared. Three
-overlapping runs of 20 of the 32 bits are the keys of a place. A key that a query's class and another class share votes for the offset
-between its two places, so a place with errors in some bits still votes. Every offset with enough votes is judged by the share
-of differing bits over the whole overlap, and the best one counts.
+Alignment. Recordings with one and the same fingerprint are a class, and only classes are compared. An
+integer that a place of a query's class and one of another class share, but for ``flips`` bits, votes for the offset between the two places. Every
+offset with enough votes is judged by the share of differing bits over the whole overlap, and the best one counts.
 
 Fingerprints are made row by row in Python; classes, votes and bit errors are joins and aggregates. A
 value that very many classes hold is a skewed key of a join whose two sides are written tables, so that
@@ -132,18 +131,15 @@ def fingerprint_audio(recordings: DataFrame, how: Chroma = Chroma(), pcm_col: st
     return recordings.mapInArrow(run, schema)
 
 
-#: (bits skipped, bits) of the keys of a place.
-KEYS = ((0, 20), (6, 20), (12, 20))
-
-
-def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id", min_votes: int = 2, min_overlap: int = 20, max_error: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id", min_votes: int = 3, flips: int = 1, min_overlap: int = 20, max_error: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """(members, matches) from rows (id_col, prints).
 
     ``members``: id_col, class_id (the smallest id with the same fingerprint), n_prints, of every row; an id that repeats comes once per row.
     ``matches``: query_class, class_id, offset (places that the class starts after the query), overlap, votes, bit_errors, error_rate: of
     every class with a query against every other class, at the offset with the least error rate (then the longest overlap, the least offset).
     Rows without integers, and with a null id, are members of no class. Other columns than id_col and prints are not read, so their names can't clash.
-    A pair within max_error whose places share no key at its offset min_votes times is missed; tests measure it against all offsets.
+    A pair within max_error with fewer than min_votes such places at its offset is missed; tests measure that against all offsets. ``flips`` is 0 or 1: with 1
+    the queries' places stand for 33 integers each, the others for their own, so chance votes grow with the queries only by that factor.
     """
     rows = printed.select(F.col(id_col).alias("rec"), "prints", F.coalesce(is_query, F.lit(False)).alias("asked"), F.when((F.size("prints") > 0) & F.col(id_col).isNotNull(), F.sha2(F.array_join("prints", ","), 256)).alias("digest"))
     rows = cut(rows, "prints")
@@ -152,10 +148,10 @@ def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id
     members = rows.join(classes.select("digest", "class_id"), "digest", "left").select(F.col("rec").alias(id_col), "class_id", F.size("prints").cast("long").alias("n_prints"))
     # Silence repeats one value: of a run of equal values the first place votes.
     places = classes.select("class_id", "asked", F.posexplode(F.transform("prints", lambda x, i: F.when((i == 0) | (x != F.element_at("prints", F.greatest(i, F.lit(1)))), x))).alias("at", "value")).where("value IS NOT NULL")
-    keys = F.array(*[F.shiftrightunsigned("value", 32 - skip - size).bitwiseAND(F.lit((1 << size) - 1)).bitwiseOR(F.lit(n << size)) for n, (skip, size) in enumerate(KEYS)])
-    held = cut(places.select("class_id", "asked", "at", F.explode(keys).alias("key")), "places")
-    asked = cut(held.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), "key"), "asked")
-    votes = held.select("class_id", "at", "key").join(asked, "key").where("class_id <> query_class")
+    held = cut(places.select("class_id", "asked", "at", "value"), "places")
+    near = F.array(F.col("value"), *[F.col("value").bitwiseXOR(F.lit((1 << i) - (1 << 32 if i == 31 else 0)).cast("int")) for i in range(32)]) if flips else F.array("value")
+    asked = held.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), F.explode(near).alias("value"))
+    votes = held.select("class_id", "at", "value").join(asked, "value").where("class_id <> query_class")
     counted = votes.groupBy("query_class", "class_id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
     pairs = counted.join(classes.select(F.col("class_id").alias("query_class"), F.col("prints").alias("q")), "query_class").join(classes.select("class_id", F.col("prints").alias("r")), "class_id")
     start_q, start_r = F.greatest("offset", F.lit(0)), F.greatest(-F.col("offset"), F.lit(0))
