@@ -44,12 +44,32 @@ def byte_letters() -> list[str]:
     return [chr(b if b in own else next(spare)) for b in range(256)]
 
 
+def read_spec(path: str) -> dict:
+    with open(path, encoding="utf-8") as f:
+        return json.load(f)
+
+
+class Decoder:
+    """Texts from ids: without a decoder in the vocabulary file, tokens with a blank between, special ones included."""
+
+    def __init__(self, spec: dict):
+        if spec.get("decoder"):
+            raise ValueError("decoding by another rule than joined tokens is not known here")
+        token = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.names = np.array([token.get(i, "") for i in range(max(token) + 1)], object)
+
+    def text(self, packed: bytes) -> str:
+        """Of packed ids; ids that the vocabulary lacks give nothing, nor do bytes beyond the last whole id."""
+        ids = np.frombuffer(packed[: len(packed) // 4 * 4], "<u4")
+        return " ".join(filter(None, self.names[ids[ids < len(self.names)]].tolist()))
+
+
 class RankArrayBPE:
-    """Encoder and decoder over one vocabulary file."""
+    """Encoder over one vocabulary file."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = read_spec(path)
+        self.decoder = Decoder(spec)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         self.suffix: str = model.get("end_of_word_suffix") or ""
@@ -57,10 +77,6 @@ class RankArrayBPE:
         self.pattern = regex.compile(pattern)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special_split = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
-        token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.names = np.array([token.get(i, "") for i in range(max(token) + 1)], object)
-        if spec.get("decoder"):
-            raise ValueError("decoding by another rule than joined tokens is not known here")
         letters = byte_letters()
         self.inner = np.array([self.vocab[c] for c in letters], np.int32)
         self.last = np.array([self.vocab[c + self.suffix] for c in letters], np.int32)
@@ -157,11 +173,6 @@ class RankArrayBPE:
         self._told(np.array([[p for p in part if p >= 0]], np.int32), [0], found)
         return found[0]
 
-    def decode(self, ids: np.ndarray) -> str:
-        """The text of some ids, special tokens included: without a decoder in the file, tokens with a blank between. Ids that the vocabulary lacks give nothing."""
-        ids = ids[ids < len(self.names)]
-        return " ".join(filter(None, self.names[ids].tolist()))
-
     def words(self, words: list[bytes]) -> list[bytes]:
         """Packed ids of many words, each the UTF-8 bytes of one match of the pattern."""
         out: list[bytes] = [b""] * len(words)
@@ -240,18 +251,18 @@ class TextCodec:
 
 
 _CODECS = kept("bpe", Memo(TextCodec, 4))
+_DECODERS = kept("bpe-decoder", Memo(lambda path: Decoder(read_spec(path)), 4))
 
 
-def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """Adds ``bpe_ids`` (binary: little-endian unsigned 32-bit ids) and ``bpe_n_tokens``.
+def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text", decode: bool = False) -> DataFrame:
+    """Adds ``bpe_ids`` (binary: little-endian unsigned 32-bit ids), ``bpe_n_tokens`` and, if asked, ``bpe_decoded``: the text that those ids decode to.
 
-    Every input row gives one row and keeps all its columns; columns of these two names are replaced.
+    Every input row gives one row and keeps all its columns; columns of these names are replaced.
     Null text: as empty. Repeated rows and ids need no care, as rows are independent.
     """
     tune(docs.sparkSession)
-    own = ["bpe_ids", "bpe_n_tokens"]
-    docs = docs.drop(*own)
-    schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.BinaryType()), T.StructField("bpe_n_tokens", T.LongType())])
+    docs = docs.drop("bpe_ids", "bpe_n_tokens", *(["bpe_decoded"] if decode else []))
+    schema = T.StructType([*docs.schema.fields, T.StructField("bpe_ids", T.BinaryType()), T.StructField("bpe_n_tokens", T.LongType()), *([T.StructField("bpe_decoded", T.StringType())] if decode else [])])
     place = docs.columns.index(text_col)
 
     def run(batches):
@@ -263,6 +274,8 @@ def encode_bpe(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Data
                 with steady():
                     ids = list(codec.run(texts[a:b]))
                 columns = [*batch.slice(a, b - a).columns, pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                if decode:
+                    columns.append(pa.array([codec.bpe.decoder.text(x) for x in ids], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return docs.mapInArrow(run, schema)
@@ -279,11 +292,10 @@ def decode_bpe(coded: DataFrame, vocabulary: str, ids_col: str = "bpe_ids") -> D
     place = coded.columns.index(ids_col)
 
     def run(batches):
-        serve("bpe")
-        bpe = _CODECS[vocabulary].bpe
+        serve("bpe-decoder")
+        decoder = _DECODERS[vocabulary]
         for batch in batches:
-            packed = [x or b"" for x in batch.column(place).to_pylist()]
-            told = [bpe.decode(np.frombuffer(x[: len(x) // 4 * 4], "<u4")) for x in packed]
+            told = [decoder.text(x or b"") for x in batch.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(told, pa.string())], names=schema.names)
 
     return coded.mapInArrow(run, schema)
@@ -294,9 +306,8 @@ def op10_query(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = encode_bpe(docs, vocabulary).select("doc_id", "bpe_ids", "bpe_n_tokens")
-    return decode_bpe(coded, vocabulary).select(
+    coded = encode_bpe(docs, public_tokenizers.path("word_bpe_49k.json"), decode=True)
+    return coded.select(
         "doc_id",
         F.col("bpe_n_tokens").alias("n_tokens"),
         F.sha2("bpe_ids", 256).alias("ids_sha256"),
