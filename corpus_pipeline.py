@@ -40,9 +40,7 @@ def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text, packed as little-endian unsigned 32-bit integers, and the text that they decode to."""
-    vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    coded = bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), vocabulary).drop("text")
-    told = bpe.decode_bpe(coded, vocabulary)
+    told = bpe.encode_bpe(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"), decode=True)
     return told.select("doc_id", "lang", "source", F.col("bpe_n_tokens").alias("n_tokens"), F.col("bpe_ids").alias("ids"), F.col("bpe_decoded").alias("decoded"))
 
 
