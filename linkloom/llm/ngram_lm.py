@@ -41,7 +41,9 @@ SEGMENT = 1 << 20
 #: Characters of text that are worked on at once.
 PIECE = 1_000_000
 #: Words, with repeats from block to block, that a task holds before it ships them.
-HELD = 1_000_000
+HELD = 600_000
+#: Tokens whose bigrams a task combines at once.
+TOKENS = 1_500_000
 
 
 @dataclass(frozen=True)
@@ -192,7 +194,7 @@ def _by_segment(keys: np.ndarray, shift: int):
 
 
 def _count_ngrams(shift: int):
-    """N-grams of a task's texts as (segment, tags, counts); bigrams are combined over about three million at a time."""
+    """N-grams of a task's texts as (segment, tags, counts); bigrams are combined over TOKENS at a time."""
 
     def rows(keys: np.ndarray, n: np.ndarray):
         found = [(s, _packed(keys[a:b] & _TAG), n[a:b].astype("<u4").tobytes()) for s, a, b in _by_segment(keys, shift)]
@@ -213,7 +215,7 @@ def _count_ngrams(shift: int):
                 yield rows(keys[order], n[order])
                 held.append(bigram(block.hashes[block.history], block.hashes[block.token]))
                 size += len(block.token)
-                if size >= 3_000_000:
+                if size >= TOKENS:
                     yield rows(*np.unique(np.concatenate(held), return_counts=True))
                     held, size = [], 0
         if size:
