@@ -296,7 +296,8 @@ def test_plugins(spark, tmp_path):
         registry.register(Plugin("c", {"nowhere": lambda df: df}))
     (tmp_path / "p.py").write_text("from linkloom.plugins import paywall_plugin\nplugin = paywall_plugin()\n")
     assert registry.load(str(tmp_path)) == ["paywall"] and registry.at("post_validation")
-    registry.unregister("paywall")
+    (tmp_path / "p.py").unlink()
+    assert registry.load(str(tmp_path)) == [] and "paywall" not in registry.plugins  # loaded again as the files are now
     assert not registry.at("post_validation") and paywall_plugin().hooks["post_validation"](make(spark, [{}])).first().paywall == 0.0
 
 
