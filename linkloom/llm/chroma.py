@@ -4,9 +4,9 @@ Fingerprint. Overlapping frames of a recording are folded onto the twelve pitch
 image of 12 rows, sixteen filters compare areas by sums from an integral image; each answer is cut at
 three thresholds into two Gray-coded bits, and the sixteen make one 32-bit integer per place.
 
-Alignment. Recordings with one and the same fingerprint are a class, and only classes are compared. An
-integer that a place of a query's class and one of another class share, but for ``flips`` bits, votes for the offset between the two places. Every
-offset with enough votes is judged by the share of differing bits over the whole overlap, and the best one counts.
+Alignment. Recordings with one and the same fingerprint are a class, and only classes are compared. A place's key is its
+integer and the first eight bits of the next one, which chance shares far less often than the integer alone. A key that places of a query's class and of another
+class share votes for the offset between the two places. Every offset with a vote is judged by the share of differing bits over the whole overlap, and the best one counts.
 
 Fingerprints are made row by row in Python; classes, votes and bit errors are joins and aggregates. A
 value that very many classes hold is a skewed key of a join whose two sides are written tables, so that
@@ -131,15 +131,14 @@ def fingerprint_audio(recordings: DataFrame, how: Chroma = Chroma(), pcm_col: st
     return recordings.mapInArrow(run, schema)
 
 
-def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id", min_votes: int = 3, flips: int = 1, min_overlap: int = 20, max_error: float = 0.15) -> tuple[DataFrame, DataFrame]:
+def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id", min_votes: int = 1, min_overlap: int = 20, max_error: float = 0.15) -> tuple[DataFrame, DataFrame]:
     """(members, matches) from rows (id_col, prints).
 
     ``members``: id_col, class_id (the smallest id with the same fingerprint), n_prints, of every row; an id that repeats comes once per row.
     ``matches``: query_class, class_id, offset (places that the class starts after the query), overlap, votes, bit_errors, error_rate: of
     every class with a query against every other class, at the offset with the least error rate (then the longest overlap, the least offset).
     Rows without integers, and with a null id, are members of no class. Other columns than id_col and prints are not read, so their names can't clash.
-    A pair within max_error with fewer than min_votes such places at its offset is missed; tests measure that against all offsets. ``flips`` is 0 or 1: with 1
-    the queries' places stand for 33 integers each, the others for their own, so chance votes grow with the queries only by that factor.
+    A pair within max_error without min_votes equal keys at its offset is missed; tests measure that against all offsets.
     """
     rows = printed.select(F.col(id_col).alias("rec"), "prints", F.coalesce(is_query, F.lit(False)).alias("asked"), F.when((F.size("prints") > 0) & F.col(id_col).isNotNull(), F.sha2(F.array_join("prints", ","), 256)).alias("digest"))
     rows = cut(rows, "prints")
@@ -147,10 +146,11 @@ def align_recordings(printed: DataFrame, is_query: Column, id_col: str = "rec_id
     classes = cut(classes, "classes")
     members = rows.join(classes.select("digest", "class_id"), "digest", "left").select(F.col("rec").alias(id_col), "class_id", F.size("prints").cast("long").alias("n_prints"))
     # Silence repeats one value: of a run of equal values the first place votes.
-    places = classes.select("class_id", "asked", F.posexplode(F.transform("prints", lambda x, i: F.when((i == 0) | (x != F.element_at("prints", F.greatest(i, F.lit(1)))), x))).alias("at", "value")).where("value IS NOT NULL")
+    unsigned = lambda x: x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))
+    key = lambda x, i: F.shiftleft(unsigned(x), 8).bitwiseOR(F.shiftright(unsigned(F.element_at("prints", F.least(i + 2, F.size("prints")))), 24))
+    places = classes.select("class_id", "asked", F.posexplode(F.transform("prints", lambda x, i: F.when((i == 0) | (x != F.element_at("prints", F.greatest(i, F.lit(1)))), key(x, i)))).alias("at", "value")).where("value IS NOT NULL")
     held = cut(places.select("class_id", "asked", "at", "value"), "places")
-    near = F.array(F.col("value"), *[F.col("value").bitwiseXOR(F.lit((1 << i) - (1 << 32 if i == 31 else 0)).cast("int")) for i in range(32)]) if flips else F.array("value")
-    asked = held.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), F.explode(near).alias("value"))
+    asked = held.where("asked").select(F.col("class_id").alias("query_class"), F.col("at").alias("query_at"), "value")
     votes = held.select("class_id", "at", "value").join(asked, "value").where("class_id <> query_class")
     counted = votes.groupBy("query_class", "class_id", (F.col("query_at") - F.col("at")).alias("offset")).agg(F.count("*").alias("votes")).where(F.col("votes") >= min_votes)
     pairs = counted.join(classes.select(F.col("class_id").alias("query_class"), F.col("prints").alias("q")), "query_class").join(classes.select("class_id", F.col("prints").alias("r")), "class_id")
@@ -192,7 +192,7 @@ def rerecorded(pcm: bytes, seed: int, how: Chroma = Chroma()) -> bytes:
 def op7_query(spark, sf_dir: str) -> DataFrame:
     """Every row of ``embeddings`` played as a recording; every row with an id divisible by 50 also as a second recording, later, cut, softer and noisy.
 
-    All are fingerprinted and put in classes; recordings of rows with an id divisible by 50 are searched for in all. One row per recording
+    All are fingerprinted and put in classes; rows with an id divisible by 50 are searched for in all. One row per recording
     (part 'member'; second recordings have vec_id -1 - id), one per pair of aligned classes (part 'match'), and one (part 'recall') with the
     number of second recordings long enough to be aligned (n_prints) and of those aligned with the first one (overlap), also as a share.
     """
@@ -212,11 +212,10 @@ def op7_query(spark, sf_dir: str) -> DataFrame:
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     printed = fingerprint_audio(vectors.mapInArrow(played, "vec_id long, pcm binary"))
-    asked = (F.col("vec_id") % 50 == 0) | (F.col("vec_id") < 0)
-    members, matches = align_recordings(printed, asked, "vec_id")
+    members, matches = align_recordings(printed, (F.col("vec_id") >= 0) & (F.col("vec_id") % 50 == 0), "vec_id")
     members, matches = cut(members, "members"), cut(matches, "matches")
-    second = members.where("vec_id < 0 AND n_prints >= 20").select(F.col("class_id").alias("query_class"), (-1 - F.col("vec_id")).alias("vec_id"))
-    found = second.join(members.select("vec_id", "class_id"), "vec_id").join(matches.select("query_class", "class_id", F.lit(1).alias("hit")), ["query_class", "class_id"], "left")
+    second = members.where("vec_id < 0 AND n_prints >= 20").select("class_id", (-1 - F.col("vec_id")).alias("vec_id"))
+    found = second.join(members.select("vec_id", F.col("class_id").alias("query_class")), "vec_id").join(matches.select("query_class", "class_id", F.lit(1).alias("hit")), ["query_class", "class_id"], "left")
     none = F.lit(None)
     one = members.select(F.lit("member").alias("part"), "vec_id", "class_id", "n_prints", none.cast("long").alias("query_class"), none.cast("int").alias("offset"), none.cast("int").alias("overlap"), none.cast("long").alias("bit_errors"), none.cast("double").alias("share"))
     two = matches.select(F.lit("match").alias("part"), none.cast("long").alias("vec_id"), "class_id", none.cast("long").alias("n_prints"), "query_class", "offset", "overlap", "bit_errors", none.cast("double").alias("share"))
