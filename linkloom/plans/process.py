@@ -149,7 +149,7 @@ def fetched_with_retries(fetch: Callable[[DataFrame], DataFrame], asked: DataFra
 
 def _held(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
     path = scratch(spark, name)
-    rows.write.parquet(path)
+    rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
