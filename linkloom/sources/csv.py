@@ -14,6 +14,8 @@ from ..operators import bookmarks
 
 ENCODINGS = ("UTF-8", "UTF-16LE", "UTF-16BE", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t")
+#: Rows of an export that a task numbers, about, and the most ranges that they are cut into.
+SLICE, MOST_SLICES = 25_000, 256
 
 
 class ExportError(ValueError):
@@ -170,11 +172,23 @@ def write_import_file(rows: DataFrame, path: str) -> int:
 
 
 def as_export(rows: DataFrame, pos: str = "pos") -> DataFrame:
-    """Bookmarks as the eleven export columns with ids from 1 in order of position; ranked by ranges, not in one task."""
-    ranged = rows.repartitionByRange(F.col(pos)).withColumn("_part", F.spark_partition_id())
-    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))  # a row per partition
-    numbered = ranged.join(F.broadcast(before), "_part").withColumn("id", (F.col("_before") + F.row_number().over(W.partitionBy("_part").orderBy(pos))).cast("string"))
+    """Bookmarks as the eleven export columns with ids from 1 in order of position; numbered by ranges, not in one task.
+
+    The ranges and the rows before each are fixed numbers in the plan: a shuffle that is planned a second time samples and coalesces
+    on its own, so its partitions are not those of the first.
+    """
+    at = F.col(pos)
+    n = rows.count()
+    slices = max(1, min(MOST_SLICES, -(-n // SLICE)))
+    cuts = [i / slices for i in range(1, slices)]
+    bounds = sorted(set(rows.agg(F.percentile_approx(at, cuts, 10000)).first()[0] or [])) if cuts else []
+    passed = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b < at)) if bounds else F.lit(0)
+    sliced = rows.withColumn("_slice", F.when(at.isNull(), len(bounds)).otherwise(passed))
+    sizes = dict(sliced.groupBy("_slice").count().collect()) if bounds else {}
+    before = [sum(sizes.get(j, 0) for j in range(i)) for i in range(len(bounds) + 1)]
+    place = F.row_number().over(W.partitionBy("_slice").orderBy(at.asc_nulls_last()))
+    ordered = sliced.repartitionByRange(len(before), "_slice")  # the rows stay in order from file to file
+    numbered = ordered.withColumn("id", (F.element_at(F.array(*[F.lit(b).cast("long") for b in before]), F.col("_slice") + 1) + place).cast("string"))
     return numbered.select("id", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in rows.columns and c not in ("tags",) else F.array_join("tags", ", ").alias("tags") if c == "tags" else F.lit("").alias(c) for c in schemas.EXPORT_COLUMNS[1:]])
 
 
