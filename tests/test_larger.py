@@ -42,3 +42,19 @@ def test_export_ids_with_gaps_ties_and_nulls(spark):
     known = [int(r.note) for r in got[:-90]]
     assert known == sorted(known)
     assert csv.as_export(rows.limit(0)).count() == 0
+
+
+@pytest.fixture(scope="module")
+def repeated(spark, tmp_path_factory):
+    """40 pages twice: their rows share URL, title and tags and differ only in position; one URL a third time under another title."""
+    root = tmp_path_factory.mktemp("repeated")
+    rows = [(i + more, f"https://www.example.com/blog/page-{i}", f"<title>Python video {i}</title>") for more in (0, 210) for i in range(40)]
+    spark.createDataFrame([*rows, (501, rows[0][1], "<title>News on the web</title>")], "page_id long, url string, html string").write.parquet(f"{root}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{root}/pages.parquet/*.parquet'")
+    return str(root), con
+
+
+@pytest.mark.parametrize("name", ["tag_surest"])
+def test_query_matches_sql_on_repeated_pages(spark, repeated, name):
+    test_query_matches_sql_on_more_pages(spark, repeated, name)
