@@ -55,6 +55,6 @@ def repeated(spark, tmp_path_factory):
     return str(root), con
 
 
-@pytest.mark.parametrize("name", ["tag_surest"])
+@pytest.mark.parametrize("name", ["tag_surest", "tag_assignments"])
 def test_query_matches_sql_on_repeated_pages(spark, repeated, name):
     test_query_matches_sql_on_more_pages(spark, repeated, name)
