@@ -114,7 +114,7 @@ def store_by_stored_tag(spark, d):
 def stream_incremental(spark, d):
     """Export files of equal links arrive one by one; totals add up over batches, and a second run finds nothing to do."""
     src, out, checkpoint = scratch(spark, "arriving"), scratch(spark, "out"), scratch(spark, "stream")
-    rows = bookmarks(spark, d).dropDuplicates(["url"])
+    rows = dedup.first_of(bookmarks(spark, d), "url")  # the same row in each reading, as the numbering needs
     csv.as_export(rows).repartition(3).write.option("header", True).option("quoteAll", True).option("escape", '"').csv(src)
     store = state.StateStore(spark, scratch(spark, "state"))
     for _ in range(2):

@@ -22,7 +22,7 @@ def larger(spark, tmp_path_factory):
     return str(root), con
 
 
-@pytest.mark.parametrize("name", ["csv_export_ids", "csv_import_modes", "csv_quality", "csv_round_trip", "multi_file_union"])
+@pytest.mark.parametrize("name", ["csv_export_ids", "csv_import_modes", "csv_quality", "csv_round_trip", "multi_file_union", "stream_incremental"])
 def test_query_matches_sql_on_more_pages(spark, larger, name):
     root, con = larger
     df = catalogue.QUERIES[name](spark, root)
