@@ -12,8 +12,8 @@ P(w) = (q(w) + 1) / (N + V + 1). mu(h) = 1 + mu * q(h)^power stands for the numb
 as a power of its count (Heaps), as in Witten and Bell's smoothing; so frequent histories don't starve words not seen behind them. A text's tokens are its words and one end; the first follows a start.
 
 The filter's size is known before it moves. Up to ``max_filter_bytes`` it is broadcast. Beyond, nothing
-is: texts are dealt into blocks, a block's distinct n-grams go to their segments, and the levels come
-back to the block. Both ways give the same numbers.
+is: texts are dealt into blocks, a block's distinct n-grams go to the shelves of segments, and the
+levels come back to the block. Both ways give the same numbers.
 
 Beside the model stands an exact unigram score. The ``head_words`` most frequent words are broadcast (a
 fixed number of words of at most 64 bytes); the rest of a text's words meet their counts in a join,
@@ -27,8 +27,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from .common import cut, let_go, mix64, steady, text_blocks, tune
 
@@ -42,6 +44,8 @@ SEGMENT = 1 << 20
 PIECE = 1_000_000
 #: Words, with repeats from block to block, that a task holds before it ships them.
 HELD = 600_000
+#: Bytes of the filter that a shelf holds, about, where the filter is not broadcast.
+SHELF = 8 << 20
 #: Tokens whose bigrams a task combines at once.
 TOKENS = 1_500_000
 
@@ -175,13 +179,13 @@ def _count_words(batches):
     let_go()
 
 
-def _packed(tags: np.ndarray) -> bytes:
-    return tags.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].tobytes()
+def _packed(tags: np.ndarray, width: int = 5) -> bytes:
+    return tags.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
 
 
-def _unpacked(raw: bytes) -> np.ndarray:
-    wide = np.zeros((len(raw) // 5, 8), np.uint8)
-    wide[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+def _unpacked(raw: bytes, width: int = 5) -> np.ndarray:
+    wide = np.zeros((len(raw) // width, 8), np.uint8)
+    wide[:, :width] = np.frombuffer(raw, np.uint8).reshape(-1, width)
     return wide.view("<u8").reshape(-1).astype(np.uint64)
 
 
@@ -300,12 +304,13 @@ def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int
     return np.log10((np.minimum(q_hw, q_h) + mu * p_w) / (q_h + mu))
 
 
-def score_block(texts: list[str | None], level_of, counts: np.ndarray, exact: Exact, n: int, v: int, how: Settings) -> list[pa.Array]:
-    """The columns ADDED of some texts; ``level_of`` maps n-gram keys to levels."""
+def score_block(texts: list[str | None], levels_of, counts: np.ndarray, exact: Exact, n: int, v: int, how: Settings) -> list[pa.Array]:
+    """The columns ADDED of some texts; ``levels_of`` maps the keys of words and those of bigrams to levels."""
     block = Block(texts)
-    q = counts[level_of(unigram(block.hashes))]
     keys, at = block.pairs()
-    logs = log_probabilities(q[block.history], q[block.token], counts[level_of(keys)][at], n, v, how)
+    words, pairs = levels_of(unigram(block.hashes), keys)
+    q = counts[words]
+    logs = log_probabilities(q[block.history], q[block.token], counts[pairs][at], n, v, how)
     score = np.bincount(block.owner, logs, len(texts))
     # Exact: what the head knows is summed here, the other words of a text go along with their counts.
     known = np.append(exact.of(block.hashes[: block.end]), exact.end)
@@ -398,7 +403,7 @@ class NgramModel:
                 texts = batch.column(place).to_pylist()
                 for a, b in text_blocks(texts, PIECE):
                     with steady():
-                        columns = score_block(texts[a:b], held.levels, counts, exactly, n, v, how)
+                        columns = score_block(texts[a:b], lambda words, pairs: (held.levels(words), held.levels(pairs)), counts, exactly, n, v, how)
                     yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *added])
             del held, exactly
             let_go(sent, exact_sent)
@@ -410,39 +415,82 @@ class NgramModel:
         return rows.mapInArrow(run, schema)
 
     def _dealt(self, rows: DataFrame, text_col: str) -> DataFrame:
-        """As _broadcast, with the n-grams sent to their segments and the levels sent back."""
+        """As _broadcast, with the n-grams sent to shelves of segments and the levels sent back, a byte each.
+
+        A block asks a shelf once, so there are blocks times shelves asks, and not times segments. Shelf by shelf the answers are in the
+        order of the block's sorted n-grams, which it finds again; so they need no keys.
+        """
         how, n, v, shift, counts = self.how, self.n, self.v, self.shift, meant(self.how.base)
         exact_sent = self.spark.sparkContext.broadcast(self._exact())
-        rows = cut(rows, "dealt")  # fixes the row numbers
-        size = rows.agg(F.sum(F.length(text_col))).first()[0] or 0
-        blocks = max(1, size // 2_000_000)
-        block = F.pmod(F.xxhash64("lm_row"), F.lit(blocks)).alias("block")
-        texts = rows.select(block, "lm_row", F.col(text_col).alias("text"))
-
-        def ask(table: pa.Table) -> pa.Table:
-            block = Block(table.column("text").to_pylist())
-            keys = np.unique(np.concatenate([unigram(block.hashes), block.pairs()[0]]))
-            found = [(table.column("block")[0].as_py(), s, keys[a:b].tobytes()) for s, a, b in _by_segment(keys, shift)]
-            return pa.table([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["block", "segment", "keys"])
+        place, names = rows.columns.index(text_col), rows.columns
+        others = [i for i in range(len(names)) if i != place]
+        wide = min(64 - shift, (self.bytes // SHELF).bit_length())  # the bits of a shelf's number, and those of a segment's within it
+        narrow = 64 - shift - wide
+        width, inner = -(-(40 + narrow) // 8), np.uint64((1 << narrow) - 1)
+
+        def asked_of(keys: np.ndarray) -> np.ndarray:
+            """What a shelf must know of its n-grams: the place of the segment and the tag."""
+            return (keys & _TAG) | ((keys >> np.uint64(shift) & inner) << np.uint64(40)) if shift < 64 else keys & _TAG
+
+        def deal(batches):
+            """A row for each block: its rows, and what it asks of each shelf."""
+            number = TaskContext.get().partitionId() << 33
+            whole = lambda x: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x)
+            for batch in batches:
+                texts = batch.column(place).to_pylist()
+                for a, b in text_blocks(texts, PIECE):
+                    with steady():
+                        block = Block(texts[a:b])
+                        keys = np.unique(np.concatenate([unigram(block.hashes), block.pairs()[0]]))
+                    found = [(s, _packed(asked_of(keys[i:j]), width)) for s, i, j in _by_segment(keys, 64 - wide)]
+                    asks = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), (pa.int64(), pa.binary()), strict=True)], names=["shelf", "keys"])
+                    held = pa.StructArray.from_arrays([c.slice(a, b - a) for c in batch.columns], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), whole(held), whole(asks)], names=["block", "held", "asks"])
+                    number += 1
+            let_go()
 
         def answer(asked: pa.Table, held: pa.Table) -> pa.Table:
             bits = held.column("bits").to_pylist()
             part = Filter(zip(held.column("segment").to_pylist(), bits, strict=True), sum(map(len, bits)), shift, how.probes)
-            raw = asked.column("keys").to_pylist()
-            return pa.table({"block": asked.column("block"), "keys": asked.column("keys"), "levels": pa.array([part.levels(np.frombuffer(x, np.uint64)).tobytes() for x in raw], pa.binary())})
+            raw, told, at = asked.column("keys").to_pylist(), [], 0
+            top = np.uint64(asked.column("shelf")[0].as_py() << narrow if raw else 0)
+            while at < len(raw):  # some at a time, so that the arrays of a shelf stay small
+                end, size = at, 0
+                while end < len(raw) and size < 500_000:
+                    size += len(raw[end]) // width
+                    end += 1
+                wanted = _unpacked(b"".join(raw[at:end]), width)
+                keys = (wanted & _TAG) | ((top | wanted >> np.uint64(40)) << np.uint64(shift)) if shift < 64 else wanted
+                levels = part.levels(keys).astype(np.uint8).tobytes()
+                ends = np.cumsum([0, *[len(x) // width for x in raw[at:end]]]).tolist()
+                told += [levels[i:j] for i, j in zip(ends, ends[1:], strict=False)]
+                at = end
+            return pa.table({"block": asked.column("block"), "shelf": asked.column("shelf"), "levels": pa.array(told, pa.binary())})
 
         def settle(told: pa.Table, answers: pa.Table) -> pa.Table:
-            keys = np.concatenate([np.frombuffer(x, np.uint64) for x in answers.column("keys").to_pylist()])
-            levels = np.concatenate([np.frombuffer(x, np.int16) for x in answers.column("levels").to_pylist()])
-            order = np.argsort(keys)
-            keys, levels = keys[order], levels[order]
-            columns = score_block(told.column("text").to_pylist(), lambda k: levels[np.searchsorted(keys, k)], counts, exact_sent.value, n, v, how)
-            return pa.table([told.column("lm_row"), *columns], names=["lm_row", *NgramModel._ADDED])
-
-        asked = texts.groupBy("block").applyInArrow(ask, "block long, segment long, keys binary")
-        answered = asked.groupBy("segment").cogroup(self.segments.groupBy("segment")).applyInArrow(answer, "block long, keys binary, levels binary")
-        scored = texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(settle, f"lm_row long, {self._DDL}")
-        return rows.drop(text_col).join(scored, "lm_row")
+            held = told.column("held").chunk(0).flatten()
+            by_shelf = sorted(zip(answers.column("shelf").to_pylist(), answers.column("levels").to_pylist(), strict=True))
+            levels = np.frombuffer(b"".join(x for _, x in by_shelf), np.uint8)
+
+            def levels_of(words: np.ndarray, pairs: np.ndarray):
+                keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+                if len(keys) != len(levels):
+                    raise ValueError(f"{len(levels)} answers to {len(keys)} n-grams")
+                return levels[at[: len(words)]], levels[at[len(words) :]]
+
+            columns = score_block(held.field(place).to_pylist(), levels_of, counts, exact_sent.value, n, v, how)
+            return pa.table([*[held.field(i) for i in others], *columns], names=[*[names[i] for i in others], *NgramModel._ADDED])
+
+        shape = StructType().add("block", "long").add("held", ArrayType(rows.schema)).add("asks", ArrayType(StructType().add("shelf", "long").add("keys", "binary")))
+        dealt = cut(rows.mapInArrow(deal, shape), "dealt")
+        asked = dealt.select("block", F.explode("asks").alias("a")).select("block", F.col("a.shelf").alias("shelf"), F.col("a.keys").alias("keys"))
+        shelves = self.segments.select(F.shiftright("segment", narrow).alias("shelf"), "segment", "bits")
+        # Shelves without segments answer as well: with no level.
+        answered = asked.groupBy("shelf").cogroup(shelves.groupBy("shelf")).applyInArrow(answer, "block long, shelf long, levels binary")
+        schema = StructType([rows.schema[i] for i in others])
+        for f in self.spark.createDataFrame([], self._DDL).schema.fields:
+            schema = schema.add(f)
+        return dealt.select("block", "held").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(settle, schema)
 
 
 def held_out(doc_id: Column) -> Column:

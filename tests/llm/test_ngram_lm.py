@@ -108,3 +108,21 @@ def test_empty_tables_repeated_rows_and_extra_columns(spark, make_docs):
     assert model.score(docs.limit(0)).count() == 0
     nothing = NgramModel(docs.limit(0))
     assert nothing.n == 0 and all(r.lm_n_known == 0 and r.lm_score < 0.1 for r in nothing.score(docs).collect())
+
+
+def test_asks_follow_shelves_and_not_segments(spark, make_docs, monkeypatch):
+    """With very many segments a block asks each shelf once, and the scores are those of the broadcast."""
+    from linkloom.llm import ngram_lm
+
+    monkeypatch.setattr(ngram_lm, "SEGMENT", 32)
+    monkeypatch.setattr(ngram_lm, "SHELF", 1 << 12, raising=False)
+    made, cut = {}, ngram_lm.cut
+    monkeypatch.setattr(ngram_lm, "cut", lambda df, label: made.setdefault(label, cut(df, label)))
+    docs = make_docs(texts(300))
+    want = {r.doc_id: r for r in NgramModel(docs).score(docs).collect()}
+    made.clear()
+    model = NgramModel(docs, how=Settings(max_filter_bytes=0))
+    got = {r.doc_id: r for r in model.score(docs).collect()}
+    assert got == want and model.segments.count() > 100
+    told = made["dealt"].selectExpr("count(*) AS blocks", "sum(size(asks)) AS asks", "max(size(asks)) AS most").first()
+    assert 2 < told.most <= 16 and told.asks <= told.blocks * told.most
