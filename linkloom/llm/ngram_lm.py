@@ -230,17 +230,18 @@ def _count_ngrams(shift: int):
     return run
 
 
-def _places(tags: np.ndarray, level: int, n_bits: np.ndarray | int, probes: int):
-    """The bits of (n-gram, level) in a segment, probe by probe; a caller may narrow what is left by sending a mask."""
-    y = mix64(tags + np.uint64(level * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
-    low, step, n_bits = y & _LOW, (y >> np.uint64(32)) | np.uint64(1), np.asarray(n_bits, np.uint64)
+def _places(tags: np.ndarray, level: int, n_bits: int, probes: int):
+    """The bits of (n-gram, level) in a segment, probe by probe."""
+    low, step = _probe(tags, level)
     for _ in range(probes):
-        hit = yield ((low * n_bits) >> np.uint64(32)).astype(np.int64)
-        if hit is not None:
-            low, step = low[hit], step[hit]
-            n_bits = n_bits[hit] if n_bits.ndim else n_bits
-            yield None
-        low = (low + step) & _LOW
+        yield ((low * np.uint64(n_bits)) >> np.uint64(32)).astype(np.int64)
+        low += step
+
+
+def _probe(tags: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of (n-gram, level): the first probe as a share of 2^32, and the step to the next one."""
+    y = mix64(tags + np.uint64(level * int(_STEP) & 0xFFFFFFFFFFFFFFFF))
+    return y.astype(np.uint32), (y >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 
 
 def _build(how: Settings):
@@ -275,6 +276,7 @@ class Filter:
         self.n_bits, self.start = np.zeros(top, np.uint64), np.zeros(top, np.int64)
         for s, (n, first) in places.items():
             self.n_bits[s], self.start[s] = n, first
+        self.known, self.known_levels = np.empty(0, np.uint64), np.empty(0, np.int16)
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """The level of each n-gram, by repeated membership probes; 0 for one not held."""
@@ -285,17 +287,38 @@ class Filter:
         tags, start, n_bits = keys[live] & _TAG, self.start[segment[live]], self.n_bits[segment[live]]
         level = 1
         while len(live):
-            places = _places(tags, level, n_bits, self.probes)
-            for at in places:
+            low, step = _probe(tags, level)
+            hit = True
+            for probe in range(self.probes):
+                at = ((low * n_bits) >> np.uint64(32)).view(np.int64)
                 at += start
-                hit = (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-                if not hit.all():
-                    live, tags, start, n_bits = live[hit], tags[hit], start[hit], n_bits[hit]
-                    places.send(hit)
+                hit &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                # Most of what is not held is told by two probes; narrowing costs more than it saves between the later ones.
+                if probe in (0, 1, self.probes - 1):
+                    if not hit.all():
+                        kept = np.flatnonzero(hit)
+                        live, tags, start, n_bits, low, step = (x[kept] for x in (live, tags, start, n_bits, low, step))
+                    hit = True
+                low += step
             out[live] = level
             level += 1
         return out
 
+    def remember(self, hashes: np.ndarray) -> None:
+        """Reads the levels of words once, for ``word_levels``."""
+        self.known = np.sort(hashes)
+        self.known_levels = self.levels(unigram(self.known))
+
+    def word_levels(self, hashes: np.ndarray) -> np.ndarray:
+        """The levels of words by their hashes; only those not remembered are probed."""
+        if not len(self.known):
+            return self.levels(unigram(hashes))
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        out = self.known_levels[at]
+        rest = np.flatnonzero(self.known[at] != hashes)
+        out[rest] = self.levels(unigram(hashes[rest]))
+        return out
+
 
 def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int, v: int, how: Settings) -> np.ndarray:
     """log10 P(w | h) of each token from the three counts; a bigram can't be more frequent than its history."""
@@ -305,10 +328,10 @@ def log_probabilities(q_h: np.ndarray, q_w: np.ndarray, q_hw: np.ndarray, n: int
 
 
 def score_block(texts: list[str | None], levels_of, counts: np.ndarray, exact: Exact, n: int, v: int, how: Settings) -> list[pa.Array]:
-    """The columns ADDED of some texts; ``levels_of`` maps the keys of words and those of bigrams to levels."""
+    """The columns ADDED of some texts; ``levels_of`` maps the hashes of words and the keys of bigrams to levels."""
     block = Block(texts)
     keys, at = block.pairs()
-    words, pairs = levels_of(unigram(block.hashes), keys)
+    words, pairs = levels_of(block.hashes, keys)
     q = counts[words]
     logs = log_probabilities(q[block.history], q[block.token], counts[pairs][at], n, v, how)
     score = np.bincount(block.owner, logs, len(texts))
@@ -391,8 +414,10 @@ class NgramModel:
 
     def _broadcast(self, rows: DataFrame, text_col: str) -> DataFrame:
         how, n, v, shift, counts = self.how, self.n, self.v, self.shift, meant(self.how.base)
-        exact_sent = self.spark.sparkContext.broadcast(self._exact())
-        sent = self.spark.sparkContext.broadcast(Filter(((r.segment, r.bits) for r in self.segments.toLocalIterator()), self.bytes, shift, how.probes))
+        exact = self._exact()
+        held = Filter(((r.segment, r.bits) for r in self.segments.toLocalIterator()), self.bytes, shift, how.probes)
+        held.remember(np.append(exact.hashes, [_END, _START]))  # most words of any text, and those with most levels
+        exact_sent, sent = self.spark.sparkContext.broadcast(exact), self.spark.sparkContext.broadcast(held)
         place = rows.columns.index(text_col)
         others = [i for i in range(len(rows.columns)) if i != place]
         added = self._ADDED
@@ -403,7 +428,7 @@ class NgramModel:
                 texts = batch.column(place).to_pylist()
                 for a, b in text_blocks(texts, PIECE):
                     with steady():
-                        columns = score_block(texts[a:b], lambda words, pairs: (held.levels(words), held.levels(pairs)), counts, exactly, n, v, how)
+                        columns = score_block(texts[a:b], lambda words, pairs: (held.word_levels(words), held.levels(pairs)), counts, exactly, n, v, how)
                     yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(a, b - a) for i in others], *columns], names=[*[batch.schema.names[i] for i in others], *added])
             del held, exactly
             let_go(sent, exact_sent)
@@ -473,7 +498,7 @@ class NgramModel:
             levels = np.frombuffer(b"".join(x for _, x in by_shelf), np.uint8)
 
             def levels_of(words: np.ndarray, pairs: np.ndarray):
-                keys, at = np.unique(np.concatenate([words, pairs]), return_inverse=True)
+                keys, at = np.unique(np.concatenate([unigram(words), pairs]), return_inverse=True)
                 if len(keys) != len(levels):
                     raise ValueError(f"{len(levels)} answers to {len(keys)} n-grams")
                 return levels[at[: len(words)]], levels[at[len(words) :]]

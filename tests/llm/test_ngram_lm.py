@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from linkloom.llm.ngram_lm import Filter, NgramModel, Settings, _build, _packed, _unpacked, meant, op3_query, thresholds
+from linkloom.llm.ngram_lm import Filter, NgramModel, Settings, _build, _packed, _unpacked, meant, op3_query, thresholds, unigram
 
 
 def test_levels_come_back_by_probing():
@@ -126,3 +126,22 @@ def test_asks_follow_shelves_and_not_segments(spark, make_docs, monkeypatch):
     assert got == want and model.segments.count() > 100
     told = made["dealt"].selectExpr("count(*) AS blocks", "sum(size(asks)) AS asks", "max(size(asks)) AS most").first()
     assert 2 < told.most <= 16 and told.asks <= told.blocks * told.most
+
+
+def test_levels_of_frequent_words_are_read_once():
+    rng = np.random.default_rng(2)
+    how = Settings()
+    hashes = np.unique(rng.integers(0, 2**63, 4000, dtype=np.uint64))
+    keys = np.unique(unigram(hashes) & np.uint64(2**40 - 1))
+    built = _build(how)(pa.table({"segment": [0], "tags": [_packed(keys)], "counts": [rng.integers(1, 900, len(keys)).astype("<u4").tobytes()]}))
+    bits = built.column("bits")[0].as_py()
+    held = Filter([(0, bits)], len(bits), 64, how.probes)
+    asked = rng.permutation(hashes)
+    want = held.levels(unigram(asked))
+    assert want.min() > 0
+    assert (held.word_levels(asked) == want).all()
+    held.remember(hashes[1000:])
+    assert (held.word_levels(asked) == want).all() and not len(held.word_levels(asked[:0]))
+    held.bits[:] = 0  # so what is still known was not probed for
+    assert (held.word_levels(hashes[1000:]) == held.known_levels[np.searchsorted(held.known, hashes[1000:])]).all()
+    assert (held.word_levels(hashes[:1000]) == 0).all()
