@@ -40,7 +40,7 @@ def frequencies(found: DataFrame) -> DataFrame:
 
 
 def tag_quality(tag: Column, frequency: Column, total: Column) -> Column:
-    often = F.least(F.lit(1.0), frequency / (total * 0.1))
+    often = F.least(F.lit(1.0), frequency / (total / 10))
     length = F.when(F.length(tag).between(3, 15), 1.0).otherwise(0.5)
     letters = F.when(tag.rlike(r"^\p{L}+$"), 1.0).otherwise(0.8)
     words = sorted({w for ws in D.TECH_KEYWORDS.values() for w in ws})
@@ -62,9 +62,15 @@ def scored(found: DataFrame, rows: DataFrame, content: DataFrame | None = None,
         by_tag = met(texts, often).groupBy("tag").agg((F.sum("points") / max(1, pages)).alias("content_score"))
         out = out.join(by_tag, "tag", "left").withColumn("content_score", F.coalesce("content_score", F.lit(0.0)))
     out = out.withColumn("quality_score", tag_quality(F.col("tag"), F.col("frequency"), F.lit(total)))
-    score = F.col("frequency") * 0.3 + F.col("content_score") * 0.4 + F.col("url_score") * 0.2 + F.col("quality_score") * 0.1
+    # Tenths by division, as 0.3 times 3 is not 0.9: scores that are equal as decimals then stay equal.
+    score = F.col("frequency") * 3 / 10 + F.col("content_score") * 0.4 + F.col("url_score") * 0.2 + F.col("quality_score") * 0.1
     # Rounded, so that the order of equal scores is that of the tags and not of the sums' last bits.
-    return out.withColumn("total_score", F.round(score, 6)).drop("hits")
+    return out.withColumn("total_score", rounded(score)).drop("hits")
+
+
+def rounded(score: Column) -> Column:
+    """To six digits as DuckDB does: the product of doubles is rounded, where Spark's own takes the decimal that the double prints as."""
+    return F.round(score * 1e6) / 1e6
 
 
 def occurring(texts: DataFrame, wanted: DataFrame) -> DataFrame:

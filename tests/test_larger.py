@@ -58,3 +58,16 @@ def repeated(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["tag_surest", "tag_assignments"])
 def test_query_matches_sql_on_repeated_pages(spark, repeated, name):
     test_query_matches_sql_on_more_pages(spark, repeated, name)
+
+
+def test_tags_are_chosen_by_scores_that_are_equal_as_decimals(spark, tmp_path):
+    """Two tags of one score that is half way at six digits, for the last place of 150: the first by name has it, though its terms are others."""
+    more = " ".join(f"word{i}x" for i in range(138))
+    url = lambda i: f"https://example.com/?n={i}" + ("aaa1a" if i < 6 else "zzzz" if i == 6 else "")
+    rows = [(i, url(i), f"<title>{'aaa1a zzzz' if i < 12 else more}</title>") for i in range(160)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    last = con.execute(catalogue.ORACLES["tag_choice"] + " ORDER BY place DESC LIMIT 1").fetchall()
+    assert last == [("aaa1a", 150)]
+    test_query_matches_sql_on_more_pages(spark, (str(tmp_path), con), "tag_assignments")
